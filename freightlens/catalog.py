@@ -16,7 +16,11 @@ from . import oracle_sql as osql
 from . import plans
 from .operators.filters import NO_FILTERS, ReportFilters
 from .operators.shaping import collapse_last_wins
+from .plans import audit
+from .plans import registry as registry_jobs
+from .sources import fixtures as fx
 from .sources.erp import ErpTables
+from .streaming import audit_stream
 
 #: The report clock for registered queries (FIXTURES.md §3).
 AS_OF = dt.datetime(2000, 6, 15, 12, 0, 0)
@@ -124,9 +128,16 @@ def report_sql() -> dict[str, str]:
     return s
 
 
+def control_queries() -> dict[str, Query]:
+    q: dict[str, Query] = dict(registry_jobs.QUERIES)
+    q["audit_normalised"] = lambda s, d: audit.accepted(fx.audit_events(s, d)).select(*audit.AUDIT_COLS)
+    q["audit_stream_append"] = lambda s, d: audit_stream.run_audit_stream_once(s, d)
+    return q
+
+
 def all_queries() -> dict[str, Query]:
-    return report_queries()
+    return {**report_queries(), **control_queries()}
 
 
 def all_sql() -> dict[str, str]:
-    return report_sql()
+    return {**report_sql(), **{k: fn() for k, fn in osql.CONTROL_SQL.items()}}

@@ -580,3 +580,218 @@ def full_sql(body: str, as_of: dt.datetime, multi_tenant: bool = False) -> str:
     if body.startswith(","):
         return pre + body
     return pre + body
+
+
+# ------------------------------------------------------------ control tables
+_BS = chr(92)
+
+
+def control_prelude() -> str:
+    path = f"'C:{_BS * 2}dados{_BS * 2}' || n_name || '.FDB'"
+    return f"""
+WITH
+tbusuarios AS (
+  SELECT CAST(c_custkey AS INTEGER) AS codusuario, c_name AS nomeusuario, 'x' AS senhausuario,
+         CAST(c_nationkey AS INTEGER) AS codempresa,
+         CASE WHEN c_acctbal < 0 THEN 'N' ELSE 'S' END AS usuarioativo,
+         CASE WHEN c_custkey % 2 = 0 THEN r
+              ELSE substr(r, 1, 3) || '.' || substr(r, 4, 3) || '.' || substr(r, 7, 3) || '-' || substr(r, 10, 2)
+         END AS cpfusuario,
+         lower(replace(c_name, '#', '')) || '@example.com' AS emailusuario,
+         c_mktsegment
+  FROM (SELECT *, lpad(CAST(c_custkey * 7919 + 123456 AS VARCHAR), 9, '0')
+                  || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS r FROM customer)),
+tbempresas AS (
+  SELECT CAST(n_nationkey AS INTEGER) AS codempresa, n_name AS nomeempresa,
+         lpad(CAST(n_nationkey AS VARCHAR), 14, '0') AS cnpjcpf, 'F' AS tipobdempresa, '3050' AS portabd,
+         '10.0.0.' || CAST(n_nationkey AS VARCHAR) AS ipbd, {path} AS caminhobd,
+         CASE WHEN n_nationkey % 5 = 0 THEN 'N' ELSE 'S' END AS ativa, n_regionkey
+  FROM nation)"""
+
+
+def _digits(x: str) -> str:
+    return f"regexp_replace({x}, '[^0-9]', '', 'g')"
+
+
+def cpf_valid_sql(x: str) -> str:
+    d = _digits(x)
+    dig = lambda i: f"CAST(substr({d}, {i}, 1) AS INTEGER)"
+    s1 = " + ".join(f"{dig(i)} * {11 - i}" for i in range(1, 10))
+    s2 = " + ".join(f"{dig(i)} * {12 - i}" for i in range(1, 11))
+    return (
+        f"(CASE WHEN {x} IS NULL OR length({d}) <> 11 THEN false "
+        f"WHEN {d} = repeat(substr({d}, 1, 1), 11) THEN false "
+        f"ELSE ((({s1}) * 10) % 11) % 10 = {dig(10)} AND ((({s2}) * 10) % 11) % 10 = {dig(11)} END)"
+    )
+
+
+def cpf_quality() -> str:
+    v = cpf_valid_sql("cpfusuario")
+    return control_prelude() + f"""
+SELECT codempresa, CAST(count(*) AS BIGINT) AS usuarios,
+       CAST(count_if({v}) AS BIGINT) AS cpf_validos, CAST(count_if(NOT {v}) AS BIGINT) AS cpf_invalidos
+FROM tbusuarios GROUP BY codempresa"""
+
+
+def users_insert_new() -> str:
+    v = cpf_valid_sql("cpfusuario")
+    return control_prelude() + f""",
+batch AS (
+  SELECT codusuario, {_digits('cpfusuario')} AS cpfusuario, CAST(codusuario AS BIGINT) * 2 AS seq FROM tbusuarios
+  UNION ALL
+  SELECT codusuario, {_digits('cpfusuario')} AS cpfusuario, CAST(codusuario AS BIGINT) * 2 + 1 AS seq
+  FROM tbusuarios WHERE usuarioativo = 'N'),
+b AS (SELECT batch.*, {v} AS ok,
+             EXISTS (SELECT 1 FROM tbusuarios u WHERE u.cpfusuario = batch.cpfusuario) AS present
+      FROM batch),
+firsts AS (SELECT cpfusuario, min(seq) AS first_seq FROM b WHERE ok AND NOT present GROUP BY cpfusuario)
+SELECT b.codusuario, b.cpfusuario, b.seq,
+       CASE WHEN NOT b.ok THEN 'invalid_cpf' WHEN b.present THEN 'already_present'
+            WHEN b.seq = firsts.first_seq THEN 'inserted' ELSE 'duplicate_in_batch' END AS outcome
+FROM b LEFT JOIN firsts ON firsts.cpfusuario = b.cpfusuario"""
+
+
+def _user_changes() -> str:
+    seq = "CAST(codusuario AS BIGINT) * 4"
+    n = "CAST(NULL AS VARCHAR)"
+    ni = "CAST(NULL AS INTEGER)"
+    return f""",
+ch AS (
+  SELECT cpfusuario, {seq} AS seq, ['emailusuario'] AS supplied,
+         {n} AS nomeusuario, {ni} AS codempresa, {n} AS usuarioativo, upper(emailusuario) AS emailusuario
+  FROM tbusuarios WHERE c_mktsegment = 'BUILDING'
+  UNION ALL
+  SELECT cpfusuario, {seq}, ['nomeusuario', 'usuarioativo'], {n}, {ni}, 'S', {n}
+  FROM tbusuarios WHERE c_mktsegment = 'AUTOMOBILE'
+  UNION ALL
+  SELECT cpfusuario, {seq}, ['usuarioativo', 'codempresa'], {n}, 0, 'N', {n}
+  FROM tbusuarios WHERE c_mktsegment = 'FURNITURE'
+  UNION ALL
+  SELECT cpfusuario, {seq} + 1, ['emailusuario', 'usuarioativo'], {n}, {ni}, 'S', {n}
+  FROM tbusuarios WHERE c_mktsegment = 'FURNITURE'
+  UNION ALL
+  SELECT {_digits('cpfusuario')}, {seq}, ['codempresa'], {n}, 99, {n}, {n}
+  FROM tbusuarios WHERE c_mktsegment = 'MACHINERY')"""
+
+
+_USER_FIELDS = ["nomeusuario", "codempresa", "usuarioativo", "emailusuario"]
+
+
+def users_partial_update() -> str:
+    ctes = ""
+    joins = ""
+    sets = []
+    for f in _USER_FIELDS:
+        ctes += f""",
+last_{f} AS (
+  SELECT cpfusuario, v FROM (
+    SELECT cpfusuario, {f} AS v, row_number() OVER (PARTITION BY cpfusuario ORDER BY seq DESC) AS rn
+    FROM ch WHERE list_contains(supplied, '{f}')) WHERE rn = 1)"""
+        joins += f" LEFT JOIN last_{f} ON last_{f}.cpfusuario = u.cpfusuario"
+        sets.append(f"CASE WHEN last_{f}.cpfusuario IS NOT NULL THEN last_{f}.v ELSE u.{f} END AS {f}")
+    return control_prelude() + _user_changes() + ctes + f"""
+SELECT u.codusuario, {sets[0]}, {sets[1]}, {sets[2]}, u.cpfusuario, {sets[3]}
+FROM tbusuarios u{joins}"""
+
+
+def users_update_unknown() -> str:
+    return control_prelude() + _user_changes() + """
+SELECT cpfusuario, seq FROM ch
+WHERE NOT EXISTS (SELECT 1 FROM tbusuarios u WHERE u.cpfusuario = ch.cpfusuario)"""
+
+
+def _company_updates() -> str:
+    return """,
+upd AS (
+  SELECT CAST(CASE WHEN n_regionkey = 4 THEN n_nationkey + 100 ELSE n_nationkey END AS INTEGER) AS codempresa,
+         CAST(n_nationkey AS BIGINT) AS seq, n_name AS nomeempresa,
+         lpad(CAST(n_nationkey AS VARCHAR), 14, '0') AS cnpjcpf, 'F' AS tipobdempresa, '3050' AS portabd,
+         '10.1.0.' || CAST(n_nationkey AS VARCHAR) AS ipbd, CAST(NULL AS VARCHAR) AS caminhobd, 'N' AS ativa
+  FROM nation WHERE n_regionkey IN (2, 4)),
+lastu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY codempresa ORDER BY seq DESC) AS rn FROM upd)
+          WHERE rn = 1)"""
+
+
+def companies_full_update() -> str:
+    cols = ["nomeempresa", "cnpjcpf", "tipobdempresa", "portabd", "ipbd", "caminhobd", "ativa"]
+    sets = ", ".join(f"CASE WHEN l.codempresa IS NOT NULL THEN l.{c} ELSE e.{c} END AS {c}" for c in cols)
+    return control_prelude() + _company_updates() + f"""
+SELECT e.codempresa, {sets} FROM tbempresas e LEFT JOIN lastu l ON l.codempresa = e.codempresa"""
+
+
+def companies_update_unknown() -> str:
+    return control_prelude() + _company_updates() + """
+SELECT codempresa, seq FROM upd WHERE NOT EXISTS (SELECT 1 FROM tbempresas e WHERE e.codempresa = upd.codempresa)"""
+
+
+def _deletes() -> str:
+    return f""",
+del AS (
+  SELECT cpfusuario FROM tbusuarios WHERE usuarioativo = 'N'
+  UNION ALL
+  SELECT {_digits('cpfusuario')} AS cpfusuario FROM tbusuarios WHERE c_mktsegment = 'MACHINERY')"""
+
+
+_USER_PUBLIC = "codusuario, nomeusuario, codempresa, usuarioativo, cpfusuario, emailusuario"
+
+
+def users_delete() -> str:
+    return control_prelude() + _deletes() + f"""
+SELECT {_USER_PUBLIC} FROM tbusuarios u WHERE NOT EXISTS (SELECT 1 FROM del d WHERE d.cpfusuario = u.cpfusuario)"""
+
+
+def users_delete_unknown() -> str:
+    return control_prelude() + _deletes() + """
+SELECT cpfusuario FROM del d WHERE NOT EXISTS (SELECT 1 FROM tbusuarios u WHERE u.cpfusuario = d.cpfusuario)"""
+
+
+def users_public() -> str:
+    return control_prelude() + f"\nSELECT {_USER_PUBLIC} FROM tbusuarios"
+
+
+def companies_public() -> str:
+    return control_prelude() + f"""
+SELECT codempresa, nomeempresa, cnpjcpf, tipobdempresa, portabd, ipbd,
+       replace(caminhobd, '{_BS * 2}', '{_BS}') AS caminhobd, ativa FROM tbempresas"""
+
+
+# ------------------------------------------------------------------ audit
+_WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F ]"
+
+
+def audit_normalised() -> str:
+    body = f"regexp_replace(replace(body_response, '{_BS}n', ''), '^{_WS}+|{_WS}+$', '', 'g')"
+    return f"""
+WITH ev AS (
+  SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS ts, 'user_' || CAST(user_id AS VARCHAR) AS usuario,
+         CAST(user_id % 25 AS VARCHAR) AS codempresa,
+         CASE WHEN event_type IN ('click', 'view') THEN 'GET' ELSE 'POST' END AS metodo,
+         CASE WHEN event_type = 'click' THEN '/login' ELSE '/bi/' || event_type END AS endpoint,
+         props AS params, props AS body_request,
+         CASE WHEN event_id % 7 = 0 THEN '  plain{_BS}n text ' ELSE ' ' || props || '{_BS}n' END AS body_response,
+         CAST(CASE WHEN value > 300 THEN 501 ELSE 200 END AS INTEGER) AS status_code,
+         CASE WHEN event_id % 50 = 0 THEN NULL ELSE 'agent/' || CAST(user_id % 3 AS VARCHAR) END AS user_agent,
+         '10.0.0.1' AS ip_address
+  FROM events)
+SELECT id, ts, usuario, codempresa, metodo, endpoint, params,
+       CASE WHEN json_valid(body_request) THEN body_request END AS body_request,
+       {body} AS body_response, json_valid({body}) AS body_response_json,
+       status_code, ip_address, user_agent
+FROM ev
+WHERE metodo IS NOT NULL AND endpoint IS NOT NULL AND status_code IS NOT NULL AND user_agent IS NOT NULL"""
+
+
+CONTROL_SQL = {
+    "cpf_quality": cpf_quality,
+    "users_insert_new": users_insert_new,
+    "users_partial_update": users_partial_update,
+    "users_update_unknown": users_update_unknown,
+    "companies_full_update": companies_full_update,
+    "companies_update_unknown": companies_update_unknown,
+    "users_delete": users_delete,
+    "users_delete_unknown": users_delete_unknown,
+    "users_public": users_public,
+    "companies_public": companies_public,
+    "audit_normalised": audit_normalised,
+    "audit_stream_append": audit_normalised,
+}

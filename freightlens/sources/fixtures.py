@@ -225,7 +225,12 @@ def tbusuarios(spark, sf_dir) -> DataFrame:
 
 def audit_events(spark, sf_dir) -> DataFrame:
     """Raw request-audit events (input of N1) from ``events``."""
-    e = _raw(spark, sf_dir, "events")
+    return audit_rows(_raw(spark, sf_dir, "events"))
+
+
+def audit_rows(e: DataFrame) -> DataFrame:
+    """Map ``events`` rows to request captures; a plain projection, so it
+    works on a streaming DataFrame too."""
     eid, uid, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
     plain_body = F.lit("  plain" + BACKSLASH + "n text ")
     json_body = F.concat(F.lit(" "), F.col("props"), F.lit(BACKSLASH + "n"))
