@@ -20,13 +20,8 @@ def digits_only(c) -> Column:
     return F.regexp_replace(_c(c), "[^0-9]", "")
 
 
-def cpf_is_valid(c) -> Column:
-    """CPF check (E21) with native column arithmetic, no UDF.
-
-    Rules: after keeping digits, exactly 11 digits, not all the same digit,
-    and both mod-11 check digits right.  NULL input is invalid (FALSE).
-    """
-    d = digits_only(c)
+def _cpf_digits_ok(d: Column) -> Column:
+    """CPF rule on a digits-only string ``d``."""
     digit = [F.substring(d, i + 1, 1).cast("int") for i in range(11)]
     s1 = digit[0] * 10
     for i in range(1, 9):
@@ -36,12 +31,25 @@ def cpf_is_valid(c) -> Column:
         s2 = s2 + digit[i] * (11 - i)
     dv1 = ((s1 * 10) % 11) % 10
     dv2 = ((s2 * 10) % 11) % 10
-    ok = (
-        (F.length(d) == 11)
-        & (d != F.repeat(F.substring(d, 1, 1), 11))
-        & F.when(F.length(d) == 11, (digit[9] == dv1) & (digit[10] == dv2)).otherwise(F.lit(False))
+    return (
+        F.when(F.length(d) != 11, F.lit(False))
+        .when(d == F.repeat(F.substring(d, 1, 1), 11), F.lit(False))
+        .otherwise((digit[9] == dv1) & (digit[10] == dv2))
     )
-    return F.coalesce(ok, F.lit(False))
+
+
+def cpf_is_valid(c) -> Column:
+    """CPF check (E21) with native column arithmetic, no UDF.
+
+    Rules: after keeping digits, exactly 11 digits, not all the same digit,
+    and both mod-11 check digits right.  NULL input is invalid (FALSE).
+
+    The digits-only string is bound once as a lambda variable (``transform``
+    over a one-element array), so the regex runs once per row rather than
+    once per digit reference.
+    """
+    bound = F.transform(F.array(digits_only(c)), _cpf_digits_ok)
+    return F.coalesce(F.element_at(bound, 1), F.lit(False))
 
 
 def unescape_path(c) -> Column:

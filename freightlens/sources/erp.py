@@ -28,8 +28,10 @@ from .jdbc import jdbc_reader
 DIMENSIONS = ("tbfil", "tbcli", "tbcid", "tbpro", "tbcta", "tbfor", "tbhis")
 FACTS = ("factrc", "frctrc", "cptit")
 
-#: Main date of each fact: the month partition column of a staged table.
+#: Main date of each fact: the partition column of a staged table.
 FACT_MAIN_DATE = {"factrc": "datarecbto", "frctrc": "dataemissao", "cptit": "datavencto"}
+#: Sort column inside each staged file (tightens row-group statistics).
+FACT_SORT_COL = {"factrc": "datavencto", "frctrc": "codfilemite", "cptit": "datamovto"}
 
 Loader = Callable[[str, frozenset | None], DataFrame]
 
@@ -80,6 +82,15 @@ class ErpTables:
 
         return cls(spark, load, ("codempresa",) if multi_tenant else (), **kw)
 
+    @classmethod
+    def from_frames(cls, spark: SparkSession, frames: dict[str, DataFrame], tenant_cols: tuple[str, ...] = (), **kw) -> "ErpTables":
+        """A bundle over DataFrames already in hand (tests, notebooks)."""
+
+        def load(name: str, need: frozenset | None) -> DataFrame:
+            return frames[name]
+
+        return cls(spark, load, tenant_cols, **kw)
+
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, tenant_cols: tuple[str, ...] = (), **kw) -> "ErpTables":
         root = root.rstrip("/")
@@ -112,9 +123,10 @@ class ErpTables:
 def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
     """Write the bundle as a Parquet warehouse.
 
-    Facts are partitioned by year-month of their main date, so period filters
-    prune whole folders, and sorted by that date inside each file so row-group
-    statistics prune the rest.  Dimensions are written as they are.
+    Facts are partitioned by their main date itself, so a period filter on
+    that column prunes folders with no extra predicate, and sorted by the
+    secondary date inside each file so row-group statistics prune the rest.
+    Dimensions are written as they are.
     """
     root = root.rstrip("/")
     for name in DIMENSIONS:
@@ -122,14 +134,12 @@ def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per
     for name in FACTS:
         df = tables.table(name)
         main = FACT_MAIN_DATE[name]
-        month = F.date_format(F.col(main), "yyyy-MM")
-        # No shuffle by month: a hot month would land in one task.  Each input
-        # split writes the months it holds; files are capped in rows.
+        # No shuffle by date: a hot day would land in one task.  Each input
+        # split writes the days it holds; files are capped in rows.
         (
-            df.withColumn("mes_particao", month)
-            .sortWithinPartitions("mes_particao", main)
+            df.sortWithinPartitions(main, FACT_SORT_COL[name])
             .write.mode(mode)
             .option("maxRecordsPerFile", max_records_per_file)
-            .partitionBy("mes_particao")
+            .partitionBy(main)
             .parquet(f"{root}/{name}")
         )
