@@ -15,9 +15,9 @@ from .views import payables_view
 FIELDS = {"codfornecedor": "codfornecedor", "codtransacao": "codtransacao"}
 
 
-def _rows(t: ErpTables, filters: ReportFilters, as_of, need) -> DataFrame:
+def _rows(t: ErpTables, filters: ReportFilters, as_of, need, prune=None) -> DataFrame:
     need = set(need) | needed_filter_columns(filters, FIELDS)
-    return apply_filters(payables_view(t, as_of, need=need), filters, FIELDS)
+    return apply_filters(payables_view(t, as_of, need=need, prune=prune), filters, FIELDS)
 
 
 def big_numbers_contas_pagar(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
@@ -94,7 +94,7 @@ def tabela_a_pagar(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None
     tc = list(t.tenant_cols)
     p = resolve_period(filters, as_of)
     keys = ["datavencto", "fornecedor", "transacao", "conta"]
-    rows = _rows(t, filters, as_of, set(keys) | {"vlrsaldo"})
+    rows = _rows(t, filters, as_of, set(keys) | {"vlrsaldo"}, prune={"datavencto": [(p.start, p.end)]})
     rows = rows.filter(in_period("datavencto", p))
     agg = sum_by(rows, tc + keys, {"a_pagar": "vlrsaldo"})
     return agg.select(

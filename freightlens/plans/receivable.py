@@ -15,9 +15,9 @@ from .views import receivables_view
 FIELDS = {"codfilial": "codfilial", "codcliente": "codcliente"}
 
 
-def _rows(t: ErpTables, filters: ReportFilters, as_of, need) -> DataFrame:
+def _rows(t: ErpTables, filters: ReportFilters, as_of, need, prune=None) -> DataFrame:
     need = set(need) | needed_filter_columns(filters, FIELDS)
-    return apply_filters(receivables_view(t, as_of, need=need), filters, FIELDS)
+    return apply_filters(receivables_view(t, as_of, need=need, prune=prune), filters, FIELDS)
 
 
 def big_numbers_contas_receber(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
@@ -104,7 +104,7 @@ def tabela_a_receber(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=No
     tc = list(t.tenant_cols)
     p = resolve_period(filters, as_of)
     keys = ["datavencto", "cliente", "cidade", "coduf", "produto", "conta"]
-    rows = _rows(t, filters, as_of, set(keys) | {"vlrsaldo"})
+    rows = _rows(t, filters, as_of, set(keys) | {"vlrsaldo"}, prune={"datavencto": [(p.start, p.end)]})
     rows = rows.filter(in_period("datavencto", p))
     agg = sum_by(rows, tc + keys, {"a_receber": "vlrsaldo"})
     return agg.select(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_count, as_double, city_uf, pct_change, safe_ratio
-from ..functions.calendar import current_month, since_year
+from ..functions.calendar import as_of_date, current_month, since_year
 from ..operators.aggregates import conditional_totals, sum_by, zero_fill_union
 from ..operators.filters import (
     NO_FILTERS,
@@ -60,13 +60,18 @@ _CONFORMED = {
 }
 
 
-def operations(t: ErpTables, as_of, columns: Iterable[str]) -> DataFrame:
+def operations(t: ErpTables, as_of, columns: Iterable[str], ranges: list | None = None) -> DataFrame:
     """One row per receivable (faturamento) and per freight document
-    (volume, embarques), on the conformed keys in ``columns``."""
+    (volume, embarques), on the conformed keys in ``columns``.  ``ranges``
+    are the ``data_operacao`` ranges the caller filters on (pruning hint)."""
     cols = [c for c in _CONFORMED if c in set(columns)]
     tc = list(t.tenant_cols)
-    rec = receivables_view(t, as_of, need={_CONFORMED[c][0] for c in cols} | {"vlrrecbto"})
-    frt = freight_view(t, need={_CONFORMED[c][1] for c in cols} | {"pesofrete_ton", "embarque"})
+    rec = receivables_view(
+        t, as_of, need={_CONFORMED[c][0] for c in cols} | {"vlrrecbto"}, prune=_hint("datarecbto", ranges)
+    )
+    frt = freight_view(
+        t, need={_CONFORMED[c][1] for c in cols} | {"pesofrete_ton", "embarque"}, prune=_hint("dataemissao", ranges)
+    )
     rec_map = {c: F.col(c) for c in tc} | {c: F.col(_CONFORMED[c][0]) for c in cols}
     rec_map["faturamento"] = F.col("vlrrecbto")
     frt_map = {c: F.col(c) for c in tc} | {c: F.col(_CONFORMED[c][1]) for c in cols}
@@ -76,9 +81,23 @@ def operations(t: ErpTables, as_of, columns: Iterable[str]) -> DataFrame:
     return zero_fill_union([(rec, rec_map), (frt, frt_map)], types)
 
 
-def _ops_report(t, as_of, filters, fields, keys, extra_cols=(), period_pred=None) -> DataFrame:
+def _hint(col: str, ranges: list | None) -> dict | None:
+    return {col: ranges} if ranges else None
+
+
+def _month_range(as_of) -> list:
+    first = as_of_date(as_of).replace(day=1)
+    return [(first, first)]
+
+
+def _period_range(filters, as_of) -> list:
+    p = resolve_period(filters, as_of)
+    return [(p.start, p.end)]
+
+
+def _ops_report(t, as_of, filters, fields, keys, extra_cols=(), period_pred=None, ranges=None) -> DataFrame:
     need = set(keys) | set(extra_cols) | needed_filter_columns(filters, fields) | {"data_operacao"}
-    ops = operations(t, as_of, need)
+    ops = operations(t, as_of, need, ranges)
     if period_pred is not None:
         ops = ops.filter(period_pred)
     ops = apply_filters(ops, filters, fields)
@@ -118,8 +137,9 @@ def big_numbers(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -
     frt_need = {_CONFORMED[c][1] for c in fcols if c in _CONFORMED} | {
         "dataemissao", "vlrcusto", "vlrpedagio", "pesofrete_ton", "embarque", "faturado",
     }
-    rec = receivables_view(t, as_of, need=rec_need)
-    frt = freight_view(t, need=frt_need)
+    both = [(cur.start, cur.end), (prev.start, prev.end)]
+    rec = receivables_view(t, as_of, need=rec_need, prune=_hint("datarecbto", both))
+    frt = freight_view(t, need=frt_need, prune=_hint("dataemissao", both))
     keymap_r = {c: F.col(c) for c in tc} | {c: F.col(_CONFORMED[c][0]) for c in fcols}
     keymap_f = {c: F.col(c) for c in tc} | {c: F.col(_CONFORMED[c][1]) for c in fcols}
     rows = zero_fill_union(
@@ -203,6 +223,7 @@ def kpi_mes_ano(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -
     ops = _ops_report(
         t, as_of, filters, OPS_FIELDS_NO_CLIENT, keys,
         period_pred=since_year(F.col("data_operacao"), as_of, 2),
+        ranges=[(dt.date(as_of_date(as_of).year - 2, 1, 1), None)],
     )
     agg = _ops_measures(ops, keys)
     return agg.select(*tc, "ano", "mes_numero", "mes", *_ops_output(agg)).orderBy(*tc, "ano", "mes_numero")
@@ -216,6 +237,7 @@ def kpi_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=N
     ops = _ops_report(
         t, as_of, filters, OPS_FIELDS_NO_CLIENT, keys,
         period_pred=current_month(F.col("data_operacao"), as_of),
+        ranges=_month_range(as_of),
     )
     agg = _ops_measures(ops, keys)
     return agg.select(*tc, "dia", *_ops_output(agg)).orderBy(*tc, "dia")
@@ -229,6 +251,7 @@ def kpi_filial(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) ->
     ops = _ops_report(
         t, as_of, filters, OPS_FIELDS_FULL, keys,
         period_pred=in_period("data_operacao", resolve_period(filters, as_of)),
+        ranges=_period_range(filters, as_of),
     )
     agg = _ops_measures(ops, keys)
     return agg.select(
@@ -243,6 +266,7 @@ def kpi_regiao(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) ->
     ops = _ops_report(
         t, as_of, filters, OPS_FIELDS_FULL, keys,
         period_pred=in_period("data_operacao", resolve_period(filters, as_of)),
+        ranges=_period_range(filters, as_of),
     )
     agg = _ops_measures(ops, keys)
     return agg.select(*tc, "regiao", *_ops_output(agg)).orderBy(*tc, F.desc("faturamento"), "regiao")
@@ -257,6 +281,7 @@ def kpi_cidade(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) ->
     ops = _ops_report(
         t, as_of, filters, OPS_FIELDS_NO_CLIENT, ["codcid"], extra_cols=["cidade", "coduf"],
         period_pred=in_period("data_operacao", resolve_period(filters, as_of)),
+        ranges=_period_range(filters, as_of),
     )
     ops = ops.withColumn("cidade_uf", city_uf(F.col("cidade"), F.col("coduf")))
     keys = tc + ["codcid", "cidade_uf"]
@@ -273,7 +298,7 @@ def kpi_cidade(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) ->
 def _receivable_period_rows(t, filters, as_of, need) -> DataFrame:
     fields = RECEIVABLE_LIST_FIELDS
     need = set(need) | needed_filter_columns(filters, fields) | {"datarecbto"}
-    rec = receivables_view(t, as_of, need=need)
+    rec = receivables_view(t, as_of, need=need, prune=_hint("datarecbto", _period_range(filters, as_of)))
     rec = rec.filter(in_period("datarecbto", resolve_period(filters, as_of)))
     return apply_filters(rec, filters, fields)
 

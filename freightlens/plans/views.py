@@ -6,6 +6,10 @@ serve none of them are not joined at all (Catalyst keeps an unused LEFT join
 under SUM, because a duplicate dimension key would fan out rows).  ``None``
 means every column.
 
+``prune`` carries the caller's date ranges as partition-pruning hints for
+month-partitioned warehouses (``ErpTables.prune``); the caller still applies
+the exact date filter.
+
 Dimension sides go through ``ErpTables.lookup_side`` (checked broadcast).  In
 the multi-tenant layout every join also matches on the tenant column.
 """
@@ -116,12 +120,14 @@ def _city_side(t: ErpTables) -> DataFrame:
     return side
 
 
-def receivables_view(t: ErpTables, as_of: dt.datetime | dt.date | None, need: Iterable[str] | None = None) -> DataFrame:
+def receivables_view(
+    t: ErpTables, as_of: dt.datetime | dt.date | None, need: Iterable[str] | None = None, prune: dict | None = None
+) -> DataFrame:
     """V2: receivables (invoices) with branch, customer, payment city (K1),
     product and account lookups, date parts, day count and status (K2)."""
     need = set(need) if need is not None else None
     tc = t.tenant_cols
-    f = t.table("factrc")
+    f = t.prune("factrc", t.table("factrc"), prune)
     if _uses(need, "filial"):
         f = lookup(f, t.lookup_side("tbfil"), "codfilfatur", "codfil", {"nome": "filial"}, tc)
     if _uses(need, "cliente"):
@@ -158,13 +164,13 @@ def receivables_view(t: ErpTables, as_of: dt.datetime | dt.date | None, need: It
     return f.select(*tc, *[exprs[c].alias(c) if c in exprs else F.col(c) for c in cols])
 
 
-def freight_view(t: ErpTables, need: Iterable[str] | None = None) -> DataFrame:
+def freight_view(t: ErpTables, need: Iterable[str] | None = None, prune: dict | None = None) -> DataFrame:
     """V3: freight documents in status N/F with branch, destination customer
     and destination city lookups, tonnes, NULL-propagating cost (K5), flags."""
     need = set(need) if need is not None else None
     tc = t.tenant_cols
     fact_need = None if need is None else ({"cgccpfdestina"} if _uses(need, "codcliente", "cliente") else set())
-    f = t.table("frctrc", need=fact_need).filter(F.col("situacao").isin("N", "F"))
+    f = t.prune("frctrc", t.table("frctrc", need=fact_need), prune).filter(F.col("situacao").isin("N", "F"))
     if _uses(need, "filial"):
         f = lookup(f, t.lookup_side("tbfil"), "codfilemite", "codfil", {"nome": "filial"}, tc)
     if _uses(need, "cliente"):
@@ -194,12 +200,14 @@ def freight_view(t: ErpTables, need: Iterable[str] | None = None) -> DataFrame:
     return f.select(*tc, *[exprs[c].alias(c) if c in exprs else F.col(c) for c in cols])
 
 
-def payables_view(t: ErpTables, as_of: dt.datetime | dt.date | None, need: Iterable[str] | None = None) -> DataFrame:
+def payables_view(
+    t: ErpTables, as_of: dt.datetime | dt.date | None, need: Iterable[str] | None = None, prune: dict | None = None
+) -> DataFrame:
     """V4: payable titles with supplier, transaction type and account lookups,
     paid amount, date parts and status (K3)."""
     need = set(need) if need is not None else None
     tc = t.tenant_cols
-    f = t.table("cptit")
+    f = t.prune("cptit", t.table("cptit"), prune)
     if _uses(need, "fornecedor"):
         f = lookup(f, t.lookup_side("tbfor"), "cgccpfforne", "cgccpfforne", {"nomefantasia": "fornecedor"}, tc)
     if _uses(need, "transacao"):

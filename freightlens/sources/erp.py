@@ -30,6 +30,10 @@ FACTS = ("factrc", "frctrc", "cptit")
 
 #: Main date of each fact: the partition column of a staged table.
 FACT_MAIN_DATE = {"factrc": "datarecbto", "frctrc": "dataemissao", "cptit": "datavencto"}
+#: Partition column of staged facts: month of the main date as yyyymm.
+PARTITION_COL = "particao_mes"
+#: Unique document key of each fact.
+FACT_KEY = {"factrc": "nrofatura", "frctrc": "nroctrc", "cptit": "nrocontrole"}
 #: Sort column inside each staged file (tightens row-group statistics).
 FACT_SORT_COL = {"factrc": "datavencto", "frctrc": "codfilemite", "cptit": "datamovto"}
 
@@ -42,6 +46,9 @@ class ErpTables:
     loader: Loader
     tenant_cols: tuple[str, ...] = ()
     broadcast_max_rows: int = 2_000_000
+    #: table -> date column whose month (yyyymm INT) is the Parquet partition
+    #: column ``particao_mes`` (staged warehouse); empty for other sources.
+    month_partitions: dict = field(default_factory=dict)
     _bcast: dict = field(default_factory=dict, repr=False)
 
     # ------------------------------------------------------------------ access
@@ -61,6 +68,27 @@ class ErpTables:
             self._bcast[name] = small
         return F.broadcast(df) if small else df
 
+    def prune(self, name: str, df: DataFrame, ranges: dict | None) -> DataFrame:
+        """Partition pruning hint.
+
+        ``ranges`` maps a date column to a list of ``(start, end)`` date
+        ranges (``end`` None = open) that the caller will filter on anyway.
+        When ``name`` is partitioned by that column's month, the same ranges
+        become a predicate on the partition column, so whole month folders
+        are skipped.  Otherwise nothing is added.
+        """
+        col = self.month_partitions.get(name)
+        if not ranges or col is None or col not in ranges:
+            return df
+        pm = F.col(PARTITION_COL)
+        cond = None
+        for start, end in ranges[col]:
+            c = pm >= F.lit(start.year * 100 + start.month)
+            if end is not None:
+                c = c & (pm <= F.lit(end.year * 100 + end.month))
+            cond = c if cond is None else (cond | c)
+        return df.filter(cond)
+
     @property
     def multi_tenant(self) -> bool:
         return bool(self.tenant_cols)
@@ -93,11 +121,13 @@ class ErpTables:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, tenant_cols: tuple[str, ...] = (), **kw) -> "ErpTables":
+        """A warehouse written by :func:`stage` (facts month-partitioned)."""
         root = root.rstrip("/")
 
         def load(name: str, need: frozenset | None) -> DataFrame:
             return spark.read.parquet(f"{root}/{name}")
 
+        kw.setdefault("month_partitions", dict(FACT_MAIN_DATE))
         return cls(spark, load, tenant_cols, **kw)
 
     @classmethod
@@ -123,10 +153,14 @@ class ErpTables:
 def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
     """Write the bundle as a Parquet warehouse.
 
-    Facts are partitioned by their main date itself, so a period filter on
-    that column prunes folders with no extra predicate, and sorted by the
-    secondary date inside each file so row-group statistics prune the rest.
-    Dimensions are written as they are.
+    Facts are partitioned by the month of their main date (``particao_mes``,
+    yyyymm INT); reports pass their periods as pruning hints
+    (:meth:`ErpTables.prune`), so whole months are skipped.  Before writing,
+    facts are range-partitioned on (main date, document key): tasks get
+    balanced ranges, each task writes only the few months its range covers
+    (no tasks x months small files), and a hot month or day is split across
+    several tasks because the key breaks ties.  Inside each file rows are
+    sorted by date, so row-group statistics prune within a month.
     """
     root = root.rstrip("/")
     for name in DIMENSIONS:
@@ -134,12 +168,13 @@ def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per
     for name in FACTS:
         df = tables.table(name)
         main = FACT_MAIN_DATE[name]
-        # No shuffle by date: a hot day would land in one task.  Each input
-        # split writes the days it holds; files are capped in rows.
+        month = (F.year(main) * 100 + F.month(main)).alias(PARTITION_COL)
         (
-            df.sortWithinPartitions(main, FACT_SORT_COL[name])
+            df.select("*", month)
+            .repartitionByRange(main, FACT_KEY[name])
+            .sortWithinPartitions(main, FACT_SORT_COL[name])
             .write.mode(mode)
             .option("maxRecordsPerFile", max_records_per_file)
-            .partitionBy(main)
+            .partitionBy(PARTITION_COL)
             .parquet(f"{root}/{name}")
         )
