@@ -79,3 +79,53 @@ def two_roles(df: DataFrame, keep: Sequence[str], role_a: tuple[Column, Mapping[
     sb = F.struct(*[c.alias(n) for n, c in cols_b.items()])
     arr = F.filter(F.array(F.when(cond_a, sa), F.when(cond_b, sb)), lambda x: x.isNotNull())
     return df.filter(cond_a | cond_b).select(*keep, F.inline(arr))
+
+
+def total(df: DataFrame, col: str, alias: str | None = None) -> DataFrame:
+    """A1: global SUM of one measure (one row; NULL when no rows)."""
+    return df.agg(F.sum(col).alias(alias or col))
+
+
+def totals(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A2: global SUM of several measures in one pass."""
+    return df.agg(*[F.sum(c).alias(c) for c in cols])
+
+
+def two_period_totals(
+    df: DataFrame,
+    date_col: str,
+    cur,
+    prev,
+    measures: Sequence[str],
+    keys: Sequence[str] = (),
+    prior_suffix: str = "_p",
+) -> DataFrame:
+    """A3: the same SUMs for the current and the prior period in one pass.
+
+    ``cur``/``prev`` are periods with ``start``/``end``; a row inside both
+    windows (periods longer than the shift) counts in both.  With ``keys``
+    the totals are per group (e.g. per tenant).
+    """
+    from .filters import in_period
+
+    d = F.col(date_col)
+    in_cur, in_prev = in_period(d, cur), in_period(d, prev)
+    aggs = []
+    for m in measures:
+        aggs.append(F.sum(F.when(in_cur, F.col(m))).alias(m))
+        aggs.append(F.sum(F.when(in_prev, F.col(m))).alias(m + prior_suffix))
+    rows = df.filter(in_cur | in_prev)
+    return rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
+
+
+def mean_of(df: DataFrame, col: str, cond: Column | None = None, alias: str | None = None) -> DataFrame:
+    """AVG ignoring NULLs, optionally over the rows where ``cond`` holds."""
+    c = F.col(col) if cond is None else F.when(cond, F.col(col))
+    return df.agg(F.avg(c).alias(alias or col))
+
+
+def sorted_by(df: DataFrame, *cols) -> DataFrame:
+    """O1-O3: presentation order (calendar keys ascending, measure or due
+    date descending).  A global sort is a range-partitioned shuffle, so it
+    scales; reports apply it last, on the aggregated rows."""
+    return df.orderBy(*cols)

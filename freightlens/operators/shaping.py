@@ -86,3 +86,27 @@ def one_row(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """A global aggregate already yields exactly one row; replace NULLs
     with the given zero values."""
     return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in defaults.items()})
+
+
+def conform(df: DataFrame, mapping: dict) -> DataFrame:
+    """Project onto one conformed schema; ``mapping`` is output name ->
+    input column name or Column."""
+    return df.select(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in mapping.items()])
+
+
+def output_types(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """Delivery types - codes to STRING, sums to DOUBLE (NULL -> 0.0),
+    counts to BIGINT (NULL -> 0); ``schema`` maps column -> 'string' |
+    'double' | 'bigint'.  Other columns pass through."""
+    out = []
+    for c in df.columns:
+        kind = schema.get(c)
+        if kind == "double":
+            out.append(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c))
+        elif kind == "bigint":
+            out.append(F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c))
+        elif kind == "string":
+            out.append(F.col(c).cast("string").alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)

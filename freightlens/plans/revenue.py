@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import as_count, as_double, city_uf, pct_change, safe_ratio
 from ..functions.calendar import as_of_date, current_month, since_year
-from ..operators.aggregates import conditional_totals, sum_by, zero_fill_union
+from ..operators.aggregates import sum_by, two_period_totals, zero_fill_union
 from ..operators.filters import (
     NO_FILTERS,
     ReportFilters,
@@ -160,20 +160,11 @@ def big_numbers(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -
         ],
         types={},
     )
-    d = F.col("data_operacao")
-    rows = rows.filter(in_period(d, cur) | in_period(d, prev))
     rows = apply_filters(rows, filters, fields)
-    in_cur, in_prev = in_period(d, cur), in_period(d, prev)
-    spec = {}
-    for m in ("fat", "custo", "pedagio", "volume", "embarque", "faturado"):
-        spec[m] = (in_cur, m, "sum")
-        spec[m + "_p"] = (in_prev, m, "sum")
+    tot = two_period_totals(
+        rows, "data_operacao", cur, prev, ["fat", "custo", "pedagio", "volume", "embarque", "faturado"], keys=tc
+    )
     keys = tc
-    if keys:
-        fns = {"sum": F.sum}
-        tot = rows.groupBy(*keys).agg(*[fns[fn](F.when(c, F.col(col))).alias(n) for n, (c, col, fn) in spec.items()])
-    else:
-        tot = conditional_totals(rows, spec)
 
     fat, fat_p = as_double(F.col("fat")), as_double(F.col("fat_p"))
     cus, cus_p = as_double(F.col("custo")), as_double(F.col("custo_p"))

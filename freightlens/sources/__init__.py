@@ -1,7 +1,7 @@
 """Sources and sinks: ERP bundle, fixture mapping, JDBC, control tables."""
 
 from .erp import DIMENSIONS, FACTS, ErpTables, stage
-from .jdbc import firebird_url, jdbc_options, postgres_url, read_table, tenant_source, tenant_sources
+from .jdbc import firebird_url, jdbc_options, postgres_url, read_control, read_table, tenant_source, tenant_sources
 
 __all__ = [
     "DIMENSIONS",
@@ -11,6 +11,7 @@ __all__ = [
     "firebird_url",
     "jdbc_options",
     "postgres_url",
+    "read_control",
     "read_table",
     "tenant_source",
     "tenant_sources",

@@ -76,3 +76,9 @@ def tenant_sources(companies: DataFrame, active_only: bool = True) -> DataFrame:
     if active_only:
         df = df.filter(F.col("ativa") == "S")
     return df.select("codempresa", "ipbd", "portabd", "caminhobd")
+
+
+def read_control(spark: SparkSession, name: str, source: dict) -> DataFrame:
+    """Control tables (companies, users, audit) - same readers as S1,
+    pointed at the control database or its Parquet export."""
+    return read_table(spark, name, source)
