@@ -87,8 +87,13 @@ def _kpi_cidade_last_wins(spark, sf_dir) -> DataFrame:
     return collapse_last_wins(df, "codcid", "faturamento", "cidade")
 
 
-def _kpi_filial_all_tenants(spark, sf_dir) -> DataFrame:
-    return plans.kpi_filial(tables(spark, sf_dir, multi_tenant=True), NO_FILTERS, AS_OF)
+def _all_tenants(name: str) -> Query:
+    fn = plans.REPORTS[name]
+    return lambda spark, sf_dir: fn(tables(spark, sf_dir, multi_tenant=True), NO_FILTERS, AS_OF)
+
+
+#: Reports registered in the multi-tenant layout.
+TENANT_REPORTS = ("kpi_filial", "big_numbers", "a_pagar_fornecedor")
 
 
 def report_queries() -> dict[str, Query]:
@@ -107,7 +112,8 @@ def report_queries() -> dict[str, Query]:
     for name in FORWARD_REPORTS:
         q[f"{name}_forward"] = _report(name, FORWARD)
     q["kpi_cidade_last_wins"] = _kpi_cidade_last_wins
-    q["kpi_filial_all_tenants"] = _kpi_filial_all_tenants
+    for name in TENANT_REPORTS:
+        q[f"{name}_all_tenants"] = _all_tenants(name)
     return q
 
 
@@ -125,12 +131,15 @@ def report_sql() -> dict[str, str]:
         s[f"{name}_forward"] = osql.full_sql(osql.REPORT_SQL[name](FORWARD, AS_OF), AS_OF)
     s["kpi_cidade_last_wins"] = osql.full_sql(osql.kpi_cidade_last_wins(NO_FILTERS, AS_OF), AS_OF)
     s["kpi_filial_all_tenants"] = osql.full_sql(osql.kpi_filial(NO_FILTERS, AS_OF, tenant=True), AS_OF, multi_tenant=True)
+    for name, fn in osql.TENANT_SQL.items():
+        s[name] = osql.full_sql(fn(NO_FILTERS, AS_OF), AS_OF, multi_tenant=True)
     return s
 
 
 def control_queries() -> dict[str, Query]:
     q: dict[str, Query] = dict(registry_jobs.QUERIES)
     q["audit_normalised"] = lambda s, d: audit.accepted(fx.audit_events(s, d)).select(*audit.AUDIT_COLS)
+    q["audit_rejected"] = lambda s, d: audit.rejected(fx.audit_events(s, d)).select(*audit.AUDIT_COLS)
     q["audit_stream_append"] = lambda s, d: audit_stream.run_audit_stream_once(s, d)
     return q
 

@@ -759,7 +759,7 @@ SELECT codempresa, nomeempresa, cnpjcpf, tipobdempresa, portabd, ipbd,
 _WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F ]"
 
 
-def audit_normalised() -> str:
+def audit_normalised(rejected: bool = False) -> str:
     body = f"regexp_replace(replace(body_response, '{_BS}n', ''), '^{_WS}+|{_WS}+$', '', 'g')"
     return f"""
 WITH ev AS (
@@ -778,7 +778,8 @@ SELECT id, ts, usuario, codempresa, metodo, endpoint, params,
        {body} AS body_response, json_valid({body}) AS body_response_json,
        status_code, ip_address, user_agent
 FROM ev
-WHERE metodo IS NOT NULL AND endpoint IS NOT NULL AND status_code IS NOT NULL AND user_agent IS NOT NULL"""
+WHERE {"NOT " if rejected else ""}(metodo IS NOT NULL AND endpoint IS NOT NULL AND status_code IS NOT NULL
+       AND user_agent IS NOT NULL)"""
 
 
 CONTROL_SQL = {
@@ -794,4 +795,72 @@ CONTROL_SQL = {
     "companies_public": companies_public,
     "audit_normalised": audit_normalised,
     "audit_stream_append": audit_normalised,
+    "audit_rejected": lambda: audit_normalised(rejected=True),
+}
+
+
+# ------------------------------------------------------------ all tenants
+def big_numbers_all_tenants(f: ReportFilters, as_of: dt.datetime) -> str:
+    """Q1 per tenant: the four statements grouped by tenant, outer-combined
+    over every tenant that has rows in either period."""
+    a, b = _period(f, as_of)
+    pa, pb = _prior(f, as_of)
+
+    def rec(x, y):
+        return (f"SELECT codempresa, CAST(SUM(vlrrecbto) AS DOUBLE) AS fat FROM vwfactrc_bi "
+                f"WHERE datarecbto >= {x} AND datarecbto <= {y} GROUP BY codempresa")
+
+    def frt(x, y):
+        return (f"SELECT codempresa, CAST(SUM(vlrcusto) AS DOUBLE) AS cus, CAST(SUM(vlrpedagio) AS DOUBLE) AS ped, "
+                f"CAST(SUM(pesofrete_ton) AS DOUBLE) AS vol, CAST(SUM(embarque) AS BIGINT) AS emb, "
+                f"CAST(SUM(faturado) AS BIGINT) AS ftd FROM vwfrctrc_bi "
+                f"WHERE dataemissao >= {x} AND dataemissao <= {y} GROUP BY codempresa")
+
+    pct = lambda c, p: f"CASE WHEN {p} <> 0 THEN ((CAST({c} AS DOUBLE) / CAST({p} AS DOUBLE)) - 1) * 100 ELSE 0.0 END"
+    return f""",
+r AS ({rec(a, b)}), rp AS ({rec(pa, pb)}), q AS ({frt(a, b)}), qp AS ({frt(pa, pb)}),
+ten AS (SELECT codempresa FROM r UNION SELECT codempresa FROM rp UNION SELECT codempresa FROM q
+        UNION SELECT codempresa FROM qp),
+v AS (
+  SELECT ten.codempresa, COALESCE(r.fat, 0.0) AS fat, COALESCE(rp.fat, 0.0) AS fat_p,
+         COALESCE(q.cus, 0.0) AS cus, COALESCE(qp.cus, 0.0) AS cus_p,
+         COALESCE(q.ped, 0.0) AS ped, COALESCE(qp.ped, 0.0) AS ped_p,
+         COALESCE(q.vol, 0.0) AS vol, COALESCE(qp.vol, 0.0) AS vol_p,
+         COALESCE(q.emb, 0) AS emb, COALESCE(qp.emb, 0) AS emb_p,
+         COALESCE(q.ftd, 0) AS ftd, COALESCE(qp.ftd, 0) AS ftd_p
+  FROM ten LEFT JOIN r ON r.codempresa = ten.codempresa LEFT JOIN rp ON rp.codempresa = ten.codempresa
+  LEFT JOIN q ON q.codempresa = ten.codempresa LEFT JOIN qp ON qp.codempresa = ten.codempresa)
+SELECT codempresa, fat AS faturamento, {pct('fat', 'fat_p')} AS faturamento_ano_anterior,
+       vol AS volumes, {pct('vol', 'vol_p')} AS volumes_ano_anterior,
+       emb AS embarques, {pct('emb', 'emb_p')} AS embarques_ano_anterior,
+       CASE WHEN ftd <> 0 THEN fat / CAST(ftd AS DOUBLE) ELSE 0.0 END AS ticket_medio,
+       CASE WHEN ftd <> 0 AND ftd_p <> 0 AND fat_p <> 0
+            THEN (((fat / CAST(ftd AS DOUBLE)) / (fat_p / CAST(ftd_p AS DOUBLE))) - 1) * 100 ELSE 0.0 END
+         AS ticket_medio_ano_anterior,
+       cus AS custos, {pct('cus', 'cus_p')} AS custos_ano_anterior,
+       ped AS pedagios, {pct('ped', 'ped_p')} AS pedagios_ano_anterior,
+       CASE WHEN fat <> 0 THEN ((fat - cus) / fat) * 100 ELSE 0.0 END AS margem,
+       CASE WHEN fat <> 0 AND fat_p <> 0 AND (fat_p - cus_p) / fat_p <> 0
+            THEN ((((fat - cus) / fat) / ((fat_p - cus_p) / fat_p)) - 1) * 100 ELSE 0.0 END
+         AS margem_ano_anterior
+FROM v"""
+
+
+def a_pagar_fornecedor_all_tenants(f: ReportFilters, as_of: dt.datetime) -> str:
+    a, b = _period(f, as_of)
+    w = where_filters(f, _PAY)
+    return f"""
+SELECT codempresa, CAST(codfornecedor AS VARCHAR) AS codfornecedor, fornecedor,
+       {_dbl('SUM(vlrsaldo)')} AS a_pagar FROM (
+  SELECT codempresa, fornecedor, vlrsaldo, codfornecedor FROM vwcptit_bi
+  WHERE condicao_fatura = 'A Pagar' AND datavencto >= {a} AND datavencto <= {b}{w}
+  UNION ALL
+  SELECT codempresa, fornecedor, vlrsaldo, codfornecedor FROM vwcptit_bi
+  WHERE condicao_fatura = 'Em Atraso'{w}
+) dados GROUP BY codempresa, codfornecedor, fornecedor"""
+
+
+TENANT_SQL = {
+    "big_numbers_all_tenants": big_numbers_all_tenants,
+    "a_pagar_fornecedor_all_tenants": a_pagar_fornecedor_all_tenants,
 }
