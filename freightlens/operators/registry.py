@@ -67,7 +67,13 @@ def insert_outcomes(
        ``inserted``; later ones -> ``duplicate_in_batch``.
     """
     b = batch.withColumn("__valid", validate if validate is not None else F.lit(True))
-    present = existing.select(F.col(key)).dropDuplicates([key]).withColumn("__present", F.lit(True))
+    # Registry keys that the batch mentions: a semi join with the batch keys on
+    # the build side, so a small batch never shuffles the whole registry.
+    batch_keys = batch.select(key).dropDuplicates([key])
+    present = (
+        existing.select(key).join(batch_keys, on=key, how="left_semi")
+        .dropDuplicates([key]).withColumn("__present", F.lit(True))
+    )
     b = b.join(present, on=key, how="left")
     cand = b.filter(F.col("__valid") & F.col("__present").isNull())
     firsts = cand.groupBy(key).agg(F.min(order_col).alias("__first"))

@@ -8,10 +8,10 @@
 * ``from_jdbc``     - the tenant's database via Spark's JDBC reader.
 
 Dimension lookups go through :meth:`ErpTables.lookup_side`, which broadcasts a
-dimension only after checking it has at most ``broadcast_max_rows`` rows
-(``limit(n + 1).count()``, bounded work).  Larger dimensions are left to the
-planner: sort-merge join, or AQE's runtime broadcast when it measures them
-small.
+dimension only after checking its size: at most ``broadcast_max_bytes`` /
+(estimated row width) rows, counted with ``limit(n + 1).count()`` (bounded
+work).  Larger dimensions are left to the planner: sort-merge join (AQE splits
+skewed partitions), or AQE's runtime broadcast when it measures them small.
 """
 
 from __future__ import annotations
@@ -39,13 +39,26 @@ FACT_SORT_COL = {"factrc": "datavencto", "frctrc": "codfilemite", "cptit": "data
 
 Loader = Callable[[str, frozenset | None], DataFrame]
 
+#: Bytes per value by type name for the broadcast size estimate (strings are
+#: counted generously: codes and names in these dimensions are short).
+_TYPE_BYTES = {"string": 32, "decimal": 16, "long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def estimated_row_bytes(df: DataFrame) -> int:
+    """Rough in-memory width of a row: per-column sizes plus row overhead."""
+    total = 16
+    for f in df.schema.fields:
+        total += 8 + _TYPE_BYTES.get(f.dataType.typeName(), 4)
+    return total
+
 
 @dataclass
 class ErpTables:
     spark: SparkSession
     loader: Loader
     tenant_cols: tuple[str, ...] = ()
-    broadcast_max_rows: int = 2_000_000
+    broadcast_max_bytes: int = 64 * 1024 * 1024
+    broadcast_max_rows: int | None = None
     #: table -> date column whose month (yyyymm INT) is the Parquet partition
     #: column ``particao_mes`` (staged warehouse); empty for other sources.
     month_partitions: dict = field(default_factory=dict)
@@ -63,11 +76,17 @@ class ErpTables:
         df = self.table(name)
         small = self._bcast.get(name)
         if small is None:
-            n = df.limit(self.broadcast_max_rows + 1).count()
-            small = n <= self.broadcast_max_rows
+            limit = self.broadcast_row_limit(df)
+            small = df.limit(limit + 1).count() <= limit
             self._bcast[name] = small
         return F.broadcast(df) if small else df
 
+    def broadcast_row_limit(self, df: DataFrame) -> int:
+        """Rows that fit the broadcast byte budget (explicit row cap wins)."""
+        if self.broadcast_max_rows is not None:
+            return self.broadcast_max_rows
+        return max(1, self.broadcast_max_bytes // estimated_row_bytes(df))
+
     def prune(self, name: str, df: DataFrame, ranges: dict | None) -> DataFrame:
         """Partition pruning hint.
 

@@ -159,7 +159,7 @@ def test_staged_warehouse_prunes_by_date(spark, t):
 
 
 def test_small_dimensions_are_broadcast_after_a_size_check(spark):
-    tb = ErpTables.from_fixture(spark, SF, broadcast_max_rows=10)
+    tb = ErpTables.from_fixture(spark, SF, broadcast_max_bytes=1000)
     plans.receivables_view(tb, AS_OF, need={"filial", "cliente"}).count()
     assert tb._bcast == {"tbfil": False, "tbcli": False}
     tb2 = ErpTables.from_fixture(spark, SF)
