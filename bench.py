@@ -22,7 +22,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-import tempfile  # noqa: E402
+import uuid  # noqa: E402
 
 from freightlens import catalog, plans  # noqa: E402
 from freightlens.catalog import AS_OF, FILTERED  # noqa: E402
@@ -91,7 +91,8 @@ def main() -> None:
     }
 
     if os.environ.get("BENCH_STAGED", "1") != "0":
-        root = tempfile.mkdtemp(prefix="bench-warehouse-", dir=ensure_checkpoint_dir(spark))
+        # a fresh folder under the shared checkpoint location (a URI on a cluster)
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-warehouse-{uuid.uuid4().hex}"
         t0 = time.perf_counter()
         stage(ErpTables.from_fixture(spark, sf_dir), root)
         out["stage_sec"] = round(time.perf_counter() - t0, 3)

@@ -116,7 +116,10 @@ def city_view_of(t: ErpTables) -> DataFrame:
 
 
 def _city_side(t: ErpTables) -> DataFrame:
-    side = city_view(t.lookup_side("tbcid"), t.tenant_cols)
+    side = t._sides.get("vwtbcid")
+    if side is None:
+        side = city_view(t.lookup_side("tbcid"), t.tenant_cols)
+        t._sides["vwtbcid"] = side
     return side
 
 

@@ -63,6 +63,7 @@ class ErpTables:
     #: column ``particao_mes`` (staged warehouse); empty for other sources.
     month_partitions: dict = field(default_factory=dict)
     _bcast: dict = field(default_factory=dict, repr=False)
+    _sides: dict = field(default_factory=dict, repr=False)
 
     # ------------------------------------------------------------------ access
     def table(self, name: str, need: Iterable[str] | None = None) -> DataFrame:
@@ -72,14 +73,21 @@ class ErpTables:
 
     def lookup_side(self, name: str) -> DataFrame:
         """Dimension ready for a fact->dim join: broadcast-hinted only when its
-        row count is checked to be within ``broadcast_max_rows``."""
+        size is checked to fit the broadcast budget.  The same DataFrame is
+        returned on every call, so lookups of one dimension in several union
+        arms share one plan subtree and Spark reuses its broadcast."""
+        side = self._sides.get(name)
+        if side is not None:
+            return side
         df = self.table(name)
         small = self._bcast.get(name)
         if small is None:
             limit = self.broadcast_row_limit(df)
             small = df.limit(limit + 1).count() <= limit
             self._bcast[name] = small
-        return F.broadcast(df) if small else df
+        side = F.broadcast(df) if small else df
+        self._sides[name] = side
+        return side
 
     def broadcast_row_limit(self, df: DataFrame) -> int:
         """Rows that fit the broadcast byte budget (explicit row cap wins)."""

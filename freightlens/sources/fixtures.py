@@ -275,7 +275,7 @@ def add_fixture_tenant(name: str, df: DataFrame) -> DataFrame:
     if name in FACT_BUILDERS:
         src = TENANT_SOURCE[name]
         if src is None:
-            tenant = (F.substring("cgccpfforne", 1, 14).cast("bigint") % 3).cast("int")
+            tenant = (F.col("cgccpfforne").cast("bigint") % 3).cast("int")
         else:
             tenant = (F.col(src) % 3).cast("int")
         return df.withColumn("codempresa", tenant)
