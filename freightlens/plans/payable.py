@@ -55,6 +55,8 @@ def contas_pagar_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS
     and open balances on their due day; one scan."""
     tc = list(t.tenant_cols)
     rows = _rows(t, filters, as_of, {"datamovto", "datavencto", "dia_movto", "dia_vencto", "vlrpago", "vlrsaldo", "condicao_fatura"})
+    # Implied by the two roles but free of the computed status (pushable).
+    rows = rows.filter(current_month("datamovto", as_of) | current_month("datavencto", as_of))
     zero = F.lit(0).cast("decimal(16,2)")
     roles = two_roles(
         rows,
