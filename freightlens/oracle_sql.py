@@ -1,10 +1,11 @@
 """Independent DuckDB SQL for every registered query (the correctness oracle).
 
-Written the way the reference's own SQL reads: the test-table mapping and
-the four views as CTEs, then each report as its statement(s), with UNION ALL
-arms and one statement per KPI.  The Spark side computes the same results with
-a different plan (single scans, conditional aggregates), so agreement is a
-real check.  Output columns are aliased and cast to the Spark output types.
+Plain SQL over the driver's tables: the fixture mapping (FIXTURES.md) and
+the semantic views as CTEs, then one statement per report.  Multi-KPI reports
+are separate aggregates combined at the end, and two-role reports are UNION
+ALLs, while the Spark side uses single scans with conditional aggregates, so
+agreement is a real check.  Output columns are aliased and cast to the Spark
+output types.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ def _d2(x: str) -> str:
 def prelude(as_of: dt.datetime, multi_tenant: bool = False) -> str:
     """CTEs: fixture tables and the views, with ``as_of`` as CURRENT_TIMESTAMP."""
     now = f"TIMESTAMP '{as_of:%Y-%m-%d %H:%M:%S}'"
-    month_case = lambda d: (
-        f"CASE month({d}) WHEN 1 THEN 'Janeiro' WHEN 2 THEN 'Fevereiro' WHEN 3 THEN 'Março' "
-        f"WHEN 4 THEN 'Abril' WHEN 5 THEN 'Maio' WHEN 6 THEN 'Junho' WHEN 7 THEN 'Julho' "
-        f"WHEN 8 THEN 'Agosto' WHEN 9 THEN 'Setembro' WHEN 10 THEN 'Outubro' "
-        f"WHEN 11 THEN 'Novembro' WHEN 12 THEN 'Dezembro' END"
-    )
+    # Portuguese month names, January to December.
+    names = ("['Janeiro', 'Fevereiro', 'Março', 'Abril', 'Maio', 'Junho', 'Julho', 'Agosto', "
+             "'Setembro', 'Outubro', 'Novembro', 'Dezembro']")
+
+    def month_name(d: str) -> str:
+        return f"{names}[month({d})]"
+
     i = lambda e: f"CAST({e} AS INTEGER)"
     # multi-tenant: dims repeated for tenants 0,1,2; facts carry branch % 3
     tdim = ", t.codempresa" if multi_tenant else ""
@@ -45,8 +47,9 @@ def prelude(as_of: dt.datetime, multi_tenant: bool = False) -> str:
     tf_rec = ", CAST((o_orderkey % 25) % 3 AS INTEGER) AS codempresa" if multi_tenant else ""
     tf_frt = ", CAST((l_suppkey % 25) % 3 AS INTEGER) AS codempresa" if multi_tenant else ""
     tf_pay = ", CAST(l_suppkey % 3 AS INTEGER) AS codempresa" if multi_tenant else ""
-    sel_t = "f.codempresa, " if multi_tenant else ""
-    sel_tc = "c.codempresa, " if multi_tenant else ""
+    sel_r = "inv.codempresa, " if multi_tenant else ""
+    sel_d = "doc.codempresa, " if multi_tenant else ""
+    sel_p = "tit.codempresa, " if multi_tenant else ""
     return f"""
 WITH
 tbfil AS (SELECT CAST(n_nationkey AS INTEGER) AS codfil, n_name AS nome{tdim} FROM nation{tjoin}),
@@ -118,66 +121,66 @@ vwtbcid_bi AS (
               ELSE 'Outros' END AS regiao
   FROM tbcid),
 vwfactrc_bi AS (
-  SELECT {sel_t}f.nrofatura, f.anofatura, c.nomefantasia AS cliente, f.cgccpffatura AS codcliente,
-         t.nome AS filial, f.codfilfatur AS codfilial, f.codciddes AS codcid,
-         cid.cidade, cid.coduf, cid.regiao, f.codpro, p.nome AS produto,
-         f.datavencto, f.datarecbto,
-         {month_case('f.datarecbto')} AS mes_recbto,
-         {i('month(f.datarecbto)')} AS mes_numero,
-         {i('year(f.datarecbto)')} AS ano_recbto,
-         {i('day(f.datarecbto)')} AS dia_recbto,
-         {i('day(f.datavencto)')} AS dia_vencto,
-         {i('month(f.datavencto)')} AS mes_numero_vencto,
-         {i('year(f.datavencto)')} AS ano_vencto,
-         {i('f.datarecbto - f.dataemissao')} AS dias_recebimento,
-         f.vlrrecbto, f.vlrsaldo,
-         CASE WHEN CAST(f.datavencto AS TIMESTAMP) < {now} AND f.vlrsaldo > 0 THEN 'Em Atraso'
-              WHEN f.vlrsaldo = 0 THEN 'Recebida'
+  SELECT {sel_r}inv.nrofatura, inv.anofatura, cust.nomefantasia AS cliente, inv.cgccpffatura AS codcliente,
+         br.nome AS filial, inv.codfilfatur AS codfilial, inv.codciddes AS codcid,
+         pay.cidade, pay.coduf, pay.regiao, inv.codpro, prod.nome AS produto,
+         inv.datavencto, inv.datarecbto,
+         {month_name('inv.datarecbto')} AS mes_recbto,
+         {i('month(inv.datarecbto)')} AS mes_numero,
+         {i('year(inv.datarecbto)')} AS ano_recbto,
+         {i('day(inv.datarecbto)')} AS dia_recbto,
+         {i('day(inv.datavencto)')} AS dia_vencto,
+         {i('month(inv.datavencto)')} AS mes_numero_vencto,
+         {i('year(inv.datavencto)')} AS ano_vencto,
+         {i('date_diff(\'day\', inv.dataemissao, inv.datarecbto)')} AS dias_recebimento,
+         inv.vlrrecbto, inv.vlrsaldo,
+         CASE WHEN inv.vlrsaldo > 0 AND {now} > CAST(inv.datavencto AS TIMESTAMP) THEN 'Em Atraso'
+              WHEN inv.vlrsaldo = 0 THEN 'Recebida'
               ELSE 'A Receber' END AS condicao_fatura,
-         f.contareduz, cta.nomeconta AS conta
-  FROM factrc f
-  LEFT JOIN tbfil t ON t.codfil = f.codfilfatur{on('t', 'f')}
-  LEFT JOIN tbcli c ON c.cgccpfcli = f.cgccpffatura{on('c', 'f')}
-  LEFT JOIN vwtbcid_bi cid ON cid.codcid = f.codcidpagto{on('cid', 'f')}
-  LEFT JOIN tbpro p ON p.codpro = f.codpro{on('p', 'f')}
-  LEFT JOIN tbcta cta ON cta.contareduz = f.contareduz{on('cta', 'f')}),
+         inv.contareduz, acc.nomeconta AS conta
+  FROM factrc inv
+  LEFT JOIN tbcta acc ON inv.contareduz = acc.contareduz{on('acc', 'inv')}
+  LEFT JOIN tbpro prod ON inv.codpro = prod.codpro{on('prod', 'inv')}
+  LEFT JOIN vwtbcid_bi pay ON inv.codcidpagto = pay.codcid{on('pay', 'inv')}
+  LEFT JOIN tbcli cust ON inv.cgccpffatura = cust.cgccpfcli{on('cust', 'inv')}
+  LEFT JOIN tbfil br ON inv.codfilfatur = br.codfil{on('br', 'inv')}),
 vwfrctrc_bi AS (
-  SELECT {sel_t}f.nroctrc, f.ufctrc, f.dataemissao,
-         {month_case('f.dataemissao')} AS mes_emissao,
-         {i('year(f.dataemissao)')} AS ano_emissao,
-         {i('month(f.dataemissao)')} AS mes_numero,
-         {i('day(f.dataemissao)')} AS dia_emissao,
-         f.situacao, f.indctetpcte, t.nome AS filial, f.codfilemite AS codfilial,
-         c.nomefantasia AS cliente, f.cgccpfdestina AS codcliente, f.codciddes AS codcid,
-         cid.regiao, cid.cidade, cid.coduf, f.codpro,
-         f.totalpeso * 0.001 AS pesofrete_ton,
-         f.vlrpedagio,
-         f.vlrcarreto + f.vlrseguromerca + f.vlrpis + f.vlriapas + f.vlricmsst + f.vlricms AS vlrcusto,
-         CASE WHEN f.indctetpcte = 0 THEN 1 ELSE 0 END AS embarque,
-         CASE WHEN f.situacao = 'F' THEN 1 ELSE 0 END AS faturado
-  FROM frctrc f
-  LEFT JOIN tbfil t ON t.codfil = f.codfilemite{on('t', 'f')}
-  LEFT JOIN tbcli c ON f.cgccpfdestina = c.cgccpfcli{on('c', 'f')}
-  LEFT JOIN vwtbcid_bi cid ON cid.codcid = f.codciddes{on('cid', 'f')}
-  WHERE f.situacao IN ('N', 'F')),
+  SELECT {sel_d}doc.nroctrc, doc.ufctrc, doc.dataemissao,
+         {month_name('doc.dataemissao')} AS mes_emissao,
+         {i('year(doc.dataemissao)')} AS ano_emissao,
+         {i('month(doc.dataemissao)')} AS mes_numero,
+         {i('day(doc.dataemissao)')} AS dia_emissao,
+         doc.situacao, doc.indctetpcte, br.nome AS filial, doc.codfilemite AS codfilial,
+         cust.nomefantasia AS cliente, doc.cgccpfdestina AS codcliente, doc.codciddes AS codcid,
+         dest.regiao, dest.cidade, dest.coduf, doc.codpro,
+         doc.totalpeso * 0.001 AS pesofrete_ton,
+         doc.vlrpedagio,
+         doc.vlricms + doc.vlricmsst + doc.vlriapas + doc.vlrpis + doc.vlrseguromerca + doc.vlrcarreto AS vlrcusto,
+         CAST(COALESCE(doc.indctetpcte = 0, false) AS INTEGER) AS embarque,
+         CAST(COALESCE(doc.situacao = 'F', false) AS INTEGER) AS faturado
+  FROM frctrc doc
+  LEFT JOIN vwtbcid_bi dest ON doc.codciddes = dest.codcid{on('dest', 'doc')}
+  LEFT JOIN tbcli cust ON doc.cgccpfdestina = cust.cgccpfcli{on('cust', 'doc')}
+  LEFT JOIN tbfil br ON doc.codfilemite = br.codfil{on('br', 'doc')}
+  WHERE doc.situacao = 'N' OR doc.situacao = 'F'),
 vwcptit_bi AS (
-  SELECT {sel_tc}c.nrocontrole, c.anocontrole, c.cgccpfforne AS codfornecedor, f.nomefantasia AS fornecedor,
-         c.codtransacao, h.descricao AS transacao,
-         c.vlrtotal - c.vlrsaldo AS vlrpago, c.vlrsaldo, c.datamovto, c.datavencto,
-         {i('day(c.datamovto)')} AS dia_movto,
-         {i('month(c.datamovto)')} AS mes_numero_movto,
-         {i('year(c.datamovto)')} AS ano_movto,
-         {i('day(c.datavencto)')} AS dia_vencto,
-         {i('month(c.datavencto)')} AS mes_numero_vencto,
-         {i('year(c.datavencto)')} AS ano_vencto,
-         CASE WHEN c.vlrsaldo = 0 THEN 'Pago'
-              WHEN c.vlrsaldo > 0 AND {now} <= CAST(c.datavencto AS TIMESTAMP) THEN 'A Pagar'
+  SELECT {sel_p}tit.nrocontrole, tit.anocontrole, tit.cgccpfforne AS codfornecedor, sup.nomefantasia AS fornecedor,
+         tit.codtransacao, kind.descricao AS transacao,
+         tit.vlrtotal - tit.vlrsaldo AS vlrpago, tit.vlrsaldo, tit.datamovto, tit.datavencto,
+         {i('day(tit.datamovto)')} AS dia_movto,
+         {i('month(tit.datamovto)')} AS mes_numero_movto,
+         {i('year(tit.datamovto)')} AS ano_movto,
+         {i('day(tit.datavencto)')} AS dia_vencto,
+         {i('month(tit.datavencto)')} AS mes_numero_vencto,
+         {i('year(tit.datavencto)')} AS ano_vencto,
+         CASE WHEN tit.vlrsaldo = 0 THEN 'Pago'
+              WHEN tit.vlrsaldo > 0 AND CAST(tit.datavencto AS TIMESTAMP) >= {now} THEN 'A Pagar'
               ELSE 'Em Atraso' END AS condicao_fatura,
-         c.contareduz, cta.nomeconta AS conta
-  FROM cptit c
-  LEFT JOIN tbfor f ON f.cgccpfforne = c.cgccpfforne{on('f', 'c')}
-  LEFT JOIN tbhis h ON h.codtransacao = c.codtransacao{on('h', 'c')}
-  LEFT JOIN tbcta cta ON cta.contareduz = c.contareduz{on('cta', 'c')})
+         tit.contareduz, acc.nomeconta AS conta
+  FROM cptit tit
+  LEFT JOIN tbcta acc ON tit.contareduz = acc.contareduz{on('acc', 'tit')}
+  LEFT JOIN tbhis kind ON tit.codtransacao = kind.codtransacao{on('kind', 'tit')}
+  LEFT JOIN tbfor sup ON tit.cgccpfforne = sup.cgccpfforne{on('sup', 'tit')})
 """
 
 
@@ -294,98 +297,84 @@ SELECT fat AS faturamento, {pct('fat', 'fat_p')} AS faturamento_ano_anterior,
 FROM v"""
 
 
-def _ops_union(arms_cols: str, rec_where: str, frt_where: str, rec_cols: str, frt_cols: str) -> str:
-    return f"""(SELECT {rec_cols}, 0 AS volume, 0 AS embarques, vlrrecbto AS faturamento FROM vwfactrc_bi{rec_where}
+def _ops_cte(tenant: bool = False) -> str:
+    """Conformed operations: one row per invoice (revenue) and per freight
+    document (tonnes, shipments)."""
+    t = "codempresa, " if tenant else ""
+    return f""",
+ops AS (
+  SELECT {t}codfilial, filial, codcliente, codcid, cidade, coduf, regiao, codpro,
+         datarecbto AS d_op, dia_recbto AS d_dia, mes_numero AS d_mes, mes_recbto AS d_mes_nome,
+         ano_recbto AS d_ano, CAST(0 AS DECIMAL(18, 6)) AS vol, 0 AS emb, vlrrecbto AS fat
+  FROM vwfactrc_bi
   UNION ALL
-  SELECT {frt_cols}, pesofrete_ton AS volume, embarque AS embarques, 0 AS faturamento FROM vwfrctrc_bi{frt_where}) dados"""
+  SELECT {t}codfilial, filial, codcliente, codcid, cidade, coduf, regiao, codpro,
+         dataemissao, dia_emissao, mes_numero, mes_emissao, ano_emissao, pesofrete_ton, embarque,
+         CAST(0 AS DECIMAL(15, 2))
+  FROM vwfrctrc_bi)"""
 
 
 def _ops_measures() -> str:
-    return (f"{_dbl('SUM(volume)')} AS volume, {_cnt('SUM(embarques)')} AS embarques, "
-            f"{_dbl('SUM(faturamento)')} AS faturamento")
+    return (f"{_dbl('SUM(vol)')} AS volume, {_cnt('SUM(emb)')} AS embarques, "
+            f"{_dbl('SUM(fat)')} AS faturamento")
 
 
-def kpi_mes_ano(f: ReportFilters, as_of: dt.datetime, tenant: bool = False) -> str:
-    y = as_of.year - 2
-    outer = where_filters(f, {"codfilial": "codfilial", "codcid": "codcid", "regiao": "regiao",
-                              "ano": "ano", "mes": "mes_numero", "dia": "dia"})
-    rc = "ano_recbto AS ano, mes_recbto AS mes, mes_numero, dia_recbto AS dia, codfilial, codcid, regiao"
-    fc = "ano_emissao AS ano, mes_emissao AS mes, mes_numero, dia_emissao AS dia, codfilial, codcid, regiao"
-    u = _ops_union("", f" WHERE ano_recbto >= {y}", f" WHERE ano_emissao >= {y}", rc, fc)
-    return f"""
-SELECT ano, mes_numero, mes, {_ops_measures()} FROM {u}
-WHERE 1=1{outer} GROUP BY ano, mes, mes_numero"""
+_OPS_FULL = {"codfilial": "codfilial", "codcliente": "codcliente", "codcid": "codcid", "regiao": "regiao",
+             "codpro": "codpro", "ano": "d_ano", "mes": "d_mes", "dia": "d_dia"}
+_OPS_NOCLI = {"codfilial": "codfilial", "codcid": "codcid", "regiao": "regiao",
+              "ano": "d_ano", "mes": "d_mes", "dia": "d_dia"}
 
 
-def kpi_dia_mes_atual(f: ReportFilters, as_of: dt.datetime) -> str:
-    outer = where_filters(f, {"codfilial": "codfilial", "codcid": "codcid", "regiao": "regiao",
-                              "ano": "ano", "mes": "mes_numero", "dia": "dia"})
-    rc = "dia_recbto AS dia, codfilial, codcid, regiao, mes_numero, ano_recbto AS ano"
-    fc = "dia_emissao AS dia, codfilial, codcid, regiao, mes_numero, ano_emissao AS ano"
-    u = _ops_union(
-        "",
-        f" WHERE ano_recbto = {as_of.year} AND mes_numero = {as_of.month}",
-        f" WHERE ano_emissao = {as_of.year} AND mes_numero = {as_of.month}",
-        rc, fc,
-    )
-    return f"""
-SELECT dia, {_ops_measures()} FROM {u} WHERE 1=1{outer} GROUP BY dia"""
+def kpi_mes_ano(f: ReportFilters, as_of: dt.datetime, tenant: bool = False) -> str:
+    w = where_filters(f, _OPS_NOCLI)
+    return _ops_cte() + f"""
+SELECT d_ano AS ano, d_mes AS mes_numero, d_mes_nome AS mes, {_ops_measures()}
+FROM ops WHERE d_ano >= {as_of.year - 2}{w}
+GROUP BY d_ano, d_mes_nome, d_mes"""
 
 
-_FULL = {"codfilial": "codfilial", "codcliente": "codcliente", "codcid": "codcid", "regiao": "regiao",
-         "codpro": "codpro", "ano": "ano", "mes": "mes_numero", "dia": "dia"}
-_NOCLI = {"codfilial": "codfilial", "codcid": "codcid", "regiao": "regiao",
-          "ano": "ano", "mes": "mes_numero", "dia": "dia"}
+def kpi_dia_mes_atual(f: ReportFilters, as_of: dt.datetime) -> str:
+    w = where_filters(f, _OPS_NOCLI)
+    return _ops_cte() + f"""
+SELECT d_dia AS dia, {_ops_measures()}
+FROM ops WHERE d_ano = {as_of.year} AND d_mes = {as_of.month}{w}
+GROUP BY d_dia"""
 
 
-def _period_ops(f, as_of, group_cols: str, select_cols: str, extra_rec: str, extra_frt: str, fields, tenant=False) -> str:
+def _in_period_ops(f: ReportFilters, as_of: dt.datetime, fields) -> str:
     a, b = _period(f, as_of)
-    outer = where_filters(f, fields)
-    t = "codempresa, " if tenant else ""
-    rc = f"{t}{extra_rec}, codfilial, codcliente, codcid, regiao, codpro, datarecbto AS data_operacao, dia_recbto AS dia, mes_numero, ano_recbto AS ano"
-    fc = f"{t}{extra_frt}, codfilial, codcliente, codcid, regiao, codpro, dataemissao AS data_operacao, dia_emissao AS dia, mes_numero, ano_emissao AS ano"
-    u = _ops_union("", "", "", rc, fc)
-    return f"""
-SELECT {t}{select_cols}, {_ops_measures()} FROM {u}
-WHERE data_operacao >= {a} AND data_operacao <= {b}{outer}
-GROUP BY {t}{group_cols}"""
+    return f"d_op BETWEEN {a} AND {b}{where_filters(f, fields)}"
 
 
 def kpi_filial(f: ReportFilters, as_of: dt.datetime, tenant: bool = False) -> str:
-    return _period_ops(f, as_of, "codfilial, filial", "CAST(codfilial AS VARCHAR) AS codfilial, filial",
-                       "filial", "filial", _FULL, tenant)
+    t = "codempresa, " if tenant else ""
+    return _ops_cte(tenant) + f"""
+SELECT {t}CAST(codfilial AS VARCHAR) AS codfilial, filial, {_ops_measures()}
+FROM ops WHERE {_in_period_ops(f, as_of, _OPS_FULL)}
+GROUP BY {t}codfilial, filial"""
 
 
 def kpi_regiao(f: ReportFilters, as_of: dt.datetime) -> str:
-    a, b = _period(f, as_of)
-    outer = where_filters(f, _FULL)
-    rc = "regiao, codfilial, codcliente, codcid, codpro, datarecbto AS data_operacao, dia_recbto AS dia, mes_numero, ano_recbto AS ano"
-    fc = "regiao, codfilial, codcliente, codcid, codpro, dataemissao AS data_operacao, dia_emissao AS dia, mes_numero, ano_emissao AS ano"
-    u = _ops_union("", "", "", rc, fc)
-    return f"""
-SELECT regiao, {_ops_measures()} FROM {u}
-WHERE data_operacao >= {a} AND data_operacao <= {b}{outer} GROUP BY regiao"""
+    return _ops_cte() + f"""
+SELECT regiao, {_ops_measures()} FROM ops WHERE {_in_period_ops(f, as_of, _OPS_FULL)} GROUP BY regiao"""
 
 
 def _kpi_cidade_body(f: ReportFilters, as_of: dt.datetime) -> str:
-    a, b = _period(f, as_of)
-    outer = where_filters(f, _NOCLI)
-    rc = "cidade, coduf, codfilial, codcid, regiao, datarecbto AS data_operacao, dia_recbto AS dia, mes_numero, ano_recbto AS ano"
-    fc = "cidade, coduf, codfilial, codcid, regiao, dataemissao AS data_operacao, dia_emissao AS dia, mes_numero, ano_emissao AS ano"
-    u = _ops_union("", "", "", rc, fc)
     return f"""
-SELECT CAST(codcid AS VARCHAR) AS codcid, cidade || '-' || coduf AS cidade, {_ops_measures()} FROM {u}
-WHERE data_operacao >= {a} AND data_operacao <= {b}{outer} GROUP BY codcid, cidade || '-' || coduf"""
+SELECT CAST(codcid AS VARCHAR) AS codcid, cidade || '-' || coduf AS cidade, {_ops_measures()}
+FROM ops WHERE {_in_period_ops(f, as_of, _OPS_NOCLI)}
+GROUP BY codcid, cidade || '-' || coduf"""
 
 
 def kpi_cidade(f: ReportFilters, as_of: dt.datetime) -> str:
-    return _kpi_cidade_body(f, as_of)
+    return _ops_cte() + _kpi_cidade_body(f, as_of)
 
 
 def kpi_cidade_last_wins(f: ReportFilters, as_of: dt.datetime) -> str:
-    """The reference's dict: rows by faturamento DESC, later rows overwrite,
-    so per code the smallest faturamento (then smallest label) survives."""
-    return f""",
+    """One row per city code: the group the reference's dict keeps (rows
+    sorted by revenue DESC, later ones overwrite -> smallest revenue, then
+    smallest label)."""
+    return _ops_cte() + f""",
 g AS ({_kpi_cidade_body(f, as_of)})
 SELECT codcid, cidade, volume, embarques, faturamento FROM (
   SELECT *, row_number() OVER (PARTITION BY codcid ORDER BY faturamento ASC NULLS FIRST, cidade ASC NULLS FIRST) AS rn
@@ -462,27 +451,24 @@ FROM q1, q2, q3, q4"""
 def recebimentos_dia_mes_atual(f: ReportFilters, as_of: dt.datetime) -> str:
     w = where_filters(f, _REC)
     y, m = as_of.year, as_of.month
-    return f"""
-SELECT dia, {_dbl('SUM(faturamento)')} AS faturamento, {_dbl('SUM(a_receber)')} AS a_receber FROM (
-  SELECT dia_recbto AS dia, vlrrecbto AS faturamento, 0 AS a_receber, codfilial, codcliente
-  FROM vwfactrc_bi WHERE ano_recbto = {y} AND mes_numero = {m}
-  UNION ALL
-  SELECT dia_vencto AS dia, 0 AS faturamento, vlrsaldo AS a_receber, codfilial, codcliente
-  FROM vwfactrc_bi WHERE ano_vencto = {y} AND mes_numero_vencto = {m} AND condicao_fatura = 'A Receber'
-) dados WHERE 1=1{w} GROUP BY dia"""
+    return f""",
+got AS (SELECT dia_recbto AS dia, vlrrecbto AS amount FROM vwfactrc_bi
+        WHERE ano_recbto = {y} AND mes_numero = {m}{w}),
+due AS (SELECT dia_vencto AS dia, vlrsaldo AS amount FROM vwfactrc_bi
+        WHERE condicao_fatura = 'A Receber' AND ano_vencto = {y} AND mes_numero_vencto = {m}{w}),
+both_roles AS (SELECT dia, amount AS f, NULL AS r FROM got UNION ALL SELECT dia, NULL, amount FROM due)
+SELECT dia, {_dbl('SUM(f)')} AS faturamento, {_dbl('SUM(r)')} AS a_receber FROM both_roles GROUP BY dia"""
 
 
 def a_receber_cliente(f: ReportFilters, as_of: dt.datetime) -> str:
     a, b = _period(f, as_of)
     w = where_filters(f, _REC)
-    return f"""
-SELECT CAST(codcliente AS VARCHAR) AS codcliente, cliente, {_dbl('SUM(vlrsaldo)')} AS a_receber FROM (
-  SELECT cliente, vlrsaldo, codfilial, codcliente, datavencto FROM vwfactrc_bi
-  WHERE condicao_fatura = 'A Receber' AND datavencto >= {a} AND datavencto <= {b}{w}
-  UNION ALL
-  SELECT cliente, vlrsaldo, codfilial, codcliente, datavencto FROM vwfactrc_bi
-  WHERE condicao_fatura = 'Em Atraso'{w}
-) dados GROUP BY codcliente, cliente"""
+    return f""",
+open_due AS (SELECT codcliente, cliente, vlrsaldo FROM vwfactrc_bi
+             WHERE condicao_fatura = 'A Receber' AND datavencto BETWEEN {a} AND {b}{w}),
+late AS (SELECT codcliente, cliente, vlrsaldo FROM vwfactrc_bi WHERE condicao_fatura = 'Em Atraso'{w})
+SELECT CAST(codcliente AS VARCHAR) AS codcliente, cliente, {_dbl('SUM(vlrsaldo)')} AS a_receber
+FROM (SELECT * FROM open_due UNION ALL SELECT * FROM late) x GROUP BY codcliente, cliente"""
 
 
 def tabela_a_receber(f: ReportFilters, as_of: dt.datetime) -> str:
@@ -511,27 +497,24 @@ FROM q1, q2, q3"""
 def contas_pagar_dia_mes_atual(f: ReportFilters, as_of: dt.datetime) -> str:
     w = where_filters(f, _PAY)
     y, m = as_of.year, as_of.month
-    return f"""
-SELECT dia, {_dbl('SUM(vlrpago)')} AS pago, {_dbl('SUM(a_pagar)')} AS a_pagar FROM (
-  SELECT dia_movto AS dia, vlrpago, 0 AS a_pagar, codfornecedor, codtransacao
-  FROM vwcptit_bi WHERE ano_movto = {y} AND mes_numero_movto = {m}
-  UNION ALL
-  SELECT dia_vencto AS dia, 0 AS vlrpago, vlrsaldo AS a_pagar, codfornecedor, codtransacao
-  FROM vwcptit_bi WHERE ano_vencto = {y} AND mes_numero_vencto = {m} AND condicao_fatura = 'A Pagar'
-) dados WHERE 1=1{w} GROUP BY dia"""
+    return f""",
+paid AS (SELECT dia_movto AS dia, vlrpago AS amount FROM vwcptit_bi
+         WHERE ano_movto = {y} AND mes_numero_movto = {m}{w}),
+due AS (SELECT dia_vencto AS dia, vlrsaldo AS amount FROM vwcptit_bi
+        WHERE condicao_fatura = 'A Pagar' AND ano_vencto = {y} AND mes_numero_vencto = {m}{w}),
+both_roles AS (SELECT dia, amount AS p, NULL AS o FROM paid UNION ALL SELECT dia, NULL, amount FROM due)
+SELECT dia, {_dbl('SUM(p)')} AS pago, {_dbl('SUM(o)')} AS a_pagar FROM both_roles GROUP BY dia"""
 
 
 def a_pagar_fornecedor(f: ReportFilters, as_of: dt.datetime) -> str:
     a, b = _period(f, as_of)
     w = where_filters(f, _PAY)
-    return f"""
-SELECT CAST(codfornecedor AS VARCHAR) AS codfornecedor, fornecedor, {_dbl('SUM(vlrsaldo)')} AS a_pagar FROM (
-  SELECT fornecedor, vlrsaldo, codfornecedor, codtransacao, datavencto FROM vwcptit_bi
-  WHERE condicao_fatura = 'A Pagar' AND datavencto >= {a} AND datavencto <= {b}{w}
-  UNION ALL
-  SELECT fornecedor, vlrsaldo, codfornecedor, codtransacao, datavencto FROM vwcptit_bi
-  WHERE condicao_fatura = 'Em Atraso'{w}
-) dados GROUP BY codfornecedor, fornecedor"""
+    return f""",
+open_due AS (SELECT codfornecedor, fornecedor, vlrsaldo FROM vwcptit_bi
+             WHERE condicao_fatura = 'A Pagar' AND datavencto BETWEEN {a} AND {b}{w}),
+late AS (SELECT codfornecedor, fornecedor, vlrsaldo FROM vwcptit_bi WHERE condicao_fatura = 'Em Atraso'{w})
+SELECT CAST(codfornecedor AS VARCHAR) AS codfornecedor, fornecedor, {_dbl('SUM(vlrsaldo)')} AS a_pagar
+FROM (SELECT * FROM open_due UNION ALL SELECT * FROM late) x GROUP BY codfornecedor, fornecedor"""
 
 
 def tabela_a_pagar(f: ReportFilters, as_of: dt.datetime) -> str:
@@ -849,15 +832,12 @@ FROM v"""
 def a_pagar_fornecedor_all_tenants(f: ReportFilters, as_of: dt.datetime) -> str:
     a, b = _period(f, as_of)
     w = where_filters(f, _PAY)
-    return f"""
+    return f""",
+owed AS (SELECT codempresa, codfornecedor, fornecedor, vlrsaldo FROM vwcptit_bi
+         WHERE (condicao_fatura = 'A Pagar' AND datavencto BETWEEN {a} AND {b}) OR condicao_fatura = 'Em Atraso')
 SELECT codempresa, CAST(codfornecedor AS VARCHAR) AS codfornecedor, fornecedor,
-       {_dbl('SUM(vlrsaldo)')} AS a_pagar FROM (
-  SELECT codempresa, fornecedor, vlrsaldo, codfornecedor FROM vwcptit_bi
-  WHERE condicao_fatura = 'A Pagar' AND datavencto >= {a} AND datavencto <= {b}{w}
-  UNION ALL
-  SELECT codempresa, fornecedor, vlrsaldo, codfornecedor FROM vwcptit_bi
-  WHERE condicao_fatura = 'Em Atraso'{w}
-) dados GROUP BY codempresa, codfornecedor, fornecedor"""
+       {_dbl('SUM(vlrsaldo)')} AS a_pagar
+FROM owed WHERE true{w} GROUP BY codempresa, codfornecedor, fornecedor"""
 
 
 TENANT_SQL = {
