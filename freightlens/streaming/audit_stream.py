@@ -37,9 +37,24 @@ def start_audit_stream(
     sink_path: str,
     checkpoint_path: str,
     available_now: bool = True,
+    dedupe_within: str | None = None,
 ) -> StreamingQuery:
-    """Raw events -> N1 -> append-only Parquet audit table."""
+    """Raw events -> N1 -> append-only Parquet audit table.
+
+    ``dedupe_within`` (e.g. ``"1 hour"``): drop events whose ``id`` was already
+    seen within that event-time delay, for sources that may redeliver.  This
+    keeps bounded state (watermark on ``ts``); without it the job is
+    stateless.
+    """
     stream = accepted(audit_rows(raw_event_stream(spark, source_folder)))
+    if dedupe_within:
+        # watermarks need TIMESTAMP; the capture time is TIMESTAMP_NTZ (UTC wall clock)
+        stream = (
+            stream.withColumn("__event_time", F.col("ts").cast("timestamp"))
+            .withWatermark("__event_time", dedupe_within)
+            .dropDuplicatesWithinWatermark(["id"])
+            .drop("__event_time")
+        )
     w = (
         stream.select(*AUDIT_COLS)
         .withColumn("dia", F.to_date("ts"))
@@ -53,7 +68,9 @@ def start_audit_stream(
     return w.start()
 
 
-def run_audit_stream_once(spark: SparkSession, source_folder: str, run_root: str | None = None) -> DataFrame:
+def run_audit_stream_once(
+    spark: SparkSession, source_folder: str, run_root: str | None = None, dedupe_within: str | None = None
+) -> DataFrame:
     """Run N2 to completion over what is available and read the sink back.
 
     Sink and checkpoint go under the shared checkpoint folder, in a fresh
@@ -61,7 +78,7 @@ def run_audit_stream_once(spark: SparkSession, source_folder: str, run_root: str
     """
     root = (run_root or ensure_checkpoint_dir(spark)).rstrip("/")
     run = f"{root}/audit-stream-{uuid.uuid4().hex}"
-    q = start_audit_stream(spark, source_folder, f"{run}/sink", f"{run}/checkpoint")
+    q = start_audit_stream(spark, source_folder, f"{run}/sink", f"{run}/checkpoint", dedupe_within=dedupe_within)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

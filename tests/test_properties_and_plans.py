@@ -60,9 +60,10 @@ def test_all_tenants_equals_union_of_tenants(spark, t):
     assert {(r.codempresa, int(r.codfilial) % 3) for r in everyone.collect()} == {(k, k) for k in range(3)}
 
 
-def test_stream_equals_batch(spark):
+@pytest.mark.parametrize("dedupe", [None, "1 hour"])
+def test_stream_equals_batch(spark, dedupe):
     root = tempfile.mkdtemp(prefix="fl-stream-")
-    s = run_audit_stream_once(spark, SF, run_root=root)
+    s = run_audit_stream_once(spark, SF, run_root=root, dedupe_within=dedupe)
     b = batch_equivalent(spark, SF)
     assert s.count() == b.count() > 0
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
