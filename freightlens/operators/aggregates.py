@@ -71,14 +71,20 @@ def two_roles(df: DataFrame, keep: Sequence[str], role_a: tuple[Column, Mapping[
     """A row may feed two groups (e.g. its receipt day and its due day).
 
     One scan: each row emits up to two records, one per role whose condition
-    holds, via ``inline`` of a filtered array of structs.  Replaces a UNION ALL
-    of two filtered scans of the same table (U6, U8).
+    holds (``explode`` of a two-element array, NULL for a role that does not
+    apply, then dropped).  Replaces a UNION ALL of two filtered scans of the
+    same table (U6, U8); ``explode`` stays inside whole-stage codegen.
     """
     (cond_a, cols_a), (cond_b, cols_b) = role_a, role_b
     sa = F.struct(*[c.alias(n) for n, c in cols_a.items()])
     sb = F.struct(*[c.alias(n) for n, c in cols_b.items()])
-    arr = F.filter(F.array(F.when(cond_a, sa), F.when(cond_b, sb)), lambda x: x.isNotNull())
-    return df.filter(cond_a | cond_b).select(*keep, F.inline(arr))
+    arr = F.array(F.when(cond_a, sa), F.when(cond_b, sb))
+    return (
+        df.filter(cond_a | cond_b)
+        .select(*keep, F.explode(arr).alias("__role"))
+        .filter(F.col("__role").isNotNull())
+        .select(*keep, "__role.*")
+    )
 
 
 def total(df: DataFrame, col: str, alias: str | None = None) -> DataFrame:

@@ -292,3 +292,29 @@ def test_body_cleanup(spark):
     )
     got = {r.id: (r.body_response, r.body_response_json) for r in accepted(df).collect()}
     assert got == {i: (clean, js) for i, _, js, clean in rows}
+
+
+# ------------------------------------------------------------------ hot keys
+def test_hot_customer_and_hot_code(spark):
+    """One customer holds most invoices; one city code most groups: results
+    stay whole and exact (aggregates pre-aggregate map-side)."""
+    hot = [invoice(i, rec=d(2000, 6, 1 + i % 10), recbto=D("1.00"), cgccpffatura="00000000000007")
+           for i in range(1, 601)]
+    cold = [invoice(1000 + i, rec=d(2000, 6, 2), recbto=D("2.00"), cgccpffatura=f"{i + 100:014d}") for i in range(1, 301)]
+    t = tables(spark, factrc=hot + cold, tbcli=[("00000000000007", "HOT")])
+    rows = {r.codcliente: r for r in plans.kpi_cliente(t, ReportFilters(), AS_OF).collect()}
+    assert len(rows) == 301
+    assert rows["00000000000007"].faturamento == 600.0 and rows["00000000000007"].cliente == "HOT"
+    assert sum(r.faturamento for r in rows.values()) == 1200.0
+
+
+def test_hot_cpf_in_insert_batch(spark):
+    from freightlens.operators.registry import insert_outcomes
+
+    existing = spark.createDataFrame([(0, "00000000000")], "codusuario int, cpfusuario string")
+    batch = spark.createDataFrame([(i, "52998224725", i) for i in range(1, 1001)] + [(2000, "11144477735", 5)],
+                                  "codusuario int, cpfusuario string, seq int")
+    out = insert_outcomes(existing, batch, "cpfusuario", "seq", validate=cpf_is_valid(F.col("cpfusuario")))
+    got = {(r.outcome) for r in out.filter("codusuario = 1 OR codusuario = 2000").collect()}
+    assert got == {"inserted"}
+    assert out.filter("outcome = 'duplicate_in_batch'").count() == 999
