@@ -634,6 +634,22 @@ SELECT b.codusuario, b.cpfusuario, b.seq,
 FROM b LEFT JOIN firsts ON firsts.cpfusuario = b.cpfusuario"""
 
 
+def companies_insert_new() -> str:
+    return control_prelude() + """,
+reqs AS (
+  SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS cnpjcpf, CAST(s_suppkey AS BIGINT) * 2 AS seq FROM supplier
+  UNION ALL
+  SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0'), CAST(s_suppkey AS BIGINT) * 2 + 1 FROM supplier WHERE s_acctbal < 0),
+known AS (SELECT DISTINCT cnpjcpf FROM tbempresas),
+ranked AS (
+  SELECT reqs.*, known.cnpjcpf IS NOT NULL AS present,
+         row_number() OVER (PARTITION BY reqs.cnpjcpf ORDER BY reqs.seq) AS pos
+  FROM reqs LEFT JOIN known ON known.cnpjcpf = reqs.cnpjcpf)
+SELECT cnpjcpf, seq,
+       CASE WHEN present THEN 'already_present' WHEN pos = 1 THEN 'inserted' ELSE 'duplicate_in_batch' END AS outcome
+FROM ranked"""
+
+
 def _user_changes() -> str:
     seq = "CAST(codusuario AS BIGINT) * 4"
     n = "CAST(NULL AS VARCHAR)"
@@ -768,6 +784,7 @@ WHERE {"NOT " if rejected else ""}(metodo IS NOT NULL AND endpoint IS NOT NULL A
 CONTROL_SQL = {
     "cpf_quality": cpf_quality,
     "users_insert_new": users_insert_new,
+    "companies_insert_new": companies_insert_new,
     "users_partial_update": users_partial_update,
     "users_update_unknown": users_update_unknown,
     "companies_full_update": companies_full_update,

@@ -3,7 +3,8 @@
 Request batches are derived from the driver's tables, so they grow with them:
 
 * inserts: a sign-up request per customer (CPF sent as digits only) plus a
-  second, later request from every inactive customer;
+  second, later request from every inactive customer; a registration per
+  supplier as a company, repeated for suppliers with a negative balance;
 * partial updates: per market segment, one or two change requests keyed by
   the stored CPF, and one keyed by the digits-only CPF (unknown for the
   punctuated ones);
@@ -38,6 +39,21 @@ def insert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signup.unionByName(again).withColumn("cpfusuario", digits_only(F.col("cpfusuario")))
 
 
+def company_insert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registration request per supplier (tax id = supplier key), and a
+    second, later one from every supplier with a negative balance."""
+    s = fx._raw(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    base = s.select(
+        fx.lpad14(k).alias("cnpjcpf"),
+        F.col("s_name").alias("nomeempresa"),
+        (k.cast("bigint") * 2).alias("seq"),
+        F.col("s_acctbal"),
+    )
+    again = base.filter(F.col("s_acctbal") < 0).withColumn("seq", F.col("seq") + 1)
+    return base.unionByName(again).drop("s_acctbal")
+
+
 def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = users(spark, sf_dir)
     c = fx._raw(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("codusuario"), "c_mktsegment")
@@ -114,6 +130,11 @@ def users_insert_new(spark, sf_dir) -> DataFrame:
     return out.select("codusuario", "cpfusuario", "seq", "outcome")
 
 
+def companies_insert_new(spark, sf_dir) -> DataFrame:
+    out = R.insert_outcomes(companies(spark, sf_dir), company_insert_batch(spark, sf_dir), "cnpjcpf", "seq")
+    return out.select("cnpjcpf", "seq", "outcome")
+
+
 def users_partial_update(spark, sf_dir) -> DataFrame:
     upd = R.partial_update(users(spark, sf_dir), user_changes(spark, sf_dir), "cpfusuario", R.USER_UPDATABLE, "seq")
     return R.users_public(upd)
@@ -152,6 +173,7 @@ def companies_public(spark, sf_dir) -> DataFrame:
 QUERIES = {
     "cpf_quality": cpf_quality,
     "users_insert_new": users_insert_new,
+    "companies_insert_new": companies_insert_new,
     "users_partial_update": users_partial_update,
     "users_update_unknown": users_update_unknown,
     "companies_full_update": companies_full_update,
