@@ -68,3 +68,17 @@ def test_anchor_users_and_audit(spark):
     assert sum(r.usuarios for r in q.values()) == 1500
     assert sum(r.cpf_validos for r in q.values()) == 12
     assert QUERIES["audit_normalised"](spark, SF_MID).count() == 10000 - 200
+
+
+def test_anchor_city_groups(spark):
+    """Receivables carry the destination city code but the payment
+    city's name, so codes have many labels."""
+    from pyspark.sql import functions as F
+
+    from freightlens import plans
+    from freightlens.catalog import AS_OF, tables
+
+    rv = plans.receivables_view(tables(spark, SF_MID), AS_OF, need={"codcid", "cidade", "coduf"})
+    g = rv.select("codcid", F.concat("cidade", F.lit("-"), "coduf").alias("c")).distinct()
+    assert g.count() == 7921
+    assert g.select("codcid").distinct().count() == 120
