@@ -20,8 +20,8 @@ def sum_by(df: DataFrame, keys: Sequence[str | Column], measures: Mapping[str, s
     return df.groupBy(*keys).agg(*aggs)
 
 
-def conditional_totals(df: DataFrame, spec: Mapping[str, tuple]) -> DataFrame:
-    """A3/A4: several global KPIs in one pass.
+def conditional_totals(df: DataFrame, spec: Mapping[str, tuple], keys: Sequence[str] = ()) -> DataFrame:
+    """A3/A4: several KPIs in one pass (one row, or one row per ``keys``).
 
     ``spec`` maps output name -> ``(condition, column, fn)`` with ``fn`` one of
     ``"sum"``/``"avg"``.  Each KPI only sees the rows where its condition
@@ -34,7 +34,7 @@ def conditional_totals(df: DataFrame, spec: Mapping[str, tuple]) -> DataFrame:
         c = F.col(col) if isinstance(col, str) else col
         v = c if cond is None else F.when(cond, c)
         aggs.append(fns[fn](v).alias(name))
-    return df.agg(*aggs)
+    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
 def zero_fill_union(arms: Sequence[tuple[DataFrame, Mapping[str, Column]]], types: Mapping[str, DataType | str]) -> DataFrame:

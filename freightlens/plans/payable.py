@@ -36,10 +36,7 @@ def big_numbers_contas_pagar(t: ErpTables, filters: ReportFilters = NO_FILTERS,
         "a_pagar": (open_due, "vlrsaldo", "sum"),
         "em_atraso": (overdue, "vlrsaldo", "sum"),
     }
-    if tc:
-        tot = rows.groupBy(*tc).agg(*[F.sum(F.when(c, F.col(col))).alias(n) for n, (c, col, _) in spec.items()])
-    else:
-        tot = conditional_totals(rows, spec)
+    tot = conditional_totals(rows, spec, keys=tc)
     a_pagar, atraso = as_double(F.col("a_pagar")), as_double(F.col("em_atraso"))
     return tot.select(
         *tc,

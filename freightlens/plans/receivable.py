@@ -41,11 +41,7 @@ def big_numbers_contas_receber(t: ErpTables, filters: ReportFilters = NO_FILTERS
         "em_atraso": (overdue, "vlrsaldo", "sum"),
         "prazo_medio": (received & F.col("dias_recebimento").isNotNull(), "dias_recebimento", "avg"),
     }
-    if tc:
-        fns = {"sum": F.sum, "avg": F.avg}
-        tot = rows.groupBy(*tc).agg(*[fns[fn](F.when(c, F.col(col))).alias(n) for n, (c, col, fn) in spec.items()])
-    else:
-        tot = conditional_totals(rows, spec)
+    tot = conditional_totals(rows, spec, keys=tc)
     a_rec, atraso = as_double(F.col("a_receber")), as_double(F.col("em_atraso"))
     return tot.select(
         *tc,

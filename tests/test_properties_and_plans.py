@@ -175,3 +175,13 @@ def test_jdbc_options():
     assert o["dbtable"] == "factrc" and o["numPartitions"] == "8" and o["user"] == "u"
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x://h/db", "t", {}, {"partitionColumn": "a"})
+
+
+def test_all_tenants_kpi_records_add_up(spark, t):
+    multi = ErpTables.from_fixture(spark, SF, multi_tenant=True)
+    for name, cols in (("big_numbers_contas_receber", ("faturamento", "a_receber", "em_atraso")),
+                       ("big_numbers_contas_pagar", ("pago", "a_pagar", "em_atraso"))):
+        per = plans.REPORTS[name](multi, ReportFilters(), AS_OF)
+        assert per.columns[0] == "codempresa" and per.count() == 3
+        one = plans.REPORTS[name](t, ReportFilters(), AS_OF).collect()[0]
+        assert _totals(per, *cols) == pytest.approx(tuple(round(one[c], 6) for c in cols))
