@@ -108,7 +108,7 @@ def _ops_measures(df: DataFrame, keys: list) -> DataFrame:
     return sum_by(df, keys, {"volume": "volume", "embarques": "embarques", "faturamento": "faturamento"})
 
 
-def _ops_output(df: DataFrame) -> list:
+def _ops_output() -> list:
     return [
         as_double(F.col("volume")).alias("volume"),
         as_count(F.col("embarques")).alias("embarques"),
@@ -127,10 +127,7 @@ def big_numbers(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -
     Always one row (R6).
     """
     cur, prev = resolve_period(filters, as_of), prior_period(filters, as_of)
-    fields = {
-        "codfilial": "codfilial", "codcliente": "codcliente", "codcid": "codcid", "regiao": "regiao",
-        "codpro": "codpro", "ano": "ano", "mes": "mes_numero", "dia": "dia",
-    }
+    fields = OPS_FIELDS_FULL
     fcols = needed_filter_columns(filters, fields)
     tc = list(t.tenant_cols)
     rec_need = {_CONFORMED[c][0] for c in fcols if c in _CONFORMED} | {"datarecbto", "vlrrecbto"}
@@ -217,7 +214,7 @@ def kpi_mes_ano(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -
         ranges=[(dt.date(as_of_date(as_of).year - 2, 1, 1), None)],
     )
     agg = _ops_measures(ops, keys)
-    return agg.select(*tc, "ano", "mes_numero", "mes", *_ops_output(agg)).orderBy(*tc, "ano", "mes_numero")
+    return agg.select(*tc, "ano", "mes_numero", "mes", *_ops_output()).orderBy(*tc, "ano", "mes_numero")
 
 
 # ----------------------------------------------------------------------- Q3
@@ -231,7 +228,7 @@ def kpi_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=N
         ranges=_month_range(as_of),
     )
     agg = _ops_measures(ops, keys)
-    return agg.select(*tc, "dia", *_ops_output(agg)).orderBy(*tc, "dia")
+    return agg.select(*tc, "dia", *_ops_output()).orderBy(*tc, "dia")
 
 
 # ------------------------------------------------------------------- Q4-Q6
@@ -246,7 +243,7 @@ def kpi_filial(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) ->
     )
     agg = _ops_measures(ops, keys)
     return agg.select(
-        *tc, F.col("codfilial").cast("string").alias("codfilial"), "filial", *_ops_output(agg)
+        *tc, F.col("codfilial").cast("string").alias("codfilial"), "filial", *_ops_output()
     ).orderBy(*tc, F.desc("faturamento"), "codfilial", "filial")
 
 
@@ -260,7 +257,7 @@ def kpi_regiao(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) ->
         ranges=_period_range(filters, as_of),
     )
     agg = _ops_measures(ops, keys)
-    return agg.select(*tc, "regiao", *_ops_output(agg)).orderBy(*tc, F.desc("faturamento"), "regiao")
+    return agg.select(*tc, "regiao", *_ops_output()).orderBy(*tc, F.desc("faturamento"), "regiao")
 
 
 def kpi_cidade(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
@@ -281,7 +278,7 @@ def kpi_cidade(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) ->
         *tc,
         F.col("codcid").cast("string").alias("codcid"),
         F.col("cidade_uf").alias("cidade"),
-        *_ops_output(agg),
+        *_ops_output(),
     ).orderBy(*tc, F.desc("faturamento"), "codcid", "cidade")
 
 
