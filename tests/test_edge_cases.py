@@ -318,3 +318,30 @@ def test_hot_cpf_in_insert_batch(spark):
     got = {(r.outcome) for r in out.filter("codusuario = 1 OR codusuario = 2000").collect()}
     assert got == {"inserted"}
     assert out.filter("outcome = 'duplicate_in_batch'").count() == 999
+
+
+# ------------------------------------------------------------------ helpers
+def test_aggregate_and_shaping_helpers(spark):
+    from freightlens.operators.aggregates import mean_of, sorted_by, total, totals, two_period_totals, zero_fill_union
+    from freightlens.operators.filters import Period
+    from freightlens.operators.shaping import conform, output_types, to_json_rows
+
+    df = spark.createDataFrame(
+        [(d(2000, 6, 1), D("1.50"), 2), (d(1999, 6, 1), D("2.00"), None), (d(2000, 6, 2), None, 3)],
+        "dt date, v decimal(15,2), n int",
+    )
+    assert total(df, "v").collect()[0].v == D("3.50")
+    assert totals(df, ["v", "n"]).collect()[0].n == 5
+    tp = two_period_totals(df, "dt", Period(d(2000, 5, 16), d(2000, 6, 15)), Period(d(1999, 5, 17), d(1999, 6, 16)), ["v"])
+    r = tp.collect()[0]
+    assert (r.v, r.v_p) == (D("1.50"), D("2.00"))
+    assert mean_of(df, "n").collect()[0].n == 2.5
+    assert [x.n for x in sorted_by(df.filter("n IS NOT NULL"), F.desc("n")).collect()] == [3, 2]
+    u = zero_fill_union([(df, {"k": F.lit("a"), "v": F.col("v")}), (df, {"k": F.lit("b"), "n": F.col("n")})],
+                       {"v": "decimal(15,2)", "n": "int"})
+    assert u.filter("k = 'b'").agg(F.sum("v")).collect()[0][0] == 0
+    c = output_types(conform(df, {"code": F.col("n"), "amount": "v"}), {"code": "string", "amount": "double"})
+    assert dict(c.dtypes) == {"code": "string", "amount": "double"}
+    assert sorted(x.amount for x in c.collect()) == [0.0, 1.5, 2.0]
+    js = to_json_rows(c).collect()
+    assert len(js) == 3 and all(x.json.startswith("{") for x in js)
