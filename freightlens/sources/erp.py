@@ -157,6 +157,29 @@ class ErpTables:
         kw.setdefault("month_partitions", dict(FACT_MAIN_DATE))
         return cls(spark, load, tenant_cols, **kw)
 
+    @classmethod
+    def from_tenant_sources(
+        cls, spark: SparkSession, tenants: list[tuple[int, "ErpTables"]], tenant_col: str = "codempresa", **kw
+    ) -> "ErpTables":
+        """N9 over one database per tenant: every table is the UNION ALL of the
+        tenants' tables with the tenant code added, and every join and group
+        then includes it.  ``tenants`` is configuration (built from
+        :func:`..jdbc.tenant_sources`), not data, so it is a short driver list."""
+
+        def load(name: str, need: frozenset | None) -> DataFrame:
+            # the month partition column is a storage detail of staged sources
+            parts = [
+                src.table(name, need).drop(PARTITION_COL).withColumn(tenant_col, F.lit(code))
+                for code, src in tenants
+            ]
+            out = parts[0]
+            for p in parts[1:]:
+                # a source may omit columns its caller did not ask for (``need``)
+                out = out.unionByName(p, allowMissingColumns=True)
+            return out
+
+        return cls(spark, load, (tenant_col,), **kw)
+
     @classmethod
     def from_jdbc(
         cls,
@@ -177,6 +200,32 @@ class ErpTables:
         return cls(spark, load, (), **kw)
 
 
+def refresh_months(tables: ErpTables, root: str, months: list[int], max_records_per_file: int = 5_000_000) -> None:
+    """Incremental upkeep of a staged warehouse: rewrite only the given
+    ``particao_mes`` values (yyyymm) of every fact, with dynamic partition
+    overwrite, so a daily job touches the open months and leaves the rest."""
+    root = root.rstrip("/")
+    spark = tables.spark
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        for name in FACTS:
+            main = FACT_MAIN_DATE[name]
+            month = (F.year(main) * 100 + F.month(main)).alias(PARTITION_COL)
+            (
+                tables.table(name).select("*", month)
+                .filter(F.col(PARTITION_COL).isin(months))
+                .repartitionByRange(main, FACT_KEY[name])
+                .sortWithinPartitions(main, FACT_SORT_COL[name])
+                .write.mode("overwrite")
+                .option("maxRecordsPerFile", max_records_per_file)
+                .partitionBy(PARTITION_COL)
+                .parquet(f"{root}/{name}")
+            )
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
 def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
     """Write the bundle as a Parquet warehouse.
 

@@ -82,3 +82,28 @@ def read_control(spark: SparkSession, name: str, source: dict) -> DataFrame:
     """Control tables (companies, users, audit) - same readers as S1,
     pointed at the control database or its Parquet export."""
     return read_table(spark, name, source)
+
+
+def month_predicates(date_col: str, start, end) -> list[str]:
+    """One WHERE predicate per calendar month in [start, end], plus one for
+    NULL dates: ``spark.read.jdbc(..., predicates=...)`` then reads every
+    month in its own task (parallel, and each task's query can use the
+    database's date index)."""
+    import datetime as dt
+
+    preds = []
+    cur = dt.date(start.year, start.month, 1)
+    while cur <= end:
+        nxt = dt.date(cur.year + (cur.month == 12), cur.month % 12 + 1, 1)
+        preds.append(f"{date_col} >= DATE '{cur.isoformat()}' AND {date_col} < DATE '{nxt.isoformat()}'")
+        cur = nxt
+    preds.append(f"{date_col} IS NULL OR {date_col} < DATE '{dt.date(start.year, start.month, 1).isoformat()}' "
+                 f"OR {date_col} >= DATE '{cur.isoformat()}'")
+    return preds
+
+
+def read_by_months(spark: SparkSession, url: str, table: str, properties: dict[str, str], date_col: str, start, end) -> DataFrame:
+    """S1 for a large fact: parallel month-by-month JDBC read (the last
+    predicate covers NULL and out-of-range dates, so no row is lost)."""
+    props = {k: str(v) for k, v in properties.items()}
+    return spark.read.jdbc(url, table, predicates=month_predicates(date_col, start, end), properties=props)

@@ -185,3 +185,30 @@ def test_all_tenants_kpi_records_add_up(spark, t):
         assert per.columns[0] == "codempresa" and per.count() == 3
         one = plans.REPORTS[name](t, ReportFilters(), AS_OF).collect()[0]
         assert _totals(per, *cols) == pytest.approx(tuple(round(one[c], 6) for c in cols))
+
+
+def test_month_predicates_cover_everything():
+    from freightlens.sources import month_predicates
+
+    p = month_predicates("datarecbto", dt.date(2000, 11, 15), dt.date(2001, 2, 3))
+    assert p[0] == "datarecbto >= DATE '2000-11-01' AND datarecbto < DATE '2000-12-01'"
+    assert p[3] == "datarecbto >= DATE '2001-02-01' AND datarecbto < DATE '2001-03-01'"
+    assert "IS NULL" in p[-1] and len(p) == 5
+
+
+def test_refresh_months_and_tenant_union(spark, t):
+    from freightlens.sources import refresh_months
+
+    root = tempfile.mkdtemp(prefix="fl-wh2-")
+    stage(t, root)
+    before = _rows(plans.kpi_cliente(ErpTables.from_parquet(spark, root), ReportFilters(), AS_OF))
+    refresh_months(t, root, [200005, 200006])
+    w = ErpTables.from_parquet(spark, root)
+    assert _rows(plans.kpi_cliente(w, ReportFilters(), AS_OF)) == before
+    assert spark.read.parquet(f"{root}/factrc").count() == spark.read.parquet(SF + "/orders.parquet").count()
+    # two tenants read from two sources: per-tenant rows, same totals twice
+    both = ErpTables.from_tenant_sources(spark, [(1, t), (2, w)])
+    per = plans.kpi_filial(both, ReportFilters(), AS_OF)
+    single = _totals(plans.kpi_filial(t, ReportFilters(), AS_OF), "faturamento")[0]
+    assert _totals(per.filter("codempresa = 1"), "faturamento")[0] == single
+    assert _totals(per, "faturamento")[0] == pytest.approx(2 * single)
