@@ -38,8 +38,8 @@ def prelude(as_of: dt.datetime, multi_tenant: bool = False) -> str:
 
     i = lambda e: f"CAST({e} AS INTEGER)"
     # multi-tenant: dims repeated for tenants 0,1,2; facts carry branch % 3
-    tdim = ", t.codempresa" if multi_tenant else ""
-    tjoin = " CROSS JOIN (SELECT UNNEST([0, 1, 2]) AS codempresa) t" if multi_tenant else ""
+    tdim = ", UNNEST([0, 1, 2]) AS codempresa" if multi_tenant else ""
+    tjoin = ""
 
     def on(a: str, b: str) -> str:
         return f" AND {a}.codempresa = {b}.codempresa" if multi_tenant else ""
@@ -274,13 +274,12 @@ def big_numbers(f: ReportFilters, as_of: dt.datetime) -> str:
     return f""",
 r AS ({rec(a, b)}), rp AS ({rec(pa, pb)}), q AS ({frt(a, b)}), qp AS ({frt(pa, pb)}),
 v AS (
-  SELECT COALESCE(r.fat, 0.0) AS fat, COALESCE(rp.fat, 0.0) AS fat_p,
-         COALESCE(q.cus, 0.0) AS cus, COALESCE(qp.cus, 0.0) AS cus_p,
-         COALESCE(q.ped, 0.0) AS ped, COALESCE(qp.ped, 0.0) AS ped_p,
-         COALESCE(q.vol, 0.0) AS vol, COALESCE(qp.vol, 0.0) AS vol_p,
-         COALESCE(q.emb, 0) AS emb, COALESCE(qp.emb, 0) AS emb_p,
-         COALESCE(q.ftd, 0) AS ftd, COALESCE(qp.ftd, 0) AS ftd_p
-  FROM r, rp, q, qp)
+  SELECT COALESCE((SELECT fat FROM r), 0.0) AS fat, COALESCE((SELECT fat FROM rp), 0.0) AS fat_p,
+         COALESCE((SELECT cus FROM q), 0.0) AS cus, COALESCE((SELECT cus FROM qp), 0.0) AS cus_p,
+         COALESCE((SELECT ped FROM q), 0.0) AS ped, COALESCE((SELECT ped FROM qp), 0.0) AS ped_p,
+         COALESCE((SELECT vol FROM q), 0.0) AS vol, COALESCE((SELECT vol FROM qp), 0.0) AS vol_p,
+         COALESCE((SELECT emb FROM q), 0) AS emb, COALESCE((SELECT emb FROM qp), 0) AS emb_p,
+         COALESCE((SELECT ftd FROM q), 0) AS ftd, COALESCE((SELECT ftd FROM qp), 0) AS ftd_p)
 SELECT fat AS faturamento, {pct('fat', 'fat_p')} AS faturamento_ano_anterior,
        vol AS volumes, {pct('vol', 'vol_p')} AS volumes_ano_anterior,
        emb AS embarques, {pct('emb', 'emb_p')} AS embarques_ano_anterior,
@@ -441,11 +440,11 @@ q2 AS (SELECT COALESCE(SUM(vlrsaldo), 0) AS a_receber FROM vwfactrc_bi
 q3 AS (SELECT COALESCE(SUM(vlrsaldo), 0) AS em_atraso FROM vwfactrc_bi WHERE condicao_fatura = 'Em Atraso'{w}),
 q4 AS (SELECT COALESCE(AVG(dias_recebimento), 0) AS prazo_medio FROM vwfactrc_bi
        WHERE datarecbto >= {a} AND datarecbto <= {b} AND dias_recebimento IS NOT NULL{w})
-SELECT CAST(faturamento AS DOUBLE) AS faturamento, CAST(a_receber AS DOUBLE) AS a_receber,
-       CAST(em_atraso AS DOUBLE) AS em_atraso,
-       CAST(a_receber AS DOUBLE) + CAST(em_atraso AS DOUBLE) AS a_receber_total,
-       CAST(prazo_medio AS DOUBLE) AS prazo_medio
-FROM q1, q2, q3, q4"""
+SELECT CAST((SELECT faturamento FROM q1) AS DOUBLE) AS faturamento,
+       CAST((SELECT a_receber FROM q2) AS DOUBLE) AS a_receber,
+       CAST((SELECT em_atraso FROM q3) AS DOUBLE) AS em_atraso,
+       CAST((SELECT a_receber FROM q2) AS DOUBLE) + CAST((SELECT em_atraso FROM q3) AS DOUBLE) AS a_receber_total,
+       CAST((SELECT prazo_medio FROM q4) AS DOUBLE) AS prazo_medio"""
 
 
 def recebimentos_dia_mes_atual(f: ReportFilters, as_of: dt.datetime) -> str:
@@ -489,9 +488,9 @@ q1 AS (SELECT COALESCE(SUM(vlrpago), 0) AS pago FROM vwcptit_bi WHERE datamovto
 q2 AS (SELECT COALESCE(SUM(vlrsaldo), 0) AS a_pagar FROM vwcptit_bi
        WHERE condicao_fatura = 'A Pagar' AND datavencto >= {a} AND datavencto <= {b}{w}),
 q3 AS (SELECT COALESCE(SUM(vlrsaldo), 0) AS em_atraso FROM vwcptit_bi WHERE condicao_fatura = 'Em Atraso'{w})
-SELECT CAST(pago AS DOUBLE) AS pago, CAST(a_pagar AS DOUBLE) AS a_pagar, CAST(em_atraso AS DOUBLE) AS em_atraso,
-       CAST(a_pagar AS DOUBLE) + CAST(em_atraso AS DOUBLE) AS a_pagar_total
-FROM q1, q2, q3"""
+SELECT CAST((SELECT pago FROM q1) AS DOUBLE) AS pago, CAST((SELECT a_pagar FROM q2) AS DOUBLE) AS a_pagar,
+       CAST((SELECT em_atraso FROM q3) AS DOUBLE) AS em_atraso,
+       CAST((SELECT a_pagar FROM q2) AS DOUBLE) + CAST((SELECT em_atraso FROM q3) AS DOUBLE) AS a_pagar_total"""
 
 
 def contas_pagar_dia_mes_atual(f: ReportFilters, as_of: dt.datetime) -> str:
