@@ -64,12 +64,28 @@ class ErpTables:
     month_partitions: dict = field(default_factory=dict)
     _bcast: dict = field(default_factory=dict, repr=False)
     _sides: dict = field(default_factory=dict, repr=False)
+    _tables: dict = field(default_factory=dict, repr=False)
 
     # ------------------------------------------------------------------ access
     def table(self, name: str, need: Iterable[str] | None = None) -> DataFrame:
         """A base table.  ``need`` lets a source skip work for unused columns
-        (the fixture skips the order join behind freight's customer)."""
-        return self.loader(name, frozenset(need) if need is not None else None)
+        (the fixture skips the order join behind freight's customer).
+
+        DataFrames are memoised per bundle, so file listing and schema reads
+        happen once per bundle, not once per report; build a new bundle (or
+        call :meth:`refresh`) to see files written since."""
+        key = (name, frozenset(need) if need is not None else None)
+        df = self._tables.get(key)
+        if df is None:
+            df = self.loader(name, key[1])
+            self._tables[key] = df
+        return df
+
+    def refresh(self) -> None:
+        """Forget memoised tables, lookup sides and size checks."""
+        self._tables.clear()
+        self._sides.clear()
+        self._bcast.clear()
 
     def lookup_side(self, name: str) -> DataFrame:
         """Dimension ready for a fact->dim join: broadcast-hinted only when its
