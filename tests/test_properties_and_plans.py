@@ -212,3 +212,21 @@ def test_refresh_months_and_tenant_union(spark, t):
     single = _totals(plans.kpi_filial(t, ReportFilters(), AS_OF), "faturamento")[0]
     assert _totals(per.filter("codempresa = 1"), "faturamento")[0] == single
     assert _totals(per, "faturamento")[0] == pytest.approx(2 * single)
+
+
+def test_audit_sink_and_tenant_lookup(spark):
+    from freightlens.plans.audit import accepted, write_audit
+    from freightlens.sources import fixtures as fx
+    from freightlens.sources import tenant_source, tenant_sources
+
+    path = os.path.join(tempfile.mkdtemp(prefix="fl-audit-"), "tbauditoria")
+    rows = accepted(fx.audit_events(spark, SF))
+    write_audit(rows, path)
+    write_audit(rows, path)                       # append
+    back = spark.read.parquet(path)
+    assert back.count() == 2 * rows.count() and "dia" in back.columns
+    companies = fx.tbempresas(spark, SF)
+    one = tenant_source(companies, 3).collect()
+    assert len(one) == 1 and one[0].ipbd == "10.0.0.3" and one[0].caminhobd.count(chr(92)) == 4
+    assert tenant_source(companies, 999).count() == 0          # unknown tenant -> empty (K15)
+    assert tenant_sources(companies).count() == 20             # keys % 5 == 0 are inactive
