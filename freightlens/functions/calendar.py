@@ -84,3 +84,26 @@ def since_year(date_col, as_of: dt.datetime | dt.date | None, years_back: int) -
     """``year(date) >= year(as_of) - years_back`` as a range."""
     y = as_of_date(as_of).year - years_back
     return _c(date_col) >= F.lit(dt.date(y, 1, 1))
+
+
+def resolve_clock(as_of: dt.datetime | dt.date | None) -> dt.datetime | dt.date:
+    """One clock per request.  ``None`` becomes "now" (UTC wall clock,
+    matching the UTC session time zone) once, so the default period and the
+    status rules cannot disagree around midnight."""
+    if as_of is None:
+        return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    return as_of
+
+
+def single_clock(report):
+    """Decorator for ``report(tables, filters, as_of)``: resolve ``as_of``
+    once before the report builds its plan."""
+    import functools
+
+    @functools.wraps(report)
+    def run(t, filters=None, as_of=None):
+        from ..operators.filters import NO_FILTERS
+
+        return report(t, filters if filters is not None else NO_FILTERS, resolve_clock(as_of))
+
+    return run

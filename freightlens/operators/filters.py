@@ -89,9 +89,20 @@ def in_period(col, period: Period) -> Column:
     return (c >= F.lit(period.start)) & (c <= F.lit(period.end))
 
 
+def _coerce(values: list, type_name: str) -> list:
+    """Filter values in the column's type (a numeric code for a text column
+    is compared as text, never by casting the column under ANSI)."""
+    if type_name == "string":
+        return [None if v is None else str(v) for v in values]
+    if type_name in ("integer", "long", "short", "byte"):
+        return [None if v is None else int(v) for v in values]
+    return values
+
+
 def isin_or_semi(df: DataFrame, column: str, values: list) -> DataFrame:
     """F2 for one column: ``IN`` for short lists, broadcast semi join for long
     ones (the list size is known on the driver, so the broadcast is bounded)."""
+    values = _coerce(values, df.schema[column].dataType.typeName())
     if len(values) <= ISIN_MAX:
         return df.filter(F.col(column).isin(values))
     spark = df.sparkSession

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import PAYABLE_STATUS_OPEN, PAYABLE_STATUS_OVERDUE, as_double
-from ..functions.calendar import current_month
+from ..functions.calendar import single_clock, current_month
 from ..operators.aggregates import conditional_totals, sum_by, two_roles
 from ..operators.filters import NO_FILTERS, ReportFilters, apply_filters, in_period, needed_filter_columns, resolve_period
 from ..sources.erp import ErpTables
@@ -20,6 +20,7 @@ def _rows(t: ErpTables, filters: ReportFilters, as_of, need, prune=None) -> Data
     return apply_filters(payables_view(t, as_of, need=need, prune=prune), filters, FIELDS)
 
 
+@single_clock
 def big_numbers_contas_pagar(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q18: paid in the period (movement date), open and due in the period,
     everything overdue (no period, K18) and their total; one scan."""
@@ -47,6 +48,7 @@ def big_numbers_contas_pagar(t: ErpTables, filters: ReportFilters = NO_FILTERS,
     )
 
 
+@single_clock
 def contas_pagar_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q19 (U8): by day of the current month, payments on their movement day
     and open balances on their due day; one scan."""
@@ -72,6 +74,7 @@ def contas_pagar_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS
     ).orderBy(*tc, "dia")
 
 
+@single_clock
 def a_pagar_fornecedor(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q20 (U9, P11): open balance due in the period plus every overdue
     balance, by supplier; disjoint arms -> one filter, one scan."""
@@ -87,6 +90,7 @@ def a_pagar_fornecedor(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=
     ).orderBy(*tc, F.desc("a_pagar"), "codfornecedor", "fornecedor")
 
 
+@single_clock
 def tabela_a_pagar(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q21: balance by due date, supplier, transaction type and account for
     titles due in the period, whatever their status (K17); newest first."""

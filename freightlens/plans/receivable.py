@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import RECEIVABLE_STATUS_OPEN, RECEIVABLE_STATUS_OVERDUE, as_double
-from ..functions.calendar import current_month
+from ..functions.calendar import single_clock, current_month
 from ..operators.aggregates import conditional_totals, sum_by, two_roles
 from ..operators.filters import NO_FILTERS, ReportFilters, apply_filters, in_period, needed_filter_columns, resolve_period
 from ..sources.erp import ErpTables
@@ -20,6 +20,7 @@ def _rows(t: ErpTables, filters: ReportFilters, as_of, need, prune=None) -> Data
     return apply_filters(receivables_view(t, as_of, need=need, prune=prune), filters, FIELDS)
 
 
+@single_clock
 def big_numbers_contas_receber(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q12: received in the period (receipt date), open and due in the period,
     everything overdue (no period, K18), their total, and the mean days to
@@ -53,6 +54,7 @@ def big_numbers_contas_receber(t: ErpTables, filters: ReportFilters = NO_FILTERS
     )
 
 
+@single_clock
 def recebimentos_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q13 (U6): by day of the current month, receipts on their receipt day
     and open balances on their due day; one scan, a row may feed both."""
@@ -79,6 +81,7 @@ def recebimentos_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS
     ).orderBy(*tc, "dia")
 
 
+@single_clock
 def a_receber_cliente(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q14 (U7, P11): open balance due in the period plus every overdue
     balance, by customer.  The two arms are disjoint by status, so one
@@ -97,6 +100,7 @@ def a_receber_cliente(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=N
     ).orderBy(*tc, F.desc("a_receber"), "codcliente", "cliente")
 
 
+@single_clock
 def tabela_a_receber(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q15: balance by due date, customer, city, UF, product and account for
     titles due in the period, whatever their status (K17); newest first."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_count, as_double, city_uf, pct_change, safe_ratio
-from ..functions.calendar import as_of_date, current_month, since_year
+from ..functions.calendar import single_clock, as_of_date, current_month, since_year
 from ..operators.aggregates import sum_by, two_period_totals, zero_fill_union
 from ..operators.filters import (
     NO_FILTERS,
@@ -117,6 +117,7 @@ def _ops_output() -> list:
 
 
 # ----------------------------------------------------------------------- Q1
+@single_clock
 def big_numbers(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q1: revenue, volume, shipments, average ticket, costs, tolls and margin
     for the period and the prior period (-365 days), with percent changes.
@@ -203,6 +204,7 @@ def big_numbers(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -
 
 
 # ----------------------------------------------------------------------- Q2
+@single_clock
 def kpi_mes_ano(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q2: volume, shipments and revenue by year/month, from two years before
     ``as_of`` onwards (F7, K19; later years pass)."""
@@ -218,6 +220,7 @@ def kpi_mes_ano(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -
 
 
 # ----------------------------------------------------------------------- Q3
+@single_clock
 def kpi_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q3: volume, shipments and revenue by day of the current month."""
     tc = list(t.tenant_cols)
@@ -232,6 +235,7 @@ def kpi_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=N
 
 
 # ------------------------------------------------------------------- Q4-Q6
+@single_clock
 def kpi_filial(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q4: volume, shipments and revenue by branch in the period."""
     tc = list(t.tenant_cols)
@@ -247,6 +251,7 @@ def kpi_filial(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) ->
     ).orderBy(*tc, F.desc("faturamento"), "codfilial", "filial")
 
 
+@single_clock
 def kpi_regiao(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q5: volume, shipments and revenue by macro-region in the period."""
     tc = list(t.tenant_cols)
@@ -260,6 +265,7 @@ def kpi_regiao(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) ->
     return agg.select(*tc, "regiao", *_ops_output()).orderBy(*tc, F.desc("faturamento"), "regiao")
 
 
+@single_clock
 def kpi_cidade(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q6: by city code and ``cidade-UF`` (A7).  Receivables take the code
     from the destination city but the name from the payment city (K1), so one
@@ -291,6 +297,7 @@ def _receivable_period_rows(t, filters, as_of, need) -> DataFrame:
     return apply_filters(rec, filters, fields)
 
 
+@single_clock
 def kpi_cliente(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q7: revenue by customer in the period (receipt date)."""
     tc = list(t.tenant_cols)
@@ -302,6 +309,7 @@ def kpi_cliente(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -
     ).orderBy(*tc, F.desc("faturamento"), "codcliente", "cliente")
 
 
+@single_clock
 def kpi_produto(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q8: revenue by product in the period (receipt date)."""
     tc = list(t.tenant_cols)
@@ -313,6 +321,7 @@ def kpi_produto(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -
     ).orderBy(*tc, F.desc("faturamento"), "codpro", "produto")
 
 
+@single_clock
 def tabela_faturamento(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -> DataFrame:
     """Q9: receivable detail rows received in the period (no order, R3)."""
     tc = list(t.tenant_cols)

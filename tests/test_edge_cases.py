@@ -345,3 +345,12 @@ def test_aggregate_and_shaping_helpers(spark):
     assert sorted(x.amount for x in c.collect()) == [0.0, 1.5, 2.0]
     js = to_json_rows(c).collect()
     assert len(js) == 3 and all(x.json.startswith("{") for x in js)
+
+
+def test_default_clock_and_typed_filter_values(spark):
+    t = tables(spark, factrc=[invoice(1, rec=d(2000, 6, 1), cgccpffatura="1")])
+    # no filters, no clock: one "now" for period and status, no error
+    assert plans.big_numbers_contas_receber(t).count() == 1
+    # a numeric code for a text column is compared as text (no ANSI cast error)
+    got = plans.tabela_faturamento(t, ReportFilters(codcliente=1, data_inicio=d(2000, 5, 1)), AS_OF).count()
+    assert got == 1
