@@ -15,6 +15,7 @@ from .revenue import (
     operations,
     tabela_faturamento,
 )
+from .responses import response, response_json
 from .views import as_output, city_view, city_view_of, freight_view, payables_view, receivables_view
 
 #: Reports that take (tables, filters, as_of), by their reference name.

@@ -230,3 +230,39 @@ def test_audit_sink_and_tenant_lookup(spark):
     assert len(one) == 1 and one[0].ipbd == "10.0.0.3" and one[0].caminhobd.count(chr(92)) == 4
     assert tenant_source(companies, 999).count() == 0          # unknown tenant -> empty (K15)
     assert tenant_sources(companies).count() == 20             # keys % 5 == 0 are inactive
+
+
+def test_response_shapes(t):
+    import json
+
+    from freightlens.plans.responses import SHAPES, response, response_json
+
+    assert set(SHAPES) == set(plans.REPORTS)
+    for name, fn in plans.REPORTS.items():
+        flat = fn(t, ReportFilters(), AS_OF)
+        out = response(name, flat)
+        kind = SHAPES[name][0]
+        if kind == "rows":
+            assert out.count() == flat.count()
+            continue
+        m = out.collect()[0].dados
+        key = SHAPES[name][1]
+        if kind == "map":
+            # one entry per distinct code, as the reference's dict keeps it
+            assert len(m) == flat.select(key).distinct().count()
+        else:
+            assert sum(len(v) for v in m.values()) == flat.count()
+        text = response_json(name, flat).collect()[0].json
+        assert isinstance(json.loads(text), dict)
+    cid = response("kpi_cidade", plans.kpi_cidade(t, ReportFilters(), AS_OF)).collect()[0].dados
+    assert {k: v.cidade for k, v in cid.items()} == dict_fill(plans.kpi_cidade(t, ReportFilters(), AS_OF).collect())
+
+
+def dict_fill(rows):
+    """The reference's dict fill in plain Python: rows by faturamento DESC
+    (ties: label DESC, so the smallest label comes last), later rows
+    overwrite the earlier entry of the same code."""
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.faturamento, r.cidade or ""), reverse=True):
+        out["null" if r.codcid is None else r.codcid] = r.cidade
+    return out
