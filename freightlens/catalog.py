@@ -53,7 +53,10 @@ FILTERED: dict[str, ReportFilters] = {
 #: Forward period (K25): open balances only appear when the period ends later
 #: than the clock.
 FORWARD = ReportFilters(data_inicio=dt.date(2000, 6, 1), data_fim=dt.date(2000, 7, 31))
-FORWARD_REPORTS = ("big_numbers_contas_receber", "a_receber_cliente", "big_numbers_contas_pagar", "a_pagar_fornecedor")
+FORWARD_REPORTS = (
+    "big_numbers_contas_receber", "a_receber_cliente", "tabela_a_receber",
+    "big_numbers_contas_pagar", "a_pagar_fornecedor", "tabela_a_pagar", "big_numbers",
+)
 
 _TABLES: dict = {}
 
