@@ -163,6 +163,16 @@ def test_small_dimensions_are_broadcast_after_a_size_check(spark):
     tb = ErpTables.from_fixture(spark, SF, broadcast_max_bytes=1000)
     plans.receivables_view(tb, AS_OF, need={"filial", "cliente"}).count()
     assert tb._bcast == {"tbfil": False, "tbcli": False}
+    # the non-broadcast path (planner's choice, sort-merge without AQE's help) gives the same rows
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = plans.kpi_cliente(tb, ReportFilters(), AS_OF)
+        assert "SortMergeJoin" in _plan(big)
+        assert _rows(big) == _rows(plans.kpi_cliente(ErpTables.from_fixture(spark, SF), ReportFilters(), AS_OF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     tb2 = ErpTables.from_fixture(spark, SF)
     plans.receivables_view(tb2, AS_OF, need={"filial", "cliente"}).count()
     assert tb2._bcast == {"tbfil": True, "tbcli": True}
