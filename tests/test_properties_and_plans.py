@@ -276,3 +276,13 @@ def dict_fill(rows):
     for r in sorted(rows, key=lambda r: (r.faturamento, r.cidade or ""), reverse=True):
         out["null" if r.codcid is None else r.codcid] = r.cidade
     return out
+
+
+def test_no_cross_or_nested_loop_joins_in_any_registered_query(spark):
+    import __spark_entry__ as E
+
+    for name, q in E.queries().items():
+        if name == "audit_stream_append":       # runs a stream; its plan is N1's
+            continue
+        p = _plan(q(spark, SF))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
