@@ -354,3 +354,35 @@ def test_default_clock_and_typed_filter_values(spark):
     # a numeric code for a text column is compared as text (no ANSI cast error)
     got = plans.tabela_faturamento(t, ReportFilters(codcliente=1, data_inicio=d(2000, 5, 1)), AS_OF).count()
     assert got == 1
+
+
+def test_hot_key_join_is_split_by_aqe(spark):
+    """Without broadcast, a customer holding a third of the invoices makes a
+    skewed sort-merge partition; AQE splits it (skew=true) and the result is
+    unchanged."""
+    hot = [invoice(i, rec=d(2000, 6, 1), recbto=D("1.00"), cgccpffatura="00000000000007") for i in range(1, 30001)]
+    cold = [invoice(10000 + i, rec=d(2000, 6, 2), recbto=D("2.00"), cgccpffatura=f"{i % 500 + 100:014d}")
+            for i in range(6000)]
+    clis = [("00000000000007", "HOT")] + [(f"{i + 100:014d}", f"C{i}") for i in range(500)]
+    t = tables(spark, factrc=hot + cold, tbcli=clis)
+    t.broadcast_max_bytes = 1
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = plans.kpi_cliente(t, ReportFilters(), AS_OF)
+        rows = {r.codcliente: r.faturamento for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert rows["00000000000007"] == 30000.0 and len(rows) == 501
+    assert "SortMergeJoin" in plan and "skew=true" in plan
