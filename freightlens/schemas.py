@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import (
-    BooleanType,
     DataType,
     DateType,
     DecimalType,
+    DoubleType,
     IntegerType,
     LongType,
     StringType,
@@ -76,13 +76,17 @@ AUDIT_IN = _s(
     ("user_agent", StringType()), ("ip_address", StringType()),
 )
 
+#: Raw request events as they arrive (input of the audit mapping and stream).
+EVENTS_RAW = _s(
+    ("event_id", LongType()), ("ts", TimestampNTZType()), ("user_id", LongType()), ("event_type", StringType()),
+    ("value", DoubleType()), ("props", StringType()),
+)
+
 ERP_SCHEMAS = {
     "tbfil": TBFIL, "tbcli": TBCLI, "tbcid": TBCID, "tbpro": TBPRO, "tbcta": TBCTA, "tbfor": TBFOR,
     "tbhis": TBHIS, "factrc": FACTRC, "frctrc": FRCTRC, "cptit": CPTIT,
 }
 
-_BOOL = BooleanType()  # re-exported for tests building flags
-
 
 def frame(spark: SparkSession, name: str, rows: list[tuple | dict]) -> DataFrame:
     """A base table from Python rows with its fixed schema."""

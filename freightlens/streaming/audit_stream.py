@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.audit import AUDIT_COLS, accepted
+from ..schemas import EVENTS_RAW
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import audit_events, audit_rows
 
 
 def raw_event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet", max_files: int = 1) -> DataFrame:
-    """Stream the driver's raw events Parquet as it arrives in ``folder``."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{file_glob}").schema
+    """Stream the raw events Parquet files as they arrive in ``folder``
+    (fixed schema, never inferred)."""
     return (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(EVENTS_RAW)
         .option("pathGlobFilter", file_glob)
         .option("maxFilesPerTrigger", max_files)
         .parquet(folder)
