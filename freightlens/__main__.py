@@ -45,7 +45,8 @@ def main(argv=None) -> None:
     p.add_argument("--master", default=None, help="local master for a standalone run, e.g. local[8]")
     a = p.parse_args(argv)
 
-    spark = build_session(a.master) if a.master else build_session()
+    # no --master: keep the launcher's (spark-submit) master and cluster sizing
+    spark = build_session(a.master, shuffle_partitions=8 if a.master else None)
     apply_report_conf(spark)
     t = ErpTables.from_fixture(spark, a.data) if a.data else ErpTables.from_parquet(spark, a.warehouse)
     if a.report in plans.LISTS:

@@ -33,19 +33,21 @@ REPORT_CONF = {
 
 
 def build_session(
-    master: str = "local[*]",
-    shuffle_partitions: int = 8,
+    master: str | None = "local[*]",
+    shuffle_partitions: int | None = 8,
     app_name: str = "freightlens",
     extra: dict | None = None,
 ) -> SparkSession:
-    """Local/test session. On a cluster use the provided session instead."""
-    b = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("FREIGHTLENS_DRIVER_MEMORY", "8g"))
-    )
+    """Local/test session.  With ``master=None`` the launcher's master and
+    cluster settings are kept (spark-submit); only the report SQL options are
+    added."""
+    b = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+    if master is not None:
+        b = b.master(master).config(
+            "spark.driver.memory", os.environ.get("FREIGHTLENS_DRIVER_MEMORY", "8g")
+        )
+    if shuffle_partitions is not None:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**REPORT_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
