@@ -286,3 +286,17 @@ def test_no_cross_or_nested_loop_joins_in_any_registered_query(spark):
             continue
         p = _plan(q(spark, SF))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_command_line_runner(spark):
+    import json
+
+    from freightlens.__main__ import main
+
+    out = os.path.join(tempfile.mkdtemp(prefix="fl-cli-"), "kf")
+    main(["kpi_filial", "--data", SF, "--codfilial", "1,2,3", "--as-of", "2000-06-15 12:00:00",
+          "--inicio", "1998-01-01", "--out", out, "--master", "local[2]"])
+    text = spark.read.text(out).collect()
+    assert len(text) == 1
+    m = json.loads(text[0].value)
+    assert set(m) <= {"1", "2", "3"} and m
