@@ -132,6 +132,23 @@ class ErpTables:
             cond = c if cond is None else (cond | c)
         return df.filter(cond)
 
+    def for_tenant(self, code) -> "ErpTables":
+        """One tenant's view of a multi-tenant bundle (the reference's
+        per-request company).  Every table is filtered on the tenant column,
+        which prunes the tenant partition of a staged warehouse, and the
+        column is dropped, so reports run with single-tenant semantics."""
+        if not self.tenant_cols:
+            return self
+        col = self.tenant_cols[0]
+        parent = self
+
+        def load(name: str, need: frozenset | None) -> DataFrame:
+            return parent.table(name, need).filter(F.col(col) == F.lit(code)).drop(col)
+
+        return ErpTables(
+            self.spark, load, (), self.broadcast_max_bytes, self.broadcast_max_rows, dict(self.month_partitions)
+        )
+
     @property
     def multi_tenant(self) -> bool:
         return bool(self.tenant_cols)
@@ -245,8 +262,8 @@ def refresh_months(tables: ErpTables, root: str, months: list[int], max_records_
 def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
     """Write the bundle as a Parquet warehouse.
 
-    Facts are partitioned by the month of their main date (``particao_mes``,
-    yyyymm INT); reports pass their periods as pruning hints
+    Facts are partitioned by tenant (multi-tenant bundles) and by the month of
+    their main date (``particao_mes``, yyyymm INT); reports pass their periods as pruning hints
     (:meth:`ErpTables.prune`), so whole months are skipped.  Before writing,
     facts are range-partitioned on (main date, document key): tasks get
     balanced ranges, each task writes only the few months its range covers
@@ -256,17 +273,21 @@ def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per
     """
     root = root.rstrip("/")
     for name in DIMENSIONS:
-        tables.table(name).write.mode(mode).parquet(f"{root}/{name}")
+        dim = tables.table(name).write.mode(mode)
+        if tables.tenant_cols:
+            dim = dim.partitionBy(*tables.tenant_cols)
+        dim.parquet(f"{root}/{name}")
     for name in FACTS:
         df = tables.table(name)
         main = FACT_MAIN_DATE[name]
         month = (F.year(main) * 100 + F.month(main)).alias(PARTITION_COL)
+        parts = [*tables.tenant_cols, PARTITION_COL]
         (
             df.select("*", month)
-            .repartitionByRange(main, FACT_KEY[name])
-            .sortWithinPartitions(main, FACT_SORT_COL[name])
+            .repartitionByRange(*tables.tenant_cols, main, FACT_KEY[name])
+            .sortWithinPartitions(*tables.tenant_cols, main, FACT_SORT_COL[name])
             .write.mode(mode)
             .option("maxRecordsPerFile", max_records_per_file)
-            .partitionBy(PARTITION_COL)
+            .partitionBy(*parts)
             .parquet(f"{root}/{name}")
         )

@@ -300,3 +300,20 @@ def test_command_line_runner(spark):
     assert len(text) == 1
     m = json.loads(text[0].value)
     assert set(m) <= {"1", "2", "3"} and m
+
+
+def test_multi_tenant_warehouse_and_one_tenant(spark):
+    multi = ErpTables.from_fixture(spark, SF, multi_tenant=True)
+    root = tempfile.mkdtemp(prefix="fl-wh-mt-")
+    stage(multi, root)
+    w = ErpTables.from_parquet(spark, root, tenant_cols=("codempresa",))
+    everyone = _rows(plans.kpi_filial(w, ReportFilters(), AS_OF).filter("codempresa = 1").drop("codempresa"))
+    one = plans.kpi_filial(w.for_tenant(1), ReportFilters(), AS_OF)
+    assert "codempresa" not in one.columns
+    assert _rows(one) == everyone and everyone
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        plan = _plan(plans.kpi_filial(w.for_tenant(1), ReportFilters(), AS_OF))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "(codempresa = 1), (particao_mes >= 200005), (particao_mes <= 200006)]" in plan
