@@ -386,3 +386,24 @@ def test_hot_key_join_is_split_by_aqe(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert rows["00000000000007"] == 30000.0 and len(rows) == 501
     assert "SortMergeJoin" in plan and "skew=true" in plan
+
+
+def test_small_registry_and_filter_helpers(spark):
+    from freightlens.operators.filters import filter_predicate, lookup
+    from freightlens.operators.registry import apply_inserts, delete_keys, insert_outcomes, split_by_cpf
+    from freightlens.operators.shaping import one_row
+
+    users = spark.createDataFrame([(1, "52998224725"), (2, "123")], "codusuario int, cpfusuario string")
+    ok, bad = split_by_cpf(users)
+    assert [r.codusuario for r in ok.collect()] == [1] and [r.codusuario for r in bad.collect()] == [2]
+    batch = spark.createDataFrame([(3, "11144477735", 1)], "codusuario int, cpfusuario string, seq int")
+    out = insert_outcomes(users, batch, "cpfusuario", "seq")
+    after = apply_inserts(users, out)
+    assert sorted(r.codusuario for r in after.collect()) == [1, 2, 3]
+    assert delete_keys(after, spark.createDataFrame([("123",)], "cpfusuario string"), "cpfusuario").count() == 2
+    assert lookup(after, "codusuario", 3).count() == 1
+    pred = filter_predicate(ReportFilters(codfilial=[1], ano=None), {"codfilial": "codusuario", "ano": "seq"})
+    assert after.filter(pred).count() == 1
+    assert filter_predicate(ReportFilters(), {"codfilial": "codusuario"}) is None
+    zero = one_row(users.filter("false").agg(F.sum("codusuario").alias("s")), {"s": F.lit(0)})
+    assert zero.collect()[0].s == 0
