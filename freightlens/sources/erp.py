@@ -9,8 +9,10 @@
 
 Dimension lookups go through :meth:`ErpTables.lookup_side`, which broadcasts a
 dimension only after checking its size: at most ``broadcast_max_bytes`` /
-(estimated row width) rows, counted with ``limit(n + 1).count()`` (bounded
-work).  Larger dimensions are left to the planner: sort-merge join (AQE splits
+(estimated row width) rows, counted with ``limit(n + 1).count()`` (at most
+n + 1 rows per input split, once per bundle).  ``broadcast_policy`` skips the
+check for dimensions known to be small (branches, accounts) or large
+(customers at scale).  Larger dimensions are left to the planner: sort-merge join (AQE splits
 skewed partitions), or AQE's runtime broadcast when it measures them small.
 """
 
@@ -62,6 +64,9 @@ class ErpTables:
     #: table -> date column whose month (yyyymm INT) is the Parquet partition
     #: column ``particao_mes`` (staged warehouse); empty for other sources.
     month_partitions: dict = field(default_factory=dict)
+    #: dimension -> True (always broadcast, domain-bounded) / False (never);
+    #: dimensions not listed get the size check.
+    broadcast_policy: dict = field(default_factory=dict)
     _bcast: dict = field(default_factory=dict, repr=False)
     _sides: dict = field(default_factory=dict, repr=False)
     _tables: dict = field(default_factory=dict, repr=False)
@@ -96,11 +101,12 @@ class ErpTables:
         if side is not None:
             return side
         df = self.table(name)
-        small = self._bcast.get(name)
+        small = self._bcast.get(name, self.broadcast_policy.get(name))
         if small is None:
+            # reads at most limit+1 rows per input split, once per bundle
             limit = self.broadcast_row_limit(df)
             small = df.limit(limit + 1).count() <= limit
-            self._bcast[name] = small
+        self._bcast[name] = small
         side = F.broadcast(df) if small else df
         self._sides[name] = side
         return side
@@ -146,7 +152,8 @@ class ErpTables:
             return parent.table(name, need).filter(F.col(col) == F.lit(code)).drop(col)
 
         return ErpTables(
-            self.spark, load, (), self.broadcast_max_bytes, self.broadcast_max_rows, dict(self.month_partitions)
+            self.spark, load, (), self.broadcast_max_bytes, self.broadcast_max_rows, dict(self.month_partitions),
+            dict(self.broadcast_policy),
         )
 
     @property

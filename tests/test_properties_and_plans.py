@@ -317,3 +317,10 @@ def test_multi_tenant_warehouse_and_one_tenant(spark):
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "(codempresa = 1), (particao_mes >= 200005), (particao_mes <= 200006)]" in plan
+
+
+def test_broadcast_policy_skips_the_check(spark):
+    tb = ErpTables.from_fixture(spark, SF, broadcast_policy={"tbcli": False, "tbfil": True})
+    df = plans.kpi_cliente(tb, ReportFilters(), AS_OF)
+    assert tb._bcast == {"tbcli": False}
+    assert _rows(df) == _rows(plans.kpi_cliente(ErpTables.from_fixture(spark, SF), ReportFilters(), AS_OF))
