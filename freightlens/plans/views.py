@@ -145,26 +145,26 @@ def receivables_view(
     if _uses(need, "conta"):
         f = lookup(f, t.lookup_side("tbcta"), "contareduz", "contareduz", {"nomeconta": "conta"}, tc)
 
-    now = as_of_lit(as_of)
     rec, due = F.col("datarecbto"), F.col("datavencto")
+    # built only for the selected columns (each expression costs driver calls)
     exprs = {
-        "cliente": F.col("cliente"),
-        "codcliente": F.col("cgccpffatura"),
-        "filial": F.col("filial"),
-        "codfilial": F.col("codfilfatur"),
-        "codcid": F.col("codciddes"),
-        "mes_recbto": month_name_pt(F.month(rec)),
-        "mes_numero": F.month(rec),
-        "ano_recbto": F.year(rec),
-        "dia_recbto": F.dayofmonth(rec),
-        "dia_vencto": F.dayofmonth(due),
-        "mes_numero_vencto": F.month(due),
-        "ano_vencto": F.year(due),
-        "dias_recebimento": days_between(rec, F.col("dataemissao")),
-        "condicao_fatura": receivable_status(F.col("vlrsaldo"), due, now),
+        "cliente": lambda: F.col("cliente"),
+        "codcliente": lambda: F.col("cgccpffatura"),
+        "filial": lambda: F.col("filial"),
+        "codfilial": lambda: F.col("codfilfatur"),
+        "codcid": lambda: F.col("codciddes"),
+        "mes_recbto": lambda: month_name_pt(F.month(rec)),
+        "mes_numero": lambda: F.month(rec),
+        "ano_recbto": lambda: F.year(rec),
+        "dia_recbto": lambda: F.dayofmonth(rec),
+        "dia_vencto": lambda: F.dayofmonth(due),
+        "mes_numero_vencto": lambda: F.month(due),
+        "ano_vencto": lambda: F.year(due),
+        "dias_recebimento": lambda: days_between(rec, F.col("dataemissao")),
+        "condicao_fatura": lambda: receivable_status(F.col("vlrsaldo"), due, as_of_lit(as_of)),
     }
     cols = _wanted(need, RECEIVABLE_VIEW_COLS)
-    return f.select(*tc, *[exprs[c].alias(c) if c in exprs else F.col(c) for c in cols])
+    return f.select(*tc, *[exprs[c]().alias(c) if c in exprs else F.col(c) for c in cols])
 
 
 def freight_view(t: ErpTables, need: Iterable[str] | None = None, prune: dict | None = None) -> DataFrame:
@@ -185,22 +185,22 @@ def freight_view(t: ErpTables, need: Iterable[str] | None = None, prune: dict |
         )
     em = F.col("dataemissao")
     exprs = {
-        "mes_emissao": month_name_pt(F.month(em)),
-        "ano_emissao": F.year(em),
-        "mes_numero": F.month(em),
-        "dia_emissao": F.dayofmonth(em),
-        "codfilial": F.col("codfilemite"),
-        "codcliente": F.col("cgccpfdestina"),
-        "codcid": F.col("codciddes"),
-        "pesofrete_ton": tonnes(F.col("totalpeso")),
-        "vlrcusto": row_cost(
+        "mes_emissao": lambda: month_name_pt(F.month(em)),
+        "ano_emissao": lambda: F.year(em),
+        "mes_numero": lambda: F.month(em),
+        "dia_emissao": lambda: F.dayofmonth(em),
+        "codfilial": lambda: F.col("codfilemite"),
+        "codcliente": lambda: F.col("cgccpfdestina"),
+        "codcid": lambda: F.col("codciddes"),
+        "pesofrete_ton": lambda: tonnes(F.col("totalpeso")),
+        "vlrcusto": lambda: row_cost(
             "vlrcarreto", "vlrseguromerca", "vlrpis", "vlriapas", "vlricmsst", "vlricms"
         ),
-        "embarque": flag(F.col("indctetpcte") == 0),
-        "faturado": flag(F.col("situacao") == "F"),
+        "embarque": lambda: flag(F.col("indctetpcte") == 0),
+        "faturado": lambda: flag(F.col("situacao") == "F"),
     }
     cols = _wanted(need, FREIGHT_VIEW_COLS)
-    return f.select(*tc, *[exprs[c].alias(c) if c in exprs else F.col(c) for c in cols])
+    return f.select(*tc, *[exprs[c]().alias(c) if c in exprs else F.col(c) for c in cols])
 
 
 def payables_view(
@@ -217,21 +217,20 @@ def payables_view(
         f = lookup(f, t.lookup_side("tbhis"), "codtransacao", "codtransacao", {"descricao": "transacao"}, tc)
     if _uses(need, "conta"):
         f = lookup(f, t.lookup_side("tbcta"), "contareduz", "contareduz", {"nomeconta": "conta"}, tc)
-    now = as_of_lit(as_of)
     mv, due = F.col("datamovto"), F.col("datavencto")
     exprs = {
-        "codfornecedor": F.col("cgccpfforne"),
-        "vlrpago": paid_amount(F.col("vlrtotal"), F.col("vlrsaldo")),
-        "dia_movto": F.dayofmonth(mv),
-        "mes_numero_movto": F.month(mv),
-        "ano_movto": F.year(mv),
-        "dia_vencto": F.dayofmonth(due),
-        "mes_numero_vencto": F.month(due),
-        "ano_vencto": F.year(due),
-        "condicao_fatura": payable_status(F.col("vlrsaldo"), due, now),
+        "codfornecedor": lambda: F.col("cgccpfforne"),
+        "vlrpago": lambda: paid_amount(F.col("vlrtotal"), F.col("vlrsaldo")),
+        "dia_movto": lambda: F.dayofmonth(mv),
+        "mes_numero_movto": lambda: F.month(mv),
+        "ano_movto": lambda: F.year(mv),
+        "dia_vencto": lambda: F.dayofmonth(due),
+        "mes_numero_vencto": lambda: F.month(due),
+        "ano_vencto": lambda: F.year(due),
+        "condicao_fatura": lambda: payable_status(F.col("vlrsaldo"), due, as_of_lit(as_of)),
     }
     cols = _wanted(need, PAYABLE_VIEW_COLS)
-    return f.select(*tc, *[exprs[c].alias(c) if c in exprs else F.col(c) for c in cols])
+    return f.select(*tc, *[exprs[c]().alias(c) if c in exprs else F.col(c) for c in cols])
 
 
 def as_output(df: DataFrame) -> DataFrame:
