@@ -164,12 +164,19 @@ def big_numbers(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=None) -
     )
     keys = tc
 
-    fat, fat_p = as_double(F.col("fat")), as_double(F.col("fat_p"))
-    cus, cus_p = as_double(F.col("custo")), as_double(F.col("custo_p"))
-    ped, ped_p = as_double(F.col("pedagio")), as_double(F.col("pedagio_p"))
-    vol, vol_p = as_double(F.col("volume")), as_double(F.col("volume_p"))
-    emb, emb_p = as_count(F.col("embarque")), as_count(F.col("embarque_p"))
-    ftd, ftd_p = as_count(F.col("faturado")), as_count(F.col("faturado_p"))
+    # totals as DOUBLE / BIGINT once (NULL -> 0), then the KPIs over them
+    tot = tot.select(
+        *keys,
+        *[as_double(F.col(c)).alias(c) for c in ("fat", "fat_p", "custo", "custo_p", "pedagio", "pedagio_p",
+                                                 "volume", "volume_p")],
+        *[as_count(F.col(c)).alias(c) for c in ("embarque", "embarque_p", "faturado", "faturado_p")],
+    )
+    fat, fat_p = F.col("fat"), F.col("fat_p")
+    cus, cus_p = F.col("custo"), F.col("custo_p")
+    ped, ped_p = F.col("pedagio"), F.col("pedagio_p")
+    vol, vol_p = F.col("volume"), F.col("volume_p")
+    emb, emb_p = F.col("embarque"), F.col("embarque_p")
+    ftd, ftd_p = F.col("faturado"), F.col("faturado_p")
 
     ticket = safe_ratio(fat, ftd)
     ticket_p_ok = (ftd != 0) & (ftd_p != 0) & (fat_p != 0)
