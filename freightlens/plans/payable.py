@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import PAYABLE_STATUS_OPEN, PAYABLE_STATUS_OVERDUE, as_double
-from ..functions.calendar import single_clock, current_month
+from ..functions.calendar import current_month, single_clock
 from ..operators.aggregates import conditional_totals, sum_by, two_roles
 from ..operators.filters import NO_FILTERS, ReportFilters, apply_filters, in_period, needed_filter_columns, resolve_period
 from ..sources.erp import ErpTables

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_count, as_double, city_uf, pct_change, safe_ratio
-from ..functions.calendar import single_clock, as_of_date, current_month, since_year
+from ..functions.calendar import as_of_date, current_month, since_year, single_clock
 from ..operators.aggregates import sum_by, two_period_totals, zero_fill_union
 from ..operators.filters import (
     NO_FILTERS,
