@@ -20,8 +20,9 @@ from freightlens.operators.filters import NO_FILTERS  # noqa: E402
 from freightlens.session import build_session, ensure_checkpoint_dir  # noqa: E402
 from freightlens.sources import stage  # noqa: E402
 
-REPORTS = ["big_numbers", "kpi_filial", "kpi_cliente", "big_numbers_contas_receber", "recebimentos_dia_mes_atual",
-           "a_pagar_fornecedor", "tabela_a_pagar"]
+REPORTS = list(plans.REPORTS)
+#: registered batch jobs over the control tables (fixture only)
+JOBS = ["users_insert_new", "companies_insert_new", "users_partial_update", "cpf_quality", "audit_normalised"]
 
 
 def _field(s: str, key: str, open_: str = "[", close: str = "]") -> str:
@@ -92,6 +93,15 @@ def main(argv) -> None:
             lines.extend(summary(plan))
             lines.append("```")
         lines.append("")
+    from freightlens import catalog
+
+    qs = catalog.all_queries()
+    for name in JOBS:
+        lines.append(f"## {name}\n")
+        lines.append("```")
+        lines.extend(summary(qs[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()))
+        lines.append("```")
+        lines.append("")
     with open(out_path, "w") as fh:
         fh.write("\n".join(lines) + "\n")
     print(out_path)
