@@ -9,7 +9,7 @@ from ..functions import PAYABLE_STATUS_OPEN, PAYABLE_STATUS_OVERDUE, as_double
 from ..functions.calendar import current_month, single_clock
 from ..operators.aggregates import conditional_totals, sum_by, two_roles
 from ..operators.filters import NO_FILTERS, ReportFilters, apply_filters, in_period, needed_filter_columns, resolve_period
-from ..sources.erp import ErpTables
+from ..sources.erp import OPEN_BALANCE, ErpTables
 from .views import payables_view
 
 FIELDS = {"codfornecedor": "codfornecedor", "codtransacao": "codtransacao"}
@@ -80,7 +80,11 @@ def a_pagar_fornecedor(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=
     balance, by supplier; disjoint arms -> one filter, one scan."""
     tc = list(t.tenant_cols)
     p = resolve_period(filters, as_of)
-    rows = _rows(t, filters, as_of, {"codfornecedor", "fornecedor", "vlrsaldo", "datavencto", "condicao_fatura"})
+    # only open or overdue titles count: settled history is skipped when staged
+    rows = _rows(
+        t, filters, as_of, {"codfornecedor", "fornecedor", "vlrsaldo", "datavencto", "condicao_fatura"},
+        prune={OPEN_BALANCE: True},
+    )
     status = F.col("condicao_fatura")
     rows = rows.filter(((status == PAYABLE_STATUS_OPEN) & in_period("datavencto", p)) | (status == PAYABLE_STATUS_OVERDUE))
     agg = sum_by(rows, tc + ["codfornecedor", "fornecedor"], {"a_pagar": "vlrsaldo"})

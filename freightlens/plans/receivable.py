@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import RECEIVABLE_STATUS_OPEN, RECEIVABLE_STATUS_OVERDUE, as_double
-from ..functions.calendar import current_month, single_clock
+from ..functions.calendar import as_of_date, current_month, single_clock
 from ..operators.aggregates import conditional_totals, sum_by, two_roles
 from ..operators.filters import NO_FILTERS, ReportFilters, apply_filters, in_period, needed_filter_columns, resolve_period
-from ..sources.erp import ErpTables
+from ..sources.erp import OPEN_BALANCE, ErpTables
 from .views import receivables_view
 
 FIELDS = {"codfilial": "codfilial", "codcliente": "codcliente"}
@@ -30,6 +30,7 @@ def big_numbers_contas_receber(t: ErpTables, filters: ReportFilters = NO_FILTERS
     rows = _rows(
         t, filters, as_of,
         {"datarecbto", "datavencto", "vlrrecbto", "vlrsaldo", "condicao_fatura", "dias_recebimento"},
+        prune={"datarecbto": [(p.start, p.end)], OPEN_BALANCE: True},
     )
     status = F.col("condicao_fatura")
     received = in_period("datarecbto", p)
@@ -59,7 +60,12 @@ def recebimentos_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS
     """Q13 (U6): by day of the current month, receipts on their receipt day
     and open balances on their due day; one scan, a row may feed both."""
     tc = list(t.tenant_cols)
-    rows = _rows(t, filters, as_of, {"datarecbto", "datavencto", "dia_recbto", "dia_vencto", "vlrrecbto", "vlrsaldo", "condicao_fatura"})
+    first = as_of_date(as_of).replace(day=1)
+    rows = _rows(
+        t, filters, as_of,
+        {"datarecbto", "datavencto", "dia_recbto", "dia_vencto", "vlrrecbto", "vlrsaldo", "condicao_fatura"},
+        prune={"datarecbto": [(first, first)], OPEN_BALANCE: True},
+    )
     # Implied by the two roles but free of the computed status, so Parquet can
     # skip row groups on the two date ranges.
     rows = rows.filter(current_month("datarecbto", as_of) | current_month("datavencto", as_of))
@@ -88,7 +94,11 @@ def a_receber_cliente(t: ErpTables, filters: ReportFilters = NO_FILTERS, as_of=N
     filter over one scan replaces the UNION ALL."""
     tc = list(t.tenant_cols)
     p = resolve_period(filters, as_of)
-    rows = _rows(t, filters, as_of, {"codcliente", "cliente", "vlrsaldo", "datavencto", "condicao_fatura"})
+    # only open or overdue titles count: settled history is skipped when staged
+    rows = _rows(
+        t, filters, as_of, {"codcliente", "cliente", "vlrsaldo", "datavencto", "condicao_fatura"},
+        prune={OPEN_BALANCE: True},
+    )
     status = F.col("condicao_fatura")
     rows = rows.filter(
         ((status == RECEIVABLE_STATUS_OPEN) & in_period("datavencto", p)) | (status == RECEIVABLE_STATUS_OVERDUE)

@@ -34,6 +34,12 @@ FACTS = ("factrc", "frctrc", "cptit")
 FACT_MAIN_DATE = {"factrc": "datarecbto", "frctrc": "dataemissao", "cptit": "datavencto"}
 #: Partition column of staged facts: month of the main date as yyyymm.
 PARTITION_COL = "particao_mes"
+#: Open-balance partition flag of staged receivables/payables: the balance is
+#: not zero (or unknown), i.e. the title can still be open or overdue.
+OPEN_COL = "tem_saldo"
+OPEN_FACTS = ("factrc", "cptit")
+#: Key of a pruning hint meaning "or any title with an open balance".
+OPEN_BALANCE = "__open_balance__"
 #: Unique document key of each fact.
 FACT_KEY = {"factrc": "nrofatura", "frctrc": "nroctrc", "cptit": "nrocontrole"}
 #: Sort column inside each staged file (tightens row-group statistics).
@@ -64,6 +70,8 @@ class ErpTables:
     #: table -> date column whose month (yyyymm INT) is the Parquet partition
     #: column ``particao_mes`` (staged warehouse); empty for other sources.
     month_partitions: dict = field(default_factory=dict)
+    #: facts with the open-balance partition flag ``tem_saldo`` (staged warehouse)
+    open_partitions: frozenset = frozenset()
     #: dimension -> True (always broadcast, domain-bounded) / False (never);
     #: dimensions not listed get the size check.
     broadcast_policy: dict = field(default_factory=dict)
@@ -120,23 +128,38 @@ class ErpTables:
     def prune(self, name: str, df: DataFrame, ranges: dict | None) -> DataFrame:
         """Partition pruning hint.
 
-        ``ranges`` maps a date column to a list of ``(start, end)`` date
-        ranges (``end`` None = open) that the caller will filter on anyway.
-        When ``name`` is partitioned by that column's month, the same ranges
-        become a predicate on the partition column, so whole month folders
-        are skipped.  Otherwise nothing is added.
+        ``ranges`` describes the rows the caller will keep anyway, as
+        alternatives: date column -> list of ``(start, end)`` date ranges
+        (``end`` None = open), and optionally ``OPEN_BALANCE: True`` for
+        "or any title whose balance is not zero".  When every alternative
+        maps to a partition column of ``name`` (the month of its main date,
+        the open-balance flag) the same alternatives become a partition
+        predicate, so settled history and other months are skipped.
+        Otherwise nothing is added: the hint never changes results.
         """
-        col = self.month_partitions.get(name)
-        if not ranges or col is None or col not in ranges:
+        if not ranges:
             return df
-        pm = F.col(PARTITION_COL)
+        month_col = self.month_partitions.get(name)
         cond = None
-        for start, end in ranges[col]:
-            c = pm >= F.lit(start.year * 100 + start.month)
-            if end is not None:
-                c = c & (pm <= F.lit(end.year * 100 + end.month))
+        for key, value in ranges.items():
+            if key == OPEN_BALANCE:
+                if not value:
+                    continue
+                if name not in self.open_partitions:
+                    return df
+                c = F.col(OPEN_COL) == 1
+            elif key == month_col:
+                pm = F.col(PARTITION_COL)
+                c = None
+                for start, end in value:
+                    r = pm >= F.lit(start.year * 100 + start.month)
+                    if end is not None:
+                        r = r & (pm <= F.lit(end.year * 100 + end.month))
+                    c = r if c is None else (c | r)
+            else:
+                return df
             cond = c if cond is None else (cond | c)
-        return df.filter(cond)
+        return df if cond is None else df.filter(cond)
 
     def for_tenant(self, code) -> "ErpTables":
         """One tenant's view of a multi-tenant bundle (the reference's
@@ -152,8 +175,12 @@ class ErpTables:
             return parent.table(name, need).filter(F.col(col) == F.lit(code)).drop(col)
 
         return ErpTables(
-            self.spark, load, (), self.broadcast_max_bytes, self.broadcast_max_rows, dict(self.month_partitions),
-            dict(self.broadcast_policy),
+            self.spark, load, (),
+            broadcast_max_bytes=self.broadcast_max_bytes,
+            broadcast_max_rows=self.broadcast_max_rows,
+            month_partitions=dict(self.month_partitions),
+            open_partitions=self.open_partitions,
+            broadcast_policy=dict(self.broadcast_policy),
         )
 
     @property
@@ -195,6 +222,7 @@ class ErpTables:
             return spark.read.parquet(f"{root}/{name}")
 
         kw.setdefault("month_partitions", dict(FACT_MAIN_DATE))
+        kw.setdefault("open_partitions", frozenset(OPEN_FACTS))
         return cls(spark, load, tenant_cols, **kw)
 
     @classmethod
@@ -209,7 +237,7 @@ class ErpTables:
         def load(name: str, need: frozenset | None) -> DataFrame:
             # the month partition column is a storage detail of staged sources
             parts = [
-                src.table(name, need).drop(PARTITION_COL).withColumn(tenant_col, F.lit(code))
+                src.table(name, need).drop(PARTITION_COL, OPEN_COL).withColumn(tenant_col, F.lit(code))
                 for code, src in tenants
             ]
             out = parts[0]
@@ -240,6 +268,29 @@ class ErpTables:
         return cls(spark, load, (), **kw)
 
 
+def _write_fact(tables: ErpTables, name: str, df: DataFrame, path: str, mode: str, max_records_per_file: int) -> None:
+    """Write one fact in the warehouse layout: partitioned by tenant, month
+    of the main date and (receivables/payables) the open-balance flag;
+    range-partitioned on (tenant, main date, key) so tasks are balanced and
+    each writes few partitions; sorted by date inside files."""
+    main = FACT_MAIN_DATE[name]
+    parts = [*tables.tenant_cols, PARTITION_COL]
+    extra = [(F.year(main) * 100 + F.month(main)).alias(PARTITION_COL)]
+    if name in OPEN_FACTS:
+        # 1/0 rather than a boolean: partition discovery reads integers back as INT
+        extra.append(F.when(F.coalesce(F.col("vlrsaldo") != 0, F.lit(True)), 1).otherwise(0).alias(OPEN_COL))
+        parts.append(OPEN_COL)
+    (
+        df.select("*", *extra)
+        .repartitionByRange(*tables.tenant_cols, main, FACT_KEY[name])
+        .sortWithinPartitions(*tables.tenant_cols, main, FACT_SORT_COL[name])
+        .write.mode(mode)
+        .option("maxRecordsPerFile", max_records_per_file)
+        .partitionBy(*parts)
+        .parquet(path)
+    )
+
+
 def refresh_months(tables: ErpTables, root: str, months: list[int], max_records_per_file: int = 5_000_000) -> None:
     """Incremental upkeep of a staged warehouse: rewrite only the given
     ``particao_mes`` values (yyyymm) of every fact, with dynamic partition
@@ -251,17 +302,8 @@ def refresh_months(tables: ErpTables, root: str, months: list[int], max_records_
     try:
         for name in FACTS:
             main = FACT_MAIN_DATE[name]
-            month = (F.year(main) * 100 + F.month(main)).alias(PARTITION_COL)
-            (
-                tables.table(name).select("*", month)
-                .filter(F.col(PARTITION_COL).isin(months))
-                .repartitionByRange(main, FACT_KEY[name])
-                .sortWithinPartitions(main, FACT_SORT_COL[name])
-                .write.mode("overwrite")
-                .option("maxRecordsPerFile", max_records_per_file)
-                .partitionBy(PARTITION_COL)
-                .parquet(f"{root}/{name}")
-            )
+            df = tables.table(name).filter((F.year(main) * 100 + F.month(main)).isin(months))
+            _write_fact(tables, name, df, f"{root}/{name}", "overwrite", max_records_per_file)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
@@ -269,8 +311,10 @@ def refresh_months(tables: ErpTables, root: str, months: list[int], max_records_
 def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
     """Write the bundle as a Parquet warehouse.
 
-    Facts are partitioned by tenant (multi-tenant bundles) and by the month of
-    their main date (``particao_mes``, yyyymm INT); reports pass their periods as pruning hints
+    Facts are partitioned by tenant (multi-tenant bundles), by the month of
+    their main date (``particao_mes``, yyyymm INT) and, for receivables and
+    payables, by the open-balance flag (``tem_saldo``); reports pass their
+    periods / open-balance needs as pruning hints
     (:meth:`ErpTables.prune`), so whole months are skipped.  Before writing,
     facts are range-partitioned on (main date, document key): tasks get
     balanced ranges, each task writes only the few months its range covers
@@ -285,16 +329,4 @@ def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per
             dim = dim.partitionBy(*tables.tenant_cols)
         dim.parquet(f"{root}/{name}")
     for name in FACTS:
-        df = tables.table(name)
-        main = FACT_MAIN_DATE[name]
-        month = (F.year(main) * 100 + F.month(main)).alias(PARTITION_COL)
-        parts = [*tables.tenant_cols, PARTITION_COL]
-        (
-            df.select("*", month)
-            .repartitionByRange(*tables.tenant_cols, main, FACT_KEY[name])
-            .sortWithinPartitions(*tables.tenant_cols, main, FACT_SORT_COL[name])
-            .write.mode(mode)
-            .option("maxRecordsPerFile", max_records_per_file)
-            .partitionBy(*parts)
-            .parquet(f"{root}/{name}")
-        )
+        _write_fact(tables, name, tables.table(name), f"{root}/{name}", mode, max_records_per_file)
