@@ -337,3 +337,17 @@ def test_broadcast_policy_skips_the_check(spark):
     df = plans.kpi_cliente(tb, ReportFilters(), AS_OF)
     assert tb._bcast == {"tbcli": False}
     assert _rows(df) == _rows(plans.kpi_cliente(ErpTables.from_fixture(spark, SF), ReportFilters(), AS_OF))
+
+
+def test_read_table_parquet_source(spark):
+    from freightlens.sources import fixtures as fx
+    from freightlens.sources import read_control, read_table
+
+    root = tempfile.mkdtemp(prefix="fl-src-")
+    fx.tbempresas(spark, SF).write.parquet(os.path.join(root, "tbempresas"))
+    fx.tbfil(spark, SF).write.parquet(os.path.join(root, "tbfil"))
+    src = {"format": "parquet", "path": root}
+    assert read_control(spark, "tbempresas", src).count() == 25
+    assert read_table(spark, "tbfil", src).columns == ["codfil", "nome"]
+    with pytest.raises(ValueError):
+        read_table(spark, "tbfil", {"format": "csv", "path": root})
