@@ -351,3 +351,12 @@ def test_read_table_parquet_source(spark):
     assert read_table(spark, "tbfil", src).columns == ["codfil", "nome"]
     with pytest.raises(ValueError):
         read_table(spark, "tbfil", {"format": "csv", "path": root})
+
+
+def test_reports_stay_in_codegen_without_python(t):
+    for name in ("kpi_filial", "big_numbers", "a_receber_cliente", "recebimentos_dia_mes_atual"):
+        df = plans.REPORTS[name](t, ReportFilters(), AS_OF)
+        df.collect()
+        p = _plan(df)
+        assert "*(" in p, name                        # whole-stage codegen spans
+        assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name   # no Python UDFs
