@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from freightlens.llm import common as C
-from freightlens.llm import near_dedup, quality
+from freightlens.llm import decontaminate, mixing, near_dedup, pii, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dedup.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that hold a benchmark window go."""
+    return decontaminate.keep_clean(docs, C.table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: personal data is masked, n_chars follows."""
+    return pii.mask(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: a row per document: its columns, size, source_size, target, taken
+    (words the mix takes of it) and draws (shard, place and copy of each)."""
+    return mixing.mixed(docs, docs.columns)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
+    ("mixture", mixture),
 ]
 
 #: No SQL: tokenisers, verified similarity and drawn blocks are beyond it; tests/llm holds brute-force versions.

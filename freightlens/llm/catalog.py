@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, quality
+from . import decontaminate, mixing, near_dedup, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_prob_minhash": near_dedup.op4_prob_minhash,
+    "op5_splitting_tree": mixing.op5_splitting_tree,
+    "op6_bootstrapped": pii.op6_bootstrapped,
     "op7_fertility": quality.op7_fertility,
+    "op8_prefix_join": decontaminate.op8_prefix_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_prefix_join": decontaminate.SQL}
