@@ -65,6 +65,7 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """Keep the Arrow batches of this session small enough for long texts."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return df
 
 
