@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, pii, quality
+from . import decontaminate, licenses, mixing, near_dedup, pii, quality, secrets, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_subword_bag": toxicity.op1_subword_bag,
+    "op2_warc": warc.op2_warc,
+    "op3_automaton": secrets.op3_automaton,
     "op4_prob_minhash": near_dedup.op4_prob_minhash,
     "op5_splitting_tree": mixing.op5_splitting_tree,
     "op6_bootstrapped": pii.op6_bootstrapped,
     "op7_fertility": quality.op7_fertility,
     "op8_prefix_join": decontaminate.op8_prefix_join,
+    "op9_sentence_rules": licenses.op9_sentence_rules,
+    "op10_gear_chunks": substrings.op10_gear_chunks,
 }
 
-SQL: dict[str, str] = {"op8_prefix_join": decontaminate.SQL}
+SQL: dict[str, str] = {"op2_warc": warc.SQL, "op8_prefix_join": decontaminate.SQL}
