@@ -14,11 +14,12 @@ no group's pairs are all emitted:
 1. equal word sequences collapse to one node (128-bit digest);
 2. every node of a bucket is verified against one hub of it (smallest node);
    links give classes;
-3. the same with the best-linked node of each bucket as hub;
+3. the same with the best-linked node of each bucket as hub, then with random
+   ones (``TURNS`` in all), for nodes of different classes;
 4. in buckets that still hold several classes, all pairs across classes are
-   compared by signature, block against block (a block is about ``block``
-   nodes, any bucket is cut into as many blocks as it needs), and pairs that
-   come near enough are verified.
+   compared, block against block (a bucket is cut into as many blocks of at most
+   about ``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles as it needs); signatures
+   come first, then the similarity itself within the task, and only links leave it.
 
 Verification is exact: probability Jaccard over the whole texts.  The
 signature estimate only spares hopeless pairs (``slack`` is more than four
@@ -48,7 +49,7 @@ from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
-SLACK, BLOCK = 0.19, 256
+SLACK, TURNS, BLOCK, BLOCK_SHINGLES = 0.19, 3, 256, 200_000
 
 
 # ---------------------------------------------------------------- signatures
@@ -197,39 +198,84 @@ def _near(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             .where(agreement("sa", "sb") >= F.lit(least)).select("a", "b"))
 
 
-def _block_pairs(members: DataFrame, least: float, block: int) -> DataFrame:
-    """Pairs across classes within each bucket, by signature, block against block.
-    members: (key, node, cls, sketch), only buckets of several classes."""
-    size = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = (members.join(size, "key")
-             .withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    blocks = dealt.groupBy("key", "i").agg(
-        F.first("blocks").alias("blocks"),
-        F.collect_list(F.struct("node", "cls", "sketch")).alias("of"))
+@F.arrow_udf(T.BinaryType())
+def _hashes(text: pa.Array) -> pa.Array:
+    """The sorted shingle hashes of each text, repeated by weight."""
+    out = []
+    for x in text:
+        h, w = weighted_set(x.as_py())
+        out.append(np.repeat(h, w.astype(np.int64)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _jaccards(x: list[np.ndarray], y: list[np.ndarray], pairs: np.ndarray, step: int = 2048) -> np.ndarray:
+    """Exact similarities of pairs (i, j) of two blocks: all at once for texts without a
+    repeated shingle, where it is the Jaccard similarity of sets, else one by one."""
+    sets = [[np.unique(h, return_counts=True) for h in side] for side in (x, y)]
+    plain = [np.array([w.max(initial=1) == 1 for _, w in side]) for side in sets]
+    vocabulary = np.intersect1d(np.concatenate([h for h, _ in sets[0]]), np.concatenate([h for h, _ in sets[1]]))
+    at = [[np.searchsorted(vocabulary, h[np.isin(h, vocabulary)]) for h, _ in side] for side in sets]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for f in range(0, len(vocabulary), step):
+        dense = []
+        for side in at:
+            m = np.zeros((len(side), min(step, len(vocabulary) - f)), np.float32)
+            for r, c in enumerate(side):
+                m[r, c[(c >= f) & (c < f + step)] - f] = 1
+            dense.append(m)
+        both += dense[0] @ dense[1].T
+    size = [np.array([len(h) for h, _ in side], np.float64) for side in sets]
+    i, j = pairs[:, 0], pairs[:, 1]
+    out = both[i, j] / (size[0][i] + size[1][j] - both[i, j])
+    for k in np.flatnonzero(~(plain[0][i] & plain[1][j])):
+        out[k] = probability_jaccard(*((h, w.astype(np.float64)) for h, w in (sets[0][i[k]], sets[1][j[k]])))
+    return out
+
+
+def _block_links(members: DataFrame, payload: DataFrame, least: float, threshold: float, block: int, block_shingles: int) -> DataFrame:
+    """Links between classes within each bucket, block against block; only links leave a task.
+    members: (key, node, cls); payload: (node, n, sketch, keys, hashes)."""
+    full = members.join(payload, "node")
+    size = members.join(payload.select("node", "n"), "node").groupBy("key").agg(
+        F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("blocks"))
+    blocks = (full.join(size, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+              .groupBy("key", "i").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "cls", "sketch", "keys", "hashes")).alias("of")))
     left = blocks.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1))).select("key", "i", "j", F.col("of").alias("x"))
     right = blocks.select("key", F.col("i").alias("j"), F.col("of").alias("y"))
 
-    def work(batches):
-        def parts(v):
-            f = v.flatten()
-            s = np.frombuffer(b"".join(f.field("sketch").to_pylist()), np.uint8)
-            return f.field("node").to_numpy(), f.field("cls").to_numpy(), s.reshape(len(f), -1)
+    def parts(column):
+        f = column.flatten()
+        raw = lambda c, t: [np.frombuffer(v, t) for v in f.field(c).to_pylist()]
+        keys = f.field("keys").combine_chunks() if isinstance(f.field("keys"), pa.ChunkedArray) else f.field("keys")
+        return (f.field("node").to_numpy(), f.field("cls").to_numpy(), np.array(raw("sketch", np.uint8)),
+                np.array(keys.to_pylist(), np.int64), raw("hashes", np.uint64))
 
+    def work(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                (na, ca, sa), (nb, cb, sb) = parts(batch.column("x")[k:k + 1]), parts(batch.column("y")[k:k + 1])
+                key = batch.column("key")[k].as_py()
+                (na, ca, sa, ka, ha), (nb, cb, sb, kb, hb) = parts(batch.column("x")[k:k + 1]), parts(batch.column("y")[k:k + 1])
+                pairs = []
                 for r in range(len(na)):
-                    ok = ((sb == sa[r]).mean(1) >= least) & (cb != ca[r])
-                    if ok.any():
-                        lo, hi = np.minimum(nb[ok], na[r]), np.maximum(nb[ok], na[r])
-                        yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], names=["a", "b"])
-
-    met = left.join(right, ["key", "j"]).select("x", "y")
-    # a row carries two blocks of about ``block`` sketches: a few rows make a batch
-    return met.repartition(met.sparkSession.sparkContext.defaultParallelism * 4, F.rand(7)).mapInArrow(work, "a long, b long").distinct()
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK, block: int = BLOCK):
+                    ok = cb != ca[r]
+                    if batch.column("i")[k] == batch.column("j")[k]:
+                        ok &= nb > na[r]
+                    some = np.flatnonzero(ok)
+                    some = some[(sb[some] == sa[r]).mean(1) >= least]
+                    # a pair that meets in several buckets is looked at in the first of them
+                    some = some[ka[r][(kb[some] == ka[r]).argmax(1)] == key]
+                    pairs.append(np.column_stack([np.full(len(some), r), some]))
+                pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+                if len(pairs):
+                    pairs = pairs[_jaccards(ha, hb, pairs) >= threshold - 1e-9]
+                    yield pa.RecordBatch.from_arrays([pa.array(na[pairs[:, 0]]), pa.array(nb[pairs[:, 1]])], names=["a", "b"])
+
+    met = left.join(right, ["key", "j"]).select("key", "i", "j", "x", "y")
+    return C.small_batches(met.repartition(met.sparkSession.sparkContext.defaultParallelism * 4, "key", "i", "j")).mapInArrow(work, "a long, b long").distinct()
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK,
+            turns: int = TURNS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES):
     """(rows, nodes): rows (doc_id, digest) of all documents; nodes (digest, node,
     doc_id, n, cls, class_id) of the distinct word sequences."""
     least = threshold - slack
@@ -251,26 +297,34 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     links = C.saved(verified(tried, texts, threshold), "near-links")
     cls = components(links)
 
-    # buckets that hold several classes, against their best-linked node
+    # buckets that hold several classes, against one more hub a turn
     def split(cls):
         with_cls = members.join(cls, "node", "left").select("key", "node", F.coalesce("cls", "node").alias("cls"))
         mixed = with_cls.groupBy("key").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 < c1").select("key")
         return with_cls.join(mixed, "key")
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    open_ = C.saved(split(cls).join(degree, "node", "left").select("key", "node", "cls", F.coalesce("degree", F.lit(0)).alias("degree")), "near-open")
-    hub = open_.groupBy("key").agg(F.max(F.struct("degree", "node", "cls")).alias("hub"))
-    again = (open_.join(hub, "key").where("cls <> hub.cls")
-             .select(F.greatest("node", F.col("hub.node")).alias("a"), F.least("node", F.col("hub.node")).alias("b"))
-             .distinct().join(tried, ["a", "b"], "left_anti"))
-    tried2 = C.saved(_near(again, nodes, least), "near-tried")
-    links = C.saved(links.unionByName(verified(tried2, texts, threshold)), "near-links")
-    cls = components(links)
-
-    # whatever is left, whole
-    rest = split(cls).join(nodes.select("node", "sketch"), "node").select("key", "node", "cls", "sketch")
-    last = C.saved(_block_pairs(rest, least, block).join(tried.unionByName(tried2), ["a", "b"], "left_anti"), "near-tried")
-    links = C.saved(links.unionByName(verified(last, texts, threshold)), "near-links")
+    hubs = members.select("key", F.col("low").alias("node")).distinct()
+    for turn in range(1, turns):
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        order = F.coalesce("degree", F.lit(0)).cast("long") if turn == 1 else F.xxhash64(F.lit(turn), "node")
+        open_ = C.saved(split(cls).join(degree, "node", "left").select("key", "node", "cls", order.alias("order")), "near-open")
+        hub = open_.join(hubs, ["key", "node"], "left_anti").groupBy("key").agg(F.max(F.struct("order", "node", "cls")).alias("hub"))
+        again = (open_.join(hub, "key").where("cls <> hub.cls")
+                 .select(F.greatest("node", F.col("hub.node")).alias("a"), F.least("node", F.col("hub.node")).alias("b"))
+                 .distinct().join(tried, ["a", "b"], "left_anti"))
+        more = C.saved(_near(again, nodes, least), "near-tried")
+        tried = tried.unionByName(more)
+        hubs = C.saved(hubs.unionByName(hub.select("key", "hub.node")), "near-hubs")
+        links = C.saved(links.unionByName(verified(more, texts, threshold)), "near-links")
+        cls = components(links)
+
+    # whatever is left, whole; a bucket of turns + 1 nodes or fewer has no pair left
+    rest = split(cls)
+    large = rest.groupBy("key").count().where(F.col("count") > turns + 1).select("key")
+    rest = C.saved(rest.join(large, "key"), "near-open")
+    payload = C.saved(texts.join(rest.select("node").distinct(), "node", "left_semi").select("node", _hashes("text").alias("hashes"))
+                      .join(nodes.select("node", "sketch", "keys"), "node").withColumn("n", F.octet_length("hashes") / 8), "near-payload")
+    links = C.saved(links.unionByName(_block_links(rest, payload, least, threshold, block, block_shingles)), "near-links")
     cls = components(links)
 
     named = nodes.join(cls, "node", "left").select("digest", "node", "doc_id", "n", F.coalesce("cls", "node").alias("cls"))
