@@ -7,6 +7,7 @@ and code-point classes agree, and no text is decoded to find a word.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 #: Bytes of text that one numpy step works on (a longer text is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Bytes hashed at a time; longer inputs are cut between words.
 PIECE_BYTES = 1 << 20
 
@@ -42,10 +43,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     survives the loss of any executor."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: little heap per writer, and several tasks can read a file
+    df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
+    _tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_freightlens_tables"):
+        sc._freightlens_tables = []
+    return sc._freightlens_tables
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``saved`` has written so far: for a caller whose
+    results are written elsewhere by now."""
+    sc, tables = spark.sparkContext, _tables(spark)
+    while tables:
+        path = sc._jvm.org.apache.hadoop.fs.Path(tables.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once a session (what
     ``--py-files`` does; the driver serves the file)."""
@@ -61,11 +80,11 @@ def ship(spark: SparkSession) -> None:
     sc._freightlens_shipped = True
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
     """Keep the Arrow batches of this session small enough for long texts."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df
 
 
@@ -94,6 +113,29 @@ def steps(col) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + STEP_BYTES, side="right")) - 1)
         yield a, b, buf[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
         a = b
+    trim(len(buf))
+
+
+@functools.lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: nothing to trim
+        return None
+
+
+_since = [0]
+
+
+def trim(done: int) -> None:
+    """Give freed memory back after every 2 MB of text, so that reused Python workers stay small."""
+    _since[0] += done
+    if _since[0] < 2 << 20:
+        return
+    _since[0] = 0
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 # ---------------------------------------------------------------- hashing

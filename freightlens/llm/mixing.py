@@ -126,7 +126,7 @@ def draws(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = spark.createDataFrame(
         table, f"source {rows.schema['source'].dataType.simpleString()}, s int, source_size long, target double, "
                "full int, rest double, blocks long, units long, a long, b long, buckets long")
-    line = (rows.where("__size > 0").join(sources, rows["source"].eqNullSafe(sources["source"]))
+    line = (rows.where("__size > 0").join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"]))
             .select("__uid", "__key", "__size", "s", "full", "rest", "blocks", "units", "a", "b",
                     F.pmod(F.col("__key"), F.col("buckets")).alias("bucket")))
     inside = line.withColumn("before", F.sum("__size").over(_upto("s", "bucket")) - F.col("__size"))
@@ -165,7 +165,7 @@ def mixed(docs: DataFrame, keep: list[str]) -> DataFrame:
     per = drawn.groupBy("__uid").agg(F.sum("__size").alias("__taken"), F.sort_array(F.collect_list(F.struct(
         "shard", F.xxhash64(F.lit(SEED), "__key", "copy").alias("place"), "copy"))).alias("__draws"))
     sources = sources.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    return (rows.join(sources, rows["source"].eqNullSafe(sources["__source"]))
+    return (rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["__source"]))
             .join(per, "__uid", "left")
             .select(*(rows[c] for c in keep), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
                     F.col("__target").alias("target"), F.coalesce("__taken", F.lit(0).cast("long")).alias("taken"),

@@ -174,6 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 if b[i] not in kept:
                     kept = {b[i]: weighted_set(tb[i].as_py())}  # pairs of a hub come together
                 ok.append(probability_jaccard(weighted_set(ta[i].as_py()), kept[b[i]]) >= threshold - 1e-9)
+            C.trim(ta.nbytes + tb.nbytes)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(v, ok) if k], pa.int64()) for v in (a, b)], names=["a", "b"])
 
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -347,15 +348,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, nodes = classes(docs)
     of_class = nodes.groupBy("cls").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("pick"))
-    fate = C.saved(
-        nodes.where("class_size > 1").join(of_class, "cls")
-        .select("digest", F.col("pick.doc_id").alias("__keep_id"), (F.col("pick.digest") == F.col("digest")).alias("__keep")), "near-fate")
-    again = rows.where("digest is not null").groupBy("digest", "doc_id").count().where("count > 1").select(
-        F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"), F.lit(True).alias("__again"))
-    left = (docs.withColumn("__digest", digest_of("text"))
-            .join(fate.withColumnRenamed("digest", "__digest"), "__digest", "left")
-            .where(F.col("__keep").isNull() | (F.col("__keep") & F.col("doc_id").eqNullSafe(F.col("__keep_id")))))
-    again = again.withColumnRenamed("__digest", "__d")
-    marked = left.join(again, (F.col("__digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    once = marked.where("__again is null").select(*docs.columns)
-    return once.unionByName(marked.where("__again").dropDuplicates(["__digest", "doc_id"]).select(*docs.columns))
+    fate = nodes.where("class_size > 1").join(of_class, "cls").select(
+        "digest", F.col("pick.doc_id").alias("keep_id"), (F.col("pick.digest") == F.col("digest")).alias("keep"))
+    pairs = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).join(fate, "digest")
+    stays = F.col("keep") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    told = C.saved(pairs.select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"), stays.alias("__stays"), "n")
+                   .where(~stays | (F.col("n") > 1)), "near-fate")
+    left = docs.withColumn("__digest", digest_of("text"))
+
+    def those(stay: bool, how: str, df: DataFrame) -> DataFrame:
+        some = told.where(F.col("__stays") == stay).select(F.col("__digest").alias("__d"), "__id")
+        return df.join(some, (F.col("__digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__id")), how)
+
+    left = those(False, "left_anti", left)
+    if not told.where("__stays").isEmpty():  # rows that repeat both text and doc_id
+        left = those(True, "left_anti", left).unionByName(those(True, "left_semi", left).dropDuplicates(["__digest", "doc_id"]))
+    return left.select(*docs.columns)
