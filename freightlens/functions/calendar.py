@@ -58,6 +58,8 @@ def as_of_lit(as_of: dt.datetime | dt.date | None) -> Column:
         return F.current_timestamp().cast("timestamp_ntz")
     if not isinstance(as_of, dt.datetime):
         as_of = dt.datetime(as_of.year, as_of.month, as_of.day)
+    if as_of.tzinfo is not None:
+        as_of = as_of.astimezone(dt.timezone.utc).replace(tzinfo=None)
     return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 

@@ -44,12 +44,10 @@ def cpf_is_valid(c) -> Column:
     Rules: after keeping digits, exactly 11 digits, not all the same digit,
     and both mod-11 check digits right.  NULL input is invalid (FALSE).
 
-    The digits-only string is bound once as a lambda variable (``transform``
-    over a one-element array), so the regex runs once per row rather than
-    once per digit reference.
+    The digits-only string is one common subexpression, so generated code runs
+    the regex once per row.
     """
-    bound = F.transform(F.array(digits_only(c)), _cpf_digits_ok)
-    return F.coalesce(F.element_at(bound, 1), F.lit(False))
+    return F.coalesce(_cpf_digits_ok(digits_only(c)), F.lit(False))
 
 
 def unescape_path(c) -> Column:

@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import as_of_date
 
-#: Lists longer than this become a broadcast semi join instead of ``IN``.
-#: The list lives on the driver, so its size is known exactly.
-ISIN_MAX = 5_000
-
 Scalar = int | str
 FilterValue = Scalar | Sequence[Scalar] | None
 
@@ -99,16 +95,10 @@ def _coerce(values: list, type_name: str) -> list:
     return values
 
 
-def isin_or_semi(df: DataFrame, column: str, values: list) -> DataFrame:
-    """F2 for one column: ``IN`` for short lists, broadcast semi join for long
-    ones (the list size is known on the driver, so the broadcast is bounded)."""
-    values = _coerce(values, df.schema[column].dataType.typeName())
-    if len(values) <= ISIN_MAX:
-        return df.filter(F.col(column).isin(values))
-    spark = df.sparkSession
-    keys = spark.createDataFrame([(v,) for v in values], [column]).distinct()
-    keys = keys.select(F.col(column).cast(df.schema[column].dataType).alias(column))
-    return df.join(F.broadcast(keys), on=column, how="left_semi")
+def isin_list(df: DataFrame, column: str, values: list) -> DataFrame:
+    """F2 for one column: ``IN``, whatever the list's length (Spark keeps it as a
+    set and pushes it to the scan)."""
+    return df.filter(F.col(column).isin(_coerce(values, df.schema[column].dataType.typeName())))
 
 
 def apply_filters(df: DataFrame, filters: ReportFilters, fields: Mapping[str, str]) -> DataFrame:
@@ -121,7 +111,7 @@ def apply_filters(df: DataFrame, filters: ReportFilters, fields: Mapping[str, st
     for name, column in fields.items():
         values = active(getattr(filters, name))
         if values is not None:
-            df = isin_or_semi(df, column, values)
+            df = isin_list(df, column, values)
     return df
 
 

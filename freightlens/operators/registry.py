@@ -43,11 +43,10 @@ def split_by_cpf(users: DataFrame, cpf_col: str = "cpfusuario") -> tuple[DataFra
 
 def cpf_quality(users: DataFrame, by: Sequence[str] = ("codempresa",), cpf_col: str = "cpfusuario") -> DataFrame:
     """Users, valid and invalid CPFs per company."""
-    ok = cpf_is_valid(F.col(cpf_col))
-    return users.groupBy(*by).agg(
+    return with_cpf_check(users, cpf_col).groupBy(*by).agg(
         F.count(F.lit(1)).alias("usuarios"),
-        F.count_if(ok).alias("cpf_validos"),
-        F.count_if(~ok).alias("cpf_invalidos"),
+        F.count_if(F.col("cpf_valido")).alias("cpf_validos"),
+        F.count_if(~F.col("cpf_valido")).alias("cpf_invalidos"),
     )
 
 
@@ -66,25 +65,24 @@ def insert_outcomes(
     3. the first valid request per key (smallest ``order_col``) ->
        ``inserted``; later ones -> ``duplicate_in_batch``.
     """
-    b = batch.withColumn("__valid", validate if validate is not None else F.lit(True))
-    # Registry keys that the batch mentions: a semi join with the batch keys on
-    # the build side, so a small batch never shuffles the whole registry.
-    batch_keys = batch.select(key).dropDuplicates([key])
-    present = (
-        existing.select(key).join(batch_keys, on=key, how="left_semi")
-        .dropDuplicates([key]).withColumn("__present", F.lit(True))
-    )
-    b = b.join(present, on=key, how="left")
-    cand = b.filter(F.col("__valid") & F.col("__present").isNull())
-    firsts = cand.groupBy(key).agg(F.min(order_col).alias("__first"))
-    b = b.join(firsts, on=key, how="left")
+    # a unique request id, taken before any shuffle, breaks ties of order_col
+    b = batch.withColumn("__valid", validate if validate is not None else F.lit(True)).withColumn("__rid", F.monotonically_increasing_id())
+    # One row per key of the batch: whether the registry has it, and its first
+    # valid request (pre-aggregated, so a hot key costs one row per task).  The
+    # registry is only semi-joined with the batch's keys, NULL keys included.
+    asked = b.groupBy(F.col(key).alias("__key")).agg(
+        F.min(F.when(F.col("__valid"), F.struct(F.col(order_col).alias("o"), F.col("__rid").alias("r")))).alias("__first"))
+    have = asked.select("__key").join(
+        existing.select(F.col(key).alias("__have")), F.col("__key").eqNullSafe(F.col("__have")), "left_semi").withColumn("__present", F.lit(True))
+    state = asked.join(have.withColumnRenamed("__key", "__h"), F.col("__key").eqNullSafe(F.col("__h")), "left").drop("__h")
+    b = b.join(state, F.col(key).eqNullSafe(F.col("__key")), "left")
     outcome = (
         F.when(~F.col("__valid"), F.lit(INVALID_CPF))
         .when(F.col("__present").isNotNull(), F.lit(ALREADY_PRESENT))
-        .when(F.col(order_col) == F.col("__first"), F.lit(INSERTED))
+        .when(F.col("__rid") == F.col("__first.r"), F.lit(INSERTED))
         .otherwise(F.lit(DUPLICATE_IN_BATCH))
     )
-    return b.withColumn("outcome", outcome).drop("__valid", "__present", "__first")
+    return b.withColumn("outcome", outcome).select(*batch.columns, "outcome")
 
 
 def apply_inserts(existing: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """Result shaping (R1-R6): from flat report rows to the reference's response
 shapes.
 
-Reports themselves stay flat DataFrames.  The map shapes put a whole result in
-one value, so they are only for dashboard-sized results: ``to_map`` and
-``to_nested_map`` check the row count first (bounded ``limit(n+1).count()``)
-and refuse larger inputs instead of funnelling them through one task.
+Reports themselves stay flat DataFrames, and so do the map shapes: one row per
+entry of the map, so a result of any size is delivered by the executors and no
+task holds it whole.
 """
 
 from __future__ import annotations
@@ -14,22 +13,11 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Largest result that may be folded into one map value.
-MAX_MAP_ENTRIES = 100_000
-
 # Defaults for missing calendar keys and month names.
 MISSING_CALENDAR_KEY = "0"
 MISSING_MONTH_NAME = "Indefinido"
 
 
-def _check_small(df: DataFrame, max_entries: int) -> None:
-    n = df.limit(max_entries + 1).count()
-    if n > max_entries:
-        raise ValueError(
-            f"result has more than {max_entries} rows; keep it as a flat DataFrame instead of a single map"
-        )
-
-
 def collapse_last_wins(df: DataFrame, key: str | Sequence[str], measure: str, label: str | None = None) -> DataFrame:
     """One row per key, the one the reference's dict keeps.
 
@@ -56,30 +44,28 @@ def default_keys(df: DataFrame, calendar_cols: Sequence[str] = (), month_name_co
     return df.withColumns(repl)
 
 
-def to_map(df: DataFrame, key: str, value_cols: Sequence[str], max_entries: int = MAX_MAP_ENTRIES) -> DataFrame:
-    """R2: one row holding ``map<key as string, struct<value_cols>>``.
-
-    Keys must be unique (run :func:`collapse_last_wins` first); Spark raises
-    on duplicate map keys.
-    """
-    _check_small(df, max_entries)
-    entry = F.struct(F.col(key).cast("string").alias("key"), F.struct(*value_cols).alias("value"))
-    return df.agg(F.map_from_entries(F.collect_list(entry)).alias("dados"))
+def to_entries(df: DataFrame, keys: str | Sequence[str], value_cols: Sequence[str]) -> DataFrame:
+    """The entries of ``map<key, struct<value_cols>>`` (one key) or of
+    ``map<k1, map<k2, struct<value_cols>>>`` (two), a row each: ``chave`` (and
+    ``subchave``) as strings, ``valor``.  Keys should be unique (run
+    :func:`collapse_last_wins` first)."""
+    names = [keys] if isinstance(keys, str) else list(keys)
+    out = [F.col(k).cast("string").alias(a) for k, a in zip(names, ("chave", "subchave"))]
+    return df.select(*out, F.struct(*value_cols).alias("valor"))
 
 
-def to_nested_map(df: DataFrame, k1: str, k2: str, value_cols: Sequence[str], max_entries: int = MAX_MAP_ENTRIES) -> DataFrame:
-    """``map<k1, map<k2, struct<value_cols>>>`` in one row."""
-    _check_small(df, max_entries)
-    inner = F.struct(F.col(k2).cast("string").alias("key"), F.struct(*value_cols).alias("value"))
-    per_k1 = df.groupBy(k1).agg(F.map_from_entries(F.collect_list(inner)).alias("__m"))
-    outer = F.struct(F.col(k1).cast("string").alias("key"), F.col("__m").alias("value"))
-    return per_k1.agg(F.map_from_entries(F.collect_list(outer)).alias("dados"))
+def entries_json(entries: DataFrame) -> DataFrame:
+    """Entries as JSON text, one object per row; NULL fields are kept."""
+    value = F.col("valor")
+    for k in [c for c in ("subchave", "chave") if c in entries.columns]:
+        value = F.create_map(F.col(k), value)
+    return entries.select(F.to_json(value, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:
     """Row list (R3) as JSON text per row, for delivery without a driver
-    collect."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+    collect; NULL fields are kept."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def one_row(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:

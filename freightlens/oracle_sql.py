@@ -15,7 +15,9 @@ from typing import Mapping
 
 from .operators.filters import ReportFilters, active
 
-UF_STRING = "SPRJMGESPRSCRSMSMTGODFROACAMRRPATOAPMAPICERNPBPEEX"
+# Two-letter state codes by nation key (0 to 24).
+UF_BY_NATION = ["SP", "RJ", "MG", "ES", "PR", "SC", "RS", "MS", "MT", "GO", "DF", "RO", "AC",
+                "AM", "RR", "PA", "TO", "AP", "MA", "PI", "CE", "RN", "PB", "PE", "EX"]
 
 
 def _lpad14(x: str) -> str:
@@ -55,7 +57,7 @@ WITH
 tbfil AS (SELECT CAST(n_nationkey AS INTEGER) AS codfil, n_name AS nome{tdim} FROM nation{tjoin}),
 tbcli AS (SELECT {_lpad14('c_custkey')} AS cgccpfcli, c_name AS nomefantasia{tdim} FROM customer{tjoin}),
 tbcid AS (SELECT CAST(s_suppkey AS INTEGER) AS codcid, s_name AS nome,
-                 substring('{UF_STRING}', 2 * s_nationkey + 1, 2) AS coduf{tdim} FROM supplier{tjoin}),
+                 list_extract({UF_BY_NATION}, CAST(s_nationkey AS INTEGER) + 1) AS coduf{tdim} FROM supplier{tjoin}),
 tbpro AS (SELECT CAST(p_partkey AS INTEGER) AS codpro, p_name AS nome{tdim} FROM part{tjoin}),
 tbcta AS (SELECT CAST(r_regionkey AS INTEGER) AS contareduz, r_name AS nomeconta{tdim} FROM region{tjoin}),
 tbfor AS (SELECT {_lpad14('s_suppkey')} AS cgccpfforne, s_name AS nomefantasia{tdim} FROM supplier{tjoin}),

@@ -7,10 +7,8 @@ flat report DataFrames.
   later ones overwrite -> the smallest measure survives);
 * ``rows``: the row list (tables and KPI records).
 
-Map shapes fold the whole result into one value and are meant for
-dashboard-sized results; ``to_map`` refuses inputs above its row bound.
-``response_json`` gives the delivery text without collecting rows on the
-driver.
+Map shapes are delivered entry by entry, a row each, so they have no size limit;
+``response_json`` gives the text of each without collecting rows on the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.shaping import collapse_last_wins, default_keys, to_json_rows, to_map, to_nested_map
+from ..operators.shaping import collapse_last_wins, default_keys, entries_json, to_entries, to_json_rows
 
 # report -> (shape, key, value columns, measure deciding "last wins", label)
 SHAPES = {
@@ -48,7 +46,7 @@ NULL_KEY = "null"
 
 def response(name: str, df: DataFrame) -> DataFrame:
     """The report ``name``'s flat rows in the reference's response shape:
-    one row with a ``dados`` map for map shapes, the rows unchanged
+    a row per map entry (``chave``, ``subchave``, ``valor``) for map shapes, the rows unchanged
     otherwise."""
     shape, key, values, measure, label = SHAPES[name]
     if shape == "rows":
@@ -56,19 +54,19 @@ def response(name: str, df: DataFrame) -> DataFrame:
     if shape == "nested":
         k1, k2 = key
         shaped = default_keys(df, [k1, k2], ["mes"])
-        return to_nested_map(shaped, k1, k2, values)
+        return to_entries(shaped, [k1, k2], values)
     if key == "dia":
         shaped = default_keys(df, ["dia"])
     else:
         shaped = df.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit(NULL_KEY)))
     if measure is not None:
         shaped = collapse_last_wins(shaped, key, measure, label)
-    return to_map(shaped, key, values)
+    return to_entries(shaped, key, values)
 
 
 def response_json(name: str, df: DataFrame) -> DataFrame:
-    """Delivery text: one JSON object (map shapes) or one JSON object per row."""
+    """Delivery text: one JSON object per map entry or per row."""
     shaped = response(name, df)
     if SHAPES[name][0] == "rows":
         return to_json_rows(shaped)
-    return shaped.select(F.to_json("dados").alias("json"))
+    return entries_json(shaped)

@@ -25,8 +25,6 @@ REPORT_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -56,13 +54,15 @@ def build_session(
     return spark
 
 
+#: What an existing session must have for right results and skew handling;
+#: partition sizes stay as the cluster has them.
+REQUIRED_CONF = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+
+
 def apply_report_conf(spark: SparkSession) -> None:
     """Set the session-level SQL options on an existing session."""
-    for k, v in REPORT_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static or locked conf on a managed cluster
-            pass
+    for k in REQUIRED_CONF:
+        spark.conf.set(k, REPORT_CONF[k])
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
@@ -81,6 +81,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
         return d
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     d = tempfile.mkdtemp(prefix="freightlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

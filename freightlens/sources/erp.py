@@ -111,9 +111,9 @@ class ErpTables:
         df = self.table(name)
         small = self._bcast.get(name, self.broadcast_policy.get(name))
         if small is None:
-            # reads at most limit+1 rows per input split, once per bundle
-            limit = self.broadcast_row_limit(df)
-            small = df.limit(limit + 1).count() <= limit
+            # the plan's own statistics: no Spark job; AQE still switches at run time
+            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            small = size <= self.broadcast_row_limit(df) * estimated_row_bytes(df)
         self._bcast[name] = small
         side = F.broadcast(df) if small else df
         self._sides[name] = side
@@ -291,23 +291,73 @@ def _write_fact(tables: ErpTables, name: str, df: DataFrame, path: str, mode: st
     )
 
 
-def refresh_months(tables: ErpTables, root: str, months: list[int], max_records_per_file: int = 5_000_000) -> None:
-    """Incremental upkeep of a staged warehouse: rewrite only the given
-    ``particao_mes`` values (yyyymm) of every fact, with dynamic partition
-    overwrite, so a daily job touches the open months and leaves the rest."""
+def _partition_cols(tables: ErpTables, name: str) -> dict:
+    """Partition column -> its expression over a source row."""
+    main = FACT_MAIN_DATE[name]
+    out = {c: F.col(c) for c in tables.tenant_cols}
+    out[PARTITION_COL] = F.year(main) * 100 + F.month(main)
+    if name in OPEN_FACTS:
+        out[OPEN_COL] = F.when(F.coalesce(F.col("vlrsaldo") != 0, F.lit(True)), 1).otherwise(0)
+    return out
+
+
+def _fingerprints(df: DataFrame, parts: dict, cols: list[str]) -> DataFrame:
+    """Rows and a sum of row hashes per partition: a pre-aggregated group-by."""
+    row = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")
+    return df.groupBy(*[e.cast("int").alias(c) for c, e in parts.items()]).agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("h"))
+
+
+def changed_partitions(tables: ErpTables, root: str, name: str) -> tuple[list, list]:
+    """(to write, to remove): partitions of a staged fact that differ from the
+    source, as a document moves between months and open-balance flags when it
+    is paid.  Metadata only: a row per partition."""
+    parts = _partition_cols(tables, name)
+    src = tables.table(name)
+    cols = [c for c in src.columns if c not in parts]
+    kept = tables.spark.read.parquet(f"{root}/{name}")
+    new = {tuple(r)[:len(parts)]: (r.n, r.h) for r in _fingerprints(src, parts, cols).collect()}
+    old = {tuple(r)[:len(parts)]: (r.n, r.h) for r in _fingerprints(kept, {c: F.col(c) for c in parts}, cols).collect()}
+    return [p for p in new if old.get(p) != new[p]], [p for p in old if p not in new]
+
+
+def refresh_months(tables: ErpTables, root: str, months: list[int] = (), max_records_per_file: int = 5_000_000) -> None:
+    """Incremental upkeep of a staged warehouse: rewrite the partitions of every
+    fact that differ from the source (dynamic partition overwrite), and those of
+    ``months`` (yyyymm) in any case; remove partitions that have become empty;
+    rewrite the dimensions.  A document that was paid or re-dated leaves its old
+    partition, since that one differs too."""
     root = root.rstrip("/")
     spark = tables.spark
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+    for name in DIMENSIONS:
+        dim = tables.table(name).write.mode("overwrite")
+        (dim.partitionBy(*tables.tenant_cols) if tables.tenant_cols else dim).parquet(f"{root}/{name}")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         for name in FACTS:
-            main = FACT_MAIN_DATE[name]
-            df = tables.table(name).filter((F.year(main) * 100 + F.month(main)).isin(months))
-            _write_fact(tables, name, df, f"{root}/{name}", "overwrite", max_records_per_file)
+            parts = _partition_cols(tables, name)
+            write, remove = changed_partitions(tables, root, name)
+            here = [e.cast("int").eqNullSafe(F.col(f"__{c}")) for c, e in parts.items()]
+            some = spark.createDataFrame(write, ", ".join(f"__{c} int" for c in parts)).withColumn("__hit", F.lit(True))
+            rows = tables.table(name).join(F.broadcast(some), here, "left")
+            wanted = F.col("__hit").isNotNull()
+            if months:
+                wanted = wanted | F.coalesce(parts[PARTITION_COL].isin(list(months)), F.lit(False))
+            if write or months:
+                _write_fact(tables, name, rows.filter(wanted).select(*tables.table(name).columns), f"{root}/{name}", "overwrite", max_records_per_file)
+            _remove_partitions(spark, f"{root}/{name}", list(parts), remove)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
+def _remove_partitions(spark: SparkSession, path: str, cols: list[str], partitions: list) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in partitions:
+        folder = "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for c, v in zip(cols, p))
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        gone.getFileSystem(conf).delete(gone, True)
+
+
 def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
     """Write the bundle as a Parquet warehouse.
 

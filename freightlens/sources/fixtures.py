@@ -13,9 +13,10 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Two-letter state codes indexed by nation key (code at
-# position 2*key+1).  "EX" is not a state and exercises 'Outros'.
-UF_BY_NATION = "SPRJMGESPRSCRSMSMTGODFROACAMRRPATOAPMAPICERNPBPEEX"
+# Two-letter state codes by nation key (0 to 24).  "EX" is not a
+# state and exercises 'Outros'.
+UF_BY_NATION = ["SP", "RJ", "MG", "ES", "PR", "SC", "RS", "MS", "MT", "GO", "DF", "RO", "AC",
+                "AM", "RR", "PA", "TO", "AP", "MA", "PI", "CE", "RN", "PB", "PE", "EX"]
 
 #: Tenants used for the multi-tenant layout.
 FIXTURE_TENANTS = (0, 1, 2)
@@ -52,7 +53,7 @@ def tbcli(spark, sf_dir) -> DataFrame:
 
 def tbcid(spark, sf_dir) -> DataFrame:
     s = _raw(spark, sf_dir, "supplier")
-    uf = F.substring(F.lit(UF_BY_NATION), F.col("s_nationkey") * 2 + 1, 2)
+    uf = F.element_at(F.array(*map(F.lit, UF_BY_NATION)), F.col("s_nationkey").cast("int") + 1)
     return s.select(
         F.col("s_suppkey").cast("int").alias("codcid"),
         F.col("s_name").alias("nome"),

@@ -21,15 +21,11 @@ from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import audit_events, audit_rows
 
 
-def raw_event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet", max_files: int = 1) -> DataFrame:
-    """Stream the raw events Parquet files as they arrive in ``folder``
-    (fixed schema, never inferred)."""
-    return (
-        spark.readStream.schema(EVENTS_RAW)
-        .option("pathGlobFilter", file_glob)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(folder)
-    )
+def raw_event_stream(spark: SparkSession, folder: str, table: str = "events.parquet") -> DataFrame:
+    """Stream the raw events: ``table`` in ``folder``, one Parquet file or a folder
+    of part files as they arrive (fixed schema, never inferred)."""
+    # the stream source takes a single file only as the match of a pattern: [e]vents.parquet
+    return spark.readStream.schema(EVENTS_RAW).parquet(f"{folder.rstrip('/')}/[{table[0]}]{table[1:]}")
 
 
 def start_audit_stream(

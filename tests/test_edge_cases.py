@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from freightlens import ErpTables, ReportFilters, plans
 from freightlens.functions import cpf_is_valid, region_of
 from freightlens.operators.filters import active, as_list, prior_period, resolve_period
-from freightlens.operators.shaping import collapse_last_wins, default_keys, to_map, to_nested_map
+from freightlens.operators.shaping import collapse_last_wins, default_keys, entries_json, to_entries
 from freightlens.schemas import ERP_SCHEMAS, frame
 
 AS_OF = dt.datetime(2000, 6, 15, 12, 0, 0)
@@ -187,13 +187,16 @@ def test_map_shapes(spark):
     df = spark.createDataFrame([(2000, 5, "Maio", 1.0), (2000, 6, None, 2.0), (None, None, None, 3.0)],
                                "ano int, mes_numero int, mes string, volume double")
     shaped = default_keys(df, ["ano", "mes_numero"], ["mes"])
-    m = to_nested_map(shaped, "ano", "mes_numero", ["mes", "volume"]).collect()[0].dados
-    assert m["2000"]["5"]["mes"] == "Maio" and m["2000"]["6"]["mes"] == "Indefinido"
-    assert m["0"]["0"]["volume"] == 3.0
-    flat = to_map(shaped.filter("ano = '2000'"), "mes_numero", ["volume"]).collect()[0].dados
+    m = {(r.chave, r.subchave): r.valor for r in to_entries(shaped, ["ano", "mes_numero"], ["mes", "volume"]).collect()}
+    assert m["2000", "5"]["mes"] == "Maio" and m["2000", "6"]["mes"] == "Indefinido"
+    assert m["0", "0"]["volume"] == 3.0
+    flat = {r.chave: r.valor for r in to_entries(shaped.filter("ano = '2000'"), "mes_numero", ["volume"]).collect()}
     assert flat["6"]["volume"] == 2.0
-    with pytest.raises(ValueError):
-        to_map(shaped, "mes_numero", ["volume"], max_entries=1)
+    text = [r.json for r in entries_json(to_entries(df, ["mes_numero"], ["mes"]).filter("chave = '6'")).collect()]
+    assert text == ['{"6":{"mes":null}}']          # NULL fields are kept
+    many = spark.range(100_001).select("id", F.lit(1.0).alias("v"))
+    plan = to_entries(many, "id", ["v"])
+    assert plan.count() == 100_001 and "SinglePartition" not in plan._jdf.queryExecution().toString()
 
 
 # ------------------------------------------------------------------ fan-out
@@ -407,3 +410,24 @@ def test_small_registry_and_filter_helpers(spark):
     assert filter_predicate(ReportFilters(), {"codfilial": "codusuario"}) is None
     zero = one_row(users.filter("false").agg(F.sum("codusuario").alias("s")), {"s": F.lit(0)})
     assert zero.collect()[0].s == 0
+
+
+def test_insert_outcomes_ties_and_null_keys(spark):
+    from freightlens.operators.registry import insert_outcomes
+
+    have = spark.createDataFrame([("a",)], "k string")
+    batch = spark.createDataFrame([("a", 1), ("b", 1), ("b", 1), ("b", 2), (None, 1), (None, 2)], "k string, seq int")
+    got = sorted((str(r.k), r.outcome) for r in insert_outcomes(have, batch, "k", "seq").collect())
+    assert got == [("None", "duplicate_in_batch"), ("None", "inserted"), ("a", "already_present"),
+                   ("b", "duplicate_in_batch"), ("b", "duplicate_in_batch"), ("b", "inserted")]
+
+
+def test_stream_reads_a_folder_table(spark, tmp_path):
+    from freightlens.plans.audit import accepted
+    from freightlens.sources.fixtures import audit_rows
+    from freightlens.streaming.audit_stream import run_audit_stream_once
+
+    raw = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    raw.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = run_audit_stream_once(spark, str(tmp_path)).count()
+    assert got == accepted(audit_rows(raw)).count() > 0
