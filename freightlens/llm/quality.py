@@ -169,6 +169,10 @@ def judged(measures: DataFrame, q: str) -> DataFrame:
     long_ = all_.where(F.col(f"{q}.n_tokens") >= MIN_TOKENS).groupBy(group.alias("__group"))
     bands = long_.agg(*(F.percentile_approx(f"{q}.{x}", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 10_000).alias(f"__{x}") for x in names))
 
+    # written, so that its size is known: a row per language is broadcast, and only a
+    # table beyond Spark's threshold would make the join shuffle the documents
+    bands = C.saved(bands, "bands")
+
     def edge(x: str, up: int) -> F.Column:
         low, mid, high = (F.col(f"__{x}")[i] for i in range(3))
         return mid + up * F.greatest(WIDTH * ((high - mid) if up > 0 else (mid - low)), F.lit(MARGIN[x][up > 0]))
