@@ -18,6 +18,7 @@ from .operators.filters import NO_FILTERS, ReportFilters
 from .operators.shaping import collapse_last_wins
 from .plans import audit
 from .plans import registry as registry_jobs
+from .plans.responses import SHAPES
 from .sources import fixtures as fx
 from .sources.erp import ErpTables
 from .streaming import audit_stream
@@ -95,8 +96,20 @@ def _all_tenants(name: str) -> Query:
     return lambda spark, sf_dir: fn(tables(spark, sf_dir, multi_tenant=True), NO_FILTERS, AS_OF)
 
 
-#: Reports registered in the multi-tenant layout.
-TENANT_REPORTS = ("kpi_filial", "big_numbers", "a_pagar_fornecedor")
+def _response(name: str) -> Query:
+    """The report's map entries (R1, R2, R5), values flattened."""
+    report = _report(name, NO_FILTERS)
+
+    def run(spark, sf_dir) -> DataFrame:
+        entries = plans.response(name, report(spark, sf_dir))
+        return entries.select(*[c for c in entries.columns if c != "valor"], "valor.*")
+
+    return run
+
+
+#: Reports whose entries are registered: R1 with R5, R2 with R5, R2 by code.
+#: (Codes with several labels: ``kpi_cidade_last_wins``.)
+RESPONSES = ("kpi_mes_ano", "kpi_dia_mes_atual", "kpi_filial", "kpi_regiao", "kpi_cliente", "kpi_produto", "a_receber_cliente", "a_pagar_fornecedor")
 
 
 def report_queries() -> dict[str, Query]:
@@ -115,8 +128,10 @@ def report_queries() -> dict[str, Query]:
     for name in FORWARD_REPORTS:
         q[f"{name}_forward"] = _report(name, FORWARD)
     q["kpi_cidade_last_wins"] = _kpi_cidade_last_wins
-    for name in TENANT_REPORTS:
+    for name in plans.REPORTS:
         q[f"{name}_all_tenants"] = _all_tenants(name)
+    for name in RESPONSES:
+        q[f"response_{name}"] = _response(name)
     return q
 
 
@@ -136,6 +151,10 @@ def report_sql() -> dict[str, str]:
     s["kpi_filial_all_tenants"] = osql.full_sql(osql.kpi_filial(NO_FILTERS, AS_OF, tenant=True), AS_OF, multi_tenant=True)
     for name, fn in osql.TENANT_SQL.items():
         s[name] = osql.full_sql(fn(NO_FILTERS, AS_OF), AS_OF, multi_tenant=True)
+    for name in RESPONSES:
+        _, key, values, _, _ = SHAPES[name]
+        keys = [key] if isinstance(key, str) else list(key)
+        s[f"response_{name}"] = osql.full_sql(osql.response_entries(name, keys, values, NO_FILTERS, AS_OF), AS_OF)
     return s
 
 

@@ -745,6 +745,36 @@ def users_delete_unknown() -> str:
 SELECT cpfusuario FROM del d WHERE NOT EXISTS (SELECT 1 FROM tbusuarios u WHERE u.cpfusuario = d.cpfusuario)"""
 
 
+def _company_deletes() -> str:
+    return """,
+del AS (
+  SELECT codempresa FROM tbempresas WHERE ativa = 'N'
+  UNION ALL
+  SELECT codempresa + 100 FROM tbempresas WHERE n_regionkey = 4)"""
+
+
+def companies_delete() -> str:
+    return companies_public().replace("\nSELECT", _company_deletes() + "\nSELECT", 1) + """ e
+WHERE NOT EXISTS (SELECT 1 FROM del d WHERE d.codempresa = e.codempresa)"""
+
+
+def companies_delete_unknown() -> str:
+    return control_prelude() + _company_deletes() + """
+SELECT codempresa FROM del d WHERE NOT EXISTS (SELECT 1 FROM tbempresas e WHERE e.codempresa = d.codempresa)"""
+
+
+def tenant_source() -> str:
+    return control_prelude() + "\nSELECT ipbd, portabd, caminhobd FROM tbempresas WHERE codempresa = 7"
+
+
+def tenant_sources() -> str:
+    return control_prelude() + "\nSELECT codempresa, ipbd, portabd, caminhobd FROM tbempresas WHERE ativa = 'S'"
+
+
+def company_lookup() -> str:
+    return companies_public() + " WHERE codempresa = 7"
+
+
 def users_public() -> str:
     return control_prelude() + f"\nSELECT {_USER_PUBLIC} FROM tbusuarios"
 
@@ -792,6 +822,11 @@ CONTROL_SQL = {
     "companies_update_unknown": companies_update_unknown,
     "users_delete": users_delete,
     "users_delete_unknown": users_delete_unknown,
+    "companies_delete": companies_delete,
+    "companies_delete_unknown": companies_delete_unknown,
+    "tenant_source": tenant_source,
+    "tenant_sources": tenant_sources,
+    "company_lookup": company_lookup,
     "users_public": users_public,
     "companies_public": companies_public,
     "audit_normalised": audit_normalised,
@@ -858,7 +893,39 @@ SELECT codempresa, CAST(codfornecedor AS VARCHAR) AS codfornecedor, fornecedor,
 FROM owed WHERE true{w} GROUP BY codempresa, codfornecedor, fornecedor"""
 
 
-TENANT_SQL = {
+#: The fixture's tenants (FIXTURES.md).
+TENANTS = (0, 1, 2)
+_TENANT_VIEWS = ("vwfactrc_bi", "vwfrctrc_bi", "vwcptit_bi")
+
+
+def per_tenant(report):
+    """SQL of ``report`` for all tenants: the single-company statement once per
+    tenant, over views that hold only that tenant's rows."""
+
+    def sql(f: ReportFilters, as_of: dt.datetime) -> str:
+        body = report(f, as_of).strip()
+        every = "".join(f",\nall_{v} AS (SELECT * FROM {v})" for v in _TENANT_VIEWS)
+        arms = []
+        for k in TENANTS:
+            views = ", ".join(f"{v} AS (SELECT * EXCLUDE (codempresa) FROM all_{v} WHERE codempresa = {k})" for v in _TENANT_VIEWS)
+            arms.append(f"SELECT CAST({k} AS INTEGER) AS codempresa, x.* FROM (WITH {views}\n{body}) x")
+        return every + "\n" + "\nUNION ALL\n".join(arms)
+
+    return sql
+
+
+TENANT_SQL = {f"{name}_all_tenants": per_tenant(fn) for name, fn in REPORT_SQL.items() if name != "kpi_filial"} | {
     "big_numbers_all_tenants": big_numbers_all_tenants,
     "a_pagar_fornecedor_all_tenants": a_pagar_fornecedor_all_tenants,
 }
+
+
+# ------------------------------------------------------------ response shapes
+def response_entries(name: str, keys: list[str], values: list[str], f: ReportFilters, as_of: dt.datetime) -> str:
+    """Entries of the report's map: keys as strings, values flat."""
+    body = REPORT_SQL[name](f, as_of).strip()
+    head, rows = (body[:body.rindex("\nSELECT ")], body[body.rindex("\nSELECT "):]) if body.startswith(",") else ("", body)
+    chave = [f"COALESCE(CAST({k} AS VARCHAR), '{'0' if k in ('ano', 'mes_numero', 'dia') else 'null'}') AS {a}"
+             for k, a in zip(keys, ("chave", "subchave"))]
+    cols = [f"COALESCE({v}, 'Indefinido') AS {v}" if v == "mes" else v for v in values]
+    return f"{head},\nflat AS ({rows})\nSELECT {', '.join(chave + cols)} FROM flat"

@@ -10,7 +10,8 @@ Request batches are derived from the driver's tables, so they grow with them:
   punctuated ones);
 * full company updates: a new address for one region's companies, and
   updates for codes that do not exist;
-* deletes: every inactive user, plus digits-only keys that do not exist.
+* deletes: every inactive user, plus digits-only keys that do not exist; every
+  inactive company, plus one region's codes shifted to unknown ones.
 """
 
 from __future__ import annotations
@@ -20,7 +21,12 @@ from pyspark.sql import functions as F
 
 from ..functions import cpf_is_valid, digits_only
 from ..operators import registry as R
+from ..operators.filters import lookup
 from ..sources import fixtures as fx
+from ..sources import jdbc
+
+#: The company that point lookups ask for.
+COMPANY = 7
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +124,12 @@ def delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inactive.unionByName(missing)
 
 
+def company_delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = fx._raw(spark, sf_dir, "nation").filter(F.col("n_regionkey") == 4)
+    inactive = companies(spark, sf_dir).filter(F.col("ativa") == "N").select("codempresa")
+    return inactive.unionByName(n.select((F.col("n_nationkey") + 100).cast("int").alias("codempresa")))
+
+
 # ---------------------------------------------------------------- queries
 def cpf_quality(spark, sf_dir) -> DataFrame:
     return R.cpf_quality(users(spark, sf_dir))
@@ -162,6 +174,29 @@ def users_delete_unknown(spark, sf_dir) -> DataFrame:
     return R.unknown_keys(delete_batch(spark, sf_dir), users(spark, sf_dir), "cpfusuario")
 
 
+def companies_delete(spark, sf_dir) -> DataFrame:
+    return R.companies_public(R.delete_keys(companies(spark, sf_dir), company_delete_batch(spark, sf_dir), "codempresa"))
+
+
+def companies_delete_unknown(spark, sf_dir) -> DataFrame:
+    return R.unknown_keys(company_delete_batch(spark, sf_dir), companies(spark, sf_dir), "codempresa")
+
+
+def tenant_source(spark, sf_dir) -> DataFrame:
+    """S3 for one company."""
+    return jdbc.tenant_source(companies(spark, sf_dir), COMPANY)
+
+
+def tenant_sources(spark, sf_dir) -> DataFrame:
+    """S3 for every active company."""
+    return jdbc.tenant_sources(companies(spark, sf_dir))
+
+
+def company_lookup(spark, sf_dir) -> DataFrame:
+    """F12 on the company registry."""
+    return lookup(R.companies_public(companies(spark, sf_dir)), "codempresa", COMPANY)
+
+
 def users_public(spark, sf_dir) -> DataFrame:
     return R.users_public(users(spark, sf_dir))
 
@@ -180,6 +215,11 @@ QUERIES = {
     "companies_update_unknown": companies_update_unknown,
     "users_delete": users_delete,
     "users_delete_unknown": users_delete_unknown,
+    "companies_delete": companies_delete,
+    "companies_delete_unknown": companies_delete_unknown,
+    "tenant_source": tenant_source,
+    "tenant_sources": tenant_sources,
+    "company_lookup": company_lookup,
     "users_public": users_public,
     "companies_public": companies_public,
 }
