@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import PAYABLE_STATUS_OPEN, PAYABLE_STATUS_OVERDUE, as_double
-from ..functions.calendar import current_month, single_clock
+from ..functions.calendar import as_of_date, current_month, single_clock
 from ..operators.aggregates import conditional_totals, sum_by, two_roles
 from ..operators.filters import NO_FILTERS, ReportFilters, apply_filters, in_period, needed_filter_columns, resolve_period
 from ..sources.erp import OPEN_BALANCE, ErpTables
@@ -26,7 +26,10 @@ def big_numbers_contas_pagar(t: ErpTables, filters: ReportFilters = NO_FILTERS,
     everything overdue (no period, K18) and their total; one scan."""
     tc = list(t.tenant_cols)
     p = resolve_period(filters, as_of)
-    rows = _rows(t, filters, as_of, {"datamovto", "datavencto", "vlrpago", "vlrsaldo", "condicao_fatura"})
+    rows = _rows(
+        t, filters, as_of, {"datamovto", "datavencto", "vlrpago", "vlrsaldo", "condicao_fatura"},
+        prune={"datamovto": [(p.start, p.end)], OPEN_BALANCE: True},
+    )
     status = F.col("condicao_fatura")
     paid = in_period("datamovto", p)
     open_due = (status == PAYABLE_STATUS_OPEN) & in_period("datavencto", p)
@@ -53,7 +56,12 @@ def contas_pagar_dia_mes_atual(t: ErpTables, filters: ReportFilters = NO_FILTERS
     """Q19 (U8): by day of the current month, payments on their movement day
     and open balances on their due day; one scan."""
     tc = list(t.tenant_cols)
-    rows = _rows(t, filters, as_of, {"datamovto", "datavencto", "dia_movto", "dia_vencto", "vlrpago", "vlrsaldo", "condicao_fatura"})
+    first = as_of_date(as_of).replace(day=1)
+    rows = _rows(
+        t, filters, as_of,
+        {"datamovto", "datavencto", "dia_movto", "dia_vencto", "vlrpago", "vlrsaldo", "condicao_fatura"},
+        prune={"datamovto": [(first, first)], OPEN_BALANCE: True},
+    )
     # Implied by the two roles but free of the computed status (pushable).
     rows = rows.filter(current_month("datamovto", as_of) | current_month("datavencto", as_of))
     zero = F.lit(0).cast("decimal(16,2)")

@@ -8,9 +8,8 @@
 * ``from_jdbc``     - the tenant's database via Spark's JDBC reader.
 
 Dimension lookups go through :meth:`ErpTables.lookup_side`, which broadcasts a
-dimension only after checking its size: at most ``broadcast_max_bytes`` /
-(estimated row width) rows, counted with ``limit(n + 1).count()`` (at most
-n + 1 rows per input split, once per bundle).  ``broadcast_policy`` skips the
+dimension only if the plan's own size estimate fits ``broadcast_max_bytes``
+(no Spark job runs for that).  ``broadcast_policy`` skips the
 check for dimensions known to be small (branches, accounts) or large
 (customers at scale).  Larger dimensions are left to the planner: sort-merge join (AQE splits
 skewed partitions), or AQE's runtime broadcast when it measures them small.
@@ -34,6 +33,15 @@ FACTS = ("factrc", "frctrc", "cptit")
 FACT_MAIN_DATE = {"factrc": "datarecbto", "frctrc": "dataemissao", "cptit": "datavencto"}
 #: Partition column of staged facts: month of the main date as yyyymm.
 PARTITION_COL = "particao_mes"
+#: Month of the title's other date, so that a period on either date skips months.
+#: The two dates of a title lie a few months apart, so months are only cut in a few parts.
+OTHER_COL = "particao_mes_outra"
+#: fact -> date column -> its month's partition column in the staged layout
+MONTH_PARTITIONS = {
+    "factrc": {"datarecbto": PARTITION_COL, "datavencto": OTHER_COL},
+    "frctrc": {"dataemissao": PARTITION_COL},
+    "cptit": {"datavencto": PARTITION_COL, "datamovto": OTHER_COL},
+}
 #: Open-balance partition flag of staged receivables/payables: the balance is
 #: not zero (or unknown), i.e. the title can still be open or overdue.
 OPEN_COL = "tem_saldo"
@@ -67,8 +75,8 @@ class ErpTables:
     tenant_cols: tuple[str, ...] = ()
     broadcast_max_bytes: int = 64 * 1024 * 1024
     broadcast_max_rows: int | None = None
-    #: table -> date column whose month (yyyymm INT) is the Parquet partition
-    #: column ``particao_mes`` (staged warehouse); empty for other sources.
+    #: table -> date column -> the Parquet partition column that holds its month
+    #: (yyyymm INT, staged warehouse); empty for other sources.
     month_partitions: dict = field(default_factory=dict)
     #: facts with the open-balance partition flag ``tem_saldo`` (staged warehouse)
     open_partitions: frozenset = frozenset()
@@ -132,24 +140,24 @@ class ErpTables:
         alternatives: date column -> list of ``(start, end)`` date ranges
         (``end`` None = open), and optionally ``OPEN_BALANCE: True`` for
         "or any title whose balance is not zero".  When every alternative
-        maps to a partition column of ``name`` (the month of its main date,
+        maps to a partition column of ``name`` (the months of its dates,
         the open-balance flag) the same alternatives become a partition
         predicate, so settled history and other months are skipped.
         Otherwise nothing is added: the hint never changes results.
         """
         if not ranges:
             return df
-        month_col = self.month_partitions.get(name)
+        months = {k: v for k, v in self.month_partitions.get(name, {}).items() if v in df.columns}
         cond = None
         for key, value in ranges.items():
             if key == OPEN_BALANCE:
                 if not value:
                     continue
-                if name not in self.open_partitions:
+                if name not in self.open_partitions or OPEN_COL not in df.columns:
                     return df
                 c = F.col(OPEN_COL) == 1
-            elif key == month_col:
-                pm = F.col(PARTITION_COL)
+            elif key in months:
+                pm = F.col(months[key])
                 c = None
                 for start, end in value:
                     r = pm >= F.lit(start.year * 100 + start.month)
@@ -221,7 +229,7 @@ class ErpTables:
         def load(name: str, need: frozenset | None) -> DataFrame:
             return spark.read.parquet(f"{root}/{name}")
 
-        kw.setdefault("month_partitions", dict(FACT_MAIN_DATE))
+        kw.setdefault("month_partitions", MONTH_PARTITIONS)
         kw.setdefault("open_partitions", frozenset(OPEN_FACTS))
         return cls(spark, load, tenant_cols, **kw)
 
@@ -235,17 +243,18 @@ class ErpTables:
         :func:`..jdbc.tenant_sources`), not data, so it is a short driver list."""
 
         def load(name: str, need: frozenset | None) -> DataFrame:
-            # the month partition column is a storage detail of staged sources
-            parts = [
-                src.table(name, need).drop(PARTITION_COL, OPEN_COL).withColumn(tenant_col, F.lit(code))
-                for code, src in tenants
-            ]
+            # partition columns that all sources have are kept: hints then prune each arm
+            tables = [(code, src.table(name, need)) for code, src in tenants]
+            drop = [c for c in (PARTITION_COL, OTHER_COL, OPEN_COL) if any(c not in df.columns for _, df in tables)]
+            parts = [df.drop(*drop).withColumn(tenant_col, F.lit(code)) for code, df in tables]
             out = parts[0]
             for p in parts[1:]:
                 # a source may omit columns its caller did not ask for (``need``)
                 out = out.unionByName(p, allowMissingColumns=True)
             return out
 
+        kw.setdefault("month_partitions", MONTH_PARTITIONS)
+        kw.setdefault("open_partitions", frozenset(OPEN_FACTS))
         return cls(spark, load, (tenant_col,), **kw)
 
     @classmethod
@@ -269,19 +278,14 @@ class ErpTables:
 
 
 def _write_fact(tables: ErpTables, name: str, df: DataFrame, path: str, mode: str, max_records_per_file: int) -> None:
-    """Write one fact in the warehouse layout: partitioned by tenant, month
-    of the main date and (receivables/payables) the open-balance flag;
+    """Write one fact in the warehouse layout: partitioned by tenant, months of
+    its dates and (receivables/payables) the open-balance flag;
     range-partitioned on (tenant, main date, key) so tasks are balanced and
     each writes few partitions; sorted by date inside files."""
     main = FACT_MAIN_DATE[name]
-    parts = [*tables.tenant_cols, PARTITION_COL]
-    extra = [(F.year(main) * 100 + F.month(main)).alias(PARTITION_COL)]
-    if name in OPEN_FACTS:
-        # 1/0 rather than a boolean: partition discovery reads integers back as INT
-        extra.append(F.when(F.coalesce(F.col("vlrsaldo") != 0, F.lit(True)), 1).otherwise(0).alias(OPEN_COL))
-        parts.append(OPEN_COL)
+    parts = _partition_cols(tables, name)
     (
-        df.select("*", *extra)
+        df.withColumns(parts)
         .repartitionByRange(*tables.tenant_cols, main, FACT_KEY[name])
         .sortWithinPartitions(*tables.tenant_cols, main, FACT_SORT_COL[name])
         .write.mode(mode)
@@ -293,10 +297,11 @@ def _write_fact(tables: ErpTables, name: str, df: DataFrame, path: str, mode: st
 
 def _partition_cols(tables: ErpTables, name: str) -> dict:
     """Partition column -> its expression over a source row."""
-    main = FACT_MAIN_DATE[name]
     out = {c: F.col(c) for c in tables.tenant_cols}
-    out[PARTITION_COL] = F.year(main) * 100 + F.month(main)
+    for date, col in MONTH_PARTITIONS[name].items():
+        out[col] = F.year(date) * 100 + F.month(date)
     if name in OPEN_FACTS:
+        # 1/0 rather than a boolean: partition discovery reads integers back as INT
         out[OPEN_COL] = F.when(F.coalesce(F.col("vlrsaldo") != 0, F.lit(True)), 1).otherwise(0)
     return out
 
@@ -363,7 +368,7 @@ def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per
 
     Facts are partitioned by tenant (multi-tenant bundles), by the month of
     their main date (``particao_mes``, yyyymm INT) and, for receivables and
-    payables, by the open-balance flag (``tem_saldo``); reports pass their
+    payables, by the month of their other date (``particao_mes_outra``) and the open-balance flag (``tem_saldo``); reports pass their
     periods / open-balance needs as pruning hints
     (:meth:`ErpTables.prune`), so whole months are skipped.  Before writing,
     facts are range-partitioned on (main date, document key): tasks get

@@ -387,3 +387,37 @@ def test_refresh_after_settling(spark, t):
     w, v = ErpTables.from_parquet(spark, old), ErpTables.from_parquet(spark, new)
     for name in ("big_numbers", "big_numbers_contas_receber", "big_numbers_contas_pagar", "a_receber_cliente"):
         assert _rows(plans.REPORTS[name](w, ReportFilters(), AS_OF)) == _rows(plans.REPORTS[name](v, ReportFilters(), AS_OF))
+
+
+def _fact_partition_filters(plan: str) -> list[str]:
+    return re.findall(r"/(?:factrc|frctrc|cptit)\], PartitionFilters: \[([^\]]*)", plan)
+
+
+def test_every_report_prunes_the_staged_facts(spark, t):
+    root = tempfile.mkdtemp(prefix="fl-wh-all-")
+    stage(t, root)
+    w = ErpTables.from_parquet(spark, root)
+    two = ErpTables.from_tenant_sources(spark, [(1, w), (2, w)])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        for name, fn in plans.REPORTS.items():
+            for bundle in (w, two):
+                filters = _fact_partition_filters(_plan(fn(bundle, ReportFilters(), AS_OF)))
+                assert filters and all(filters), (name, filters)
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for name in ("tabela_a_receber", "big_numbers_contas_pagar", "contas_pagar_dia_mes_atual"):
+        want = _rows(plans.REPORTS[name](t, ReportFilters(), AS_OF))
+        for k in (1, 2):
+            assert _rows(plans.REPORTS[name](two, ReportFilters(), AS_OF).filter(f"codempresa = {k}").drop("codempresa")) == want, name
+
+
+@pytest.mark.parametrize("name, column, down", [
+    ("kpi_mes_ano", "ano", False), ("kpi_dia_mes_atual", "dia", False), ("kpi_filial", "faturamento", True),
+    ("kpi_cliente", "faturamento", True), ("kpi_produto", "faturamento", True), ("a_receber_cliente", "a_receber", True),
+    ("a_pagar_fornecedor", "a_pagar", True), ("tabela_a_receber", "datavencto", True), ("tabela_a_pagar", "datavencto", True),
+])
+def test_reports_come_in_order(t, name, column, down):
+    """O1-O3: the comparison with SQL ignores the order, so it is checked here."""
+    got = [r[column] for r in plans.REPORTS[name](t, ReportFilters(), AS_OF).collect()]
+    assert len(got) > 1 and got == sorted(got, reverse=down)
