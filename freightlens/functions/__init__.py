@@ -21,19 +21,16 @@ from .business import (
     row_cost,
     safe_ratio,
     tonnes,
-    zero_if_null,
 )
 from .calendar import (
     MONTH_NAMES_PT,
     as_of_date,
     as_of_lit,
-    at_midnight,
     current_month,
-    date_parts,
     days_between,
     month_name_pt,
     since_year,
 )
-from .text import clean_body, cpf_is_valid, digits_only, json_or_null, unescape_path
+from .text import clean_body, cpf_is_valid, digits_only, unescape_path
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -94,11 +94,6 @@ def paid_amount(total, saldo) -> Column:
     return _c(total) - _c(saldo)
 
 
-def zero_if_null(c) -> Column:
-    """``COALESCE(x, 0)``."""
-    return F.coalesce(_c(c), F.lit(0))
-
-
 def as_double(c) -> Column:
     """Aggregate (DECIMAL) -> DOUBLE once, at the output (E17), NULL -> 0.0."""
     return F.coalesce(_c(c).cast("double"), F.lit(0.0))

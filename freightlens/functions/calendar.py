@@ -18,16 +18,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def date_parts(date_col, prefix_day: str, prefix_month: str, prefix_year: str) -> dict[str, Column]:
-    """Year / month / day of a date as INT columns."""
-    d = _c(date_col)
-    return {
-        prefix_day: F.dayofmonth(d),
-        prefix_month: F.month(d),
-        prefix_year: F.year(d),
-    }
-
-
 def month_name_pt(month_col) -> Column:
     """Month number -> Portuguese name, NULL outside 1..12.
 
@@ -43,11 +33,6 @@ def days_between(end, start) -> Column:
     return F.date_diff(_c(end), _c(start))
 
 
-def at_midnight(date_col) -> Column:
-    """Cast a DATE to a timestamp at 00:00 (E12), time-zone free."""
-    return _c(date_col).cast("timestamp_ntz")
-
-
 def as_of_lit(as_of: dt.datetime | dt.date | None) -> Column:
     """The report clock (E14, K21) as a TIMESTAMP_NTZ literal.
 

@@ -57,11 +57,6 @@ def unescape_path(c) -> Column:
 
 def clean_body(c) -> Column:
     """Remove the two-character sequence backslash+n, then strip outer
-    whitespace (E23).  Parse with :func:`json_or_null`."""
+    whitespace (E23)."""
     no_escapes = F.replace(_c(c), F.lit(BACKSLASH + "n"), F.lit(""))
     return F.regexp_replace(no_escapes, f"^{_WS}+|{_WS}+$", "")
-
-
-def json_or_null(c) -> Column:
-    """VARIANT when the text is JSON, else NULL (``try_parse_json``)."""
-    return F.try_parse_json(_c(c))

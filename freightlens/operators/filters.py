@@ -134,10 +134,3 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 def needed_filter_columns(filters: ReportFilters, fields: Mapping[str, str]) -> set[str]:
     return {col for name, col in fields.items() if active(getattr(filters, name)) is not None}
-
-
-def merge_need(*parts: Iterable[str]) -> set[str]:
-    out: set[str] = set()
-    for p in parts:
-        out |= set(p)
-    return out
