@@ -3,13 +3,20 @@
 Public vocabularies measure each whole text: characters per token and the
 entropy of its token distribution (byte-level BPE), and the share of tokens
 that fall back to single bytes (a piece BPE with byte fallback).  A language's
-band for each measure is taken from the corpus itself, over all its documents
-of ``MIN_TOKENS`` tokens or more: the median, widened ``WIDTH`` times the
-distance to the 5th and 95th percentile, and ``MARGIN`` at least.  A document
-outside a band of its language is rejected.  Documents without a language use
-their script's band.  Entropy is compared as a share of the largest entropy
-that the number of tokens allows, so that length doesn't matter, and only from
-below; byte fallback only from above.
+band for each measure is taken from the corpus itself, over its documents of
+``MIN_TOKENS`` tokens or more that pass the base rules: the median, widened
+``WIDTH`` times the distance to the quartile, and ``MARGIN`` at least.  The
+measures of a short text scatter more, with one over the root of its tokens, so
+distances are taken and compared as those of ``FULL_TOKENS`` tokens (longer
+texts count as that long).  A document outside a band of its language is
+rejected.  Entropy is compared as a share of the largest entropy that the
+number of tokens, ``FULL_TOKENS`` at most, allows, and only from below (its
+edge stays above half the median); byte fallback only from above.
+
+Documents without a language, or of one with fewer than ``MIN_DOCS`` such
+documents, use their script's band: it reaches over the bands of the script's
+languages that have enough, and over the one that the documents without such a
+language give, if they are enough or there is no other.
 
 Base rules come first (see ``op7_fertility``): fewer than 20 words, or more
 than 30 % of the words in 8-word windows that occur twice or more.
@@ -20,8 +27,8 @@ every 10,000.
 
 Edge cases: null, empty and blank texts have no words and fail the base rules;
 rows are judged one by one, so ties and repeated rows get equal verdicts; texts
-with fewer than ``MIN_TOKENS`` tokens pass the bands; a null language is
-replaced by the script that most letters have.  An empty table gives an empty
+with fewer than ``MIN_TOKENS`` tokens pass the bands; a text's script is the
+one that most letters have.  An empty table gives an empty
 result.  Only ``text`` and ``lang`` are read; the other columns pass through.
 """
 
@@ -45,9 +52,9 @@ from . import common as C
 VOCABULARIES = "/opt/tokenizers"
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 20, 30, 8
-MIN_TOKENS, WIDTH = 50, 4.0
+MIN_TOKENS, FULL_TOKENS, MIN_DOCS, WIDTH = 50, 512, 50, 5.0
 #: The least distance of a band's edges from the median: below, above (none: no edge).
-MARGIN = {"chars_per_token": (0.25, 1.0), "byte_share": (None, 0.1), "entropy_share": (0.25, None)}
+MARGIN = {"chars_per_token": (0.15, 0.3), "byte_share": (None, 0.05), "entropy_share": (0.05, None)}
 SYMBOLS = b"#*$%&|<>"
 #: How the byte-level vocabulary splits text before merging: contractions, letters, digits, signs, white space.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -100,9 +107,13 @@ def fertility(text: str, folder: str) -> tuple[int, float, float, float]:
 
 def script_of(text: str) -> str:
     """The script that most letters have, by the first word of their names."""
+    if text.isascii():
+        return "LATIN" if re.search("[A-Za-z]", text) else "NONE"
     names: dict[str, int] = {}
-    for c, k in zip(*np.unique(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), return_counts=True)):
+    counts = np.bincount(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32))
+    for c in np.flatnonzero(counts).tolist():
         if chr(c).isalpha():
+            k = counts[c]
             name = unicodedata.name(chr(c), "OTHER").split()[0]
             names[name] = names.get(name, 0) + int(k)
     return max(sorted(names), key=names.get) if names else "NONE"
@@ -136,7 +147,7 @@ def measured(docs: DataFrame, name: str, folder: str = VOCABULARIES) -> DataFram
     """``docs`` and a struct column ``name`` of its texts' measures."""
 
     @F.arrow_udf(MEASURES)
-    def measures(text: pa.Array, lang: pa.Array) -> pa.Array:
+    def measures(text: pa.Array) -> pa.Array:
         cols = {k: [] for k in _FIELDS}
         for a, b, buf, offs in C.steps(text):
             starts, ends, row = C.word_ranges(buf, offs)
@@ -153,36 +164,72 @@ def measured(docs: DataFrame, name: str, folder: str = VOCABULARIES) -> DataFram
                 cols["n_dup_lines"].append(dup_lines(x))
                 for k, v in zip(("n_tokens", "chars_per_token", "byte_share", "entropy_share"), fertility(x, folder)):
                     cols[k].append(v)
-                cols["script"].append(None if lang[i].is_valid else script_of(x))
+                cols["script"].append(script_of(x))
         kinds = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string()}
         return pa.StructArray.from_arrays([pa.array(cols[k], kinds[t]) for k, t in _FIELDS.items()], names=list(_FIELDS))
 
     C.small_batches(docs)
-    return docs.withColumn(name, measures("text", F.col("lang").cast("string")))
+    return docs.withColumn(name, measures("text"))
 
 
 def judged(measures: DataFrame, q: str) -> DataFrame:
     """Adds ``base_failed``, ``fertility_failed`` and ``kept`` to the struct column ``q`` of measures."""
     all_ = C.saved(measures, "quality")
-    group = F.coalesce(F.col("lang").cast("string"), F.concat(F.lit("script "), F.col(f"{q}.script")))
-    names = list(MARGIN)
-    long_ = all_.where(F.col(f"{q}.n_tokens") >= MIN_TOKENS).groupBy(group.alias("__group"))
-    bands = long_.agg(*(F.percentile_approx(f"{q}.{x}", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 10_000).alias(f"__{x}") for x in names))
-
-    # written, so that its size is known: a row per language is broadcast, and only a
-    # table beyond Spark's threshold would make the join shuffle the documents
-    bands = C.saved(bands, "bands")
-
-    def edge(x: str, up: int) -> F.Column:
-        low, mid, high = (F.col(f"__{x}")[i] for i in range(3))
-        return mid + up * F.greatest(WIDTH * ((high - mid) if up > 0 else (mid - low)), F.lit(MARGIN[x][up > 0]))
-
-    cpt, share, entropy = (F.col(f"{q}.{x}") for x in names)
-    odd = ((cpt < edge("chars_per_token", -1)) | (cpt > edge("chars_per_token", 1))
-           | (share > edge("byte_share", 1)) | (entropy < edge("entropy_share", -1)))
+    lang, script, tokens = F.col("lang").cast("string"), F.col(f"{q}.script"), F.col(f"{q}.n_tokens").cast("double")
     base = (F.col(f"{q}.n_words") < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > MAX_REPEAT_PCT * F.col(f"{q}.n_words"))
-    odd = F.coalesce(odd, F.lit(False)) & (F.col(f"{q}.n_tokens") >= MIN_TOKENS)
-    return (all_.withColumn("__group", group).join(bands, "__group", "left")
+    capped = F.least(tokens, F.lit(float(FULL_TOKENS)))
+    value = {x: F.col(f"{q}.{x}") for x in MARGIN}
+    value["entropy_share"] = value["entropy_share"] * F.log2(tokens) / F.log2(F.greatest(capped, F.lit(2.0)))
+    # a short text's distance from a median as that of a text of FULL_TOKENS
+    scale = F.sqrt(capped / FULL_TOKENS)
+
+    # small tables are written, so that their size is known: they are broadcast, and only
+    # one beyond Spark's threshold would make a join shuffle the documents
+    clean = all_.where((tokens >= MIN_TOKENS) & ~base)
+    langs = C.saved(clean.where("lang is not null").groupBy(lang.alias("__lang"))
+                    .agg(F.count("*").alias("n"), F.mode(script, True).alias("__lang_script")).where(F.col("n") >= MIN_DOCS).drop("n"), "langs")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        """With the language, if it has enough documents, and the script whose band counts."""
+        return (df.withColumn("__lang0", lang).join(langs, F.col("__lang0") == F.col("__lang"), "left").drop("__lang0")
+                .withColumn("__script", F.coalesce("__lang_script", script)).drop("__lang_script"))
+
+    def same(a: str, b: str) -> F.Column:
+        return F.col(f"{a}lang").eqNullSafe(F.col(f"{b}lang")) & (F.col(f"{a}script") == F.col(f"{b}script"))
+
+    def percentiles(x: F.Column, *at: float) -> F.Column:
+        return F.percentile_approx(x, F.array(*map(F.lit, at)), 10_000)
+
+    own = keyed(clean).select("__lang", "__script", scale.alias("__scale"), *(v.alias(f"__{x}") for x, v in value.items()))
+    mids = C.saved(own.groupBy(F.col("__lang").alias("m_lang"), F.col("__script").alias("m_script"))
+                   .agg(*(percentiles(F.col(f"__{x}"), 0.5)[0].alias(f"{x}_mid") for x in MARGIN)), "medians")
+    units = own.join(mids, same("__", "m_")).groupBy("m_lang", "m_script").agg(
+        F.count("*").alias("n"), *(F.first(f"{x}_mid").alias(f"{x}_mid") for x in MARGIN),
+        *(percentiles((F.col(f"__{x}") - F.col(f"{x}_mid")) * F.col("__scale"), 0.25, 0.75).alias(f"{x}_off") for x in MARGIN))
+
+    def ends(x: str, down: F.Column, up: F.Column) -> list[F.Column]:
+        return [F.min(f"{x}_mid").alias(f"{x}_low"), F.max(down).alias(f"{x}_down"), F.max(f"{x}_mid").alias(f"{x}_high"), F.max(up).alias(f"{x}_up")]
+
+    def edges(df: DataFrame, key: F.Column) -> DataFrame:
+        return df.groupBy(key.alias("b_lang"), F.col("m_script").alias("b_script")).agg(*(e for x, (down, up) in MARGIN.items() for e in ends(
+            x, F.greatest(-WIDTH * F.col(f"{x}_off")[0], F.lit(down or 0.0)), F.greatest(WIDTH * F.col(f"{x}_off")[1], F.lit(up or 0.0)))))
+
+    units = C.saved(units, "units")
+    spoken = units.where("m_lang is not null")
+    # a script's band: over its languages', and that of its other documents if they are enough or alone
+    others = units.where(f"m_lang is null and n >= {MIN_DOCS}").unionByName(
+        units.where(f"m_lang is null and n < {MIN_DOCS}").join(spoken.select("m_script").distinct(), "m_script", "left_anti"))
+    bands = C.saved(edges(spoken, F.col("m_lang")).unionByName(edges(spoken.unionByName(others), F.lit(None).cast("string"))), "bands")
+
+    def beyond(x: str, up: bool) -> F.Column:
+        if up:
+            return (value[x] - F.col(f"{x}_high")) * scale > F.col(f"{x}_up")
+        return (value[x] - F.col(f"{x}_low")) * scale < -F.col(f"{x}_down")
+
+    odd = (beyond("chars_per_token", False) | beyond("chars_per_token", True) | beyond("byte_share", True)
+           | beyond("entropy_share", False) | (value["entropy_share"] < F.col("entropy_share_low") / 2))
+    odd = F.coalesce(odd, F.lit(False)) & (tokens >= MIN_TOKENS)
+    return (keyed(all_).join(bands, same("__", "b_"), "left")
             .withColumn(q, F.struct(f"{q}.*", base.alias("base_failed"), odd.alias("fertility_failed"), (~base & ~odd).alias("kept")))
             .select(*measures.columns))
 

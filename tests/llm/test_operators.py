@@ -2,6 +2,7 @@
 nulls, empty and long texts, repeated rows, clashing extra columns, empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freightlens.llm import catalog, decontaminate, licenses, mixing, near_dedup, pii, quality, secrets, substrings, warc
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MID, SF_SMALL
 from tests.oracle_compare import compare_frames
 
 WORDS = [f"w{i * 7919 % 1000}x" for i in range(400)]
@@ -53,6 +54,32 @@ def test_quality_counts(docs, none):
     assert kept.columns == docs.columns and kept.count() == 4 and quality.keep_good(none).count() == 0
 
 
+def test_fertility_bands(spark):
+    rnd = random.Random(7)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    noise = {
+        "hex": lambda: f"{rnd.getrandbits(48):0{rnd.randint(4, 12)}x}",
+        "letters": lambda: "".join(rnd.choices(low, k=rnd.randint(3, 9))),
+        "low": lambda: rnd.choice(["the", "of", "and", "that", "with", "only"]),
+    }
+    table = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text", "lang")
+    clean = {x: [r.text for r in table.join(spark.read.parquet(f"{SF_MID}/labels.parquet").where("quality = 1"), "doc_id")
+                 .where(f"lang = '{x}'").orderBy("doc_id").limit(20).collect()] for x in ("en", "de", "fr", "es")}
+    rows = [(f"{kind} {n}", " ".join(word() for _ in range(n)), x) for kind, word in noise.items() for n in (150, 2000)
+            for x in ("en", "de", "fr", "es", "xx", None)]
+    # a language with few documents and texts without one: their script's band
+    rows += [(f"clean {n}", t, x) for n, t in enumerate(clean["en"] + clean["es"]) for x in ("xx", None)]
+    rows += [(f"clean {n}", t, x) for x in clean for n, t in enumerate(clean[x])]
+    # one script with nothing but a few documents: its own band, and one token
+    rows += [("clean 0", " ".join(rnd.choices(["слово", "дело", "время", "жизнь", "город", "вода", "рука", "работа"], k=90)) + f" {k}", "ru") for k in range(3)] + [("clean 0", "a", "en")]
+    docs = table.withColumn("doc_id", F.lit("table")).unionByName(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    got = quality.judged(quality.measured(docs, "__q"), "__q").select("doc_id", "lang", "__q.fertility_failed").collect()
+    planted = [r for r in got if r.doc_id != "table"]
+    assert len(planted) == len(rows) and len(got) == len(rows) + table.count()
+    assert {(r.doc_id, r.lang) for r in planted if not r.doc_id.startswith("clean") and not r.fertility_failed} == set()
+    assert sum(r.fertility_failed for r in planted if r.doc_id.startswith("clean")) <= 2
+
+
 def test_personal_data(docs, none):
     got = {r.doc_id: r for r in pii.spans(docs, ["doc_id"]).withColumn("s", pii._listed(F.col("__spans"))).collect()}
     assert got[6].s == "email:5:13" and got[7].s == "phone:5:22,card:26:45" and got[11].s == "ip:4:11" and got[3].s == ""
