@@ -1,17 +1,19 @@
 """Operator 9: license scans by sentence-rule recognition.  DataFrame functions only.
 
-A text is lower-cased and cut into sentences (at line ends and at ``. ! ? ;``
-before white space); a sentence keeps its letters and digits, single-spaced.
-Known license sentences have identifiers.  A document's known sentences, in
-order, give its identifier sequence, and licenses are rules over it: ordered
+A text is lower-cased and keeps its letters and digits, single-spaced, with
+marks for stops (``. ! ? ;`` before white space) and for line breaks (with the
+comment signs that follow).  Known license sentences have identifiers.  One is
+found where its words stand between two marks; line breaks within it, blank
+lines too, are white space, as wrapped texts have them, while a stop must be
+one of its own.  Of several that begin at a mark, the longest counts.  A
+document's known sentences, in order, give its identifier sequence, and licenses are rules over it: ordered
 identifier lists that must occur in a row (sentences that aren't known don't
 break a row).  A rule that lies inside another matched rule's row gives way to
 it, so a whole text isn't also reported by a part of it.
 
-Only sentences of documents with a word that some known sentence needs are
-looked at (every known sentence has one of ``TRIGGERS``, which is checked on
-import), and only identified sentences are shuffled, by document.  The two
-tables are the fixed ones below.
+Only documents with a word that some known sentence needs are looked at (every
+known sentence has one of ``TRIGGERS``, which is checked on import), and nothing
+is shuffled.  The two tables are the fixed ones below.
 
 Edge cases: null and empty texts have no license; repeated rows get equal results; a
 sentence that occurs twice counts twice in the sequence, the license once; an
@@ -73,56 +75,61 @@ RULES = [
     ("ISC", (23,)), ("MPL-2.0", (24,)), ("Unlicense", (25,)), ("CC0-1.0", (26,)), ("all-rights-reserved", (31,)),
 ]
 TRIGGERS = ("licens", "permission", "copyright", "redistribut", "public domain", "rights reserved")
-SENTENCE_END = r"[.!?;]++(?:\s++|$)|[\r\n]++"
+#: Marks of a text's stops and line breaks: upper case, which no lower-cased text has.
+STOP, LINE = "S", "L"
+_MARKING = [(r"[\r\n]++[^0-9a-z]*+", f" {LINE} "), (r"[.!?;]++(?=\s|$)", f" {STOP} "), (rf"[^0-9a-z{STOP}{LINE}]++", " ")]
 
 
 def normal(sentence: str) -> list[str]:
-    """The sentences of a text as SENTENCES are compared: what the column expressions do, for the table."""
-    return [x for x in (re.sub(r"[^0-9a-z]+", " ", part).strip() for part in re.split(r"[.!?;]+(?:\s+|$)|[\r\n]+", sentence.lower())) if x]
+    """The words and marks of a listed sentence, as ``marked`` has them; a stop at its end isn't part of it."""
+    words = sentence.lower()
+    for pattern, by in _MARKING:
+        words = re.sub(pattern, by, words)
+    return words.strip(f" {STOP}{LINE}").split(" ")
 
 
-#: A listed sentence with a stop in it is as many sentences, of the same identifier in a row.
-_KNOWN = [(text, k, i, n) for k, s in SENTENCES.items() for parts in [normal(s)] for n in [len(parts)] for i, text in enumerate(parts)]
-if not all(any(t in " ".join(normal(s)) for t in TRIGGERS) for s in SENTENCES.values()):
-    raise ValueError("a license sentence without a trigger word would never be looked for")
+def _words(sentence: str) -> str:
+    return " ".join(x for x in normal(sentence) if x not in (STOP, LINE))
 
 
-def sentences(text: Column) -> Column:
-    return F.transform(F.split(F.lower(text), SENTENCE_END), lambda x: F.trim(F.regexp_replace(x, "[^0-9a-z]++", " ")))
+#: Words without marks -> identifier; longest first, as the pattern tries them.
+_KNOWN = {_words(s): k for k, s in sorted(SENTENCES.items(), key=lambda x: -len(x[1]))}
+if len(_KNOWN) < len(SENTENCES):
+    raise ValueError("two license sentences have the same words")
+if not all(any(t in x for t in TRIGGERS) for x in _KNOWN):
+    raise ValueError("a license sentence without a trigger word would never be looked for")
+_TRIGGER = "|".join(t.replace(" ", "[^0-9a-z]+") for t in TRIGGERS)
+_SENTENCE = f"[{STOP}{LINE}] (" + "|".join(
+    f" (?:{LINE} )*+".join(normal(SENTENCES[k])).replace(f" (?:{LINE} )*+{STOP} (?:{LINE} )*+", f" (?:{LINE} )*+{STOP} (?:[{STOP}{LINE}] )*+")
+    for k in _KNOWN.values()) + f")(?= [{STOP}{LINE}])"
 
 
-def _sequence(marks: Column) -> Column:
-    """Marks (k, id, part, parts) of a document in order -> identifiers of whole listed sentences."""
-    step = F.struct(F.lit(0).alias("id"), F.lit(0).alias("part"), F.lit(-2).alias("k"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(marks, step, lambda acc, x: F.struct(
-        x["id"].alias("id"), x["part"].alias("part"), x["k"].alias("k"),
-        F.when((x["part"] == x["parts"] - 1) & ((x["parts"] == 1) | ((acc["id"] == x["id"]) & (acc["part"] == x["part"] - 1) & (acc["k"] == x["k"] - 1))),
-               F.concat(acc["out"], F.array(x["id"]))).otherwise(acc["out"]).alias("out")), lambda acc: acc["out"])
+def marked(text: Column) -> Column:
+    """A text's words and marks, single-spaced, between two stops."""
+    text = F.lower(text)
+    for pattern, by in _MARKING:
+        text = F.regexp_replace(text, pattern, by)
+    return F.concat(F.lit(f"{STOP} "), F.trim(text), F.lit(f" {STOP}"))
 
 
 def found(docs: DataFrame) -> DataFrame:
     """``docs`` with sequence (array of identifiers) and licenses (array of names, sorted)."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame(_KNOWN, "sentence string, id int, part int, parts int")
-    rows = C.saved(docs.withColumn("__uid", F.monotonically_increasing_id()).withColumn(
-        "__sentences", F.when(F.lower(F.col("text")).rlike("|".join(TRIGGERS)), sentences(F.col("text")))).drop("text"), "license-rows")
-    each = rows.where("__sentences is not null").select("__uid", F.posexplode("__sentences").alias("k", "sentence"))
-    # a part of a listed sentence may belong to several of them: all are tried
-    marks = (each.join(known, "sentence").groupBy("__uid")
-             .agg(F.sort_array(F.collect_list(F.struct("k", "id", "part", "parts"))).alias("marks")))
-    seq = marks.select("__uid", _sequence(F.col("marks")).alias("sequence")).where(F.size("sequence") > 0)
-    text = F.concat(F.lit(","), F.array_join(F.transform("sequence", lambda x: x.cast("string")), ","), F.lit(","))
+    known = F.create_map(*(F.lit(x) for item in _KNOWN.items() for x in item))
+    none = F.array().cast("array<string>")
+    sequence = F.transform(F.regexp_extract_all(marked(F.col("text")), F.lit(_SENTENCE), F.lit(1)),
+                           lambda x: F.element_at(known, F.regexp_replace(x, f" [{STOP}{LINE}](?= )", "")))
+    rows = C.saved(docs.withColumn("__sequence", F.when(F.lower(F.col("text")).rlike(_TRIGGER), sequence)).drop("text"), "license-rows")
+    seq = rows.withColumn("__sequence", F.coalesce("__sequence", F.array().cast("array<int>")))
+    text = F.concat(F.lit(","), F.array_join(F.transform("__sequence", lambda x: x.cast("string")), ","), F.lit(","))
     rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("," + ",".join(map(str, ids)) + ",").alias("ids")) for name, ids in RULES))
     hit = F.filter(rules, lambda r: F.col("__ids").contains(r["ids"]))
     # a rule stands if it still occurs once every longer matched rule's row is taken out
     left = F.filter("__hit", lambda r: F.aggregate(
         F.filter("__hit", lambda o: (F.length(o["ids"]) > F.length(r["ids"])) & o["ids"].contains(r["ids"])), F.col("__ids"),
         lambda acc, o: F.replace(acc, o["ids"], F.lit(",,"))).contains(r["ids"]))
-    named = (seq.withColumn("__ids", text).withColumn("__hit", hit)
-             .select("__uid", "sequence", F.array_sort(F.array_distinct(F.transform(left, lambda r: r["name"]))).alias("licenses")))
-    none = F.array().cast("array<string>")
-    return rows.drop("__sentences").join(named, "__uid", "left").select(
-        *(c for c in docs.columns if c != "text"), F.coalesce("sequence", F.array().cast("array<int>")).alias("sequence"), F.coalesce("licenses", none).alias("licenses"))
+    named = F.array_sort(F.array_distinct(F.transform(left, lambda r: r["name"])))
+    return (seq.withColumn("__ids", text).withColumn("__hit", F.when(F.size("__sequence") > 0, hit))
+            .select(*(c for c in docs.columns if c != "text"), F.col("__sequence").alias("sequence"), F.coalesce(named, none).alias("licenses")))
 
 
 def op9_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ nulls, empty and long texts, repeated rows, clashing extra columns, empty tables
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -124,6 +125,25 @@ def test_licenses(docs, none):
     assert got[9] == ([6], ["MIT"]) and got[3] == ([], []) and licenses.found(none).count() == 0
 
 
+MIT = ["MIT License", "", "Copyright (c) 2020 Someone", "", *textwrap.wrap(licenses.SENTENCES[8], 70), "", *textwrap.wrap(licenses.SENTENCES[9] + ".", 70), "", "THE SOFTWARE IS PROVIDED AS IS."]
+BSD = ["Copyright 2020 Someone", *textwrap.wrap(licenses.SENTENCES[20], 60), "", *textwrap.wrap("1. " + licenses.SENTENCES[21] + ".", 60),
+       "2. Redistributions in binary form must", "   reproduce the above copyright notice.", *textwrap.wrap("3. " + licenses.SENTENCES[22] + ".", 60)]
+APACHE = ['Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "",
+          "    http://www.apache.org/licenses/LICENSE-2.0", "", "See the License for the specific language governing permissions and", "limitations under the License."]
+WRAPPED = [(MIT, [8, 9], ["MIT"]), (BSD, [20, 21, 22], ["BSD-3-Clause"]), (APACHE, [2, 3, 4, 5], ["Apache-2.0"]),
+           (textwrap.wrap(licenses.SENTENCES[11] + ".", 40), [11], ["GPL-3.0-or-later"]), (textwrap.wrap(licenses.SENTENCES[12] + ".", 40), [12], ["GPL-2.0-or-later"]),
+           (textwrap.wrap(licenses.SENTENCES[23], 40), [23], ["ISC"]),
+           (["This is free and unencumbered software released into the public", "domain."], [25], ["Unlicense"]), (["This work. Is", "licensed under CC BY 4.0"], [15], ["CC-BY-4.0"]),
+           (["Licensed under the", "MIT License", "and more words in the next line"], [7], ["MIT"]), (["It is not", "said. Licensed under the MIT", "License or so"], [], [])]
+
+
+@pytest.mark.parametrize("sign", ["", " * ", "# ", "// ", ";; "])
+def test_wrapped_licenses(spark, sign):
+    rows = [(i, end.join((sign + line).rstrip() for line in lines)) for i, (lines, _, _) in enumerate(WRAPPED) for end in ("\n", "\r\n")]
+    got = licenses.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and [(r.doc_id, r.sequence, r.licenses) for r in got if (r.sequence, r.licenses) != WRAPPED[r.doc_id][1:]] == []
+
+
 def test_substrings(docs, none):
     got = {(r.doc_id, r["__repeats"].longest_words > 300) for r in substrings.found(docs, ["doc_id"]).collect()}
     assert {(1, True), (2, True), (None, True), (6, False), (3, False)} <= got
