@@ -17,12 +17,14 @@ skewed partitions), or AQE's runtime broadcast when it measures them small.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from typing import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import fixtures as fx
 from .jdbc import jdbc_reader
 
@@ -307,22 +309,28 @@ def _partition_cols(tables: ErpTables, name: str) -> dict:
 
 
 def _fingerprints(df: DataFrame, parts: dict, cols: list[str]) -> DataFrame:
-    """Rows and a sum of row hashes per partition: a pre-aggregated group-by."""
-    row = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")
+    """Rows and a sum of row hashes per partition: a pre-aggregated group-by.
+    xxhash64 skips nulls, so each column goes with its null flag."""
+    row = F.xxhash64(*[x for c in cols for x in (F.col(c), F.col(c).isNull())]).cast("decimal(38,0)")
     return df.groupBy(*[e.cast("int").alias(c) for c, e in parts.items()]).agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("h"))
 
 
-def changed_partitions(tables: ErpTables, root: str, name: str) -> tuple[list, list]:
-    """(to write, to remove): partitions of a staged fact that differ from the
-    source, as a document moves between months and open-balance flags when it
-    is paid.  Metadata only: a row per partition."""
+def changed_partitions(tables: ErpTables, root: str, name: str) -> DataFrame:
+    """``__<partition column>`` and ``__keep`` (false: to remove): partitions of a
+    staged fact that differ from the source, as a document moves between months
+    and open-balance flags when it is paid."""
     parts = _partition_cols(tables, name)
     src = tables.table(name)
     cols = [c for c in src.columns if c not in parts]
     kept = tables.spark.read.parquet(f"{root}/{name}")
-    new = {tuple(r)[:len(parts)]: (r.n, r.h) for r in _fingerprints(src, parts, cols).collect()}
-    old = {tuple(r)[:len(parts)]: (r.n, r.h) for r in _fingerprints(kept, {c: F.col(c) for c in parts}, cols).collect()}
-    return [p for p in new if old.get(p) != new[p]], [p for p in old if p not in new]
+    new = _fingerprints(src, parts, cols).alias("new")
+    old = _fingerprints(kept, {c: F.col(c) for c in parts}, cols).alias("old")
+    same = [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in parts]
+    differs = ~(F.col("new.n").eqNullSafe(F.col("old.n")) & F.col("new.h").eqNullSafe(F.col("old.h")))
+    # a partition column may be null on a side that is there
+    here = F.col("new.n").isNotNull()
+    return new.join(old, same, "full").where(differs).select(
+        *[F.when(here, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(f"__{c}") for c in parts], here.alias("__keep"))
 
 
 def refresh_months(tables: ErpTables, root: str, months: list[int] = (), max_records_per_file: int = 5_000_000) -> None:
@@ -341,21 +349,27 @@ def refresh_months(tables: ErpTables, root: str, months: list[int] = (), max_rec
     try:
         for name in FACTS:
             parts = _partition_cols(tables, name)
-            write, remove = changed_partitions(tables, root, name)
+            # written first: the warehouse that it is read from changes below
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/changed-{name}-{uuid.uuid4().hex}"
+            changed_partitions(tables, root, name).write.parquet(path)
+            changed = spark.read.parquet(path)
+            some = changed.where("__keep").withColumnRenamed("__keep", "__hit")
             here = [e.cast("int").eqNullSafe(F.col(f"__{c}")) for c, e in parts.items()]
-            some = spark.createDataFrame(write, ", ".join(f"__{c} int" for c in parts)).withColumn("__hit", F.lit(True))
-            rows = tables.table(name).join(F.broadcast(some), here, "left")
+            rows = tables.table(name).join(some, here, "left")
             wanted = F.col("__hit").isNotNull()
             if months:
                 wanted = wanted | F.coalesce(parts[PARTITION_COL].isin(list(months)), F.lit(False))
-            if write or months:
+            if months or not some.isEmpty():
                 _write_fact(tables, name, rows.filter(wanted).select(*tables.table(name).columns), f"{root}/{name}", "overwrite", max_records_per_file)
-            _remove_partitions(spark, f"{root}/{name}", list(parts), remove)
+            # folders are removed one by one, without the list in memory
+            _remove_partitions(spark, f"{root}/{name}", list(parts), changed.where("not __keep").drop("__keep").toLocalIterator())
+            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
-def _remove_partitions(spark: SparkSession, path: str, cols: list[str], partitions: list) -> None:
+def _remove_partitions(spark: SparkSession, path: str, cols: list[str], partitions: Iterable) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in partitions:
         folder = "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for c, v in zip(cols, p))

@@ -389,6 +389,24 @@ def test_refresh_after_settling(spark, t):
         assert _rows(plans.REPORTS[name](w, ReportFilters(), AS_OF)) == _rows(plans.REPORTS[name](v, ReportFilters(), AS_OF))
 
 
+def test_refresh_sees_values_that_change_columns(spark, t):
+    """A value that moves to a neighbouring column, which leaves a null, changes the partition."""
+    from freightlens.sources import refresh_months
+
+    def only(name, filled, empty):
+        df = t.table(name)
+        if name != "factrc":
+            return df.limit(5)
+        return df.withColumns({filled: F.lit(100).cast(df.schema[filled].dataType), empty: F.lit(None).cast(df.schema[empty].dataType)})
+
+    first, later = (ErpTables(spark, lambda name, need, x=x: only(name, *x), ()) for x in (("vlrsaldo", "vlrrecbto"), ("vlrrecbto", "vlrsaldo")))
+    root = tempfile.mkdtemp(prefix="fl-wh5-")
+    stage(first, root)
+    refresh_months(later, root)
+    got = spark.read.parquet(f"{root}/factrc")
+    assert got.count() == t.table("factrc").count() and got.where("vlrsaldo is not null or vlrrecbto is null").isEmpty()
+
+
 def _fact_partition_filters(plan: str) -> list[str]:
     return re.findall(r"/(?:factrc|frctrc|cptit)\], PartitionFilters: \[([^\]]*)", plan)
 
