@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, near_dedup, pii, quality, secrets, substrings, toxicity, warc
+from . import decontaminate, licenses, mixing, near_dedup, packing, pii, quality, resampling, secrets, substrings, toxicity, tries, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_bag": toxicity.op1_subword_bag,
@@ -19,6 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_join": decontaminate.op8_prefix_join,
     "op9_sentence_rules": licenses.op9_sentence_rules,
     "op10_gear_chunks": substrings.op10_gear_chunks,
+    "op11_histogram_fit": packing.op11_histogram_fit,
+    "op12_interned_grams": resampling.op12_interned_grams,
+    "op13_burst_trie": tries.op13_burst_trie,
 }
 
-SQL: dict[str, str] = {"op2_warc": warc.SQL, "op8_prefix_join": decontaminate.SQL}
+SQL: dict[str, str] = {"op2_warc": warc.SQL, "op8_prefix_join": decontaminate.SQL,
+                       "op12_interned_grams": resampling.SQL, "op13_burst_trie": tries.SQL}
