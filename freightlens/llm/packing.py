@@ -17,7 +17,8 @@ key, which is unique on both sides.
 Tokens: the tokenizer's normaliser and splitter never reach across white space,
 and a full stop, comma, colon, semicolon, ``!`` or ``?`` that ends a word after
 an ASCII letter is always a run of its own.  So a text's ids are its words' ids
-on end, and each distinct word of a run of texts (``interning``) is encoded once.
+on end, and each distinct word of a run of texts (``interning``) is encoded once;
+words of plain Latin letters, which need no composing or splitting, go in lines.
 
 Edge cases: a null text is empty; an empty or blank text is the end token alone;
 rows that repeat a doc_id or a text are documents of their own; a null doc_id is
@@ -30,6 +31,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -52,6 +54,8 @@ KNOWN, KNOWN_IDS = 400_000, 4_000_000
 SPREAD = 1 << 16
 
 _ENDING = b".,;:!?"
+#: Words of letters below U+0180, without U+0130, whose lower case is two characters.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|\xC4[\x80-\xAF\xB1-\xBF]|\xC5[\x80-\xBF])+")
 
 
 def tokenizer_path() -> str:
@@ -65,9 +69,17 @@ class _Vocabulary:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a plain word is one unit once lower-cased: nothing to compose or split in it
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Lowercase()
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        tokens = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(tokens.values()) + 1, bool)  # the ids that end a unit
+        self.closes[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -79,10 +91,15 @@ class _Vocabulary:
         if len(self.known) + len(words) > KNOWN or len(self.flat) > KNOWN_IDS:
             self.forget()
         new = [w for w in words if w not in self.known]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
-        self.known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
+        plain, other = [], []
+        for w in new:
+            (plain if PLAIN.fullmatch(w) else other).append(w)
+        lines = [b" ".join(plain[i:i + 50]).decode("utf-8") for i in range(0, len(plain), 50)]
+        run = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in other], add_special_tokens=False)]
+        self.known.update(zip(plain + other, range(len(self.size), len(self.size) + len(new))))
+        self.size = np.concatenate([self.size, np.diff(np.flatnonzero(self.closes[run]), prepend=-1), np.fromiter(map(len, each), np.int64, len(each))])
+        self.flat = np.concatenate([self.flat, run, np.fromiter(itertools.chain.from_iterable(each), np.uint32)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
@@ -203,6 +220,7 @@ def packed(parts: DataFrame, size: int = SIZE) -> DataFrame:
     """``parts`` (of ``pieces``) with ``sequence_id`` and ``offset``."""
     spark = parts.sparkSession
     order = ["length", F.asc_nulls_last("doc_id"), "piece", "ids_crc32"]
+    parts = C.saved(parts, "parts")  # a range sort reads its rows twice; texts are encoded once
     ranked = with_place(parts, order, "__place", save=lambda df: C.saved(df, "pieces"))
     counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
     before, start = 0, []
