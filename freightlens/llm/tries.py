@@ -46,7 +46,7 @@ from ..operators.ranking import with_place
 from . import common as C
 from .resampling import CRC_TABLE, crc_sql
 
-BURST, GROUP, HEADS = 20_000, 100, 6
+BURST, GROUP, HEADS = 2_000, 100, 6
 #: Turns that a running sum takes at a time, conversation ids in a block of ends.
 CHUNK, BLOCK = 4096, 4096
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -62,6 +62,7 @@ def rebuilt(conversations: DataFrame, group: int = GROUP, heads: int = HEADS) ->
         F.col("conv_id").cast("long").alias("conv"), "turn",
         F.unhex(F.md5(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text))).alias("tid"),
         F.char_length(text).cast("long").alias("chars"))
+    rows = C.saved(rows, "turns")  # a range sort reads its rows twice; texts are digested once
     placed = with_place(rows, ["conv", F.asc_nulls_first("turn"), "tid"], "at", save=lambda df: C.saved(df, "turns"))
     own = placed.groupBy("conv").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     convs = own.select("conv", "first", "n", (F.crc32(F.col("conv").cast("string").cast("binary")) % heads).alias("h"),
@@ -283,11 +284,11 @@ def trie(convs: DataFrame, turns: DataFrame, burst: int = BURST) -> DataFrame:
         F.max(empty).alias("ends"), F.max(F.when(empty.isNotNull(), F.col("n"))).alias("ends_n")).where("conv is not null"), "root")
 
     # parents of heads and of containers' tops: the head one turn up, or the root
-    first = root.select(F.col("conv").alias("parent"), F.lit(1).cast("long").alias("depth"))  # one row
+    top = root.first()  # one row, or none
     need = low.where("parent is null").select("conv", "depth").unionByName(heads.select("conv", "depth"))
     up = (need.where("depth > 1").join(above.select(F.col("seq").alias("conv"), (F.col("d") + 1).alias("depth"), "k1", "k2"), ["conv", "depth"])
           .join(heads.select("k1", "k2", F.col("conv").alias("parent")), ["k1", "k2"]).select("conv", "depth", "parent"))
-    parents = up.unionByName(need.where("depth = 1").join(F.broadcast(first), "depth").select("conv", "depth", "parent"))
+    parents = up.unionByName(need.where("depth = 1").withColumn("parent", F.lit(top and top["conv"]).cast("long")))
     columns = ["conv", "depth", "parent", "n", "children", "leaves", "saved", "ends", "ends_n"]
     loose = low.where("parent is null").drop("parent").unionByName(heads.join(sums, ["k1", "k2"]).drop("k1", "k2"))
     nodes = low.where("parent is not null").select(columns).unionByName(loose.join(parents, ["conv", "depth"]).select(columns)).unionByName(root.select(columns))
