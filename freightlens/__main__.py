@@ -62,6 +62,8 @@ def main(argv=None) -> None:
         df = plans.REPORTS[a.report](t, f, a.as_of)
         out = plans.response_json(a.report, df)
     if a.out:
+        if "posicao" in out.columns:  # map entries: lines in the map's order
+            out = out.orderBy("posicao").select("json")
         out.write.mode("overwrite").text(a.out)
     if a.show:
         df.show(a.show, truncate=False)

@@ -107,9 +107,8 @@ def _response(name: str) -> Query:
     return run
 
 
-#: Reports whose entries are registered: R1 with R5, R2 with R5, R2 by code.
-#: (Codes with several labels: ``kpi_cidade_last_wins``.)
-RESPONSES = ("kpi_mes_ano", "kpi_dia_mes_atual", "kpi_filial", "kpi_regiao", "kpi_cliente", "kpi_produto", "a_receber_cliente", "a_pagar_fornecedor")
+#: Reports whose entries are registered: all maps, by month, by day and by code.
+RESPONSES = tuple(name for name, shape in SHAPES.items() if shape[0] != "rows")
 
 
 def report_queries() -> dict[str, Query]:
@@ -152,9 +151,9 @@ def report_sql() -> dict[str, str]:
     for name, fn in osql.TENANT_SQL.items():
         s[name] = osql.full_sql(fn(NO_FILTERS, AS_OF), AS_OF, multi_tenant=True)
     for name in RESPONSES:
-        _, key, values, _, _ = SHAPES[name]
+        _, key, values, measure, label = SHAPES[name]
         keys = [key] if isinstance(key, str) else list(key)
-        s[f"response_{name}"] = osql.full_sql(osql.response_entries(name, keys, values, NO_FILTERS, AS_OF), AS_OF)
+        s[f"response_{name}"] = osql.full_sql(osql.response_entries(name, keys, values, measure, label, NO_FILTERS, AS_OF), AS_OF)
     return s
 
 
@@ -162,6 +161,7 @@ def control_queries() -> dict[str, Query]:
     q: dict[str, Query] = dict(registry_jobs.QUERIES)
     q["audit_normalised"] = lambda s, d: audit.accepted(fx.audit_events(s, d)).select(*audit.AUDIT_COLS)
     q["audit_rejected"] = lambda s, d: audit.rejected(fx.audit_events(s, d)).select(*audit.AUDIT_COLS)
+    q["audit_batch_sink"] = lambda s, d: audit.batch_sink_twice(s, fx.audit_events(s, d))
     q["audit_stream_append"] = lambda s, d: audit_stream.run_audit_stream_once(s, d)
     return q
 

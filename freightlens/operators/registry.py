@@ -24,6 +24,9 @@ INVALID_CPF = "invalid_cpf"
 ALREADY_PRESENT = "already_present"
 DUPLICATE_IN_BATCH = "duplicate_in_batch"
 
+#: Repeats of one request that a row stands for while they are spread.
+RUN = 10_000
+
 USER_PUBLIC_COLS = ["codusuario", "nomeusuario", "codempresa", "usuarioativo", "cpfusuario", "emailusuario"]
 USER_UPDATABLE = ["nomeusuario", "codempresa", "usuarioativo", "emailusuario"]
 COMPANY_COLS = ["codempresa", "nomeempresa", "cnpjcpf", "tipobdempresa", "portabd", "ipbd", "caminhobd", "ativa"]
@@ -64,14 +67,20 @@ def insert_outcomes(
     2. the key is already in ``existing`` -> ``already_present``;
     3. the first valid request per key (smallest ``order_col``) ->
        ``inserted``; later ones -> ``duplicate_in_batch``.
+
+    The batch's columns must be of types that can be ordered (no maps).
     """
-    # a unique request id, taken before any shuffle, breaks ties of order_col
-    b = batch.withColumn("__valid", validate if validate is not None else F.lit(True)).withColumn("__rid", F.monotonically_increasing_id())
+    # A request is told by what it says, not by where it was read: the first one of
+    # a key is the smallest (order_col, all columns), and of requests that say the
+    # same, counted below, one is inserted.  So neither a source that gives rows in
+    # another order when read again nor a retried task can insert a key twice.
+    columns = batch.columns
+    b = batch.withColumn("__valid", validate if validate is not None else F.lit(True)).withColumn("__says", F.struct(*columns))
     # One row per key of the batch: whether the registry has it, and its first
     # valid request (pre-aggregated, so a hot key costs one row per task).  The
     # registry is only semi-joined with the batch's keys, NULL keys included.
     asked = b.groupBy(F.col(key).alias("__key")).agg(
-        F.min(F.when(F.col("__valid"), F.struct(F.col(order_col).alias("o"), F.col("__rid").alias("r")))).alias("__first"))
+        F.min(F.when(F.col("__valid"), F.struct(F.col(order_col).alias("o"), F.col("__says").alias("s")))).alias("__first"))
     have = asked.select("__key").join(
         existing.select(F.col(key).alias("__have")), F.col("__key").eqNullSafe(F.col("__have")), "left_semi").withColumn("__present", F.lit(True))
     state = asked.join(have.withColumnRenamed("__key", "__h"), F.col("__key").eqNullSafe(F.col("__h")), "left").drop("__h")
@@ -79,10 +88,20 @@ def insert_outcomes(
     outcome = (
         F.when(~F.col("__valid"), F.lit(INVALID_CPF))
         .when(F.col("__present").isNotNull(), F.lit(ALREADY_PRESENT))
-        .when(F.col("__rid") == F.col("__first.r"), F.lit(INSERTED))
+        .when(F.col("__says").eqNullSafe(F.col("__first.s")), F.lit(INSERTED))
         .otherwise(F.lit(DUPLICATE_IN_BATCH))
     )
-    return b.withColumn("outcome", outcome).select(*batch.columns, "outcome")
+    told = b.withColumn("outcome", outcome).select(*columns, "outcome")
+    first = told.filter(F.col("outcome") == INSERTED).groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    # the others that say the same: spread in runs, so a request sent a million times is many small rows
+    runs = first.filter("__n > 1").withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(__n - 2) div {RUN}"))))
+    again = runs.repartition(key, "__run").withColumn(
+        "__k", F.explode(F.sequence(F.col("__run") * RUN, F.least(F.col("__n") - 1, (F.col("__run") + 1) * RUN) - 1)))
+    return (
+        told.filter(F.col("outcome") != INSERTED)
+        .unionByName(first.select(*columns, F.lit(INSERTED).alias("outcome")))
+        .unionByName(again.select(*columns, F.lit(DUPLICATE_IN_BATCH).alias("outcome")))
+    )
 
 
 def apply_inserts(existing: DataFrame, outcomes: DataFrame) -> DataFrame:

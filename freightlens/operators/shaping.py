@@ -18,19 +18,21 @@ MISSING_CALENDAR_KEY = "0"
 MISSING_MONTH_NAME = "Indefinido"
 
 
-def collapse_last_wins(df: DataFrame, key: str | Sequence[str], measure: str, label: str | None = None) -> DataFrame:
+def collapse_last_wins(df: DataFrame, key: str | Sequence[str], measure: str, label: str | None = None, *more: Column) -> DataFrame:
     """One row per key, the one the reference's dict keeps.
 
     Rows arrive sorted by ``measure`` DESC and later rows overwrite earlier
     ones, so the survivor has the smallest measure (NULL sorts last in DESC,
     so a NULL measure survives); ties go to the smallest label.  Written as a
-    ``min_by`` aggregate, so a hot key is pre-aggregated map-side.
+    ``min_by`` aggregate, so a hot key is pre-aggregated map-side.  ``more`` are
+    further aggregates over a key's rows, kept under their own names.
     """
     keys = [key] if isinstance(key, str) else list(key)
     others = [c for c in df.columns if c not in keys]
     order = F.struct(F.col(measure), F.col(label)) if label else F.struct(F.col(measure))
     picked = F.min_by(F.struct(*[F.col(c) for c in others]), order).alias("__pick")
-    return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"__pick.{c}").alias(c) for c in others])
+    one = df.groupBy(*keys).agg(picked, *more)
+    return one.select(*keys, *[F.col(f"__pick.{c}").alias(c) for c in others], *[c for c in one.columns if c not in (*keys, "__pick")])
 
 
 def default_keys(df: DataFrame, calendar_cols: Sequence[str] = (), month_name_cols: Sequence[str] = ()) -> DataFrame:
@@ -44,22 +46,24 @@ def default_keys(df: DataFrame, calendar_cols: Sequence[str] = (), month_name_co
     return df.withColumns(repl)
 
 
-def to_entries(df: DataFrame, keys: str | Sequence[str], value_cols: Sequence[str]) -> DataFrame:
+def to_entries(df: DataFrame, keys: str | Sequence[str], value_cols: Sequence[str], *keep: str) -> DataFrame:
     """The entries of ``map<key, struct<value_cols>>`` (one key) or of
     ``map<k1, map<k2, struct<value_cols>>>`` (two), a row each: ``chave`` (and
-    ``subchave``) as strings, ``valor``.  Keys should be unique (run
-    :func:`collapse_last_wins` first)."""
+    ``subchave``) as strings, ``valor``, after the columns ``keep``.  Keys should
+    be unique (run :func:`collapse_last_wins` first)."""
     names = [keys] if isinstance(keys, str) else list(keys)
     out = [F.col(k).cast("string").alias(a) for k, a in zip(names, ("chave", "subchave"))]
-    return df.select(*out, F.struct(*value_cols).alias("valor"))
+    return df.select(*keep, *out, F.struct(*value_cols).alias("valor"))
 
 
 def entries_json(entries: DataFrame) -> DataFrame:
-    """Entries as JSON text, one object per row; NULL fields are kept."""
+    """Entries as JSON text, one object per row, next to ``posicao`` if they
+    have one; NULL fields are kept."""
     value = F.col("valor")
     for k in [c for c in ("subchave", "chave") if c in entries.columns]:
         value = F.create_map(F.col(k), value)
-    return entries.select(F.to_json(value, {"ignoreNullFields": "false"}).alias("json"))
+    place = [c for c in ("posicao",) if c in entries.columns]
+    return entries.select(*place, F.to_json(value, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

@@ -831,6 +831,7 @@ CONTROL_SQL = {
     "companies_public": companies_public,
     "audit_normalised": audit_normalised,
     "audit_stream_append": audit_normalised,
+    "audit_batch_sink": audit_normalised,
     "audit_rejected": lambda: audit_normalised(rejected=True),
 }
 
@@ -921,11 +922,22 @@ TENANT_SQL = {f"{name}_all_tenants": per_tenant(fn) for name, fn in REPORT_SQL.i
 
 
 # ------------------------------------------------------------ response shapes
-def response_entries(name: str, keys: list[str], values: list[str], f: ReportFilters, as_of: dt.datetime) -> str:
-    """Entries of the report's map: keys as strings, values flat."""
+def response_entries(name: str, keys: list[str], values: list[str], measure: str | None, label: str | None,
+                     f: ReportFilters, as_of: dt.datetime) -> str:
+    """Entries of the report's map: place, keys as strings, values flat.  A code's
+    entry has the values of its last row (smallest measure, then label) and stands
+    where its first row (largest measure) does."""
     body = REPORT_SQL[name](f, as_of).strip()
     head, rows = (body[:body.rindex("\nSELECT ")], body[body.rindex("\nSELECT "):]) if body.startswith(",") else ("", body)
     chave = [f"COALESCE(CAST({k} AS VARCHAR), '{'0' if k in ('ano', 'mes_numero', 'dia') else 'null'}') AS {a}"
              for k, a in zip(keys, ("chave", "subchave"))]
     cols = [f"COALESCE({v}, 'Indefinido') AS {v}" if v == "mes" else v for v in values]
-    return f"{head},\nflat AS ({rows})\nSELECT {', '.join(chave + cols)} FROM flat"
+    if measure is None:
+        place = ", ".join(f"{k} NULLS FIRST" for k in keys)
+        return f"{head},\nflat AS ({rows})\nSELECT {', '.join(chave + cols)}, row_number() OVER (ORDER BY {place}) AS posicao FROM flat"
+    last = f"{measure} NULLS FIRST" + (f", {label} NULLS FIRST" if label else "")
+    return f"""{head},
+flat AS ({rows}),
+named AS (SELECT *, {', '.join(chave)} FROM flat),
+ends AS (SELECT *, max({measure}) OVER (PARTITION BY chave) AS top, row_number() OVER (PARTITION BY chave ORDER BY {last}) AS from_last FROM named)
+SELECT chave, {', '.join(cols)}, row_number() OVER (ORDER BY top DESC NULLS LAST, chave) AS posicao FROM ends WHERE from_last = 1"""

@@ -7,10 +7,14 @@ token returned by ``/login`` (decoded upstream: token handling is not built).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean_body
+from ..session import ensure_checkpoint_dir
 
 #: Columns the audit table declares NOT NULL.
 REQUIRED = ("metodo", "endpoint", "status_code", "user_agent")
@@ -20,6 +24,12 @@ AUDIT_COLS = [
     "id", "ts", "usuario", "codempresa", "metodo", "endpoint", "params", "body_request",
     "body_response", "body_response_json", "status_code", "ip_address", "user_agent",
 ]
+#: The audit table as written: fixed, so that an empty one can be read.
+AUDIT_TABLE = (
+    "id long, ts timestamp_ntz, usuario string, codempresa string, metodo string, endpoint string, params string, "
+    "body_request string, body_response string, body_response_json boolean, status_code int, ip_address string, "
+    "user_agent string, lote string, dia date"
+)
 
 
 def _opt(df: DataFrame, name: str, dtype: str):
@@ -70,12 +80,39 @@ def rejected(events: DataFrame) -> DataFrame:
     return normalise(events).filter("NOT __ok").drop("__ok")
 
 
-def write_audit(df: DataFrame, path: str) -> None:
-    """Append normalised rows to the audit table (Parquet), partitioned
-    by day so later reads prune by date."""
+def write_audit(df: DataFrame, path: str, batch: str) -> None:
+    """Put the normalised rows of one batch into the audit table (Parquet).
+
+    The table has a folder per batch (``lote``) and day (``dia``), so reads by
+    date prune.  A batch's folder is replaced as a whole: a job that is run
+    again, also one that was cut off, leaves the table as one run does, and
+    other batches are not touched.  ``batch`` names what was read (a source
+    file, an hour, a stream's batch id), not the run.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
+        raise ValueError(f"not a batch name: {batch!r}")
     (
         df.withColumn("dia", F.to_date("ts"))
-        .write.mode("append")
+        .write.mode("overwrite")
         .partitionBy("dia")
-        .parquet(path)
+        .parquet(f"{path.rstrip('/')}/lote={batch}")
     )
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The audit table, with its partition columns ``lote`` and ``dia``.  A batch
+    without rows leaves a folder without days, which holds no rows to read."""
+    return spark.read.schema(AUDIT_TABLE).parquet(path)
+
+
+def batch_sink_twice(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """S4 as a job that is run twice: each half of the months' events is a batch,
+    and the second run changes nothing."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    rows = accepted(events).select(*AUDIT_COLS)
+    halves = {"a": F.dayofmonth("ts") <= 15, "b": ~(F.dayofmonth("ts") <= 15) | F.col("ts").isNull()}
+    for batch, cond in halves.items():
+        write_audit(rows.filter(cond), path, batch)
+    for batch, cond in halves.items():
+        write_audit(rows.filter(cond), path, batch)
+    return read_audit(spark, path).select(*AUDIT_COLS)

@@ -4,10 +4,12 @@ flat report DataFrames.
 * ``nested``: ``{ano: {mes_numero: {...}}}`` (Q2);
 * ``map``: ``{code: {...}}`` keyed by the report's code, one entry per code
   as the reference's dict keeps it (K14: rows sorted by the measure DESC,
-  later ones overwrite -> the smallest measure survives);
+  later ones overwrite -> the smallest measure survives, at the place where
+  the code first came, so entries are in order of each code's largest measure);
 * ``rows``: the row list (tables and KPI records).
 
 Map shapes are delivered entry by entry, a row each, so they have no size limit;
+``posicao`` (1, 2, 3...) is an entry's place in the map, from a range sort;
 ``response_json`` gives the text of each without collecting rows on the driver.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import with_place
 from ..operators.shaping import collapse_last_wins, default_keys, entries_json, to_entries, to_json_rows
 
 # report -> (shape, key, value columns, measure deciding "last wins", label)
@@ -46,26 +49,27 @@ NULL_KEY = "null"
 
 def response(name: str, df: DataFrame) -> DataFrame:
     """The report ``name``'s flat rows in the reference's response shape:
-    a row per map entry (``chave``, ``subchave``, ``valor``) for map shapes, the rows unchanged
-    otherwise."""
+    a row per map entry (``posicao``, ``chave``, ``subchave``, ``valor``) for map
+    shapes, the rows unchanged otherwise."""
     shape, key, values, measure, label = SHAPES[name]
     if shape == "rows":
         return df
-    if shape == "nested":
-        k1, k2 = key
-        shaped = default_keys(df, [k1, k2], ["mes"])
-        return to_entries(shaped, [k1, k2], values)
-    if key == "dia":
-        shaped = default_keys(df, ["dia"])
+    keys = [key] if isinstance(key, str) else list(key)
+    if shape == "nested" or key == "dia":
+        order = [F.asc_nulls_first(f"__{k}") for k in keys]
+        shaped = default_keys(df.withColumns({f"__{k}": F.col(k) for k in keys}), keys, ["mes"] if shape == "nested" else [])
     else:
         shaped = df.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit(NULL_KEY)))
-    if measure is not None:
-        shaped = collapse_last_wins(shaped, key, measure, label)
-    return to_entries(shaped, key, values)
+        order = [F.desc_nulls_last("__first"), F.asc(key)]
+        # a code's place is that of its first row, its value that of its last
+        first = F.max(measure).alias("__first")
+        shaped = collapse_last_wins(shaped, key, measure, label, first)
+    placed = with_place(shaped, order, "posicao").withColumn("posicao", F.col("posicao") + 1)
+    return to_entries(placed, keys, values, "posicao")
 
 
 def response_json(name: str, df: DataFrame) -> DataFrame:
-    """Delivery text: one JSON object per map entry or per row."""
+    """Delivery text: one JSON object per map entry (with its ``posicao``) or per row."""
     shaped = response(name, df)
     if SHAPES[name][0] == "rows":
         return to_json_rows(shaped)

@@ -246,8 +246,8 @@ def test_audit_sink_and_tenant_lookup(spark):
 
     path = os.path.join(tempfile.mkdtemp(prefix="fl-audit-"), "tbauditoria")
     rows = accepted(fx.audit_events(spark, SF))
-    write_audit(rows, path)
-    write_audit(rows, path)                       # append
+    write_audit(rows, path, "a")
+    write_audit(rows, path, "b")                  # another batch: append
     back = spark.read.parquet(path)
     assert back.count() == 2 * rows.count() and "dia" in back.columns
     companies = fx.tbempresas(spark, SF)
