@@ -162,6 +162,7 @@ def control_queries() -> dict[str, Query]:
     q["audit_normalised"] = lambda s, d: audit.accepted(fx.audit_events(s, d)).select(*audit.AUDIT_COLS)
     q["audit_rejected"] = lambda s, d: audit.rejected(fx.audit_events(s, d)).select(*audit.AUDIT_COLS)
     q["audit_batch_sink"] = lambda s, d: audit.batch_sink_twice(s, fx.audit_events(s, d))
+    q["audit_bodies"] = lambda s, d: audit.parsed_bodies(fx.audit_body_events(s, d))
     q["audit_stream_append"] = lambda s, d: audit_stream.run_audit_stream_once(s, d)
     return q
 

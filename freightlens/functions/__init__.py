@@ -31,6 +31,6 @@ from .calendar import (
     month_name_pt,
     since_year,
 )
-from .text import clean_body, cpf_is_valid, digits_only, unescape_path
+from .text import body_kind, canonical_json, clean_body, cpf_is_valid, digits_only, parsed_body, unescape_path
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -60,3 +60,20 @@ def clean_body(c) -> Column:
     whitespace (E23)."""
     no_escapes = F.replace(_c(c), F.lit(BACKSLASH + "n"), F.lit(""))
     return F.regexp_replace(no_escapes, f"^{_WS}+|{_WS}+$", "")
+
+
+def parsed_body(c) -> Column:
+    """A body as VARIANT (E23): its JSON value, or the text itself as a string
+    where it isn't JSON; NULL stays NULL."""
+    return F.coalesce(F.try_parse_json(_c(c)), _c(c).cast("variant"))
+
+
+def canonical_json(v) -> Column:
+    """A VARIANT as text that is equal for equal values: no white space, object
+    keys in order, numbers in one form."""
+    return F.to_json(_c(v))
+
+
+def body_kind(v) -> Column:
+    """OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN or VOID (JSON null)."""
+    return F.regexp_extract(F.schema_of_variant(_c(v)), "^[A-Z]+", 0)

@@ -812,7 +812,77 @@ WHERE {"NOT " if rejected else ""}(metodo IS NOT NULL AND endpoint IS NOT NULL A
        AND user_agent IS NOT NULL)"""
 
 
+def audit_bodies() -> str:
+    """E23 in full: kind, canonical text and fields of bodies of every kind."""
+    body = f"regexp_replace(replace(raw, '{_BS}n', ''), '^{_WS}+|{_WS}+$', '', 'g')"
+    whole = lambda path: f"CASE WHEN json_type(j, '{path}') IN ('UBIGINT', 'BIGINT') THEN CAST(j ->> '{path}' AS BIGINT) END"
+    return f"""
+WITH ev AS (
+  SELECT event_id AS id, CASE WHEN event_type = 'click' THEN '/login' ELSE '/bi/' || event_type END AS endpoint,
+         CASE event_id % 9
+           WHEN 0 THEN '{{"access_token":"t' || event_id || '","empresa":' || user_id || ',"itens":[' || event_id || ',"' || event_type || '",null]}}'
+           WHEN 1 THEN '[' || event_id || ',"x",{{"a":true}}]'
+           WHEN 2 THEN CAST(event_id AS VARCHAR)
+           WHEN 3 THEN '"user ' || user_id || '"'
+           WHEN 4 THEN '{{ "z" : ' || user_id || ' , "a" : [ 1 , 2 ] }}{_BS}n'
+           WHEN 5 THEN '{{"empresa": ' || event_id
+           WHEN 6 THEN '  plain ' || event_id
+           WHEN 7 THEN '-12.5' END AS raw
+  FROM events WHERE event_id % 50 <> 0),
+cleaned AS (SELECT id, endpoint, {body} AS body FROM ev),
+parsed AS (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) ELSE to_json(body) END AS j FROM cleaned)
+SELECT id, endpoint, coalesce(json_valid(body), false) AS body_response_json,
+       CASE json_type(j) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'DOUBLE' THEN 'DECIMAL' ELSE json_type(j) END AS tipo,
+       CASE json_type(j) WHEN 'OBJECT' THEN
+         '{{' || array_to_string(list_transform(list_sort(json_keys(j)), lambda k: to_json(k) || ':' || CAST(json(j -> ('$.' || k)) AS VARCHAR)), ',') || '}}'
+       ELSE CAST(json(j) AS VARCHAR) END AS texto,
+       CASE WHEN json_type(j, '$.access_token') = 'VARCHAR' THEN j ->> '$.access_token' END AS token,
+       {whole('$.empresa')} AS empresa, {whole('$.itens[0]')} AS item, {whole('$[0]')} AS primeiro
+FROM parsed"""
+
+
+def users_published() -> str:
+    """The deletes after the changes; keys don't change, so the two don't mix."""
+    return f"""
+SELECT {_USER_PUBLIC} FROM ({users_partial_update()}) u
+WHERE NOT EXISTS (SELECT 1 FROM ({control_prelude()}{_deletes()} SELECT cpfusuario FROM del) d WHERE d.cpfusuario = u.cpfusuario)"""
+
+
+_COMPANY = "codempresa, nomeempresa, cnpjcpf, tipobdempresa, portabd, ipbd, caminhobd, ativa"
+
+
+def _registered() -> str:
+    """The company registry after the registrations."""
+    return f""",
+registered AS (
+  SELECT {_COMPANY} FROM tbempresas
+  UNION ALL
+  SELECT CAST(s_suppkey + 1000 AS INTEGER), s_name, lpad(CAST(s_suppkey AS VARCHAR), 14, '0'), 'F', '3050',
+         '10.2.0.' || CAST(s_suppkey AS VARCHAR), CAST(NULL AS VARCHAR), 'S'
+  FROM supplier WHERE NOT EXISTS (SELECT 1 FROM tbempresas e WHERE e.cnpjcpf = lpad(CAST(s_suppkey AS VARCHAR), 14, '0')))"""
+
+
+def companies_published() -> str:
+    cols = ["nomeempresa", "cnpjcpf", "tipobdempresa", "portabd", "ipbd", "caminhobd", "ativa"]
+    sets = [f"CASE WHEN l.codempresa IS NOT NULL THEN l.{c} ELSE e.{c} END" for c in cols]
+    sets[5] = f"replace({sets[5]}, '{_BS * 2}', '{_BS}')"
+    return control_prelude() + _registered() + _company_updates() + f"""
+SELECT e.codempresa, {", ".join(f"{x} AS {c}" for x, c in zip(sets, cols))}
+FROM registered e LEFT JOIN lastu l ON l.codempresa = e.codempresa"""
+
+
+def company_requests() -> str:
+    return control_prelude() + _registered() + """,
+asked AS (SELECT CAST(1000 + l_suppkey AS INTEGER) AS codempresa, count(*) AS pedidos FROM lineitem GROUP BY l_suppkey)
+SELECT a.codempresa, pedidos, e.codempresa IS NOT NULL AS conhecida, ipbd, portabd, caminhobd
+FROM asked a LEFT JOIN registered e ON e.codempresa = a.codempresa"""
+
+
 CONTROL_SQL = {
+    "audit_bodies": audit_bodies,
+    "users_published": users_published,
+    "companies_published": companies_published,
+    "company_requests": company_requests,
     "cpf_quality": cpf_quality,
     "users_insert_new": users_insert_new,
     "companies_insert_new": companies_insert_new,

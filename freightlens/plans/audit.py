@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean_body
+from ..functions import body_kind, canonical_json, clean_body, parsed_body
 from ..session import ensure_checkpoint_dir
 
 #: Columns the audit table declares NOT NULL.
@@ -80,6 +80,35 @@ def rejected(events: DataFrame) -> DataFrame:
     return normalise(events).filter("NOT __ok").drop("__ok")
 
 
+def with_parsed_body(rows: DataFrame) -> DataFrame:
+    """Normalised rows with ``body_response_variant``: the reference's JSON column,
+    which holds the parsed body, or its text where that isn't JSON."""
+    return rows.withColumn("body_response_variant", parsed_body("body_response"))
+
+
+def body_fields(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Fields of the parsed body: name -> (path, type); NULL where a body has no
+    such path or another type of value there."""
+    v = F.col("body_response_variant")
+    return rows.withColumns({name: F.try_variant_get(v, path, kind) for name, (path, kind) in fields.items()})
+
+
+#: What ``audit_bodies`` reads from bodies.
+BODY_FIELDS = {
+    "token": ("$.access_token", "string"),
+    "empresa": ("$.empresa", "bigint"),
+    "item": ("$.itens[0]", "bigint"),
+    "primeiro": ("$[0]", "bigint"),
+}
+
+
+def parsed_bodies(events: DataFrame) -> DataFrame:
+    """N1 with E23 in full: kind, canonical text and fields of each parsed body."""
+    rows = body_fields(with_parsed_body(accepted(events)), BODY_FIELDS)
+    v = F.col("body_response_variant")
+    return rows.select("id", "endpoint", "body_response_json", body_kind(v).alias("tipo"), canonical_json(v).alias("texto"), *BODY_FIELDS)
+
+
 def write_audit(df: DataFrame, path: str, batch: str) -> None:
     """Put the normalised rows of one batch into the audit table (Parquet).
 

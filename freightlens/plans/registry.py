@@ -16,14 +16,17 @@ Request batches are derived from the driver's tables, so they grow with them:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cpf_is_valid, digits_only
 from ..operators import registry as R
 from ..operators.filters import lookup
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
-from ..sources import jdbc
+from ..sources import jdbc, snapshots
 
 #: The company that point lookups ask for.
 COMPANY = 7
@@ -60,6 +63,15 @@ def company_insert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(again).drop("s_acctbal")
 
 
+def company_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``company_insert_batch`` with all columns of a company: code 1000 + supplier."""
+    null_s = F.lit(None).cast("string")
+    k = F.col("cnpjcpf").cast("int")
+    return company_insert_batch(spark, sf_dir).select(
+        (k + 1000).alias("codempresa"), "nomeempresa", "cnpjcpf", F.lit("F").alias("tipobdempresa"), F.lit("3050").alias("portabd"),
+        F.concat(F.lit("10.2.0."), k.cast("string")).alias("ipbd"), null_s.alias("caminhobd"), F.lit("S").alias("ativa"), "seq")
+
+
 def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = users(spark, sf_dir)
     c = fx._raw(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("codusuario"), "c_mktsegment")
@@ -197,6 +209,16 @@ def company_lookup(spark, sf_dir) -> DataFrame:
     return lookup(R.companies_public(companies(spark, sf_dir)), "codempresa", COMPANY)
 
 
+def company_requests(spark, sf_dir) -> DataFrame:
+    """S3 and F12 for a batch of requests (a freight document asks for its
+    carrier's company): connection attributes per company asked for, and whether
+    the registry, registrations included, knows it."""
+    have = companies(spark, sf_dir)
+    registry = R.apply_inserts(have, R.insert_outcomes(have, company_registrations(spark, sf_dir), "cnpjcpf", "seq"))
+    asked = fx._raw(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + 1000).cast("int").alias("codempresa"))
+    return jdbc.requested_sources(asked, registry)
+
+
 def users_public(spark, sf_dir) -> DataFrame:
     return R.users_public(users(spark, sf_dir))
 
@@ -205,6 +227,32 @@ def companies_public(spark, sf_dir) -> DataFrame:
     return R.companies_public(companies(spark, sf_dir))
 
 
+def users_published(spark, sf_dir) -> DataFrame:
+    """N5 and N7 kept: the users, after the changes, after the deletes; each a
+    published version, made from the one before."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/users-{uuid.uuid4().hex}"
+    at = snapshots.publish(users(spark, sf_dir), root)
+    for change in (
+        lambda u: R.partial_update(u, user_changes(spark, sf_dir), "cpfusuario", R.USER_UPDATABLE, "seq"),
+        lambda u: R.delete_keys(u, delete_batch(spark, sf_dir), "cpfusuario"),
+    ):
+        at = snapshots.publish(change(snapshots.read(spark, root, at)), root, at)
+    return R.users_public(snapshots.read(spark, root))
+
+
+def companies_published(spark, sf_dir) -> DataFrame:
+    """N4 and N6 kept: the companies, after the registrations, after the updates."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/companies-{uuid.uuid4().hex}"
+    at = snapshots.publish(companies(spark, sf_dir), root)
+    have = snapshots.read(spark, root, at)
+    new = R.insert_outcomes(have, company_registrations(spark, sf_dir), "cnpjcpf", "seq")
+    at = snapshots.publish(R.apply_inserts(have, new), root, at)
+    have = snapshots.read(spark, root, at)
+    updated = R.full_update(have, company_updates(spark, sf_dir), "codempresa", R.COMPANY_UPDATABLE, "seq")
+    snapshots.publish(updated, root, at)
+    return R.companies_public(snapshots.read(spark, root))
+
+
 QUERIES = {
     "cpf_quality": cpf_quality,
     "users_insert_new": users_insert_new,
@@ -220,6 +268,9 @@ QUERIES = {
     "tenant_source": tenant_source,
     "tenant_sources": tenant_sources,
     "company_lookup": company_lookup,
+    "company_requests": company_requests,
+    "users_published": users_published,
+    "companies_published": companies_published,
     "users_public": users_public,
     "companies_public": companies_public,
 }

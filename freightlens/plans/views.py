@@ -10,7 +10,7 @@ means every column.
 month-partitioned warehouses (``ErpTables.prune``); the caller still applies
 the exact date filter.
 
-Dimension sides go through ``ErpTables.lookup_side`` (checked broadcast).  In
+Dimension sides go through ``ErpTables.lookup_side`` and ``large_side``.  In
 the multi-tenant layout every join also matches on the tenant column.
 """
 
@@ -99,6 +99,12 @@ def lookup(
     return fact.join(d, cond, "left").drop(k, *tcols.values())
 
 
+def _large_lookup(t: ErpTables, fact: DataFrame, fact_key: str, name: str, dim_key: str, columns: dict[str, str]) -> DataFrame:
+    """A lookup of a dimension that grows with the business."""
+    side, more = t.large_side(name, fact)
+    return lookup(fact, side, fact_key, dim_key, columns, t.tenant_cols + more)
+
+
 def city_view(tbcid: DataFrame, tenant_cols: tuple[str, ...] = ()) -> DataFrame:
     """V1: city with ``cidade_uf`` and macro-region."""
     return tbcid.select(
@@ -134,7 +140,7 @@ def receivables_view(
     if _uses(need, "filial"):
         f = lookup(f, t.lookup_side("tbfil"), "codfilfatur", "codfil", {"nome": "filial"}, tc)
     if _uses(need, "cliente"):
-        f = lookup(f, t.lookup_side("tbcli"), "cgccpffatura", "cgccpfcli", {"nomefantasia": "cliente"}, tc)
+        f = _large_lookup(t, f, "cgccpffatura", "tbcli", "cgccpfcli", {"nomefantasia": "cliente"})
     if _uses(need, "cidade", "coduf", "regiao"):
         f = lookup(
             f, _city_side(t), "codcidpagto", "codcid",
@@ -177,7 +183,7 @@ def freight_view(t: ErpTables, need: Iterable[str] | None = None, prune: dict |
     if _uses(need, "filial"):
         f = lookup(f, t.lookup_side("tbfil"), "codfilemite", "codfil", {"nome": "filial"}, tc)
     if _uses(need, "cliente"):
-        f = lookup(f, t.lookup_side("tbcli"), "cgccpfdestina", "cgccpfcli", {"nomefantasia": "cliente"}, tc)
+        f = _large_lookup(t, f, "cgccpfdestina", "tbcli", "cgccpfcli", {"nomefantasia": "cliente"})
     if _uses(need, "cidade", "coduf", "regiao"):
         f = lookup(
             f, _city_side(t), "codciddes", "codcid",
@@ -212,7 +218,7 @@ def payables_view(
     tc = t.tenant_cols
     f = t.prune("cptit", t.table("cptit"), prune)
     if _uses(need, "fornecedor"):
-        f = lookup(f, t.lookup_side("tbfor"), "cgccpfforne", "cgccpfforne", {"nomefantasia": "fornecedor"}, tc)
+        f = _large_lookup(t, f, "cgccpfforne", "tbfor", "cgccpfforne", {"nomefantasia": "fornecedor"})
     if _uses(need, "transacao"):
         f = lookup(f, t.lookup_side("tbhis"), "codtransacao", "codtransacao", {"descricao": "transacao"}, tc)
     if _uses(need, "conta"):

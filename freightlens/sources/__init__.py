@@ -1,6 +1,6 @@
 """Sources and sinks: ERP bundle, fixture mapping, JDBC, control tables."""
 
-from .erp import DIMENSIONS, FACTS, ErpTables, refresh_months, stage
+from .erp import DIMENSIONS, FACTS, ErpTables, refresh_months, stage, stage_bucketed
 from .jdbc import (
     firebird_url,
     jdbc_options,
@@ -18,6 +18,7 @@ __all__ = [
     "FACTS",
     "ErpTables",
     "stage",
+    "stage_bucketed",
     "refresh_months",
     "month_predicates",
     "read_by_months",

@@ -5,14 +5,15 @@
 * ``from_fixture``  - derived lazily from the driver's TPC-H-style Parquet;
 * ``from_parquet``  - a warehouse folder with one Parquet table per name
   (facts partitioned by month, see :func:`stage`);
+* ``from_tables``   - bucketed tables of the session's catalog;
 * ``from_jdbc``     - the tenant's database via Spark's JDBC reader.
 
-Dimension lookups go through :meth:`ErpTables.lookup_side`, which broadcasts a
-dimension only if the plan's own size estimate fits ``broadcast_max_bytes``
-(no Spark job runs for that).  ``broadcast_policy`` skips the
-check for dimensions known to be small (branches, accounts) or large
-(customers at scale).  Larger dimensions are left to the planner: sort-merge join (AQE splits
-skewed partitions), or AQE's runtime broadcast when it measures them small.
+Dimension lookups go through :meth:`ErpTables.lookup_side`, which leaves the
+join to Spark: its broadcast threshold, AQE's runtime broadcast when a side is
+measured small, else sort-merge join (AQE splits skewed partitions).
+``broadcast_policy`` hints dimensions that are bounded by their domain (branches,
+accounts).  A warehouse of bucketed tables (:func:`stage_bucketed`) joins large
+customer and supplier tables without shuffling the fact.
 """
 
 from __future__ import annotations
@@ -57,17 +58,14 @@ FACT_SORT_COL = {"factrc": "datavencto", "frctrc": "codfilemite", "cptit": "data
 
 Loader = Callable[[str, frozenset | None], DataFrame]
 
-#: Bytes per value by type name for the broadcast size estimate (strings are
-#: counted generously: codes and names in these dimensions are short).
-_TYPE_BYTES = {"string": 32, "decimal": 16, "long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
-
-
-def estimated_row_bytes(df: DataFrame) -> int:
-    """Rough in-memory width of a row: per-column sizes plus row overhead."""
-    total = 16
-    for f in df.schema.fields:
-        total += 8 + _TYPE_BYTES.get(f.dataType.typeName(), 4)
-    return total
+#: fact -> (its key, dimension, the dimension's key): lookups of dimensions that grow
+LARGE_LOOKUPS = {
+    "factrc": ("cgccpffatura", "tbcli", "cgccpfcli"),
+    "frctrc": ("cgccpfdestina", "tbcli", "cgccpfcli"),
+    "cptit": ("cgccpfforne", "tbfor", "cgccpfforne"),
+}
+#: Slice of a fact's rows: bucketed tables spread a hot customer over the slices.
+SLICE_COL = "fatia"
 
 
 @dataclass
@@ -75,17 +73,16 @@ class ErpTables:
     spark: SparkSession
     loader: Loader
     tenant_cols: tuple[str, ...] = ()
-    broadcast_max_bytes: int = 64 * 1024 * 1024
-    broadcast_max_rows: int | None = None
     #: table -> date column -> the Parquet partition column that holds its month
     #: (yyyymm INT, staged warehouse); empty for other sources.
     month_partitions: dict = field(default_factory=dict)
     #: facts with the open-balance partition flag ``tem_saldo`` (staged warehouse)
     open_partitions: frozenset = frozenset()
-    #: dimension -> True (always broadcast, domain-bounded) / False (never);
-    #: dimensions not listed get the size check.
+    #: dimensions that their domain bounds -> True: hinted for broadcast; the
+    #: others are left to Spark.
     broadcast_policy: dict = field(default_factory=dict)
-    _bcast: dict = field(default_factory=dict, repr=False)
+    #: the source has sliced copies of the large dimensions (bucketed tables)
+    sliced: bool = False
     _sides: dict = field(default_factory=dict, repr=False)
     _tables: dict = field(default_factory=dict, repr=False)
 
@@ -108,32 +105,23 @@ class ErpTables:
         """Forget memoised tables, lookup sides and size checks."""
         self._tables.clear()
         self._sides.clear()
-        self._bcast.clear()
 
     def lookup_side(self, name: str) -> DataFrame:
-        """Dimension ready for a fact->dim join: broadcast-hinted only when its
-        size is checked to fit the broadcast budget.  The same DataFrame is
+        """Dimension ready for a fact->dim join.  The same DataFrame is
         returned on every call, so lookups of one dimension in several union
         arms share one plan subtree and Spark reuses its broadcast."""
         side = self._sides.get(name)
-        if side is not None:
-            return side
-        df = self.table(name)
-        small = self._bcast.get(name, self.broadcast_policy.get(name))
-        if small is None:
-            # the plan's own statistics: no Spark job; AQE still switches at run time
-            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            small = size <= self.broadcast_row_limit(df) * estimated_row_bytes(df)
-        self._bcast[name] = small
-        side = F.broadcast(df) if small else df
-        self._sides[name] = side
+        if side is None:
+            df = self.table(name)
+            side = self._sides[name] = F.broadcast(df) if self.broadcast_policy.get(name) else df
         return side
 
-    def broadcast_row_limit(self, df: DataFrame) -> int:
-        """Rows that fit the broadcast byte budget (explicit row cap wins)."""
-        if self.broadcast_max_rows is not None:
-            return self.broadcast_max_rows
-        return max(1, self.broadcast_max_bytes // estimated_row_bytes(df))
+    def large_side(self, name: str, fact: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+        """A dimension that grows, and further columns to match: over bucketed
+        tables its copy per slice, in which ``fact`` finds its row in place."""
+        if self.sliced and SLICE_COL in fact.columns:
+            return self.lookup_side(f"{name}_{SLICE_COL}"), (SLICE_COL,)
+        return self.lookup_side(name), ()
 
     def prune(self, name: str, df: DataFrame, ranges: dict | None) -> DataFrame:
         """Partition pruning hint.
@@ -186,11 +174,10 @@ class ErpTables:
 
         return ErpTables(
             self.spark, load, (),
-            broadcast_max_bytes=self.broadcast_max_bytes,
-            broadcast_max_rows=self.broadcast_max_rows,
             month_partitions=dict(self.month_partitions),
             open_partitions=self.open_partitions,
             broadcast_policy=dict(self.broadcast_policy),
+            sliced=self.sliced,
         )
 
     @property
@@ -235,13 +222,25 @@ class ErpTables:
         kw.setdefault("open_partitions", frozenset(OPEN_FACTS))
         return cls(spark, load, tenant_cols, **kw)
 
+    @classmethod
+    def from_tables(cls, spark: SparkSession, database: str, tenant_cols: tuple[str, ...] = (), **kw) -> "ErpTables":
+        """Bucketed tables written by :func:`stage_bucketed`."""
+
+        def load(name: str, need: frozenset | None) -> DataFrame:
+            return spark.table(f"{database}.{name}")
+
+        kw.setdefault("month_partitions", {k: {FACT_MAIN_DATE[k]: PARTITION_COL} for k in FACTS})
+        return cls(spark, load, tenant_cols, sliced=True, **kw)
+
     @classmethod
     def from_tenant_sources(
         cls, spark: SparkSession, tenants: list[tuple[int, "ErpTables"]], tenant_col: str = "codempresa", **kw
     ) -> "ErpTables":
         """N9 over one database per tenant: every table is the UNION ALL of the
         tenants' tables with the tenant code added, and every join and group
-        then includes it.  ``tenants`` is configuration (built from
+        then includes it.  The plan has an arm per tenant; with many of them,
+        stage each into one warehouse (``stage(..., tenant=code)``), which is one
+        scan.  ``tenants`` is configuration (built from
         :func:`..jdbc.tenant_sources`), not data, so it is a short driver list."""
 
         def load(name: str, need: frozenset | None) -> DataFrame:
@@ -377,9 +376,17 @@ def _remove_partitions(spark: SparkSession, path: str, cols: list[str], partitio
         gone.getFileSystem(conf).delete(gone, True)
 
 
-def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
+def stage(
+    tables: ErpTables, root: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000,
+    tenant: int | None = None, tenant_col: str = "codempresa",
+) -> None:
     """Write the bundle as a Parquet warehouse.
 
+    With ``tenant``, a single-tenant bundle goes into a warehouse that tenants
+    share, under its own partition of every table; other tenants' data isn't
+    touched.  ``from_parquet(spark, root, (tenant_col,))`` then reads all tenants
+    by partition discovery: one scan per table, however many tenants there are.
+
     Facts are partitioned by tenant (multi-tenant bundles), by the month of
     their main date (``particao_mes``, yyyymm INT) and, for receivables and
     payables, by the month of their other date (``particao_mes_outra``) and the open-balance flag (``tem_saldo``); reports pass their
@@ -392,10 +399,44 @@ def stage(tables: ErpTables, root: str, mode: str = "overwrite", max_records_per
     sorted by date, so row-group statistics prune within a month.
     """
     root = root.rstrip("/")
+    if tenant is not None and tables.tenant_cols:
+        raise ValueError("the bundle has a tenant column already")
+    under = "" if tenant is None else f"/{tenant_col}={int(tenant)}"
     for name in DIMENSIONS:
         dim = tables.table(name).write.mode(mode)
         if tables.tenant_cols:
             dim = dim.partitionBy(*tables.tenant_cols)
-        dim.parquet(f"{root}/{name}")
+        dim.parquet(f"{root}/{name}{under}")
+    for name in FACTS:
+        _write_fact(tables, name, tables.table(name), f"{root}/{name}{under}", mode, max_records_per_file)
+
+
+def stage_bucketed(tables: ErpTables, database: str, root: str, buckets: int = 64, slices: int = 8) -> None:
+    """Write the bundle as bucketed tables of the catalog, for customer and
+    supplier tables too large to broadcast.
+
+    A fact and the copy of its dimension are bucketed alike by (tenant, key,
+    slice), so their join reads bucket by bucket and moves neither side.  A row's
+    slice is a hash of its document, so a customer with a third of all rows lies
+    in up to ``slices`` buckets; the dimension has a copy per slice
+    (``<dimension>_fatia``).  Facts are partitioned by tenant and the month of their
+    main date; each writing task holds one bucket, so there are months x buckets
+    files.  The tables' files lie under ``root``.
+    """
+    spark, tc = tables.spark, tables.tenant_cols
+
+    def write(df: DataFrame, name: str, by: list[str], parts: list[str]) -> None:
+        out = df.repartition(buckets, *by).write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by)
+        out = out.partitionBy(*parts) if parts else out
+        out.option("path", f"{root.rstrip('/')}/{name}").saveAsTable(f"{database}.{name}")
+
+    for name in DIMENSIONS:
+        tables.table(name).write.mode("overwrite").option("path", f"{root.rstrip('/')}/{name}").saveAsTable(f"{database}.{name}")
+    for name, key in sorted({(d, k) for _, d, k in LARGE_LOOKUPS.values()}):
+        copies = tables.table(name).withColumn(SLICE_COL, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        write(copies, f"{name}_{SLICE_COL}", [*tc, key, SLICE_COL], [])
     for name in FACTS:
-        _write_fact(tables, name, tables.table(name), f"{root}/{name}", mode, max_records_per_file)
+        main, key = FACT_MAIN_DATE[name], LARGE_LOOKUPS[name][0]
+        fact = tables.table(name).withColumn(PARTITION_COL, F.year(main) * 100 + F.month(main)).withColumn(
+            SLICE_COL, F.pmod(F.xxhash64(FACT_KEY[name]), F.lit(slices)).cast("int"))
+        write(fact, name, [*tc, key, SLICE_COL], [PARTITION_COL])

@@ -229,9 +229,9 @@ def audit_events(spark, sf_dir) -> DataFrame:
     return audit_rows(_raw(spark, sf_dir, "events"))
 
 
-def audit_rows(e: DataFrame) -> DataFrame:
+def audit_rows(e: DataFrame, body: Column | None = None) -> DataFrame:
     """Map ``events`` rows to request captures; a plain projection, so it
-    works on a streaming DataFrame too."""
+    works on a streaming DataFrame too.  ``body`` replaces the response body."""
     eid, uid, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
     plain_body = F.lit("  plain" + BACKSLASH + "n text ")
     json_body = F.concat(F.lit(" "), F.col("props"), F.lit(BACKSLASH + "n"))
@@ -244,7 +244,7 @@ def audit_rows(e: DataFrame) -> DataFrame:
         F.when(et == "click", F.lit("/login")).otherwise(F.concat(F.lit("/bi/"), et)).alias("endpoint"),
         F.col("props").alias("params"),
         F.col("props").alias("body_request"),
-        F.when(eid % 7 == 0, plain_body).otherwise(json_body).alias("body_response"),
+        (F.when(eid % 7 == 0, plain_body).otherwise(json_body) if body is None else body).alias("body_response"),
         F.when(F.col("value") > 300, 501).otherwise(200).cast("int").alias("status_code"),
         F.when(eid % 50 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("agent/"), (uid % 3).cast("string")))
@@ -253,6 +253,29 @@ def audit_rows(e: DataFrame) -> DataFrame:
     )
 
 
+def audit_body_events(spark, sf_dir) -> DataFrame:
+    """``audit_events`` with bodies of every kind (E23): objects, arrays, numbers,
+    strings, JSON with white space, broken JSON, plain text and none."""
+    e = _raw(spark, sf_dir, "events")
+    eid, uid = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    q = F.lit
+    bodies = [
+        F.concat(q('{"access_token":"t'), eid, q('","empresa":'), uid, q(',"itens":['), eid, q(',"'), F.col("event_type"), q('",null]}')),
+        F.concat(q("["), eid, q(',"x",{"a":true}]')),
+        eid,
+        F.concat(q('"user '), uid, q('"')),
+        F.concat(q('{ "z" : '), uid, q(' , "a" : [ 1 , 2 ] }' + BACKSLASH + "n")),
+        F.concat(q('{"empresa": '), eid),
+        F.concat(q("  plain "), eid),
+        q("-12.5"),
+        q(None).cast("string"),
+    ]
+    body = F.lit(None).cast("string")
+    for i, b in enumerate(bodies):
+        body = F.when(F.col("event_id") % len(bodies) == i, b).otherwise(body)
+    return audit_rows(e, body)
+
+
 DIM_BUILDERS = {
     "tbfil": tbfil,
     "tbcli": tbcli,

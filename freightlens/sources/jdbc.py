@@ -78,6 +78,17 @@ def tenant_sources(companies: DataFrame, active_only: bool = True) -> DataFrame:
     return df.select("codempresa", "ipbd", "portabd", "caminhobd")
 
 
+def requested_sources(requests: DataFrame, companies: DataFrame) -> DataFrame:
+    """S3 for a batch of requests (column ``codempresa``): a row per company asked
+    for, with its requests and connection attributes; ``conhecida`` is false and
+    they are NULL where the registry has no such company.  Requests are counted
+    before the join, so a company that most of them ask for is one row."""
+    asked = requests.groupBy("codempresa").agg(F.count(F.lit(1)).alias("pedidos"))
+    known = companies.select("codempresa", "ipbd", "portabd", "caminhobd", F.lit(True).alias("__known"))
+    return asked.join(known, "codempresa", "left").select(
+        "codempresa", "pedidos", F.col("__known").isNotNull().alias("conhecida"), "ipbd", "portabd", "caminhobd")
+
+
 def read_control(spark: SparkSession, name: str, source: dict) -> DataFrame:
     """Control tables (companies, users, audit) - same readers as S1,
     pointed at the control database or its Parquet export."""

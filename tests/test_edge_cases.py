@@ -368,7 +368,6 @@ def test_hot_key_join_is_split_by_aqe(spark):
             for i in range(6000)]
     clis = [("00000000000007", "HOT")] + [(f"{i + 100:014d}", f"C{i}") for i in range(500)]
     t = tables(spark, factrc=hot + cold, tbcli=clis)
-    t.broadcast_max_bytes = 1
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",

@@ -174,23 +174,21 @@ def test_staged_warehouse_prunes_by_date(spark, t):
         assert _rows(fn(w, fwd, AS_OF)) == _rows(fn(t, fwd, AS_OF)), name
 
 
-def test_small_dimensions_are_broadcast_after_a_size_check(spark):
-    tb = ErpTables.from_fixture(spark, SF, broadcast_max_bytes=1000)
-    plans.receivables_view(tb, AS_OF, need={"filial", "cliente"}).count()
-    assert tb._bcast == {"tbfil": False, "tbcli": False}
-    # the non-broadcast path (planner's choice, sort-merge without AQE's help) gives the same rows
+def test_lookups_are_left_to_spark(spark):
+    tb = ErpTables.from_fixture(spark, SF)
+    assert "ResolvedHint" not in plans.kpi_cliente(tb, ReportFilters(), AS_OF)._jdf.queryExecution().analyzed().toString()
+    assert "BroadcastHashJoin" in _plan(plans.kpi_cliente(tb, ReportFilters(), AS_OF))   # under Spark's own threshold
+    # above the threshold (sort-merge without AQE's help) gives the same rows
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
         big = plans.kpi_cliente(tb, ReportFilters(), AS_OF)
-        assert "SortMergeJoin" in _plan(big)
-        assert _rows(big) == _rows(plans.kpi_cliente(ErpTables.from_fixture(spark, SF), ReportFilters(), AS_OF))
+        assert "SortMergeJoin" in _plan(big) and "BroadcastHashJoin" not in _plan(big)
+        rows = _rows(big)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    tb2 = ErpTables.from_fixture(spark, SF)
-    plans.receivables_view(tb2, AS_OF, need={"filial", "cliente"}).count()
-    assert tb2._bcast == {"tbfil": True, "tbcli": True}
+    assert rows == _rows(plans.kpi_cliente(tb, ReportFilters(), AS_OF))
 
 
 # ------------------------------------------------------------ sources
@@ -332,10 +330,10 @@ def test_multi_tenant_warehouse_and_one_tenant(spark):
     assert "(codempresa = 1), (particao_mes >= 200005), (particao_mes <= 200006)]" in plan
 
 
-def test_broadcast_policy_skips_the_check(spark):
-    tb = ErpTables.from_fixture(spark, SF, broadcast_policy={"tbcli": False, "tbfil": True})
+def test_broadcast_policy_hints_what_the_domain_bounds(spark):
+    tb = ErpTables.from_fixture(spark, SF, broadcast_policy={"tbcli": True, "tbfil": False})
     df = plans.kpi_cliente(tb, ReportFilters(), AS_OF)
-    assert tb._bcast == {"tbcli": False}
+    assert "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
     assert _rows(df) == _rows(plans.kpi_cliente(ErpTables.from_fixture(spark, SF), ReportFilters(), AS_OF))
 
 

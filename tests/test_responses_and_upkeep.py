@@ -129,3 +129,120 @@ def test_a_request_sent_many_times_is_spread(spark, monkeypatch):
     batch = spark.range(333).select(F.lit("k").alias("k"), F.lit(1).alias("seq"))
     got = [r.outcome for r in insert_outcomes(batch.select("k").limit(0), batch, "k", "seq").collect()]
     assert got.count("inserted") == 1 and got.count("duplicate_in_batch") == 332
+
+
+# ---------------------------------------------------------------- published versions
+
+def test_published_versions(spark, tmp_path):
+    from freightlens.sources import snapshots as S
+
+    root = str(tmp_path / "users")
+    assert S.current(spark, root) == 0
+    one, two = spark.range(3), spark.range(10, 15)
+    assert S.publish(one, root) == 1 and S.read(spark, root).count() == 3
+    before = S.read(spark, root)
+    # a job that dies after its data, before its pointer: readers still see the old version
+    S.write_data(two, root)
+    assert S.current(spark, root) == 1 and S.read(spark, root).count() == 3
+    # a job that dies while it writes: a folder without its success marker
+    (tmp_path / "users" / "data-dead").mkdir()
+    (tmp_path / "users" / "data-dead" / "part-0.parquet").write_bytes(b"PAR1")
+    assert S.read(spark, root).count() == 3
+    # a version is made from the one before, read while the new one appears
+    assert S.publish(before.unionByName(two), root, 1) == 2
+    assert before.count() == 3 and S.read(spark, root).count() == 8 and S.read(spark, root, 1).count() == 3
+    # a job that began with an old version is refused, by the check and by the rename alike
+    with pytest.raises(S.Conflict):
+        S.publish(one, root, 1)
+    with pytest.raises(S.Conflict):
+        S.point(spark, root, S.write_data(one, root), 1)
+    assert S.versions(spark, root) == [1, 2] and S.read(spark, root).count() == 8
+    assert not [f for f in (tmp_path / "users" / "_pointers").iterdir() if f.name.startswith("draft")]
+
+
+# ---------------------------------------------------------------- parsed bodies
+
+def test_parsed_bodies(spark, tmp_path):
+    texts = {1: '{"b":1,"a":[1, 2.50,null]}', 2: "[3]", 3: "7", 4: '{"a":', 5: "plain", 6: None, 7: "null", 8: '"s"', 9: "", 10: '{"access_token":5,"empresa":"x"}'}
+    rows = spark.createDataFrame(list(texts.items()), "id long, body_response string")
+    got = audit.body_fields(audit.with_parsed_body(rows), audit.BODY_FIELDS)
+    from freightlens.functions import body_kind, canonical_json
+
+    out = {r.id: r for r in got.select("id", body_kind("body_response_variant").alias("k"), canonical_json("body_response_variant").alias("t"), *audit.BODY_FIELDS).collect()}
+    assert {i: r.k for i, r in out.items()} == {1: "OBJECT", 2: "ARRAY", 3: "BIGINT", 4: "STRING", 5: "STRING", 6: None, 7: "VOID", 8: "STRING", 9: "STRING", 10: "OBJECT"}
+    assert out[1].t == '{"a":[1,2.5,null],"b":1}' and out[4].t == '"{\\"a\\":"' and out[7].t == "null" and out[9].t == '""'
+    assert out[2].primeiro == 3 and out[10].empresa is None and out[1].token is None and out[5].item is None
+    got.select("id", "body_response_variant").write.parquet(str(tmp_path / "v"))
+    back = spark.read.parquet(str(tmp_path / "v"))
+    assert back.schema["body_response_variant"].dataType.typeName() == "variant"
+    assert {r.id: r.t for r in back.select("id", canonical_json("body_response_variant").alias("t")).collect()} == {i: r.t for i, r in out.items()}
+
+
+# ---------------------------------------------------------------- warehouses
+
+def _sorted(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, t, tmp_path_factory):
+    from freightlens.sources import stage_bucketed
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucketed_test")
+    stage_bucketed(t, "bucketed_test", str(tmp_path_factory.mktemp("bucketed")), buckets=4, slices=3)
+    yield ErpTables.from_tables(spark, "bucketed_test")
+    spark.sql("DROP DATABASE bucketed_test CASCADE")
+
+
+def test_bucketed_reports_are_the_same(t, bucketed):
+    for name, report in plans.REPORTS.items():
+        f = ReportFilters()
+        assert _sorted(report(bucketed, f, AS_OF)) == _sorted(report(t, f, AS_OF)), name
+    for name, rows in plans.LISTS.items():
+        assert _sorted(rows(bucketed)) == _sorted(rows(t)), name
+
+
+def test_large_lookups_move_no_fact(spark, bucketed):
+    """Above the broadcast threshold, nothing is exchanged below the join with customers or suppliers."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        views = [plans.receivables_view(bucketed, AS_OF, need={"cliente", "vlrrecbto"}), plans.freight_view(bucketed, need={"cliente", "totalpeso"}),
+                 plans.payables_view(bucketed, AS_OF, need={"fornecedor", "vlrtotal"})]
+        for df in views:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+            assert df.count() > 0
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hot_customer_lies_in_several_buckets(spark, bucketed):
+    facts = bucketed.table("factrc").groupBy("cgccpffatura").agg(F.countDistinct("fatia").alias("s"), F.count("*").alias("n"))
+    most = facts.orderBy(F.desc("n")).first()
+    assert most["n"] > 6 and most["s"] == 3
+
+
+def test_shared_warehouse_plan_does_not_grow_with_tenants(spark, tmp_path):
+    from freightlens.sources import stage
+    from freightlens.sources.erp import DIMENSIONS, FACTS
+
+    full = ErpTables.from_fixture(spark, SF_SMALL)
+    few = ErpTables.from_frames(spark, {n: full.table(n).limit(20).coalesce(1) for n in (*DIMENSIONS, *FACTS)})
+    sizes, reports = {}, {}
+    for n, codes in ((2, (1, 2)), (12, range(3, 13))):
+        for code in codes:
+            stage(few, str(tmp_path / "w"), tenant=code)
+        w = ErpTables.from_parquet(spark, str(tmp_path / "w"), ("codempresa",))
+        df = plans.a_receber_cliente(w, ReportFilters(), AS_OF)
+        sizes[n] = len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+        reports[n] = df.groupBy("codempresa").count().collect()
+    assert sizes[2] == sizes[12]
+    assert len({r["count"] for r in reports[12]}) <= 1 and len(reports[12]) in (0, 12)
+    one = plans.tabela_a_receber(w.for_tenant(7), ReportFilters(), AS_OF)
+    assert _sorted(one) == _sorted(plans.tabela_a_receber(ErpTables.from_parquet(spark, str(tmp_path / "w"), ("codempresa",)).for_tenant(3), ReportFilters(), AS_OF))
+    with pytest.raises(ValueError):
+        stage(w, str(tmp_path / "v"), tenant=1)
