@@ -46,7 +46,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     # small row groups: little heap per writer, and several tasks can read a file
     df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
     _tables(spark).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._freightlens_path = path
+    return out
 
 
 def _tables(spark: SparkSession) -> list[str]:
@@ -56,13 +58,25 @@ def _tables(spark: SparkSession) -> list[str]:
     return sc._freightlens_tables
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that ``saved`` has written so far: for a caller whose
     results are written elsewhere by now."""
-    sc, tables = spark.sparkContext, _tables(spark)
+    tables = _tables(spark)
     while tables:
-        path = sc._jvm.org.apache.hadoop.fs.Path(tables.pop())
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, tables.pop())
+
+
+def forget(*saved_tables: DataFrame) -> None:
+    """Delete tables that ``saved`` gave, once what was made of them is written too."""
+    for df in saved_tables:
+        _tables(df.sparkSession).remove(df._freightlens_path)
+        _delete(df.sparkSession, df._freightlens_path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -33,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = C.saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         new = C.saved(_star(_star(edges, True), False), "links")
+        C.forget(edges)
         # a fixpoint is a set of stars: no node is both a centre and a leaf, and each leaf has one centre
         loose = new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
         many = new.groupBy("a").count().where("count > 1").limit(1).count()
@@ -40,4 +41,6 @@ def components(links: DataFrame) -> DataFrame:
         if not loose and not many:
             break
     centres = edges.select(F.col("b").alias("node")).distinct()
-    return C.saved(edges.select(F.col("a").alias("node"), F.col("b").alias("cls")).unionByName(centres.select("node", F.col("node").alias("cls"))), "classes")
+    out = C.saved(edges.select(F.col("a").alias("node"), F.col("b").alias("cls")).unionByName(centres.select("node", F.col("node").alias("cls"))), "classes")
+    C.forget(edges)
+    return out

@@ -12,10 +12,11 @@ shingles, which for unrepeated shingles is the plain Jaccard similarity.
 no group's pairs are all emitted:
 
 1. equal word sequences collapse to one node (128-bit digest);
-2. every node of a bucket is verified against one hub of it (smallest node);
+2. every node is verified against one hub, the smallest node of its buckets;
    links give classes;
-3. the same with the best-linked node of each bucket as hub, then with random
-   ones (``TURNS`` in all), for nodes of different classes;
+3. every node of a bucket that is still of another class is verified against the
+   bucket's smallest node, then against its best-linked one and against random
+   ones (``TURNS`` in all);
 4. in buckets that still hold several classes, all pairs across classes are
    compared, block against block (a bucket is cut into as many blocks of at most
    about ``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles as it needs); signatures
@@ -293,18 +294,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         .join(nodes.join(members.select("node").distinct(), "node", "left_semi").select("digest", "node"), "digest")
         .groupBy("node").agg(F.min("text").alias("text")), "near-texts")
 
-    # buckets against their smallest node
-    tried = C.saved(_near(members.where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), nodes, least), "near-tried")
+    # each node against the smallest node of its buckets: in a group of copies that is one pair a node
+    one = members.groupBy("node").agg(F.min("low").alias("low")).where("node > low")
+    tried = C.saved(_near(one.select(F.col("node").alias("a"), F.col("low").alias("b")), nodes, least), "near-tried")
     links = C.saved(verified(tried, texts, threshold), "near-links")
     cls = components(links)
 
+    # buckets against their smallest node, where that is of another class
+    of = cls.select(F.col("node").alias("low"), F.col("cls").alias("low_cls"))
+    apart = (members.where("node > low").select("node", "low").distinct().join(cls, "node", "left").join(of, "low", "left")
+             .where(F.coalesce("cls", "node") != F.coalesce("low_cls", "low")).select(F.col("node").alias("a"), F.col("low").alias("b"))
+             .join(tried, ["a", "b"], "left_anti"))
+    more = C.saved(_near(apart, nodes, least), "near-tried")
+    found = C.saved(links.unionByName(verified(more, texts, threshold)), "near-links")
+    both = C.saved(tried.unionByName(more), "near-tried")
+    C.forget(cls, links, tried, more)
+    tried, links = both, found
+    cls = components(links)
+
     # buckets that hold several classes, against one more hub a turn
     def split(cls):
         with_cls = members.join(cls, "node", "left").select("key", "node", F.coalesce("cls", "node").alias("cls"))
         mixed = with_cls.groupBy("key").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 < c1").select("key")
         return with_cls.join(mixed, "key")
 
-    hubs = members.select("key", F.col("low").alias("node")).distinct()
+    hubs = C.saved(members.select("key", F.col("low").alias("node")).distinct(), "near-hubs")
     for turn in range(1, turns):
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         order = F.coalesce("degree", F.lit(0)).cast("long") if turn == 1 else F.xxhash64(F.lit(turn), "node")
@@ -314,10 +328,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
                  .select(F.greatest("node", F.col("hub.node")).alias("a"), F.least("node", F.col("hub.node")).alias("b"))
                  .distinct().join(tried, ["a", "b"], "left_anti"))
         more = C.saved(_near(again, nodes, least), "near-tried")
-        tried = tried.unionByName(more)
-        hubs = C.saved(hubs.unionByName(hub.select("key", "hub.node")), "near-hubs")
-        links = C.saved(links.unionByName(verified(more, texts, threshold)), "near-links")
+        asked = C.saved(tried.unionByName(more), "near-tried")
+        met = C.saved(hubs.unionByName(hub.select("key", "hub.node")), "near-hubs")
+        found = C.saved(links.unionByName(verified(more, texts, threshold)), "near-links")
+        C.forget(cls, links, tried, more, hubs, open_)
+        tried, hubs, links = asked, met, found
         cls = components(links)
+    C.forget(tried, hubs)
 
     # whatever is left, whole; a bucket of turns + 1 nodes or fewer has no pair left
     rest = split(cls)
@@ -325,12 +342,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     rest = C.saved(rest.join(large, "key"), "near-open")
     payload = C.saved(texts.join(rest.select("node").distinct(), "node", "left_semi").select("node", _hashes("text").alias("hashes"))
                       .join(nodes.select("node", "sketch", "keys"), "node").withColumn("n", F.octet_length("hashes") / 8), "near-payload")
-    links = C.saved(links.unionByName(_block_links(rest, payload, least, threshold, block, block_shingles)), "near-links")
-    cls = components(links)
+    C.forget(texts, members, cls)
+    found = C.saved(links.unionByName(_block_links(rest, payload, least, threshold, block, block_shingles)), "near-links")
+    C.forget(rest, payload, links)
+    cls = components(found)
 
     named = nodes.join(cls, "node", "left").select("digest", "node", "doc_id", "n", F.coalesce("cls", "node").alias("cls"))
     names = named.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    return sig.select("doc_id", "digest"), C.saved(named.join(names, "cls"), "near-classes")
+    rows = C.saved(sig.select("doc_id", "digest"), "near-rows")
+    out = C.saved(named.join(names, "cls"), "near-classes")
+    C.forget(found, cls, nodes, sig)
+    return rows, out
 
 
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
