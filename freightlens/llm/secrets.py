@@ -102,6 +102,10 @@ def scan(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes that a run may go beyond its last match before it is remembered.
+LONG = 64
+
+
 @functools.lru_cache(maxsize=len(RULES))
 def _single(kind: int):
     a = automata()[1][kind]
@@ -110,19 +114,29 @@ def _single(kind: int):
 
 
 def matches(lane: bytes, kind: int) -> list[tuple[int, int]]:
-    """Leftmost, longest, non-overlapping matches of one rule."""
+    """Leftmost, longest, non-overlapping matches of one rule.
+
+    A state at a place from which no match was reached is remembered, once a run
+    goes ``LONG`` bytes for nothing; later runs that come there stop.  So the work
+    is bounded by the bytes times the rule's states."""
     step, accept, dead, first = _single(kind)
-    out, i = [], 0
+    out, i, width, hopeless = [], 0, len(step), set()
     while i < len(lane):
-        end = -1
+        end, j = -1, i
         if first[lane[i]]:
             s = 0
             for j in range(i, len(lane)):
                 s = step[s][lane[j]]
-                if s == dead:
+                if s == dead or (hopeless and j * width + s in hopeless):
                     break
                 if accept[s]:
                     end = j + 1
+            if j - max(i, end) > LONG:
+                s = 0
+                for k in range(i, j + 1):
+                    s = step[s][lane[k]]
+                    if k >= end and s != dead:
+                        hopeless.add(k * width + s)
         if end > 0:
             out.append((i, end))
             i = end
