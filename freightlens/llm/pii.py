@@ -47,23 +47,43 @@ CANDIDATE = r"(?<![\p{L}\p{N}_])[\p{L}_]{2,40}+[\s:=#|]{1,4}+(?=[A-Za-z@._+()-]*
 LEFT = r"^[\p{L}_]++"
 GAP = r"^[\p{L}_]++[\s:=#|]++"
 ROUNDS, SUPPORT, ACCEPT = 3, 5, 0.8
+#: Matches whose positions are summed at a time.
+RUN = 64
 KINDS = [*BASE, "context"]
 _SPANS = "array<struct<start:int,end:int,found:string>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(text: Column, regex: str) -> Column:
-    """Leftmost non-overlapping matches: structs of start, end (code points) and text."""
+    """Leftmost non-overlapping matches: structs of start, end (code points) and text.
+
+    Positions are running sums of the lengths between and of the matches: within
+    blocks of ``RUN`` matches first, then over the blocks, so that no array grows
+    match by match over a whole text."""
     pieces = F.zip_with(
         F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
         lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
-    spans = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("to"), F.array().cast(_SPANS).alias("spans")),
-        lambda acc, x: F.when(x["found"].isNull(), acc).otherwise(F.struct(
-            (acc["to"] + x["gap"] + F.length(x["found"])).alias("to"),
-            F.concat(acc["spans"], F.array(F.struct(
-                (acc["to"] + x["gap"]).alias("start"),
-                (acc["to"] + x["gap"] + F.length(x["found"])).alias("end"), x["found"].alias("found")))).alias("spans"))),
-        lambda acc: acc["spans"])
+
+    def block(some: Column) -> Column:
+        return F.aggregate(
+            some, F.struct(F.lit(0).alias("to"), F.array().cast(_SPANS).alias("spans")),
+            lambda acc, x: F.when(x["found"].isNull(), acc).otherwise(F.struct(
+                (acc["to"] + x["gap"] + F.length(x["found"])).alias("to"),
+                F.concat(acc["spans"], F.array(F.struct(
+                    (acc["to"] + x["gap"]).alias("start"),
+                    (acc["to"] + x["gap"] + F.length(x["found"])).alias("end"), x["found"].alias("found")))).alias("spans"))))
+
+    def joined(blocks: Column) -> Column:
+        first = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["to"])))
+        return F.flatten(F.zip_with(blocks, F.slice(first, F.lit(1), F.size(blocks)), lambda x, to: F.transform(x["spans"], lambda s: F.struct(
+            (s["start"] + to).alias("start"), (s["end"] + to).alias("end"), s["found"].alias("found")))))
+
+    spans = _bound(pieces, lambda p: _bound(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda k: block(F.slice(p, k * RUN + 1, F.lit(RUN)))), joined))
     return F.when(text.rlike(regex), spans).otherwise(F.array().cast(_SPANS))
 
 
