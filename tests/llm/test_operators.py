@@ -125,16 +125,18 @@ def test_licenses(docs, none):
     assert got[9] == ([6], ["MIT"]) and got[3] == ([], []) and licenses.found(none).count() == 0
 
 
+THIRD = licenses.SENTENCES[22].format("the copyright holder", "its")
 MIT = ["MIT License", "", "Copyright (c) 2020 Someone", "", *textwrap.wrap(licenses.SENTENCES[8], 70), "", *textwrap.wrap(licenses.SENTENCES[9] + ".", 70), "", "THE SOFTWARE IS PROVIDED AS IS."]
 BSD = ["Copyright 2020 Someone", *textwrap.wrap(licenses.SENTENCES[20], 60), "", *textwrap.wrap("1. " + licenses.SENTENCES[21] + ".", 60),
-       "2. Redistributions in binary form must", "   reproduce the above copyright notice.", *textwrap.wrap("3. " + licenses.SENTENCES[22] + ".", 60)]
+       "2. Redistributions in binary form must", "   reproduce the above copyright notice.", *textwrap.wrap("3. " + THIRD + ".", 60)]
 APACHE = ['Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "",
           "    http://www.apache.org/licenses/LICENSE-2.0", "", "See the License for the specific language governing permissions and", "limitations under the License."]
 WRAPPED = [(MIT, [8, 9], ["MIT"]), (BSD, [20, 21, 22], ["BSD-3-Clause"]), (APACHE, [2, 3, 4, 5], ["Apache-2.0"]),
            (textwrap.wrap(licenses.SENTENCES[11] + ".", 40), [11], ["GPL-3.0-or-later"]), (textwrap.wrap(licenses.SENTENCES[12] + ".", 40), [12], ["GPL-2.0-or-later"]),
            (textwrap.wrap(licenses.SENTENCES[23], 40), [23], ["ISC"]),
            (["This is free and unencumbered software released into the public", "domain."], [25], ["Unlicense"]), (["This work. Is", "licensed under CC BY 4.0"], [15], ["CC-BY-4.0"]),
-           (["Licensed under the", "MIT License", "and more words in the next line"], [7], ["MIT"]), (["It is not", "said. Licensed under the MIT", "License or so"], [], [])]
+           (["Licensed under the", "MIT License", "and more words in the next line"], [7], ["MIT"]), (["It is not", "said. Not licensed under the MIT", "License or so"], [], []),
+           (["It is", "said. Licensed under the MIT", "License or so"], [101], ["MIT"])]
 
 
 @pytest.mark.parametrize("sign", ["", " * ", "# ", "// ", ";; "])
@@ -144,6 +146,86 @@ def test_wrapped_licenses(spark, sign):
     assert len(got) == len(rows) and [(r.doc_id, r.sequence, r.licenses) for r in got if (r.sequence, r.licenses) != WRAPPED[r.doc_id][1:]] == []
 
 
+def bsd(third):
+    return f"Copyright 2020 X\n{licenses.SENTENCES[20]}\n\n1. {licenses.SENTENCES[21]}.\n2. Redistributions in binary form must reproduce the above.\n3. {third}\n"
+
+
+NAMED = [
+    (bsd(licenses.SENTENCES[22].format("Google Inc.", "its") + "."), ["BSD-3-Clause"]), (bsd(THIRD + "."), ["BSD-3-Clause"]),
+    (bsd(licenses.SENTENCES[32].format("the author") + "."), ["BSD-3-Clause"]), (bsd(licenses.SENTENCES[33].format("its contributors") + "."), ["BSD-3-Clause"]),
+    (bsd("See below."), ["BSD-2-Clause"]), (bsd(licenses.SENTENCES[34].format("the University of X, and others") + ".\n4. " + THIRD + "."), ["BSD-4-Clause"]),
+    ("This project is licensed under the MIT License.", ["MIT"]), ("Licensed under the Apache License 2.0.", ["Apache-2.0"]),
+    ("It may be licensed under the MIT License or the Apache License at your option.", ["Apache-2.0", "MIT"]),
+    (licenses.SENTENCES[36] + ".", ["LGPL-2.1-or-later"]), (licenses.SENTENCES[37] + ".", ["GPL-2.0-only"]), (licenses.SENTENCES[38] + ".", ["GPL-2.0-only"]),
+    (licenses.SENTENCES[39] + ".", ["AGPL-3.0-or-later"]), (licenses.SENTENCES[41], ["Zlib"]), (licenses.SENTENCES[42], ["BSL-1.0"]),
+    (licenses.SENTENCES[35] + ".\nTHE SOFTWARE IS", ["0BSD"]), (licenses.SENTENCES[23] + ".", ["ISC"]),
+    (licenses.SENTENCES[44].format("https://www.eclipse.org/legal/epl-2.0/"), ["EPL-2.0"]), (licenses.SENTENCES[45].format("https://mozilla.org/MPL/2.0/") + ".", ["MPL-2.0"]),
+    ("# SPDX-License-Identifier: MIT\nimport x licensed code", ["MIT"]), ("// SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)\nint x;", ["BSD-3-Clause", "GPL-2.0-only"]),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0-or-later"]), ("Distributed under the GNU General Public License, version 3 or later. Bye", ["GPL-3.0-or-later"]),
+    ("This is not licensed under the MIT License.", []), ("A license is a paper. The permit was mit.", []), ("Licensed under nothing at all. The MIT License is another.", []),
+    ("licensed " * 30_000, []), ("Licensed under the " + "word " * 40_000 + "MIT License", []), ("", []), (None, []),
+]
+
+
+def test_named_licenses(spark, none):
+    got = licenses.found(spark.createDataFrame([(i, t, "clash") for i, (t, _) in enumerate(NAMED)], "doc_id long, text string, ids string")).collect()
+    assert len(got) == len(NAMED) and [(r.doc_id, r.licenses) for r in got if r.licenses != NAMED[r.doc_id][1]] == []
+
+
+def test_license_sequences_of_a_table(spark):
+    """Whole sentences of one line each, found by plain Python in the same order."""
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text").collect()]
+    plain = {licenses._words(s): k for k, s in licenses.SENTENCES.items() if "{}" not in s}
+    lines = lambda t: [" ".join(re.findall("[0-9a-z]+", x.lower())) for x in re.split(r"[\r\n]+|[.!?;]+(?:\s+|$)", t)]
+    want = {i: [plain[x] for x in lines(t) if x in plain] for i, t in docs}
+    got = {r.doc_id: r.sequence for r in licenses.found(spark.read.parquet(f"{SF_MID}/documents.parquet")).collect()}
+    some = [i for i, x in want.items() if x]
+    assert len(some) > 5 and [(i, got[i], want[i]) for i in some if got[i] != want[i]] == []
+    assert len([i for i, x in got.items() if x and not want[i]]) == 0
+
+
+def test_long_texts_are_scanned_once(spark):
+    """1 MB of numbers, addresses and heads that come to nothing: seconds, not hours."""
+    texts = [" ".join(f"{i}a" for i in range(10, 170_000)), "1.2.3.4 " * 100_000, "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r["__spans"] for r in pii.spans(docs, ["doc_id"]).collect()}
+    assert len(got[0]) == 0 and [(s.start, s.end) for s in got[1]] == [(8 * k, 8 * k + 7) for k in range(100_000)] and got[2] == []
+    for head in ("eyJ", "eyJa.eyJb", "password=", "eyJaaaa."):
+        secrets.spans_of(secrets.pa.array([head * (1_000_000 // len(head))]))
+
+
+def test_spans_over_block_ends(spark):
+    """Positions of 0 to 300 matches, with and without text around, against re."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(["1.2.3.4", "é", " ", "99", "\U0001f44d", ". ", "300.1.1.1 "]) for _ in range(n)) for n in (0, 1, 5, 63, 64, 65, 128, 129, 900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rule = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+    for r in docs.select("doc_id", "text", pii.matches(F.col("text"), pii.BASE["ip"]).alias("m")).collect():
+        assert [(s.start, s.end, s.found) for s in r.m] == [(x.start(), x.end(), x[0]) for x in rule.finditer(r.text)]
+
+
+def test_added_secret_kinds(spark, docs):
+    """The kinds that the method adds, one by one against the automaton's own leftmost, longest runs."""
+    rnd = random.Random(9)
+    for kind in range(len(secrets.KINDS)):
+        step, accept, dead, _ = secrets._single(kind)
+        for _ in range(60):
+            lane = "".join(rnd.choice(["eyJ", "a", ".", "AKIA", "ghp_", "0f", "sk_", "-", "=", "Z9", "token", ":"]) for _ in range(rnd.randint(1, 60))).encode()
+            want, i = [], 0
+            while i < len(lane):
+                s, end = 0, -1
+                for j in range(i, len(lane)):
+                    s = step[s][lane[j]]
+                    if s == dead:
+                        break
+                    end = j + 1 if accept[s] else end
+                if end > 0:
+                    want.append((i, end))
+                i = max(i + 1, end)
+            for secrets.LONG in (0, 4, 64):
+                assert secrets.matches(lane, kind) == want
+
+
 def test_substrings(docs, none):
     got = {(r.doc_id, r["__repeats"].longest_words > 300) for r in substrings.found(docs, ["doc_id"]).collect()}
     assert {(1, True), (2, True), (None, True), (6, False), (3, False)} <= got
