@@ -18,6 +18,7 @@ customer and supplier tables without shuffling the fact.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from dataclasses import dataclass, field
 from typing import Callable, Iterable
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from . import fixtures as fx
+from . import snapshots
 from .jdbc import jdbc_reader
 
 DIMENSIONS = ("tbfil", "tbcli", "tbcid", "tbpro", "tbcta", "tbfor", "tbhis")
@@ -56,6 +58,9 @@ FACT_KEY = {"factrc": "nrofatura", "frctrc": "nroctrc", "cptit": "nrocontrole"}
 #: Sort column inside each staged file (tightens row-group statistics).
 FACT_SORT_COL = {"factrc": "datavencto", "frctrc": "codfilemite", "cptit": "datamovto"}
 
+#: Folder of a warehouse with its published fingerprints, a table per fact.
+FINGERPRINTS = "_impressoes"
+
 Loader = Callable[[str, frozenset | None], DataFrame]
 
 #: fact -> (its key, dimension, the dimension's key): lookups of dimensions that grow
@@ -314,30 +319,69 @@ def _fingerprints(df: DataFrame, parts: dict, cols: list[str]) -> DataFrame:
     return df.groupBy(*[e.cast("int").alias(c) for c, e in parts.items()]).agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("h"))
 
 
-def changed_partitions(tables: ErpTables, root: str, name: str) -> DataFrame:
-    """``__<partition column>`` and ``__keep`` (false: to remove): partitions of a
-    staged fact that differ from the source, as a document moves between months
-    and open-balance flags when it is paid."""
+def _in_months(tables: ErpTables, name: str, months: list[int]) -> DataFrame:
+    """A source fact's rows whose main date lies in ``months`` (yyyymm); the dates
+    are pushed to the source, so other months aren't read."""
+    main = FACT_MAIN_DATE[name]
+    spans = [(dt.date(m // 100, m % 100, 1), dt.date(m // 100 + (m % 100 == 12), m % 100 % 12 + 1, 1)) for m in months]
+    rows = tables.prune(name, tables.table(name), {main: [(a, b - dt.timedelta(days=1)) for a, b in spans]})
+    wanted = F.lit(False)
+    for a, b in spans:
+        wanted = wanted | ((F.col(main) >= F.lit(a)) & (F.col(main) < F.lit(b)))
+    return rows.filter(wanted)
+
+
+def _stored_fingerprints(tables: ErpTables, root: str, name: str) -> DataFrame:
+    """The warehouse's fingerprints as the last refresh published them; from the
+    warehouse itself before the first one."""
+    spark, parts = tables.spark, _partition_cols(tables, name)
+    if snapshots.current(spark, f"{root}/{FINGERPRINTS}/{name}"):
+        return snapshots.read(spark, f"{root}/{FINGERPRINTS}/{name}")
+    cols = [c for c in tables.table(name).columns if c not in parts]
+    return _fingerprints(spark.read.parquet(f"{root}/{name}"), {c: F.col(c) for c in parts}, cols)
+
+
+def changed_partitions(tables: ErpTables, root: str, name: str, only: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(changed, fingerprints).  ``changed`` has ``__<partition column>`` and
+    ``__keep`` (false: to remove) of the partitions of a staged fact that differ
+    from the source, as a document moves between months and open-balance flags
+    when it is paid.  ``fingerprints`` are the warehouse's once these are
+    rewritten.  With ``only``, the source is read for these months alone, and
+    partitions of others stay as they are."""
     parts = _partition_cols(tables, name)
-    src = tables.table(name)
+    src = tables.table(name) if only is None else _in_months(tables, name, only)
     cols = [c for c in src.columns if c not in parts]
-    kept = tables.spark.read.parquet(f"{root}/{name}")
-    new = _fingerprints(src, parts, cols).alias("new")
-    old = _fingerprints(kept, {c: F.col(c) for c in parts}, cols).alias("old")
+    stored = _stored_fingerprints(tables, root, name)
+    here = F.lit(True) if only is None else F.coalesce(F.col(PARTITION_COL).isin(list(only)), F.lit(False))
+    fresh = _fingerprints(src, parts, cols)
+    new, old = fresh.alias("new"), stored.filter(here).alias("old")
     same = [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in parts]
     differs = ~(F.col("new.n").eqNullSafe(F.col("old.n")) & F.col("new.h").eqNullSafe(F.col("old.h")))
     # a partition column may be null on a side that is there
-    here = F.col("new.n").isNotNull()
-    return new.join(old, same, "full").where(differs).select(
-        *[F.when(here, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(f"__{c}") for c in parts], here.alias("__keep"))
+    there = F.col("new.n").isNotNull()
+    changed = new.join(old, same, "full").where(differs).select(
+        *[F.when(there, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(f"__{c}") for c in parts], there.alias("__keep"))
+    return changed, fresh.unionByName(stored.filter(~here))
 
 
-def refresh_months(tables: ErpTables, root: str, months: list[int] = (), max_records_per_file: int = 5_000_000) -> None:
+def refresh_months(
+    tables: ErpTables, root: str, months: list[int] = (), max_records_per_file: int = 5_000_000, only: bool = False,
+) -> None:
     """Incremental upkeep of a staged warehouse: rewrite the partitions of every
     fact that differ from the source (dynamic partition overwrite), and those of
     ``months`` (yyyymm) in any case; remove partitions that have become empty;
     rewrite the dimensions.  A document that was paid or re-dated leaves its old
-    partition, since that one differs too."""
+    partition, since that one differs too.
+
+    What the warehouse holds is known from fingerprints that each refresh
+    publishes (the first one takes them from the warehouse), so the warehouse is
+    not scanned.  With ``only``, the source is read for ``months`` alone: then the
+    caller names every month whose documents changed, a re-dated document's old
+    month too (a run without ``only`` finds what was left out).
+
+    Between the overwrite of a document's new partition and the removal of its
+    old, emptied one a reader can see it twice; a job that stops there is healed
+    by the next run, since fingerprints are published last."""
     root = root.rstrip("/")
     spark = tables.spark
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
@@ -348,13 +392,16 @@ def refresh_months(tables: ErpTables, root: str, months: list[int] = (), max_rec
     try:
         for name in FACTS:
             parts = _partition_cols(tables, name)
-            # written first: the warehouse that it is read from changes below
+            # written first: the warehouse that it may be read from changes below
             path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/changed-{name}-{uuid.uuid4().hex}"
-            changed_partitions(tables, root, name).write.parquet(path)
-            changed = spark.read.parquet(path)
+            changed, prints = changed_partitions(tables, root, name, list(months) if only else None)
+            prints.write.parquet(f"{path}/fingerprints")
+            changed.write.parquet(f"{path}/changed")
+            changed = spark.read.parquet(f"{path}/changed")
             some = changed.where("__keep").withColumnRenamed("__keep", "__hit")
             here = [e.cast("int").eqNullSafe(F.col(f"__{c}")) for c, e in parts.items()]
-            rows = tables.table(name).join(some, here, "left")
+            source = _in_months(tables, name, list(months)) if only else tables.table(name)
+            rows = source.join(some, here, "left")
             wanted = F.col("__hit").isNotNull()
             if months:
                 wanted = wanted | F.coalesce(parts[PARTITION_COL].isin(list(months)), F.lit(False))
@@ -362,6 +409,7 @@ def refresh_months(tables: ErpTables, root: str, months: list[int] = (), max_rec
                 _write_fact(tables, name, rows.filter(wanted).select(*tables.table(name).columns), f"{root}/{name}", "overwrite", max_records_per_file)
             # folders are removed one by one, without the list in memory
             _remove_partitions(spark, f"{root}/{name}", list(parts), changed.where("not __keep").drop("__keep").toLocalIterator())
+            snapshots.publish(spark.read.parquet(f"{path}/fingerprints"), f"{root}/{FINGERPRINTS}/{name}")
             done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     finally:
@@ -407,6 +455,10 @@ def stage(
         if tables.tenant_cols:
             dim = dim.partitionBy(*tables.tenant_cols)
         dim.parquet(f"{root}/{name}{under}")
+    # what earlier refreshes knew of the warehouse holds no longer
+    spark = tables.spark
+    known = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{FINGERPRINTS}")
+    known.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(known, True)
     for name in FACTS:
         _write_fact(tables, name, tables.table(name), f"{root}/{name}{under}", mode, max_records_per_file)
 

@@ -246,3 +246,70 @@ def test_shared_warehouse_plan_does_not_grow_with_tenants(spark, tmp_path):
     assert _sorted(one) == _sorted(plans.tabela_a_receber(ErpTables.from_parquet(spark, str(tmp_path / "w"), ("codempresa",)).for_tenant(3), ReportFilters(), AS_OF))
     with pytest.raises(ValueError):
         stage(w, str(tmp_path / "v"), tenant=1)
+
+
+def _spoil(root, fact, keep):
+    """Make every data file of a staged fact unreadable but those of month ``keep``."""
+    for f in (root / fact).rglob("*.parquet"):
+        if f"particao_mes={keep}" not in str(f):
+            f.write_bytes(b"spoilt")
+
+
+def test_refresh_of_a_month_reads_that_month_only(spark, tmp_path):
+    """Source and warehouse files of other months can't even be opened."""
+    from freightlens.sources import refresh_months, snapshots, stage
+    from freightlens.sources.erp import FACTS, FINGERPRINTS
+
+    full = ErpTables.from_fixture(spark, SF_SMALL)
+    src, dst = tmp_path / "source", tmp_path / "warehouse"
+    stage(full, str(src))
+    stage(full, str(dst))
+    source = ErpTables.from_parquet(spark, str(src))
+    for name in FACTS:
+        source.table(name, None)
+    refresh_months(full, str(dst))  # the first one publishes the fingerprints
+    assert all(snapshots.current(spark, f"{dst}/{FINGERPRINTS}/{n}") == 1 for n in FACTS)
+
+    # in the warehouse, the month loses a file in each fact; elsewhere nothing can be read
+    month, before = 200005, {}
+    for name in FACTS:
+        assert source.table(name).columns
+        before[name] = spark.read.parquet(f"{dst}/{name}").filter(f"particao_mes = {month}").count()
+        files = sorted((dst / name).rglob("*.parquet"))
+        here = [f for f in files if f"particao_mes={month}" in str(f)]
+        assert before[name] > 0 and len(here) < len(files)
+        _spoil(src, name, month)
+        _spoil(dst, name, month)
+        for f in here:
+            f.write_bytes(b"spoilt")
+    refresh_months(source, str(dst), [month], only=True)
+    for name in FACTS:
+        got = spark.read.schema(full.table(name).schema).parquet(*{str(f.parent) for f in (dst / name).rglob("*.parquet") if f"particao_mes={month}" in str(f)})
+        assert got.count() == before[name]
+        assert snapshots.current(spark, f"{dst}/{FINGERPRINTS}/{name}") == 2
+
+
+def test_refresh_by_stored_fingerprints(spark, tmp_path):
+    """A paid and a re-dated title move, an unchanged month isn't written again, and a
+    later full run finds nothing to do."""
+    from freightlens.sources import refresh_months, stage
+    from freightlens.sources.erp import DIMENSIONS, FACTS, changed_partitions
+
+    full = ErpTables.from_fixture(spark, SF_SMALL)
+    root = str(tmp_path / "w")
+    stage(full, root)
+    refresh_months(full, root)
+    open_ = full.table("cptit").filter("vlrsaldo <> 0 and datavencto is not null").orderBy("nrocontrole").first()
+    paid = full.table("cptit").withColumn("vlrsaldo", F.when(F.col("nrocontrole") == open_["nrocontrole"], F.lit(0).cast(full.table("cptit").schema["vlrsaldo"].dataType)).otherwise(F.col("vlrsaldo")))
+    frames = {n: full.table(n) for n in (*DIMENSIONS, *FACTS)}
+    later = ErpTables.from_frames(spark, {**frames, "cptit": paid})
+    month = open_["datavencto"].year * 100 + open_["datavencto"].month
+    changed = changed_partitions(later, root, "cptit", [month])[0].collect()
+    assert changed and {r["__particao_mes"] for r in changed} == {month}
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "w" / "cptit").rglob("*.parquet")}
+    refresh_months(later, root, [month], only=True)
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "w" / "cptit").rglob("*.parquet")}
+    assert all(after[f] == t for f, t in files.items() if f"particao_mes={month}" not in str(f))
+    cols = later.table("cptit").columns
+    assert _sorted(spark.read.parquet(f"{root}/cptit").select(cols)) == _sorted(later.table("cptit").select(cols))
+    assert all(changed_partitions(later, root, n)[0].isEmpty() for n in FACTS)
