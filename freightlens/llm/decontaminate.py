@@ -11,8 +11,8 @@ word by word.
 
 Two bit maps of a fixed 2 MB (of all item shingles for the counts, of prefix
 shingles for the join) go to the executors; they only spare shuffling shingles
-that no item has, and the joins after them are exact.  Documents are read twice
-and never shuffled whole.
+that no item has, and the joins after them are exact.  Documents are read twice;
+the query never shuffles texts, ``keep_clean`` those with a prefix shingle only.
 
 Edge cases: null, empty and wordless texts have no words and are clean; an item
 without words has no window; rows are judged one by one, so repeated rows get
@@ -198,9 +198,13 @@ def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without a word of a benchmark window."""
+    """The documents without a word of a benchmark window.  Only those that a
+    prefix shingle occurs in are joined with the findings; the others are clean,
+    and stay where they are."""
     rows, marks = found_windows(docs, items, docs.columns)
-    return rows.join(marks.select("__uid"), "__uid", "left_anti").select(*docs.columns)
+    asked = F.size("__scan.hits") > 0
+    some = rows.where(asked).join(marks.select("__uid"), "__uid", "left_anti")
+    return rows.where(~asked).select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
 _W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -17,16 +17,18 @@ shard walks its own path from the root (each node has its own seed), so no
 table of shards by sources is made in one place.  Within a shard, documents are
 in order of a hash (``place``).
 
-Positions come from prefix sums in two levels: of hash buckets of about
-``BUCKET`` documents within a source, and of documents within a bucket; a
-source with a third of all rows is many buckets.  Only one row per source (its
+Positions come from prefix sums in three levels: of runs of ``BUCKET`` hash
+buckets within a source, of buckets of about ``BUCKET`` documents within a run,
+and of documents within a bucket; a source with a third of all rows is many
+buckets.  Only one row per source (its
 size) and the quotas reach the driver.
 
 Edge cases: null, empty and blank texts have size 0 and are never drawn; a null
 source is a source of its own; rows that repeat everything count and are drawn
 one by one (which of them is drawn more often is open); repeated doc_ids are
 rows of their own.  An empty table gives an empty result.  Columns other than
-doc_id, text and source pass through.  Reruns over equal tables agree.
+doc_id, text and source pass through, those named like the added ones as
+``doc_<name>``.  Reruns over equal tables agree.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
+ADDED = ("size", "source_size", "target", "taken", "draws")
 BLOCK_WORDS, SHARD_BLOCKS, BUCKET, SEED = 50_000, 32, 1000, 20240607
 
 
@@ -104,7 +107,7 @@ def plan(spark: SparkSession, quotas: list[int], shard_blocks: int = SHARD_BLOCK
     return runs.select("s", F.explode(F.sequence("first", F.col("first") + F.col("units") - 1)).alias("rank"), "shard")
 
 
-def draws(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def draws(rows: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """rows: __uid, __key (a hash), __size, source.  Gives (sources, draws): the
     source table (source, s, source_size, target) and one row per drawn copy
     (__uid, __key, __size, copy, shard)."""
@@ -118,7 +121,7 @@ def draws(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     for s, name in enumerate(names):
         full = int(want[name] // sizes[name]) if sizes[name] else 0
         rest = want[name] - full * sizes[name] if sizes[name] else 0.0
-        blocks, part = -(-sizes[name] // BLOCK_WORDS), math.ceil(rest / BLOCK_WORDS)
+        blocks, part = -(-sizes[name] // block_words), math.ceil(rest / block_words)
         units = full * blocks + part
         a, b = _affine(units, s) if units else (1, 0)
         quotas.append(units)
@@ -130,19 +133,27 @@ def draws(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             .select("__uid", "__key", "__size", "s", "full", "rest", "blocks", "units", "a", "b",
                     F.pmod(F.col("__key"), F.col("buckets")).alias("bucket")))
     inside = line.withColumn("before", F.sum("__size").over(_upto("s", "bucket")) - F.col("__size"))
-    offset = (line.groupBy("s", "bucket").agg(F.sum("__size").alias("words"))
-              .select("s", "bucket", (F.sum("words").over(_W.partitionBy("s").orderBy("bucket").rowsBetween(_W.unboundedPreceding, 0)) - F.col("words")).alias("offset")))
+    # a bucket's first word: sums within runs of buckets, then over the runs
+    each = line.groupBy("s", "bucket").agg(F.sum("__size").alias("words")).withColumn("run", F.floor(F.col("bucket") / BUCKET))
+    run = each.groupBy("s", "run").agg(F.sum("words").alias("words")).select("s", "run", _before(["s"], "run").alias("run_offset"))
+    offset = (each.select("s", "run", "bucket", _before(["s", "run"], "bucket").alias("in_run")).join(run, ["s", "run"])
+              .select("s", "bucket", (F.col("in_run") + F.col("run_offset")).alias("offset")))
     at = F.col("before") + F.col("offset")
     copies = F.sequence(F.lit(1), F.col("full") + F.when(F.col("at") + F.col("__size") / 2 <= F.col("rest"), 1).otherwise(0))
     taken = (inside.join(offset, ["s", "bucket"]).withColumn("at", at)
              .withColumn("copies", F.when((F.col("full") > 0) | (F.col("at") + F.col("__size") / 2 <= F.col("rest")), copies).otherwise(F.array().cast("array<int>")))
              .select("__uid", "__key", "__size", "s", "units", "a", "b", "blocks", "at", F.explode("copies").alias("copy")))
-    unit = (F.col("copy") - 1) * F.col("blocks") + F.floor(F.col("at") / BLOCK_WORDS)
+    unit = (F.col("copy") - 1) * F.col("blocks") + F.floor(F.col("at") / block_words)
     ranked = taken.withColumn("rank", F.pmod(F.col("a") * unit + F.col("b"), F.col("units")))
-    drawn = ranked.join(plan(spark, quotas), ["s", "rank"]).select("__uid", "__key", "__size", "copy", "shard")
+    drawn = ranked.join(plan(spark, quotas, shard_blocks), ["s", "rank"]).select("__uid", "__key", "__size", "copy", "shard")
     return sources.select("source", "s", "source_size", "target"), drawn
 
 
+def _before(keys: list[str], order: str):
+    """The words of the rows before this one."""
+    return F.sum("words").over(_W.partitionBy(*keys).orderBy(order).rowsBetween(_W.unboundedPreceding, 0)) - F.col("words")
+
+
 def _upto(*keys: str):
     return _W.partitionBy(*keys).orderBy("__key", "__uid").rowsBetween(_W.unboundedPreceding, 0)
 
@@ -156,18 +167,19 @@ def sized(docs: DataFrame, keep: list[str]) -> DataFrame:
     ).withColumn("__uid", F.monotonically_increasing_id()), "sized")
 
 
-def mixed(docs: DataFrame, keep: list[str]) -> DataFrame:
+def mixed(docs: DataFrame, keep: list[str], block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The columns ``keep`` of each row, size, source_size, target, taken, and
-    draws: shard, place (order within the shard) and copy of each time it is drawn."""
+    draws: shard, place (order within the shard) and copy of each time it is drawn.
+    A kept column of one of these names is called ``doc_<name>``."""
     C.ship(docs.sparkSession)
     rows = sized(docs, keep if "source" in keep else [*keep, "source"])
-    sources, drawn = draws(rows.select("__uid", "__key", "__size", "source"))
+    sources, drawn = draws(rows.select("__uid", "__key", "__size", "source"), block_words, shard_blocks)
     per = drawn.groupBy("__uid").agg(F.sum("__size").alias("__taken"), F.sort_array(F.collect_list(F.struct(
         "shard", F.xxhash64(F.lit(SEED), "__key", "copy").alias("place"), "copy"))).alias("__draws"))
     sources = sources.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     return (rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["__source"]))
             .join(per, "__uid", "left")
-            .select(*(rows[c] for c in keep), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+            .select(*(rows[c].alias(f"doc_{c}" if c in ADDED else c) for c in keep), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
                     F.col("__target").alias("target"), F.coalesce("__taken", F.lit(0).cast("long")).alias("taken"),
                     F.coalesce("__draws", F.array().cast("array<struct<shard:bigint,place:bigint,copy:int>>")).alias("draws")))
 
