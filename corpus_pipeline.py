@@ -51,7 +51,8 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: No SQL: tokenisers, verified similarity and drawn blocks are beyond it; tests/llm holds brute-force versions.
+#: No SQL: tokenisers, verified similarity and drawn blocks are beyond it.  tests/llm holds each stage against its
+#: operator, the near-duplicate classes against brute force.
 ORACLE_SQL = None
 
 
