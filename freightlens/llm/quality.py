@@ -21,9 +21,10 @@ language give, if they are enough or there is no other.
 Base rules come first (see ``op7_fertility``): fewer than 20 words, or more
 than 30 % of the words in 8-word windows that occur twice or more.
 
-White space keeps tokens apart, so long texts are tokenised in runs of lines
-or words of up to 100,000 characters; a word beyond 10,000 characters is cut
-every 10,000.
+No token reaches over the end of a word into white space, so a long text is
+encoded in runs that are cut there (a word, however long, stays whole).  Byte
+fallback is counted over the pieces of the words, one blank between them; a
+text whose characters all are pieces has none, and isn't encoded for it.
 
 Edge cases: null, empty and blank texts have no words and fail the base rules;
 rows are judged one by one, so ties and repeated rows get equal verdicts; texts
@@ -36,8 +37,8 @@ from __future__ import annotations
 
 import base64
 import functools
-import itertools
 import re
+import string
 import unicodedata
 
 import numpy as np
@@ -55,6 +56,9 @@ MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 20, 30, 8
 MIN_TOKENS, FULL_TOKENS, MIN_DOCS, WIDTH = 50, 512, 50, 5.0
 #: The least distance of a band's edges from the median: below, above (none: no edge).
 MARGIN = {"chars_per_token": (0.15, 0.3), "byte_share": (None, 0.05), "entropy_share": (0.05, None)}
+#: Characters encoded at once (and on to the end of a word).
+RUN = 100_000
+WORD_END = re.compile(r"(?<=\S)(?=[ \n])")
 SYMBOLS = b"#*$%&|<>"
 #: How the byte-level vocabulary splits text before merging: contractions, letters, digits, signs, white space.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -74,35 +78,37 @@ def vocabularies(folder: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECE_VOCABULARY}")
     is_byte = np.array([pieces.is_byte(i) for i in range(pieces.vocab_size())])
-    return tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), pieces, is_byte
+    plain = frozenset(x for x in map(pieces.id_to_piece, range(pieces.vocab_size())) if len(x) == 1) | frozenset(string.whitespace)
+    return tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), pieces, is_byte, plain
 
 
-def runs(text: str, most: int = 100_000, word: int = 10_000) -> list[str]:
-    """The text in runs that a tokeniser takes at once."""
-    if len(text) <= word:
-        return [text]
-    out: list[list[str]] = [[]]
-    size = 0
-    for part in re.findall(rf"\s{{1,{word}}}\S{{0,{word}}}|\S{{1,{word}}}", text):
-        if size + len(part) > most:
-            out.append([])
-            size = 0
-        out[-1].append(part)
-        size += len(part)
-    return ["".join(x) for x in out]
+def runs(text: str, most: int = RUN) -> list[str]:
+    """The text in runs of ``most`` characters and on to the next end of a word."""
+    out, a = [], 0
+    while len(text) - a > most and (cut := WORD_END.search(text, a + most)):
+        out.append(text[a:cut.start()])
+        a = cut.start()
+    return [*out, text[a:]]
+
+
+def byte_share(text: str, folder: str) -> float:
+    """The share of the words' pieces that are single bytes."""
+    _, pieces, is_byte, plain = vocabularies(folder)
+    if plain.issuperset(text):  # every character is a piece, so none falls back
+        return 0.0
+    ids = np.array([i for x in runs(" ".join(text.split())) for i in pieces.encode(x.strip(" "), num_threads=1)], np.int64)
+    return float(is_byte[ids].mean()) if len(ids) else 0.0
 
 
 def fertility(text: str, folder: str) -> tuple[int, float, float, float]:
     """(tokens, characters per token, byte share, entropy share)."""
-    encoding, pieces, is_byte = vocabularies(folder)
-    parts = runs(text)
-    ids = np.fromiter(itertools.chain.from_iterable(encoding.encode_ordinary(x) for x in parts), np.int64)
+    encoding = vocabularies(folder)[0]
+    ids = np.concatenate([np.array(encoding.encode_ordinary(x), np.int64) for x in runs(text)])
     if not len(ids):
         return 0, 0.0, 0.0, 0.0
-    other = np.fromiter(itertools.chain.from_iterable(pieces.encode(x, num_threads=1) for x in parts), np.int64)
     n = np.unique(ids, return_counts=True)[1]
     entropy = float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids))
-    return len(ids), len(text) / len(ids), float(is_byte[other].mean()) if len(other) else 0.0, entropy / float(np.log2(len(ids))) if len(ids) > 1 else 0.0
+    return len(ids), len(text) / len(ids), byte_share(text, folder), entropy / float(np.log2(len(ids))) if len(ids) > 1 else 0.0
 
 
 def script_of(text: str) -> str:

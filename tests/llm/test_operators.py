@@ -81,6 +81,24 @@ def test_fertility_bands(spark):
     assert sum(r.fertility_failed for r in planted if r.doc_id.startswith("clean")) <= 2
 
 
+def test_fertility_is_the_vocabularies_own():
+    """Runs and the shortcut for texts without byte fallback change no token."""
+    rnd = random.Random(3)
+    encoding, pieces, is_byte, plain = quality.vocabularies(quality.VOCABULARIES)
+    pool = [chr(c) for c in (*range(33, 0x2500), *range(0x4E00, 0x5000), *range(0x1F600, 0x1F640)) if not chr(c).isspace()]
+    words = ["".join(rnd.choices(pool, k=rnd.randint(1, 9))) for _ in range(3000)] + sorted(x for x in plain if not x.isspace()) + WORDS
+    for n in (0, 1, 7, 300):
+        text = " ".join(rnd.choices(words, k=n))
+        ids = pieces.encode(text)
+        assert quality.byte_share(text, quality.VOCABULARIES) == (sum(bool(is_byte[i]) for i in ids) / len(ids) if ids else 0.0)
+    long = "".join(rnd.choices([*pool, *([" ", "  ", "\n", "\r\n", "\x1c", "\xa0", "'s"] * 200)], k=300_000)) + "x" * 150_000 + " " * 120_000 + "y"
+    parts = quality.runs(long)
+    assert len(parts) > 2 and "".join(parts) == long
+    assert [i for x in parts for i in encoding.encode_ordinary(x)] == encoding.encode_ordinary(long)
+    short = quality.runs(" ".join(words), 50)
+    assert quality.byte_share(" ".join(words), quality.VOCABULARIES) > 0 and all(x[:1] == " " for x in short[1:])
+
+
 def test_personal_data(docs, none):
     got = {r.doc_id: r for r in pii.spans(docs, ["doc_id"]).withColumn("s", pii._listed(F.col("__spans"))).collect()}
     assert got[6].s == "email:5:13" and got[7].s == "phone:5:22,card:26:45" and got[11].s == "ip:4:11" and got[3].s == ""
