@@ -9,8 +9,10 @@ most toxic segment, whatever its length.  Embeddings and softmax are trained
 jointly in numpy (damped Adagrad on mini-batches, segments weighted more and
 more towards the text's worst; buckets that fewer than ``MIN_DOCS`` documents
 have stay out), on a bounded sample: up to ``SAMPLE`` labelled documents of each class with the
-smallest hashes of doc_id and at most ``SAMPLE_CHARS`` characters.  The classes'
-shares among all usable labels set the prior.  Since the model is linear,
+smallest hashes of doc_id.  Of a text beyond ``SAMPLE_CHARS`` characters, windows
+of ``WINDOW_CHARS`` spread evenly from its first to its last character are learnt
+from, ``SAMPLE_CHARS`` in all; scoring reads whole texts.  The classes' shares
+among all usable labels set the prior.  Since the model is linear,
 scoring needs one weight per bucket: 4 * ``BUCKETS`` bytes go to the executors.
 
 Labels of rows whose crc32(doc_id as text) mod 5 is 0 are never read; labels,
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS, DIM, GRAMS, SEGMENT = 1 << 17, 8, (3, 4, 5), 1
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
+SAMPLE, SAMPLE_CHARS, WINDOW_CHARS = 2000, 20_000, 1_000
 EPOCHS, BATCH, RATE, FOCUS, DAMP, MIN_DOCS, SEED = 8, 128, 0.4, 0.5, 1e-6, 5, 7
 _GAP = 32
 
@@ -144,6 +146,15 @@ def train(texts: list[str], labels: np.ndarray, prior: float) -> tuple[np.ndarra
     return (table @ (top[:, 1] - top[:, 0])).astype(np.float32), float(bias[1] - bias[0] + shift)
 
 
+def windows(text: F.Column) -> F.Column:
+    """The text, or its windows if it is long, with a blank between them."""
+    count = SAMPLE_CHARS // WINDOW_CHARS
+    room = F.length(text) - WINDOW_CHARS
+    spread = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.substring(
+        text, F.floor(k.cast("long") * room / (count - 1)).cast("int") + 1, F.lit(WINDOW_CHARS)))
+    return F.when(F.length(text) > SAMPLE_CHARS, F.array_join(spread, " ")).otherwise(text)
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels of the training sample, and the share of label 1 among all
     labels that may be learnt from."""
@@ -153,7 +164,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, f
     ids = [usable.where(F.col("toxic") == k).groupBy("id").agg(F.max("toxic").alias("toxic"))
            .orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE) for k in (0, 1)]
     chosen = C.saved(ids[0].unionByName(ids[1]), "toxic-sample")  # at most 2 * SAMPLE rows
-    rows = (docs.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & (F.length("text") <= SAMPLE_CHARS))
+    rows = (docs.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("text").isNotNull())
+            .select("doc_id", windows(F.col("text")).alias("text"))
             .join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
             .groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy("id", "toxic").toArrow())
     return rows["text"].to_pylist(), rows["toxic"].to_numpy().astype(float), float(share or 0.0)
