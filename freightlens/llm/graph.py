@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and
 small-star steps.  Every step is a pre-aggregated group-by and a join, each
 result is written to the shared folder, and nothing but a flag reaches the
-driver."""
+driver.  Links found later are joined by class (``merged``): only links between
+classes go through the steps again."""
 
 from __future__ import annotations
 
@@ -10,10 +11,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_SCHEMA = "a long, b long"
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step; rows may repeat, and there are never more than two per edge."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
@@ -24,23 +24,36 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """links (a long, b long), any order -> (node, cls): cls is the smallest node
-    of the component.  Nodes without links don't occur."""
-    edges = C.saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
-        new = C.saved(_star(_star(edges, True), False), "links")
-        C.forget(edges)
-        # a fixpoint is a set of stars: no node is both a centre and a leaf, and each leaf has one centre
-        loose = new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
-        many = new.groupBy("a").count().where("count > 1").limit(1).count()
-        edges = new
-        if not loose and not many:
-            break
-    centres = edges.select(F.col("b").alias("node")).distinct()
-    out = C.saved(edges.select(F.col("a").alias("node"), F.col("b").alias("cls")).unionByName(centres.select("node", F.col("node").alias("cls"))), "classes")
-    C.forget(edges)
+    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _loose(edges: DataFrame) -> bool:
+    """Whether some node is both a centre and a leaf, or a leaf of two centres."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("of")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("of")))
+    told = ends.groupBy("node").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.max(F.col("of").isNull()).alias("centre"))
+    return told.where("low < high or (low is not null and centre)").limit(1).count() > 0
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """links (a long, b long), any order, repeats allowed -> (node, cls) of every node
+    with a smaller one in its component: cls is the component's smallest node."""
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    done = None
+    while _loose(edges):  # a fixpoint is a set of stars
+        new = C.saved(_star(_star(edges, True), False).distinct(), "links")
+        if done is not None:
+            C.forget(done)
+        edges = done = new
+    out = C.saved(edges.distinct().select(F.col("a").alias("node"), F.col("b").alias("cls")), "classes")
+    if done is not None:
+        C.forget(done)
     return out
+
+
+def merged(cls: DataFrame, more: DataFrame) -> DataFrame:
+    """``cls`` (of ``stars``) after classes were joined: ``more`` has the ``stars`` of
+    links between classes, a node without a class being its own."""
+    to = more.select(F.col("node").alias("__was"), F.col("cls").alias("__cls"))
+    return (cls.join(to, F.col("cls") == F.col("__was"), "left").select("node", F.coalesce("__cls", "cls").alias("cls"))
+            .unionByName(more))

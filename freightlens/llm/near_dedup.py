@@ -13,7 +13,8 @@ no group's pairs are all emitted:
 
 1. equal word sequences collapse to one node (128-bit digest);
 2. every node is verified against one hub, the smallest node of its buckets;
-   links give classes;
+   links give classes; from here on links join classes, and components are taken
+   of links between classes alone;
 3. every node of a bucket that is still of another class is verified against the
    bucket's smallest node, then against its best-linked one and against random
    ones (``TURNS`` in all);
@@ -36,6 +37,7 @@ result.  Only ``doc_id`` and ``text`` are read; other columns don't matter.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
-from .graph import components
+from .graph import merged, stars
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -163,7 +165,9 @@ def probability_jaccard(x, y) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of similarity ``threshold`` or more, over whole texts."""
+    """The pairs (a, b) of similarity ``threshold`` or more, over whole texts; further
+    columns, all long, go with them."""
+    names = pairs.columns
 
     def work(batches):
         kept: dict[int, tuple] = {}
@@ -176,12 +180,12 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     kept = {b[i]: weighted_set(tb[i].as_py())}  # pairs of a hub come together
                 ok.append(probability_jaccard(weighted_set(ta[i].as_py()), kept[b[i]]) >= threshold - 1e-9)
             C.trim(ta.nbytes + tb.nbytes)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(v, ok) if k], pa.int64()) for v in (a, b)], names=["a", "b"])
+            yield batch.select(names).filter(pa.array(ok, pa.bool_()))
 
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-            .select("a", "b", "ta", "tb"))
-    return C.small_batches(both).mapInArrow(work, "a long, b long")
+            .select(*names, "ta", "tb"))
+    return C.small_batches(both).mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
 @F.arrow_udf(T.DoubleType())
@@ -197,7 +201,7 @@ def agreement(x: pa.Array, y: pa.Array) -> pa.Array:
 def _near(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .where(agreement("sa", "sb") >= F.lit(least)).select("a", "b"))
+            .where(agreement("sa", "sb") >= F.lit(least)).select(*pairs.columns))
 
 
 @F.arrow_udf(T.BinaryType())
@@ -216,14 +220,22 @@ def _jaccards(x: list[np.ndarray], y: list[np.ndarray], pairs: np.ndarray, step:
     sets = [[np.unique(h, return_counts=True) for h in side] for side in (x, y)]
     plain = [np.array([w.max(initial=1) == 1 for _, w in side]) for side in sets]
     vocabulary = np.intersect1d(np.concatenate([h for h, _ in sets[0]]), np.concatenate([h for h, _ in sets[1]]))
-    at = [[np.searchsorted(vocabulary, h[np.isin(h, vocabulary)]) for h, _ in side] for side in sets]
+    sides = []  # per side the cells of its rows in the vocabulary, by column
+    for side in sets:
+        row = np.repeat(np.arange(len(side)), [len(h) for h, _ in side])
+        h = np.concatenate([h for h, _ in side])
+        column = np.searchsorted(vocabulary, h)
+        known = np.flatnonzero(column < len(vocabulary))
+        known = known[vocabulary[column[known]] == h[known]]
+        known = known[np.argsort(column[known], kind="stable")]
+        sides.append((row[known], column[known], len(side)))
     both = np.zeros((len(x), len(y)), np.float32)
     for f in range(0, len(vocabulary), step):
         dense = []
-        for side in at:
-            m = np.zeros((len(side), min(step, len(vocabulary) - f)), np.float32)
-            for r, c in enumerate(side):
-                m[r, c[(c >= f) & (c < f + step)] - f] = 1
+        for row, column, n in sides:
+            m = np.zeros((n, min(step, len(vocabulary) - f)), np.float32)
+            lo, hi = np.searchsorted(column, [f, f + step])
+            m[row[lo:hi], column[lo:hi] - f] = 1
             dense.append(m)
         both += dense[0] @ dense[1].T
     size = [np.array([len(h) for h, _ in side], np.float64) for side in sets]
@@ -235,7 +247,7 @@ def _jaccards(x: list[np.ndarray], y: list[np.ndarray], pairs: np.ndarray, step:
 
 
 def _block_links(members: DataFrame, payload: DataFrame, least: float, threshold: float, block: int, block_shingles: int) -> DataFrame:
-    """Links between classes within each bucket, block against block; only links leave a task.
+    """Pairs of classes that links join within each bucket, block against block; only they leave a task.
     members: (key, node, cls); payload: (node, n, sketch, keys, hashes)."""
     full = members.join(payload, "node")
     size = members.join(payload.select("node", "n"), "node").groupBy("key").agg(
@@ -270,7 +282,8 @@ def _block_links(members: DataFrame, payload: DataFrame, least: float, threshold
                 pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
                 if len(pairs):
                     pairs = pairs[_jaccards(ha, hb, pairs) >= threshold - 1e-9]
-                    yield pa.RecordBatch.from_arrays([pa.array(na[pairs[:, 0]]), pa.array(nb[pairs[:, 1]])], names=["a", "b"])
+                    joined = np.unique(np.column_stack([ca[pairs[:, 0]], cb[pairs[:, 1]]]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(joined[:, 0]), pa.array(joined[:, 1])], names=["a", "b"])
 
     met = left.join(right, ["key", "j"]).select("key", "i", "j", "x", "y")
     return C.small_batches(met.repartition(met.sparkSession.sparkContext.defaultParallelism * 4, "key", "i", "j")).mapInArrow(work, "a long, b long").distinct()
@@ -298,60 +311,71 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     one = members.groupBy("node").agg(F.min("low").alias("low")).where("node > low")
     tried = C.saved(_near(one.select(F.col("node").alias("a"), F.col("low").alias("b")), nodes, least), "near-tried")
     links = C.saved(verified(tried, texts, threshold), "near-links")
-    cls = components(links)
+    cls = first = stars(links)
 
-    # buckets against their smallest node, where that is of another class
+    # buckets against their smallest node, where that is of another class; from here on a
+    # pair goes with its classes (ca, cb), and links join classes
     of = cls.select(F.col("node").alias("low"), F.col("cls").alias("low_cls"))
     apart = (members.where("node > low").select("node", "low").distinct().join(cls, "node", "left").join(of, "low", "left")
-             .where(F.coalesce("cls", "node") != F.coalesce("low_cls", "low")).select(F.col("node").alias("a"), F.col("low").alias("b"))
-             .join(tried, ["a", "b"], "left_anti"))
+             .select(F.col("node").alias("a"), F.col("low").alias("b"), F.coalesce("cls", "node").alias("ca"), F.coalesce("low_cls", "low").alias("cb"))
+             .where("ca <> cb").join(tried, ["a", "b"], "left_anti"))
+    between = lambda found: stars(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     more = C.saved(_near(apart, nodes, least), "near-tried")
-    found = C.saved(links.unionByName(verified(more, texts, threshold)), "near-links")
-    both = C.saved(tried.unionByName(more), "near-tried")
-    C.forget(cls, links, tried, more)
-    tried, links = both, found
-    cls = components(links)
+    found = C.saved(verified(more, texts, threshold), "near-links")
+    joined = [between(found)]
+    cls = merged(cls, joined[0])
+    asked, links = [tried, more], [links, found]
 
     # buckets that hold several classes, against one more hub a turn
-    def split(cls):
-        with_cls = members.join(cls, "node", "left").select("key", "node", F.coalesce("cls", "node").alias("cls"))
-        mixed = with_cls.groupBy("key").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 < c1").select("key")
-        return with_cls.join(mixed, "key")
+    def mixed(with_cls):
+        several = with_cls.groupBy("key").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 < c1").select("key")
+        return with_cls.join(several, "key")
 
-    hubs = C.saved(members.select("key", F.col("low").alias("node")).distinct(), "near-hubs")
+    hubs = [C.saved(members.select("key", F.col("low").alias("node")).distinct(), "near-hubs")]
+    open_ = C.saved(mixed(members.join(cls, "node", "left").select("key", "node", F.coalesce("cls", "node").alias("cls"))), "near-open")
     for turn in range(1, turns):
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        order = F.coalesce("degree", F.lit(0)).cast("long") if turn == 1 else F.xxhash64(F.lit(turn), "node")
-        open_ = C.saved(split(cls).join(degree, "node", "left").select("key", "node", "cls", order.alias("order")), "near-open")
-        hub = open_.join(hubs, ["key", "node"], "left_anti").groupBy("key").agg(F.max(F.struct("order", "node", "cls")).alias("hub"))
-        again = (open_.join(hub, "key").where("cls <> hub.cls")
-                 .select(F.greatest("node", F.col("hub.node")).alias("a"), F.least("node", F.col("hub.node")).alias("b"))
-                 .distinct().join(tried, ["a", "b"], "left_anti"))
-        more = C.saved(_near(again, nodes, least), "near-tried")
-        asked = C.saved(tried.unionByName(more), "near-tried")
-        met = C.saved(hubs.unionByName(hub.select("key", "hub.node")), "near-hubs")
-        found = C.saved(links.unionByName(verified(more, texts, threshold)), "near-links")
-        C.forget(cls, links, tried, more, hubs, open_)
-        tried, hubs, links = asked, met, found
-        cls = components(links)
-    C.forget(tried, hubs)
+        if turn == 1:
+            ends = links[0].select("a", "b").unionByName(links[1].select("a", "b"))
+            degree = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").cast("long").alias("order"))
+            ranked = open_.join(degree, "node", "left").withColumn("order", F.coalesce("order", F.lit(0).cast("long")))
+        else:
+            ranked = open_.withColumn("order", F.xxhash64(F.lit(turn), "node"))
+        met = functools.reduce(DataFrame.unionByName, [h.select("key", "node") for h in hubs])
+        hub = (ranked.join(met, ["key", "node"], "left_anti").groupBy("key").agg(F.max(F.struct("order", "node", "cls")).alias("hub"))
+               .select("key", F.col("hub.node").alias("node"), F.col("hub.cls").alias("cls")))
+        hubs.append(C.saved(hub, "near-hubs"))
+        hub = hubs[-1].select("key", F.col("node").alias("hub"), F.col("cls").alias("hub_cls"))
+        again = (open_.join(hub, "key").where("cls <> hub_cls")
+                 .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"),
+                         F.greatest("cls", "hub_cls").alias("ca"), F.least("cls", "hub_cls").alias("cb")).distinct()
+                 .join(functools.reduce(DataFrame.unionByName, [t.select("a", "b") for t in asked]), ["a", "b"], "left_anti"))
+        asked.append(C.saved(_near(again, nodes, least), "near-tried"))
+        found = C.saved(verified(asked[-1], texts, threshold), "near-links")
+        joined.append(between(found))
+        cls = merged(cls, joined[-1])
+        # a bucket of one class stays so: only those still open are looked at again
+        to = joined[-1].select(F.col("node").alias("cls"), F.col("cls").alias("__cls"))
+        left = C.saved(mixed(open_.join(to, "cls", "left").select("key", "node", F.coalesce("__cls", "cls").alias("cls"))), "near-open")
+        C.forget(open_, found)
+        open_ = left
+    C.forget(*asked, *hubs, *links)
 
     # whatever is left, whole; a bucket of turns + 1 nodes or fewer has no pair left
-    rest = split(cls)
-    large = rest.groupBy("key").count().where(F.col("count") > turns + 1).select("key")
-    rest = C.saved(rest.join(large, "key"), "near-open")
+    large = open_.groupBy("key").count().where(F.col("count") > turns + 1).select("key")
+    rest = C.saved(open_.join(large, "key"), "near-open")
     payload = C.saved(texts.join(rest.select("node").distinct(), "node", "left_semi").select("node", _hashes("text").alias("hashes"))
                       .join(nodes.select("node", "sketch", "keys"), "node").withColumn("n", F.octet_length("hashes") / 8), "near-payload")
-    C.forget(texts, members, cls)
-    found = C.saved(links.unionByName(_block_links(rest, payload, least, threshold, block, block_shingles)), "near-links")
-    C.forget(rest, payload, links)
-    cls = components(found)
+    C.forget(texts, members, open_)
+    found = C.saved(_block_links(rest, payload, least, threshold, block, block_shingles), "near-links")
+    C.forget(rest, payload)
+    joined.append(stars(found))
+    cls = merged(cls, joined[-1])
 
     named = nodes.join(cls, "node", "left").select("digest", "node", "doc_id", "n", F.coalesce("cls", "node").alias("cls"))
     names = named.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
     rows = C.saved(sig.select("doc_id", "digest"), "near-rows")
     out = C.saved(named.join(names, "cls"), "near-classes")
-    C.forget(found, cls, nodes, sig)
+    C.forget(found, first, *joined, nodes, sig)
     return rows, out
 
 
