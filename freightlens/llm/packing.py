@@ -15,10 +15,11 @@ spread into slots (length, rank), and pieces take slots by an equi-join on that
 key, which is unique on both sides.
 
 Tokens: the tokenizer's normaliser and splitter never reach across white space,
-and a full stop, comma, colon, semicolon, ``!`` or ``?`` that ends a word after
-an ASCII letter is always a run of its own.  So a text's ids are its words' ids
-on end, and each distinct word of a run of texts (``interning``) is encoded once;
-words of plain Latin letters, which need no composing or splitting, go in lines.
+and the signs (``_ENDING``) that end a word after a Latin letter are always a run
+of their own.  So a text's ids are its words' ids on end, and each distinct word
+of a run of texts (``interning``) is encoded once, A-Z lower-cased where nothing
+can compose and no special token stand; words of plain Latin letters, which need
+no composing or splitting, go in lines.
 
 Edge cases: a null text is empty; an empty or blank text is the end token alone;
 rows that repeat a doc_id or a text are documents of their own; a null doc_id is
@@ -53,7 +54,7 @@ KNOWN, KNOWN_IDS = 400_000, 4_000_000
 #: Slots that one task spreads at a time.
 SPREAD = 1 << 16
 
-_ENDING = b".,;:!?"
+_ENDING = b".,;:!?#$%&*"
 #: Words of letters below U+0180, without U+0130, whose lower case is two characters.
 PLAIN = re.compile(rb"(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|\xC4[\x80-\xAF\xB1-\xBF]|\xC5[\x80-\xBF])+")
 
@@ -84,22 +85,36 @@ class _Vocabulary:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """Where each of the distinct ``words`` stands in ``size``; new ones are encoded."""
-        if len(self.known) + len(words) > KNOWN or len(self.flat) > KNOWN_IDS:
+        self.flat, self.ids = np.zeros(1 << 16, np.uint32), 0  # ``ids`` of them are in use
+        self.size, self.first = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        n, m = len(self.known), len(self.known) + len(size)
+        if m > len(self.size):
+            self.size, self.first = (np.concatenate([x[:n], np.zeros(2 * m - n, np.int64)]) for x in (self.size, self.first))
+        if self.ids + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:self.ids], np.zeros(self.ids + 2 * len(ids), np.uint32)])
+        self.flat[self.ids:self.ids + len(ids)] = ids
+        self.size[n:m] = size
+        self.first[n:m] = self.ids + np.cumsum(size) - size
+        self.ids += len(ids)
+
+    def places(self, words: list[bytes], ascii_only: list[bool]) -> np.ndarray:
+        """Where each of the distinct ``words`` stands in ``size``; new ones are encoded.
+        ``ascii_only`` tells those of ASCII letters alone."""
+        if len(self.known) + len(words) > KNOWN or self.ids > KNOWN_IDS:
             self.forget()
-        new = [w for w in words if w not in self.known]
-        plain, other = [], []
-        for w in new:
-            (plain if PLAIN.fullmatch(w) else other).append(w)
+        known = self.known
+        new = [(w, easy) for w, easy in zip(words, ascii_only) if w not in known]
+        plain = [w for w, easy in new if easy or PLAIN.fullmatch(w)]
+        other = [w for w, easy in new if not easy and not PLAIN.fullmatch(w)]
         lines = [b" ".join(plain[i:i + 50]).decode("utf-8") for i in range(0, len(plain), 50)]
         run = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
         each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in other], add_special_tokens=False)]
-        self.known.update(zip(plain + other, range(len(self.size), len(self.size) + len(new))))
-        self.size = np.concatenate([self.size, np.diff(np.flatnonzero(self.closes[run]), prepend=-1), np.fromiter(map(len, each), np.int64, len(each))])
-        self.flat = np.concatenate([self.flat, run, np.fromiter(itertools.chain.from_iterable(each), np.uint32)])
+        n = len(self.known)
+        self._add(np.concatenate([run, np.fromiter(itertools.chain.from_iterable(each), np.uint32)]),
+                  np.concatenate([np.diff(np.flatnonzero(self.closes[run]), prepend=-1), np.fromiter(map(len, each), np.int64, len(each))]))
+        self.known.update(zip(plain + other, range(n, n + len(new))))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
@@ -108,20 +123,51 @@ def _vocabulary(path: str) -> _Vocabulary:
     return _Vocabulary(path)
 
 
+def _letter_before(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a letter that ``PLAIN`` has ends at each place (2 or more)."""
+    last, lead = buf[at - 1], buf[at - 2]
+    low = last | 32
+    two = (last >= 0x80) & (last < 0xC0) & (((lead == 0xC3) & (last != 0x97) & (last != 0xB7)) | ((lead == 0xC4) & (last != 0xB0)) | (lead == 0xC5))
+    return ((low >= 97) & (low <= 122)) | two
+
+
 def _units(buf: np.ndarray, offs: np.ndarray):
-    """(starts, ends, row) of what is encoded by itself: words, and their closing mark apart."""
+    """(starts, ends, row) of what is encoded by itself: words, and the signs that end them apart."""
     starts, ends, row = C.word_ranges(buf, offs)
     if not len(starts):
         return starts, ends, row
-    closing, letter = np.zeros(256, bool), np.zeros(256, bool)
-    closing[np.frombuffer(_ENDING, np.uint8)] = True
-    letter[65:91] = letter[97:123] = True
-    apart = (ends - starts >= 2) & closing[buf[ends - 1]] & letter[buf[np.maximum(ends - 2, 0)]]
+    closing = ~C.byte_class(_ENDING)
+    kept, some = ends.copy(), np.flatnonzero(closing[buf[ends - 1]])  # kept: after the last other byte
+    if (ends[some] - starts[some]).max(initial=0) > 64:
+        kept = np.maximum(starts, np.maximum.accumulate(np.where(closing[buf], 0, np.arange(1, len(buf) + 1)))[ends - 1])
+    else:
+        while len(some):
+            kept[some] -= 1
+            some = some[kept[some] > starts[some]]
+            some = some[closing[buf[kept[some] - 1]]]
+    apart = (kept > starts) & (kept < ends)
+    apart[apart] = _letter_before(buf, kept[apart])
     at = np.repeat(np.arange(len(starts)), 1 + apart)
     second = np.zeros(len(at), bool)
     second[1:] = at[1:] == at[:-1]
     first_of_two = apart[at] & ~second
-    return (np.where(second, ends[at] - 1, starts[at]), np.where(first_of_two, ends[at] - 1, ends[at]), row[at])
+    return (np.where(second, kept[at], starts[at]), np.where(first_of_two, kept[at], ends[at]), row[at])
+
+
+def _within(marked: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many marked bytes lie in each range."""
+    total = np.concatenate([[0], np.cumsum(marked, dtype=np.int32)])
+    return total[ends] - total[starts]
+
+
+def _folded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``buf`` with A-Z lower-cased in the ranges where the tokenizer does just that: without
+    marks that a letter may compose with (all from U+0180) and ``<``, which special tokens begin with."""
+    free = _within((buf >= 0xC6) | (buf == 0x3C), starts, ends) == 0
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[starts[free]] = 1
+    edge[ends[free]] -= 1
+    return np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, C.lower_table()[buf], buf)
 
 
 def token_ids(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -129,16 +175,19 @@ def token_ids(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray,
     starts, ends, row = _units(buf, offs)
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+    buf = _folded(buf, starts, ends)
     slot, owner = intern(buf, starts, ends)
     used = np.flatnonzero(owner >= 0)
-    raw = buf.tobytes()
+    first, last, raw = starts[owner[used]], ends[owner[used]], buf.tobytes()
+    low = buf | 32
+    ascii_only = _within((low < 97) | (low > 122), first, last) == 0
     vocabulary = _vocabulary(path)
     place = np.empty(len(owner), np.int64)
-    place[used] = vocabulary.places([raw[a:b] for a, b in zip(starts[owner[used]].tolist(), ends[owner[used]].tolist())])
-    word, size = place[slot], vocabulary.size
-    count = size[word]
+    place[used] = vocabulary.places([raw[a:b] for a, b in zip(first.tolist(), last.tolist())], ascii_only.tolist())
+    word = place[slot]
+    count = vocabulary.size[word]
     total = np.concatenate([[0], np.cumsum(count)])
-    source = np.repeat((np.cumsum(size) - size)[word] - total[:-1], count)
+    source = np.repeat(vocabulary.first[word] - total[:-1], count)
     return vocabulary.flat[np.arange(total[-1]) + source], total[np.searchsorted(row, np.arange(len(offs)))]
 
 
