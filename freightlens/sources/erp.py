@@ -200,6 +200,7 @@ class ErpTables:
                 df = fx.FACT_BUILDERS[name](spark, sf_dir)
             elif name in fx.DIM_BUILDERS:
                 df = fx.DIM_BUILDERS[name](spark, sf_dir)
+                df = _settled(df, name) if name in fx.DERIVED_DIMS else df
             else:
                 raise KeyError(name)
             return fx.add_fixture_tenant(name, df) if multi_tenant else df
@@ -283,6 +284,15 @@ class ErpTables:
         return cls(spark, load, (), **kw)
 
 
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """A dimension that is computed, written to the shared folder and read back, so that
+    Spark plans its lookups by its size and not by that of the table it is computed from
+    (which shuffles the fact on a key of a few values)."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _write_fact(tables: ErpTables, name: str, df: DataFrame, path: str, mode: str, max_records_per_file: int) -> None:
     """Write one fact in the warehouse layout: partitioned by tenant, months of
     its dates and (receivables/payables) the open-balance flag;

@@ -285,6 +285,8 @@ DIM_BUILDERS = {
     "tbfor": tbfor,
     "tbhis": tbhis,
 }
+#: Dimensions that are an aggregate of a large table.
+DERIVED_DIMS = ("tbhis",)
 FACT_BUILDERS = {"factrc": factrc, "frctrc": frctrc, "cptit": cptit}
 CONTROL_BUILDERS = {"tbempresas": tbempresas, "tbusuarios": tbusuarios, "tbauditoria_in": audit_events}
 
