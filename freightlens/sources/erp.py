@@ -123,10 +123,15 @@ class ErpTables:
 
     def large_side(self, name: str, fact: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
         """A dimension that grows, and further columns to match: over bucketed
-        tables its copy per slice, in which ``fact`` finds its row in place."""
+        tables its copy per slice, in which ``fact`` finds its row in place.
+
+        Over several tenants the files don't tell its size (a row may stand for each
+        tenant, and Spark's estimate doesn't see that), so it isn't left to the broadcast
+        threshold but joined by sort-merge, unless ``broadcast_policy`` says otherwise."""
         if self.sliced and SLICE_COL in fact.columns:
             return self.lookup_side(f"{name}_{SLICE_COL}"), (SLICE_COL,)
-        return self.lookup_side(name), ()
+        side = self.lookup_side(name)
+        return (side.hint("merge") if self.tenant_cols and not self.broadcast_policy.get(name) else side), ()
 
     def prune(self, name: str, df: DataFrame, ranges: dict | None) -> DataFrame:
         """Partition pruning hint.
