@@ -4,6 +4,9 @@ Keys are xxhash64 values; a slot is only shared after its bytes were compared,
 so equal hashes of different strings never meet.  Probing is linear and done
 for all strings at once: whoever finds a free slot claims it, whoever finds its
 own bytes is done, the rest move on by one slot.
+
+``Places`` keeps such a table from one buffer to the next.  A string of up to 24
+bytes is three numbers there, so that comparing them compares the bytes.
 """
 
 from __future__ import annotations
@@ -13,11 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
+from .common import mix
+
 #: The five primes of xxhash64 (fixed values).
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: Longer strings are hashed and compared one by one.
 ROW_BYTES = 256
+#: The bytes of a number that belong to a string of so many.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+SHORT = 24
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -116,3 +124,82 @@ def intern(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarr
         todo = todo[~same]
         at[todo] = (at[todo] + 1) & (size - 1)
     return slot, owner
+
+
+class Places:
+    """Gives byte strings numbers from 0 on, in the order in which they come; equal strings get the same."""
+
+    def __init__(self):
+        self.n, self.long = 0, {}
+        self.lanes, self.length = np.zeros((3, 1 << 12), np.uint64), np.zeros(1 << 12, np.int64)
+        self.table = np.full(1 << 13, -1, np.int32)  # the place that a slot holds
+
+    def _slots(self, lanes: np.ndarray, length: np.ndarray) -> np.ndarray:
+        h = mix(lanes[0] * _P1 + lanes[1] * _P2 + lanes[2] * _P3 + length.astype(np.uint64))
+        return (h & np.uint64(len(self.table) - 1)).astype(np.int64)
+
+    def _room(self, more: int) -> None:
+        m = self.n + more
+        if m > len(self.length):
+            self.lanes = np.concatenate([self.lanes[:, :self.n], np.zeros((3, 2 * m - self.n), np.uint64)], axis=1)
+            self.length = np.concatenate([self.length[:self.n], np.zeros(2 * m - self.n, np.int64)])
+
+    def _rehash(self, size: int) -> None:
+        self.table = np.full(size, -1, np.int32)
+        todo = np.flatnonzero(self.length[:self.n] > 0)  # long strings aren't in the table
+        at = self._slots(self.lanes[:, todo], self.length[todo])
+        while len(todo):
+            free = self.table[at] < 0
+            self.table[at[free]] = todo[free]
+            left = self.table[at] != todo
+            todo, at = todo[left], (at[left] + 1) & (size - 1)
+
+    def of(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of buf[start:end] of each range, none of them empty; a range for each new place, in order)."""
+        length = ends - starts
+        window = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(SHORT, np.uint8)]), strides=(1,))
+        lanes = np.zeros((3, len(starts)), np.uint64)
+        for k in range(3):
+            some = np.flatnonzero((length > 8 * k) & (length <= SHORT))
+            lanes[k, some] = window[starts[some] + 8 * k] & _MASK[np.minimum(length[some] - 8 * k, 8)]
+        todo = np.flatnonzero(length <= SHORT)
+        if 2 * (self.n + len(todo)) > len(self.table):
+            self._rehash(1 << (2 * (self.n + len(todo))).bit_length())
+        place, fresh = np.empty(len(starts), np.int64), []
+        at, table = self._slots(lanes[:, todo], length[todo]), self.table
+        while len(todo):
+            here = table[at]
+            free = here < 0
+            if free.any():
+                f, slot = todo[free], at[free]
+                table[slot] = -2 - f  # of several that claim a slot, one gets it
+                won = table[slot] == -2 - f
+                f, slot = f[won], slot[won]
+                self._room(len(f))
+                new = slice(self.n, self.n + len(f))
+                self.lanes[:, new], self.length[new] = lanes[:, f], length[f]
+                table[slot] = np.arange(self.n, self.n + len(f))
+                self.n += len(f)
+                fresh.append(f)
+                here = table[at]
+            same = self.length[here] == length[todo]
+            for k in range(3):
+                same &= self.lanes[k, here] == lanes[k, todo]
+            place[todo[same]] = here[same]
+            todo, at = todo[~same], (at[~same] + 1) & (len(table) - 1)
+        for i in np.flatnonzero(length > SHORT).tolist():
+            x = buf[starts[i]:ends[i]].tobytes()
+            if x not in self.long:
+                self._room(1)
+                self.length[self.n] = 0
+                self.long[x] = self.n
+                self.n += 1
+                fresh.append(np.array([i]))
+            place[i] = self.long[x]
+        return place, np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
+
+    def strings(self) -> list[bytes]:
+        """All strings that have a place."""
+        short = np.flatnonzero(self.length[:self.n] > 0)
+        rows = np.ascontiguousarray(self.lanes[:, short].T, "<u8").view(np.uint8)
+        return [r[:k].tobytes() for r, k in zip(rows, self.length[short].tolist())] + list(self.long)

@@ -17,9 +17,9 @@ key, which is unique on both sides.
 Tokens: the tokenizer's normaliser and splitter never reach across white space,
 and the signs (``_ENDING``) that end a word after a Latin letter are always a run
 of their own.  So a text's ids are its words' ids on end, and each distinct word
-of a run of texts (``interning``) is encoded once, A-Z lower-cased where nothing
-can compose and no special token stand; words of plain Latin letters, which need
-no composing or splitting, go in lines.
+that a Python worker meets (``interning``) is encoded once, A-Z lower-cased where
+nothing can compose and no special token stand; words of plain Latin letters, which
+need no composing or splitting, go in lines, those of a-z past the normaliser.
 
 Edge cases: a null text is empty; an empty or blank text is the end token alone;
 rows that repeat a doc_id or a text are documents of their own; a null doc_id is
@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from ..operators.ranking import with_place
 from . import common as C
-from .interning import intern
+from .interning import Places
 
 SIZE, END = 2048, 0
 #: The tokenizer's file, at one path on all executors.
@@ -78,44 +78,55 @@ class _Vocabulary:
         self.plain.normalizer = normalizers.Lowercase()
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # a word of a-z alone stays as it is
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         tokens = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(tokens.values()) + 1, bool)  # the ids that end a unit
         self.closes[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.words = Places()
         self.flat, self.ids = np.zeros(1 << 16, np.uint32), 0  # ``ids`` of them are in use
         self.size, self.first = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, ids: np.ndarray, size: np.ndarray) -> None:
-        n, m = len(self.known), len(self.known) + len(size)
-        if m > len(self.size):
-            self.size, self.first = (np.concatenate([x[:n], np.zeros(2 * m - n, np.int64)]) for x in (self.size, self.first))
+    @property
+    def known(self) -> list[bytes]:
+        return self.words.strings()
+
+    def _add(self, place: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        n, m = len(self.size), self.words.n
+        if m > n:
+            self.size, self.first = (np.concatenate([x, np.zeros(2 * m - n, np.int64)]) for x in (self.size, self.first))
         if self.ids + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[:self.ids], np.zeros(self.ids + 2 * len(ids), np.uint32)])
         self.flat[self.ids:self.ids + len(ids)] = ids
-        self.size[n:m] = size
-        self.first[n:m] = self.ids + np.cumsum(size) - size
+        self.size[place] = size
+        self.first[place] = self.ids + np.cumsum(size) - size
         self.ids += len(ids)
 
-    def places(self, words: list[bytes], ascii_only: list[bool]) -> np.ndarray:
-        """Where each of the distinct ``words`` stands in ``size``; new ones are encoded.
-        ``ascii_only`` tells those of ASCII letters alone."""
-        if len(self.known) + len(words) > KNOWN or self.ids > KNOWN_IDS:
+    def places(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where each of the words buf[start:end] stands in ``size``; new ones are encoded."""
+        if self.words.n > KNOWN or self.ids > KNOWN_IDS:
             self.forget()
-        known = self.known
-        new = [(w, easy) for w, easy in zip(words, ascii_only) if w not in known]
-        plain = [w for w, easy in new if easy or PLAIN.fullmatch(w)]
-        other = [w for w, easy in new if not easy and not PLAIN.fullmatch(w)]
-        lines = [b" ".join(plain[i:i + 50]).decode("utf-8") for i in range(0, len(plain), 50)]
-        run = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
-        each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in other], add_special_tokens=False)]
-        n = len(self.known)
-        self._add(np.concatenate([run, np.fromiter(itertools.chain.from_iterable(each), np.uint32)]),
-                  np.concatenate([np.diff(np.flatnonzero(self.closes[run]), prepend=-1), np.fromiter(map(len, each), np.int64, len(each))]))
-        self.known.update(zip(plain + other, range(n, n + len(new))))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        n = self.words.n
+        place, fresh = self.words.of(buf, starts, ends)
+        first, last, raw = starts[fresh], ends[fresh], buf.tobytes()
+        letters = _within((buf < 97) | (buf > 122), first, last) == 0
+        new = [raw[a:b] for a, b in zip(first.tolist(), last.tolist())]
+        kind = np.array([0 if easy else 1 if PLAIN.fullmatch(w) else 2 for w, easy in zip(new, letters.tolist())], np.int64)
+        for k, tokenizer in enumerate((self.letters, self.plain)):
+            some = np.flatnonzero(kind == k)
+            of = [new[i] for i in some.tolist()]
+            lines = [b" ".join(of[i:i + 50]).decode("utf-8") for i in range(0, len(of), 50)]
+            run = np.fromiter(itertools.chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+            self._add(n + some, run, np.diff(np.flatnonzero(self.closes[run]), prepend=-1))
+        some = np.flatnonzero(kind == 2)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([new[i].decode("utf-8") for i in some.tolist()], add_special_tokens=False)]
+        self._add(n + some, np.fromiter(itertools.chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each)))
+        return place
 
 
 @functools.lru_cache(maxsize=2)
@@ -163,11 +174,15 @@ def _within(marked: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 def _folded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """``buf`` with A-Z lower-cased in the ranges where the tokenizer does just that: without
     marks that a letter may compose with (all from U+0180) and ``<``, which special tokens begin with."""
-    free = _within((buf >= 0xC6) | (buf == 0x3C), starts, ends) == 0
-    edge = np.zeros(len(buf) + 1, np.int8)
-    edge[starts[free]] = 1
-    edge[ends[free]] -= 1
-    return np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, C.lower_table()[buf], buf)
+    out = C.lower_table()[buf]
+    odd = np.flatnonzero((buf >= 0xC6) | (buf == 0x3C))
+    if len(odd):
+        at = np.searchsorted(starts, odd, side="right") - 1
+        at = at[np.diff(at, prepend=-1) > 0]  # the ranges that have them
+        size = ends[at] - starts[at]
+        kept = np.arange(size.sum()) + np.repeat(starts[at] - np.cumsum(size) + size, size)
+        out[kept] = buf[kept]
+    return out
 
 
 def token_ids(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -176,15 +191,8 @@ def token_ids(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray,
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
     buf = _folded(buf, starts, ends)
-    slot, owner = intern(buf, starts, ends)
-    used = np.flatnonzero(owner >= 0)
-    first, last, raw = starts[owner[used]], ends[owner[used]], buf.tobytes()
-    low = buf | 32
-    ascii_only = _within((low < 97) | (low > 122), first, last) == 0
     vocabulary = _vocabulary(path)
-    place = np.empty(len(owner), np.int64)
-    place[used] = vocabulary.places([raw[a:b] for a, b in zip(first.tolist(), last.tolist())], ascii_only.tolist())
-    word = place[slot]
+    word = vocabulary.places(buf, starts, ends)
     count = vocabulary.size[word]
     total = np.concatenate([[0], np.cumsum(count)])
     source = np.repeat(vocabulary.first[word] - total[:-1], count)
