@@ -31,6 +31,9 @@ and ``n_chars`` if there); other columns pass through.
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +90,24 @@ def matches(text: Column, regex: str) -> Column:
     return F.when(text.rlike(regex), spans).otherwise(F.array().cast(_SPANS))
 
 
+#: Capitals whose small form takes more than one letter or depends on the letters around: U+0130 and the sigma.
+IRREGULAR = "\u0130\u03a3"
+
+
+@functools.lru_cache(maxsize=1)
+def _capitals() -> tuple[str, str]:
+    """The other letters that have a small form, and these forms."""
+    pairs = [(c, c.lower()) for c in map(chr, range(sys.maxunicode + 1)) if c.lower() != c and c not in IRREGULAR]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def lowered(word: Column) -> Column:
+    """``lower`` of a word.  On its first use in a JVM, Spark's ``lower`` title-cases
+    every code point for a table, which grows the heap by hundreds of MB; so letters
+    are looked up, and only words with ``IRREGULAR`` letters go that way."""
+    return F.when(word.rlike(f"[{IRREGULAR}]"), F.lower(word)).otherwise(F.translate(word, *_capitals()))
+
+
 def digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
@@ -121,7 +142,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     arrays = [_standing(k, matches(text, r)).alias(f"__{k}") for k, r in BASE.items()]
     near = F.filter(
         F.transform(matches(text, CANDIDATE), lambda x: F.struct(
-            F.lower(F.regexp_extract(x["found"], LEFT, 0)).alias("left"),
+            lowered(F.regexp_extract(x["found"], LEFT, 0)).alias("left"),
             (x["start"] + F.length(F.regexp_extract(x["found"], GAP, 0))).alias("start"),
             F.rtrim(F.regexp_replace(F.regexp_replace(x["found"], GAP, ""), r"[.(+-]++$", "")).alias("found"))),
         lambda x: x["found"].contains("@") | (F.length(digits(x["found"])) >= 6) | x["found"].startswith("+"))
@@ -191,7 +212,7 @@ def op6_bootstrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with each span (overlapping ones together) replaced by its first kind in brackets."""
-    name = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["ord"] + 1)), F.lit("]"))
+    name = lambda x: F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["ord"] + 1)
     start = F.struct(F.lit(0).alias("to"), F.lit("").alias("out"))
     masked = F.aggregate(
         "__spans", start,
